@@ -164,10 +164,9 @@ def interval_join(
     """Per user, whether an event fell into each half-open day offset ``[from, to)`` after the
     start; ``first_day`` compares calendar dates instead.
 
-    ``starts(user_id, started_at, ...)`` has one row per user and ``events(user_id, at)``. The
-    events of one user may be a large share of all: they are reduced to distinct whole-day offsets
-    before the per-user step (a bucket border is a whole number of days after the start), which
-    the first, partial aggregation does on the map side.
+    ``starts(user_id, started_at, ...)`` has one row per user and ``events(user_id, at)``. The start
+    side holds each user once, so the events of a very active user can be split over tasks by the
+    adaptive skew join, and the flags are taken with a partial aggregation right after it.
     """
     span = max(hi for _, _, hi in buckets)
     people = starts.select("user_id", "started_at")

@@ -81,7 +81,7 @@ def main(argv):
     queries, oracles = entry.queries(), entry.oracle_sql()
     bad = 0
     for name, fn in queries.items():
-        if only and not any(name == o or name.startswith(o + "_") or name.startswith(o + "*") for o in only):
+        if only and not any(name == o or name.startswith(o + "_") or (o.endswith("*") and name.startswith(o[:-1])) for o in only):
             continue
         start = time.time()
         try:
