@@ -147,8 +147,10 @@ def best_feature(scores: Column, names: list[str], threshold: float = 0.5) -> Co
 
 
 def json_pick(json: Column, *paths: str) -> Column:
-    """first path that is present and not null, as a number; other values become NULL."""
-    return F.coalesce(*[F.get_json_object(json, p) for p in paths]).try_cast("double")
+    """first path that is present and not null, as a number. Blank text counts as 0, other
+    text becomes NULL."""
+    found = F.coalesce(*[F.get_json_object(json, p) for p in paths])
+    return F.when(F.trim(found) == "", F.lit(0.0)).otherwise(found.try_cast("double"))
 
 
 SCORE_PATHS = ("$.scores.overall_percentage", "$.scores.percentage", "$.overall_percentage")

@@ -299,23 +299,22 @@ def a29(spark, folder):
 
 @query(
     "F1_dates",
-    """SELECT event_id, CASE WHEN month(d) BETWEEN 8 AND 11 THEN 'fall' WHEN month(d) IN (12, 1, 2) THEN 'winter' ELSE 'spring' END AS season,
+    over_programme("""SELECT id, CASE WHEN month(d) BETWEEN 8 AND 11 THEN 'fall' WHEN month(d) IN (12, 1, 2) THEN 'winter' ELSE 'spring' END AS season,
       CAST(date_trunc('week', d) AS DATE) AS week_start,
       (SELECT max(CAST(x AS DATE)) FROM generate_series(d - INTERVAL 4 DAY, d - INTERVAL 1 DAY, INTERVAL 1 DAY) AS t(x) WHERE isodow(x) <= 5) AS previous_working_day,
-      CAST(greatest((SELECT count(*) FROM generate_series(CAST(d AS TIMESTAMP), d + to_days(CAST(event_id AS INTEGER)), INTERVAL 1 DAY) AS t(x) WHERE isodow(x) <= 5), 1) AS INTEGER) AS working_days,
+      CAST(greatest((SELECT count(*) FROM generate_series(CAST(d AS TIMESTAMP), d + to_days(k), INTERVAL 1 DAY) AS t(x) WHERE isodow(x) <= 5), 1) AS INTEGER) AS working_days,
       d - 6 AS window_lo, CASE WHEN isodow(d) = 5 THEN 'weekly' WHEN isodow(d) < 5 THEN 'daily' END AS kind
-    FROM (SELECT event_id % 400 AS event_id, CAST(ts AS DATE) + CAST(event_id % 400 AS INTEGER) AS d, ts FROM events) e""",
+    FROM (SELECT id, k, CAST(created_at AS DATE) + k * 3 AS d FROM ev) e"""),
 )
 def f1(spark, folder):
-    rows = Programme(spark, folder).table("events").select(
-        (F.col("event_id") % 400).alias("event_id"), F.date_add(F.to_date("ts"), (F.col("event_id") % 400).cast("int")).alias("d")
-    )
+    day = F.date_add(F.to_date("created_at"), F.col("k") * 3)
+    rows = Programme(spark, folder).ev.select("id", "k", day.alias("d"))
     return rows.select(
-        "event_id",
+        "id",
         dates.season(F.col("d")).alias("season"),
         dates.week_start(F.col("d")).alias("week_start"),
         dates.previous_working_day(F.col("d")).alias("previous_working_day"),
-        dates.working_days(F.col("d"), F.date_add("d", F.col("event_id").cast("int"))).alias("working_days"),
+        dates.working_days(F.col("d"), F.date_add("d", F.col("k"))).alias("working_days"),
         dates.weekly_window(F.col("d"))["lo"].alias("window_lo"),
         dates.brief_kind(F.col("d")).alias("kind"),
     )

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chalkline.operators import windows
+from chalkline.operators.ordered import number_rows, position_chunk
 from chalkline.sources.tables import load
 
 # The checks run "as of" this instant, close to the end of the events.
@@ -114,6 +115,36 @@ PRELUDE = (
 )
 
 
+# Answers: an order is a quiz session, its lines in order are the answers, the supplier is the question.
+KEY_OPTION = "CASE WHEN s_acctbal < 2000 THEN 'A' WHEN s_acctbal < 6000 THEN 'B' ELSE 'C' END"
+PICK = "CASE WHEN l_tax = 0.08 THEN NULL WHEN l_returnflag = 'A' THEN 'A' WHEN l_returnflag = 'N' THEN 'B' ELSE 'C' END"
+LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
+ANSWERS = (
+    f"answers AS (SELECT l_orderkey AS session_id, l_suppkey AS question_id, {PICK} AS selected_option, "
+    f"coalesce({PICK} = {KEY_OPTION}, false) AS is_correct, l_quantity, l_extendedprice, l_returnflag, "
+    f"row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(LINE_ORDER)}) AS pos "
+    "FROM lineitem JOIN supplier ON s_suppkey = l_suppkey)"
+)
+QUIZ = (
+    "WITH "
+    + ANSWERS
+    + ", questions AS (SELECT s_suppkey AS question_id, quiz_id, concat('Question ', CAST(s_suppkey AS VARCHAR)) AS question_text, "
+    f"{KEY_OPTION} AS correct_option, concat(s_name, ' a') AS option_a, concat(s_name, ' b') AS option_b, concat(s_name, ' c') AS option_c, "
+    "CASE WHEN s_acctbal > 4000 THEN 'general note' END AS misconception_feedback, s_acctbal > 7000 AS noted, s_suppkey AS sort_order "
+    "FROM supplier CROSS JOIN (SELECT DISTINCT o_orderpriority AS quiz_id FROM orders)), "
+    "quiz_runs AS (SELECT o_orderkey AS session_id, o_orderpriority AS quiz_id, CAST(o_custkey AS VARCHAR) AS student_name, "
+    "CASE WHEN o_orderstatus = 'F' THEN 'in_progress' ELSE 'completed' END AS status, "
+    "CAST(floor(o_totalprice / 5000) AS INTEGER) AS mastery_percentage, o_orderdate AS share_code_id FROM orders)"
+)
+
+
+def over_quiz(body: str) -> str:
+    body = body.strip()
+    if body.upper().startswith("WITH "):
+        return QUIZ + ", " + body[5:]
+    return QUIZ + " " + body
+
+
 def over_programme(body: str) -> str:
     """DuckDB text of ``body`` with the programme tables in scope. ``body`` may add more CTEs."""
     body = body.strip()
@@ -186,3 +217,49 @@ class Programme:
     def chat_sessions(self) -> DataFrame:
         sessions = windows.sessions(windows.sessionize(self.ev, "user_id", "created_at", "id", 6 * 60))
         return sessions.withColumn("session_type", F.expr(SESSION_TYPE))
+
+    @cached_property
+    def answers(self) -> DataFrame:
+        lines = number_rows(self.table("lineitem"), ["l_orderkey"], LINE_ORDER, "pos", position_chunk("l_linenumber"))
+        keys = self.table("supplier").select("s_suppkey", F.expr(KEY_OPTION).alias("key_option"))
+        picked = lines.withColumn("selected_option", F.expr(PICK)).join(keys, F.col("s_suppkey") == F.col("l_suppkey"))
+        return picked.select(
+            F.col("l_orderkey").alias("session_id"),
+            F.col("l_suppkey").alias("question_id"),
+            "selected_option",
+            F.coalesce(F.col("selected_option") == F.col("key_option"), F.lit(False)).alias("is_correct"),
+            "l_quantity",
+            "l_extendedprice",
+            "l_returnflag",
+            "pos",
+        )
+
+    @cached_property
+    def questions(self) -> DataFrame:
+        quizzes = self.table("orders").select(F.col("o_orderpriority").alias("quiz_id")).distinct()
+        note = F.create_map(F.lit("A"), F.lit("note A"), F.lit("B"), F.lit("note B"), F.lit("C"), F.lit("note C"))
+        by_index = F.create_map(F.lit("0"), F.lit("A) first"), F.lit("1"), F.lit("B) second"))
+        return self.table("supplier").crossJoin(F.broadcast(quizzes)).select(  # five quizzes
+            F.col("s_suppkey").alias("question_id"),
+            "quiz_id",
+            F.concat(F.lit("Question "), F.col("s_suppkey").cast("string")).alias("question_text"),
+            F.expr(KEY_OPTION).alias("correct_option"),
+            F.concat("s_name", F.lit(" a")).alias("option_a"),
+            F.concat("s_name", F.lit(" b")).alias("option_b"),
+            F.concat("s_name", F.lit(" c")).alias("option_c"),
+            F.when(F.col("s_acctbal") > 4000, "general note").alias("misconception_feedback"),
+            F.when(F.col("s_acctbal") > 7000, note).alias("distractor_misconceptions"),
+            F.when(F.col("s_acctbal") > 3000, by_index).alias("option_feedback"),
+            F.col("s_suppkey").alias("sort_order"),
+        )
+
+    @cached_property
+    def quiz_runs(self) -> DataFrame:
+        return self.table("orders").select(
+            F.col("o_orderkey").alias("session_id"),
+            F.col("o_orderpriority").alias("quiz_id"),
+            F.col("o_custkey").cast("string").alias("student_name"),
+            F.when(F.col("o_orderstatus") == "F", "in_progress").otherwise("completed").alias("status"),
+            F.floor(F.col("o_totalprice") / 5000).cast("int").alias("mastery_percentage"),
+            F.col("o_orderdate").alias("share_code_id"),
+        )
