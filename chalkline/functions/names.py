@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chalkline.functions.rows import posexplode_into
+
 # Roll-call words.
 PRESENT_WORDS = [
     "present", "yes", "here", "haan", "ji", "haazir", "hazir",
@@ -65,12 +67,8 @@ def normalize_status(text: Column) -> Column:
 
 def parse_roster(rosters: DataFrame, text: str = "text") -> DataFrame:
     """one row per student line with ``line_no``, ``student_name``, ``father_name``, ``parent_phone``."""
-    lines = rosters.select(
-        *[c for c in rosters.columns if c != text],
-        F.posexplode(F.split(F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), "\r", "\n"), "\n")).alias(
-            "line_no", "_line"
-        ),
-    )
+    split = F.split(F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), "\r", "\n"), "\n")
+    lines = posexplode_into(rosters, [c for c in rosters.columns if c != text], split, "line_no", "_line")
     cleaned = lines.withColumn("_line", F.trim(F.regexp_replace("_line", r"^\s+|\s+$", "")))
     cleaned = cleaned.withColumn("_line", F.regexp_replace("_line", r"^\d+\.\s*", ""))
     cleaned = cleaned.withColumn("_line", F.regexp_replace("_line", r"^[-*•]\s*", ""))

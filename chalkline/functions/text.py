@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chalkline.functions.rows import posexplode_into
+
 ARABIC_BLOCK = "\\u0600-\\u06FF"
 
 # Blocks of the Arabic script.
@@ -79,8 +81,8 @@ def tokenize(text: Column) -> Column:
 def parse_lines(df: DataFrame, text: str = "text") -> DataFrame:
     """F8: transcript lines as rows with time, speaker, speaker type and text."""
     pattern = r"(?i)^\[(\d{2}:\d{2})\]\s*(Teacher|Student\s*\d*)\s*\((\w+)\):\s*(.*)$"
-    lines = df.select(
-        *[c for c in df.columns if c != text], F.posexplode(F.split(text, "\n")).alias("line_no", "_line")
+    lines = posexplode_into(
+        df, [c for c in df.columns if c != text], F.split(text, "\n"), "line_no", "_line"
     ).filter(F.trim(F.regexp_replace("_line", r"\s", " ")) != "")
     spoken = F.col("_line").rlike(pattern)
     speaker = F.trim(F.regexp_extract("_line", pattern, 2))

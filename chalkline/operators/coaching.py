@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chalkline.functions.maths import half_up
+from chalkline.functions.rows import inline_into, posexplode_into
 from chalkline.operators.ordered import running_total
 
 # Rubric areas as (key, display name, number of indicators) per framework.
@@ -101,127 +102,140 @@ def _sum(items: Column, value: Callable[[Column], Column]) -> Column:
     return F.coalesce(F.aggregate(items, zero, lambda acc, i: acc + F.coalesce(value(i), zero)), zero)
 
 
-def _row(key: str, name: str, score: Column, most: Column) -> Column:
-    return F.struct(F.lit(key).alias("key"), F.lit(name).alias("name"), score.alias("score"), most.alias("max"))
+def _rubric(codes: bool) -> Column:
+    """Literal map from framework to its areas as ``array<struct<area, key, name, max>>``."""
+    pairs = []
+    for name, areas in AREAS.items():
+        rows = []
+        for i, (area, label, n) in enumerate(areas):
+            code = {"hots": f"A{i + 1}", "fico": f"D{i + 1}", "teach": f"T{i + 2}", "mewaka": "ABCDEF"[i]}[name]
+            rows.append(
+                F.struct(
+                    F.lit(area).alias("area"),
+                    F.lit(code if codes else area).alias("key"),
+                    F.lit(label).alias("name"),
+                    F.lit(float(n * SCALE[name])).alias("max"),
+                )
+            )
+        pairs += [F.lit(name), F.array(*rows)]
+    return F.create_map(*pairs)
 
 
-def framework_scores(sessions: DataFrame) -> DataFrame:
-    """``sessions(session_id, framework, analysis_data, has_lesson_plan)`` to one row per area
-    with its score and maximum and the session's overall marks, maximum and percentage. An unknown
-    framework gives no rows; an area absent from the analysis gives none either."""
+def _prepared(sessions: DataFrame) -> DataFrame:
+    """Lower-cased framework, parsed areas (``domains`` where the framework uses them) and time on task."""
     json = F.col("analysis_data")
-    prepared = sessions.withColumns(
+    name = F.lower(F.coalesce("framework", F.lit("")))
+    return sessions.withColumns(
         {
-            "_f": F.lower(F.coalesce("framework", F.lit(""))),
+            "_f": name,
             "_areas": _areas(json, "$.areas"),
             "_domains": _areas(json, "$.domains"),
             "_task": F.coalesce(F.get_json_object(json, "$.time_on_task.score").try_cast("double"), F.lit(0.0)),
         }
     )
-    branches = []
-    for name, areas in AREAS.items():
-        box = {
-            "hots": F.col("_areas"),
-            "teach": F.col("_areas"),
-            "fico": F.col("_domains"),
-            "mewaka": F.coalesce("_domains", "_areas"),
-        }[name]
-        rows = []
-        for key, label, n in areas:
-            area = box[key]
-            if name == "teach":
-                score = _sum(area["elements"], lambda i: i["holistic_score"])
-            elif name == "mewaka":
-                score = _sum(area["indicators"], lambda i: F.when(i["score"].isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(3.0), i["score"]))))
-            else:
-                score = _sum(area["indicators"], lambda i: i["score"])
-            rows.append(F.when(area.isNotNull(), _row(key, label, score, F.lit(float(n * SCALE[name])))))
-        branches.append((name, F.array_compact(F.array(*rows)), F.lit(float(TOTAL[name]))))
+
+
+def _goal_max(goal: str) -> float:
+    return float(sum(marks for _, marks, _ in GOALS[goal]))
+
+
+def framework_scores(sessions: DataFrame) -> DataFrame:
+    """``sessions(session_id, framework, analysis_data, has_lesson_plan)`` to one row per area
+    with its score and maximum and the session's overall marks, maximum and percentage. An unknown
+    framework gives no rows; an area absent from the analysis gives none either."""
+    f = F.col("_f")
+    box = (
+        F.when(f == "fico", F.col("_domains"))
+        .when(f == "mewaka", F.coalesce("_domains", "_areas"))
+        .otherwise(F.col("_areas"))
+    )
+    prepared = _prepared(sessions).withColumn("_box", box)
+
+    def value(item: Column) -> Column:
+        score = item["score"]
+        clamped = F.when(score.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(3.0), score)))
+        return F.when(f == "teach", item["holistic_score"]).when(f == "mewaka", clamped).otherwise(score)
+
+    def area_row(r: Column) -> Column:
+        area = F.col("_box")[r["area"]]
+        items = F.when(f == "teach", area["elements"]).otherwise(area["indicators"])
+        return F.struct(
+            r["key"].alias("key"), r["name"].alias("name"), _sum(items, value).alias("score"), r["max"].alias("max")
+        )
+
+    listed = F.transform(F.filter(_rubric(False)[f], lambda r: F.map_contains_key("_box", r["area"])), area_row)
     goals = []
     for goal, criteria in GOALS.items():
-        cells = F.from_json(F.get_json_object(json, f"$.{goal}"), _GOAL)
-        marks = sum(
-            (F.coalesce(cells[c]["competency_score"] / levels * most, F.lit(0.0)) for c, most, levels in criteria),
-            F.lit(0.0),
+        cells = F.from_json(F.get_json_object("analysis_data", f"$.{goal}"), _GOAL)
+        table = F.array(
+            *[F.struct(F.lit(c).alias("c"), F.lit(float(most)).alias("most"), F.lit(levels).alias("levels")) for c, most, levels in criteria]
         )
-        goals.append(_row(goal, GOAL_NAMES[goal][1], F.round(marks, 2), F.lit(float(sum(c[1] for c in criteria)))))
-    most = F.when(F.coalesce("has_lesson_plan", F.lit(False)), float(MARKS_WITH_PLAN)).otherwise(float(MARKS_BASE))
-    branches.append(("oecd", F.array(*goals), most))
-
-    picked = F.lit(None)
-    limit = F.lit(None)
-    for name, rows, total in branches:
-        picked = F.when(F.col("_f") == name, rows).otherwise(picked)
-        limit = F.when(F.col("_f") == name, total).otherwise(limit)
-    scored = prepared.withColumns({"_rows": picked, "overall_max": limit}).filter(F.col("_rows").isNotNull())
-    extra = F.when(F.col("_f") == "teach", F.col("_task")).otherwise(0.0)
-    overall = _sum(F.col("_rows"), lambda r: r["score"]) + extra
+        marks = F.when(
+            cells.isNotNull(), _sum(table, lambda r, cells=cells: cells[r["c"]]["competency_score"] / r["levels"] * r["most"])
+        ).otherwise(0.0)
+        goals.append(
+            F.struct(
+                F.lit(goal).alias("key"),
+                F.lit(GOAL_NAMES[goal][1]).alias("name"),
+                F.round(marks, 2).alias("score"),
+                F.lit(_goal_max(goal)).alias("max"),
+            )
+        )
+    with_plan = F.coalesce("has_lesson_plan", F.lit(False))
+    limit = F.when(with_plan, float(MARKS_WITH_PLAN)).otherwise(float(MARKS_BASE))
+    for name, total in TOTAL.items():
+        limit = F.when(f == name, F.lit(float(total))).otherwise(limit)
+    scored = prepared.filter(f.isin(*AREAS, "oecd")).withColumns(
+        {"_rows": F.when(f == "oecd", F.array(*goals)).otherwise(listed), "overall_max": limit}
+    )
+    extra = F.when(f == "teach", F.col("_task")).otherwise(0.0)
     return (
-        scored.withColumn("overall_marks", F.round(overall, 2))
+        scored.withColumn("overall_marks", F.round(_sum(F.col("_rows"), lambda r: r["score"]) + extra, 2))
         .withColumn("overall_percentage", F.round(F.col("overall_marks") / F.col("overall_max") * 100, 1))
-        .select(
-            "session_id",
-            F.col("_f").alias("framework"),
-            "overall_marks",
-            "overall_max",
-            "overall_percentage",
-            F.inline("_rows"),
+        .transform(
+            inline_into,
+            ["session_id", f.alias("framework"), "overall_marks", "overall_max", "overall_percentage"],
+            F.col("_rows"),
+            "key",
         )
     )
 
 
 def score_groups(sessions: DataFrame) -> DataFrame:
     """Uniform (key, name, score, max, pct) rows from the stored scores of each framework."""
-    json = F.col("analysis_data")
-    prepared = sessions.withColumns(
-        {
-            "_f": F.lower(F.coalesce("framework", F.lit(""))),
-            "_areas": _areas(json, "$.areas"),
-            "_domains": _areas(json, "$.domains"),
-        }
-    )
-    either = F.coalesce("_domains", "_areas")
-    zero = F.lit(0.0)
-
-    def stored(area: Column, n: int, scale: int, domains: bool) -> tuple[Column, Column]:
-        most = F.lit(float(n * scale))
-        if domains:
-            return (
-                F.coalesce(area["domain_score"], area["area_score"], zero),
-                F.coalesce(area["domain_max"], area["area_max"], most),
+    f = F.col("_f")
+    by_domain = f.isin("fico", "mewaka")
+    box = F.when(by_domain, F.coalesce("_domains", "_areas")).otherwise(F.col("_areas"))
+    empty = F.create_map().cast(f"map<string,{_AREA}>")
+    prepared = _prepared(sessions).withColumn("_box", F.coalesce(box, empty))
+
+    def area_row(r: Column) -> Column:
+        area = F.col("_box")[r["area"]]
+        score = F.coalesce(F.when(by_domain, area["domain_score"]), area["area_score"], F.lit(0.0))
+        most = F.coalesce(F.when(by_domain, area["domain_max"]), area["area_max"], r["max"])
+        return F.struct(r["key"].alias("key"), r["name"].alias("name"), score.alias("score"), most.alias("max"))
+
+    def row(key: str, name: str, score: Column, most: float) -> Column:
+        return F.struct(F.lit(key).alias("key"), F.lit(name).alias("name"), score.alias("score"), F.lit(most).alias("max"))
+
+    listed = F.transform(_rubric(True)[f], area_row)
+    task = F.array(row("T1", "Time on Task", F.col("_task"), 5.0))
+    goals = F.array(
+        *[
+            row(
+                code,
+                label,
+                F.coalesce(
+                    F.get_json_object("analysis_data", f"$.scores.{goal.split('_')[0]}_total").try_cast("double"), F.lit(0.0)
+                ),
+                _goal_max(goal),
             )
-        return F.coalesce(area["area_score"], zero), F.coalesce(area["area_max"], most)
-
-    groups: dict[str, list[Column]] = {}
-    for name, prefix, box, domains in (
-        ("hots", "A", F.col("_areas"), False),
-        ("fico", "D", either, True),
-        ("teach", "T", F.col("_areas"), False),
-        ("mewaka", "", either, True),
-    ):
-        rows = []
-        start = 1
-        if name == "teach":
-            task = F.coalesce(F.get_json_object(json, "$.time_on_task.score").try_cast("double"), zero)
-            rows.append(_row("T1", "Time on Task", task, F.lit(5.0)))
-            start = 2
-        for i, (key, label, n) in enumerate(AREAS[name]):
-            code = "ABCDEF"[i] if name == "mewaka" else f"{prefix}{i + start}"
-            rows.append(_row(code, label, *stored(box[key], n, SCALE[name], domains)))
-        groups[name] = rows
-    groups["oecd"] = [
-        _row(
-            code,
-            label,
-            F.coalesce(F.get_json_object(json, f"$.scores.{goal.split('_')[0]}_total").try_cast("double"), zero),
-            F.lit(float(sum(c[1] for c in GOALS[goal]))),
-        )
-        for goal, (code, label) in GOAL_NAMES.items()
-    ]
-    picked = F.lit(None)
-    for name, rows in groups.items():
-        picked = F.when(F.col("_f") == name, F.array(*rows)).otherwise(picked)
-    long = prepared.withColumn("_rows", picked).select("session_id", F.col("_f").alias("framework"), F.inline("_rows"))
+            for goal, (code, label) in GOAL_NAMES.items()
+        ]
+    )
+    rows = F.when(f == "oecd", goals).when(f == "teach", F.concat(task, listed)).otherwise(listed)
+    known = prepared.filter(f.isin(*AREAS, "oecd"))
+    long = inline_into(known, ["session_id", f.alias("framework")], rows, "key")
     return long.withColumn(
         "pct", F.when(F.col("max") > 0, half_up(F.col("score") / F.col("max") * 100)).otherwise(0).cast("int")
     )
@@ -332,6 +346,5 @@ def merge_chunk_lists(chunks: DataFrame, column: str, size: int = 10_000) -> Dat
     placed = running_total(
         sized, ["session_id"], ["chunk_no"], F.greatest(F.col("_n"), F.lit(0)), "_end", F.floor(F.col("chunk_no") / size)
     )
-    return placed.select(
-        "session_id", "chunk_no", (F.col("_end") - F.col("_n")).alias("_before"), F.posexplode(column).alias("_i", "item")
-    ).select("session_id", "chunk_no", (F.col("_before") + F.col("_i") + 1).alias("place"), "item")
+    before = (F.col("_end") - F.col("_n")).alias("_before")
+    return posexplode_into(placed, ["session_id", "chunk_no", before], F.col(column), "_i", "item").select("session_id", "chunk_no", (F.col("_before") + F.col("_i") + 1).alias("place"), "item")

@@ -11,6 +11,7 @@ from chalkline.functions import norms
 from chalkline.functions.dates import season
 from chalkline.functions.maths import half_up
 from chalkline.functions.names import bigrams, dice
+from chalkline.functions.rows import explode_into
 
 ACTIVITY_DAYS = {"24h": 1, "7d": 7, "30d": 30}
 
@@ -311,61 +312,50 @@ def fuzzy_match(names: DataFrame, roster: DataFrame, threshold: float = 0.4) ->
     if threshold < 0.4:
         raise ValueError("the pair filter is exact from 0.4 up")
     heard = names.select("class_id", F.trim(F.lower("name")).alias("text")).distinct()
-    members = roster.select(
-        "class_id", "student_id", "position", F.inline(
-            F.array_compact(
-                F.array(
-                    F.struct(F.trim(F.lower("student_name")).alias("text")),
-                    F.when(
-                        F.coalesce("father_name", F.lit("")) != "",
-                        F.struct(F.trim(F.lower(F.concat_ws(" ", "student_name", "father_name"))).alias("text")),
-                    ),
-                )
-            )
-        ),
+    texts = F.array_compact(
+        F.array(
+            F.trim(F.lower("student_name")),
+            F.when(
+                F.coalesce("father_name", F.lit("")) != "",
+                F.trim(F.lower(F.concat_ws(" ", "student_name", "father_name"))),
+            ),
+        )
     )
+    members = explode_into(roster, ["class_id", "student_id", "position"], texts, "text")
     known = members.select("class_id", "text").distinct()
-
-    def grams(df: DataFrame) -> DataFrame:
-        return df.select("class_id", "text", F.explode(bigrams(F.col("text"))).alias("gram"))
-
-    weights = grams(known).groupBy("class_id", "gram").agg(F.count("*").alias("_seen"))
-
-    def ranked(df: DataFrame) -> DataFrame:
-        """(class, text, gram, place, size, kept): grams of a text from rare to common."""
-        weighed = grams(df).join(weights, ["class_id", "gram"], "left").fillna(0, ["_seen"])
-        order = Window.partitionBy("class_id", "text").orderBy("_seen", "gram")
-        placed = weighed.withColumn("place", F.row_number().over(order)).withColumn(
-            "size", F.count("*").over(Window.partitionBy("class_id", "text"))
-        )
-        # a score above 0.4 needs more than a quarter of the grams shared
-        return placed.withColumn("in_prefix", F.col("place") <= F.col("size") - (F.floor(F.col("size") / 4) + 1) + 1)
-
-    a = ranked(heard).withColumnRenamed("text", "heard")
-    b = ranked(known).withColumnRenamed("text", "known")
-    on = ["class_id", "gram"]
-
-    def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-        return left.select("class_id", "gram", "heard").join(right.select("class_id", "gram", "known"), on).select(
-            "class_id", "heard", "known"
+    both = heard.withColumn("side", F.lit("heard")).unionByName(known.withColumn("side", F.lit("known")))
+    chars = F.array_distinct(F.filter(F.split("text", ""), lambda c: c != ""))
+    grams = explode_into(both, ["class_id", "side", "text"], bigrams(F.col("text")), "gram")
+    weights = grams.groupBy("class_id", "gram").agg(F.count_if(F.col("side") == "known").alias("_seen"))
+    order = Window.partitionBy("class_id", "side", "text")
+    ranked = (
+        grams.join(weights, ["class_id", "gram"])
+        .withColumn("place", F.row_number().over(order.orderBy("_seen", "gram")))
+        .withColumn("size", F.count("*").over(order))
+    )
+    # a score above 0.4 needs more than a quarter of the letter pairs shared
+    in_prefix = F.col("place") <= F.col("size") - F.floor(F.col("size") / 4)
+    rarest = F.col("place") == 1
+    is_heard = F.col("side") == "heard"
+    # ways to meet: both prefixes; the rarest pair of one text anywhere in the other; a single letter
+    ways = F.array_compact(
+        F.array(
+            F.when(in_prefix, "prefix"),
+            F.when(~is_heard | rarest, "heard inside"),
+            F.when(is_heard | rarest, "known inside"),
         )
-
-    by_prefix = pairs(a.filter("in_prefix"), b.filter("in_prefix"))
-    heard_inside = pairs(a.filter("place = 1"), b)
-    known_inside = pairs(a, b.filter("place = 1"))
-
-    def letters(df: DataFrame, name: str, single: bool) -> DataFrame:
-        chars = F.array_distinct(F.filter(F.split("text", ""), lambda c: c != ""))
-        df = df.filter(F.length("text") == 1) if single else df
-        return df.select("class_id", F.col("text").alias(name), F.explode(chars).alias("gram"))
-
-    short = pairs(letters(heard, "heard", True), letters(known, "known", False)).unionByName(
-        pairs(letters(heard, "heard", False), letters(known, "known", True))
     )
+    letters = explode_into(both, ["class_id", "side", "text"], chars, "gram")
+    single = F.length("text") == 1
+    one = F.array_compact(F.array(F.when(~is_heard | single, "heard letter"), F.when(is_heard | single, "known letter")))
+    keyed = ranked.select("class_id", "side", "text", "gram", F.explode(ways).alias("way")).unionByName(
+        letters.select("class_id", "side", "text", "gram", F.explode(one).alias("way"))
+    )
+    left = keyed.filter("side = 'heard'").select("class_id", "gram", "way", F.col("text").alias("heard"))
+    right = keyed.filter("side = 'known'").select("class_id", "gram", "way", F.col("text").alias("known"))
     scored = (
-        by_prefix.unionByName(heard_inside)
-        .unionByName(known_inside)
-        .unionByName(short)
+        left.join(right, ["class_id", "gram", "way"])
+        .select("class_id", "heard", "known")
         .distinct()
         .withColumn("score", dice(F.col("heard"), F.col("known")))
         .filter(F.col("score") > threshold)
@@ -424,8 +414,8 @@ def topic_to_chapter(topics: DataFrame, toc: DataFrame) -> DataFrame:
             )
         )
     )
-    titles = toc.select(
-        "curriculum", title.alias("_title"), chapter.alias("chapter"), F.explode(F.array_append(stems, F.lit(""))).alias("_stem")
+    titles = explode_into(
+        toc, ["curriculum", title.alias("_title"), chapter.alias("chapter")], F.array_append(stems, F.lit("")), "_stem"
     )
     inside = (
         rest.join(titles, ["curriculum", "_stem"])

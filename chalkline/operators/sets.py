@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chalkline.functions.rows import explode_into
 from chalkline.operators.ordered import carry_lag, time_chunk
 
 # English words left out of word counts (three letters and more; shorter words
@@ -54,7 +55,7 @@ def words_of(text: str = "text", stop: Sequence[str] = (*ENGLISH_STOP, *URDU_STO
 
 def word_counts(df: DataFrame, text: str = "text", keys: Sequence[str] = ()) -> DataFrame:
     return (
-        df.select(*keys, F.explode(words_of(text)).alias("word"))
+        explode_into(df, list(keys), words_of(text), "word")
         .groupBy(*keys, "word")
         .agg(F.count("*").alias("count"))
     )

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chalkline.functions.rows import inline_into
 from chalkline.functions.text import SCORE_PATHS, json_pick
 from chalkline.operators.ordered import (
     carry_lag,
@@ -174,7 +175,7 @@ def self_corrections(readings: DataFrame) -> DataFrame:
         & p["corrected"].isNotNull()
         & F.map_contains_key("_known", p["corrected"]),
     )
-    return with_map.select("id", F.inline(hits))
+    return inline_into(with_map, ["id"], hits, "incorrect")
 
 
 def precedes(lessons: DataFrame, book: str = "book_id", order: str = "segment_index", lesson: str = "lesson_id") -> DataFrame:
