@@ -33,12 +33,15 @@ def dice(a: Column, b: Column) -> Column:
     """1 for equal names, 0.7 + 0.3 x length ratio when one holds the other, else the bigram Dice score."""
     left, right = F.trim(F.lower(a)), F.trim(F.lower(b))
     blank = F.coalesce(a, F.lit("")).eqNullSafe("") | F.coalesce(b, F.lit("")).eqNullSafe("")
-    grams_a, grams_b = bigrams(left), bigrams(right)
+    return F.when(blank, F.lit(0.0)).otherwise(dice_of(left, right, bigrams(left), bigrams(right)))
+
+
+def dice_of(left: Column, right: Column, grams_a: Column, grams_b: Column) -> Column:
+    """F6 for lower-cased, trimmed texts whose letter pairs are at hand."""
     shared = F.size(F.array_intersect(grams_a, grams_b))
     sizes = F.size(grams_a) + F.size(grams_b)
     return (
-        F.when(blank, F.lit(0.0))
-        .when(left == right, F.lit(1.0))
+        F.when(left == right, F.lit(1.0))
         .when(F.contains(right, left), F.lit(0.7) + F.length(left) / F.length(right) * 0.3)
         .when(F.contains(left, right), F.lit(0.7) + F.length(right) / F.length(left) * 0.3)
         .when((F.size(grams_a) == 0) | (F.size(grams_b) == 0), F.lit(0.0))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from chalkline.functions import norms
 from chalkline.functions.dates import season
 from chalkline.functions.maths import half_up
-from chalkline.functions.names import bigrams, dice
+from chalkline.functions.names import bigrams, dice_of
 from chalkline.functions.rows import explode_into
 
 ACTIVITY_DAYS = {"24h": 1, "7d": 7, "30d": 30}
@@ -357,9 +357,12 @@ def fuzzy_match(names: DataFrame, roster: DataFrame, threshold: float = 0.4) ->
         left.join(right, ["class_id", "gram", "way"])
         .select("class_id", "heard", "known")
         .distinct()
-        .withColumn("score", dice(F.col("heard"), F.col("known")))
-        .filter(F.col("score") > threshold)
+        .withColumns({"_a": bigrams(F.col("heard")), "_b": bigrams(F.col("known"))})
+        .withColumn("score", dice_of(F.col("heard"), F.col("known"), F.col("_a"), F.col("_b")))
+        .drop("_a", "_b")
     )
+    # the threshold is applied to the best score, not to each pair: a filter on the pair would be
+    # pushed below the score and compute it twice
     best = (
         scored.join(members.withColumnRenamed("text", "known"), ["class_id", "known"])
         .groupBy("class_id", "heard")
@@ -368,6 +371,7 @@ def fuzzy_match(names: DataFrame, roster: DataFrame, threshold: float = 0.4) ->
                 F.struct("student_id", "score"), F.struct("score", (-F.col("position")).alias("early"))
             ).alias("best")
         )
+        .filter(F.col("best.score") > threshold)
     )
     classes = roster.select("class_id").distinct().withColumn("_has_roster", F.lit(True))
     return (
