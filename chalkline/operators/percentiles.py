@@ -17,15 +17,22 @@ BINS = 4096
 
 
 def exact_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, tuple[float, str]]
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    wanted: dict[str, tuple[float, str]],
+    weight: str | None = None,
 ) -> DataFrame:
     """One row per key with ``n`` and one column per entry of ``wanted``.
 
     ``wanted`` maps a column name to ``(p, "cont" | "disc")`` with the SQL meaning of
-    ``percentile_cont`` and ``percentile_disc``. NULL values are ignored.
+    ``percentile_cont`` and ``percentile_disc``. NULL values are ignored. ``weight`` names a column
+    with the number of times a row counts.
     """
     keys = list(keys)
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(
+        (F.sum(weight) if weight else F.count("*")).alias("_n")
+    )
     bounds = counted.groupBy(*keys).agg(
         F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total")
     )
