@@ -72,17 +72,13 @@ def parse_roster(rosters: DataFrame, text: str = "text") -> DataFrame:
     """one row per student line with ``line_no``, ``student_name``, ``father_name``, ``parent_phone``."""
     split = F.split(F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), "\r", "\n"), "\n")
     lines = posexplode_into(rosters, [c for c in rosters.columns if c != text], split, "line_no", "_line")
-    cleaned = lines.withColumn("_line", F.trim(F.regexp_replace("_line", r"^\s+|\s+$", "")))
-    cleaned = cleaned.withColumn("_line", F.regexp_replace("_line", r"^\d+\.\s*", ""))
-    cleaned = cleaned.withColumn("_line", F.regexp_replace("_line", r"^[-*•]\s*", ""))
-    found = F.regexp_extract("_line", r"(\+?\d[\d\s-]{8,}\d)", 1)
-    cleaned = cleaned.withColumn("_found", F.nullif(found, F.lit("")))
-    at = F.expr("locate(_found, _line)")
-    without = F.concat(
-        F.substring("_line", F.lit(1), at - 1), F.lit(" "), F.substr("_line", at + F.length("_found"))
+    edges = r"^\s+|\s+$"
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("_line", edges, ""), r"^\d+\.\s*", ""), r"^[-*•]\s*", "")
+    cleaned = lines.withColumn("_line", bare).withColumn(
+        "_found", F.nullif(F.regexp_extract("_line", r"(\+?\d[\d\s-]{8,}\d)", 1), F.lit(""))
     )
-    tidy = F.trim(F.regexp_replace(without, r"\s+", " "))
-    tidy = F.trim(F.regexp_replace(tidy, r"[,;|]\s*$", ""))
+    without = F.regexp_replace("_line", r"(?s)^(.*?)\+?\d[\d\s-]{8,}\d", "$1 ")
+    tidy = F.trim(F.regexp_replace(F.trim(F.regexp_replace(without, r"\s+", " ")), r"[,;|]\s*$", ""))
     cleaned = cleaned.withColumn("_line", F.when(F.col("_found").isNull(), F.col("_line")).otherwise(tidy))
     pair = r"(?i)^(.+?)\s+[sd]/o\s+(.+)$"
     is_pair = F.col("_line").rlike(pair)
@@ -92,7 +88,7 @@ def parse_roster(rosters: DataFrame, text: str = "text") -> DataFrame:
         .when(comma, F.trim(F.substring_index("_line", ",", 1)))
         .otherwise(F.col("_line"))
     )
-    after = F.substr("_line", F.expr("locate(',', _line)") + 1)
+    after = F.regexp_extract("_line", r"(?s)^[^,]*,(.*)$", 1)
     father = F.when(is_pair, F.trim(F.regexp_extract("_line", pair, 2))).when(
         comma, F.nullif(F.trim(after), F.lit(""))
     )
