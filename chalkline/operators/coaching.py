@@ -121,16 +121,22 @@ def _rubric(codes: bool) -> Column:
     return F.create_map(*pairs)
 
 
+_DOCUMENT = (
+    f"struct<areas:map<string,{_AREA}>,domains:map<string,{_AREA}>,time_on_task:struct<score:double>,"
+    + ",".join(f"{goal}:{_GOAL}" for goal in GOALS)
+    + ",scores:map<string,double>>"
+)
+
+
 def _prepared(sessions: DataFrame) -> DataFrame:
-    """Lower-cased framework, parsed areas (``domains`` where the framework uses them) and time on task."""
-    json = F.col("analysis_data")
+    """Lower-cased framework and the document, parsed once per row."""
     name = F.lower(F.coalesce("framework", F.lit("")))
-    return sessions.withColumns(
+    parsed = sessions.withColumns({"_f": name, "_d": F.from_json("analysis_data", _DOCUMENT)})
+    return parsed.withColumns(
         {
-            "_f": name,
-            "_areas": _areas(json, "$.areas"),
-            "_domains": _areas(json, "$.domains"),
-            "_task": F.coalesce(F.get_json_object(json, "$.time_on_task.score").try_cast("double"), F.lit(0.0)),
+            "_areas": F.col("_d.areas"),
+            "_domains": F.col("_d.domains"),
+            "_task": F.coalesce(F.col("_d.time_on_task.score"), F.lit(0.0)),
         }
     )
 
@@ -166,7 +172,7 @@ def framework_scores(sessions: DataFrame) -> DataFrame:
     listed = F.transform(F.filter(_rubric(False)[f], lambda r: F.map_contains_key("_box", r["area"])), area_row)
     goals = []
     for goal, criteria in GOALS.items():
-        cells = F.from_json(F.get_json_object("analysis_data", f"$.{goal}"), _GOAL)
+        cells = F.col(f"_d.{goal}")
         table = F.array(
             *[F.struct(F.lit(c).alias("c"), F.lit(float(most)).alias("most"), F.lit(levels).alias("levels")) for c, most, levels in criteria]
         )
@@ -225,9 +231,7 @@ def score_groups(sessions: DataFrame) -> DataFrame:
             row(
                 code,
                 label,
-                F.coalesce(
-                    F.get_json_object("analysis_data", f"$.scores.{goal.split('_')[0]}_total").try_cast("double"), F.lit(0.0)
-                ),
+                F.coalesce(F.col("_d.scores")[f"{goal.split('_')[0]}_total"], F.lit(0.0)),
                 _goal_max(goal),
             )
             for goal, (code, label) in GOAL_NAMES.items()

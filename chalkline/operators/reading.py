@@ -97,9 +97,13 @@ def _align_batches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[p
 
 
 def align_words(pairs: DataFrame, expected: str = "passage", actual: str = "words") -> DataFrame:
-    """Adds ``alignment`` (counts, distance and errors by position) to pairs of word arrays."""
+    """Adds ``alignment`` (counts, distance and errors by position) to pairs of word arrays.
+
+    The work grows with the product of the two lengths and dwarfs the cost of moving the words, so
+    the pairs are spread over all tasks first."""
     udf = F.pandas_udf(_align_batches, T.StructType.fromDDL(ALIGNED))
-    return pairs.withColumn("alignment", udf(F.col(expected), F.col(actual)))
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.repartition(tasks).withColumn("alignment", udf(F.col(expected), F.col(actual)))
 
 
 def elapsed_seconds(stamps: Column, audio: Column) -> Column:

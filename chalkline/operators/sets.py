@@ -43,22 +43,16 @@ def page_total(df: DataFrame) -> DataFrame:
 # T2, T3, W3 -----------------------------------------------------------------------
 
 
-def words_of(text: str = "text", stop: Sequence[str] = (*ENGLISH_STOP, *URDU_STOP)) -> Column:
-    """Countable words of a text: ASCII word characters, 3 to 19 long, no stop words, not only digits."""
+def word_counts(
+    df: DataFrame, text: str = "text", keys: Sequence[str] = (), stop: Sequence[str] = (*ENGLISH_STOP, *URDU_STOP)
+) -> DataFrame:
+    """Countable words per key: ASCII word characters, 3 to 19 long, no stop words, not only digits."""
     blank = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\w\s]", " ")
-    stop_list = F.array(*[F.lit(w) for w in sorted(set(stop))])
-    return F.filter(
-        F.split(blank, r"\s+"),
-        lambda w: F.length(w).between(3, 19) & ~F.array_contains(stop_list, w) & ~w.rlike(r"^\d+$"),
-    )
-
-
-def word_counts(df: DataFrame, text: str = "text", keys: Sequence[str] = ()) -> DataFrame:
-    return (
-        explode_into(df, list(keys), words_of(text), "word")
-        .groupBy(*keys, "word")
-        .agg(F.count("*").alias("count"))
-    )
+    word = F.col("word")
+    digits = F.left("word", F.lit(1)).between("0", "9") & word.rlike(r"^\d+$")
+    words = explode_into(df, list(keys), F.split(blank, r"\s+"), "word")
+    kept = words.filter(F.length("word").between(3, 19) & ~word.isin(sorted(set(stop))) & ~digits)
+    return kept.groupBy(*keys, "word").agg(F.count("*").alias("count"))
 
 
 def word_frequency(df: DataFrame, text: str = "text", k: int = 100) -> DataFrame:

@@ -86,9 +86,8 @@ def registration_rate(users: DataFrame) -> DataFrame:
     )
 
 
-def feature_discovery(t: Tables, variant: str = "live") -> DataFrame:
-    """A10: ``live`` = users per feature summed over four times the users; ``snapshot`` = users of
-    plans, coaching or reading over the users."""
+def _discovered(t: Tables, variant: str) -> tuple[DataFrame, int]:
+    """Uses that count as discovery, and how many each user could have."""
     names = ["lesson_plans", "coaching", "reading", "videos"]
     if variant == "snapshot":
         names = names[:3]
@@ -101,15 +100,18 @@ def feature_discovery(t: Tables, variant: str = "live") -> DataFrame:
         .agg(*[F.max((F.col("feature") == n).cast("int")).alias(n) for n in names])
     )
     if variant == "snapshot":
-        used = per_user.agg(F.count("user_id").alias("used"))
-        per = 1
-    else:
-        used = per_user.filter(F.col("user_id").isNotNull()).agg(
-            F.coalesce(F.sum(sum((F.col(n) for n in names[1:]), F.col(names[0]))), F.lit(0)).alias("used")
-        )
-        per = 4
+        return per_user.agg(F.count("user_id").alias("_discovered")), 1
+    flags = sum((F.col(n) for n in names[1:]), F.col(names[0]))
+    known = per_user.filter(F.col("user_id").isNotNull())
+    return known.agg(F.coalesce(F.sum(flags), F.lit(0)).alias("_discovered")), 4
+
+
+def feature_discovery(t: Tables, variant: str = "live") -> DataFrame:
+    """A10: ``live`` = users per feature summed over four times the users; ``snapshot`` = users of
+    plans, coaching or reading over the users."""
+    used, per = _discovered(t, variant)
     return broadcast_scalars(used, t.users.agg(F.count("*").alias("n"))).select(
-        rate(F.col("used"), F.col("n") * per, 1).alias("feature_discovery_rate")
+        rate(F.col("_discovered"), F.col("n") * per, 1).alias("feature_discovery_rate")
     )
 
 
@@ -136,12 +138,14 @@ def dashboard_stats(t: Tables, as_of: str, variant: str = "snapshot") -> DataFra
     )
     sessions = t.sessions.filter(F.col("ended_at").isNotNull()) if snapshot else t.sessions
     today = F.date_trunc("day", _at(as_of))
+    minutes = (F.unix_micros("ended_at") - F.unix_micros("started_at")) / 60_000_000
     counts = sessions.agg(
+        F.coalesce(F.round(F.avg(minutes), 1), F.lit(0.0)).alias("avg_session_length"),
+        F.coalesce(F.round(F.avg(F.coalesce("message_count", F.lit(0))), 1), F.lit(0.0)).alias("avg_messages_per_session"),
         F.count("*").alias("total_sessions"),
         F.count_if(F.col("started_at") >= today).alias("sessions_today"),
         F.count_if(F.col("started_at") >= _ago(as_of, 7)).alias("sessions_this_week"),
     )
-    averages = session_averages(sessions).withColumnRenamed("avg_messages", "avg_messages_per_session")
     is_plan = F.col("feature") == "lesson_plans"
     plans = is_plan if snapshot else is_plan & (F.col("kind") == "lesson_plan")
     slides = is_plan & (F.col("has_link") if snapshot else F.col("kind") == "presentation")
@@ -156,8 +160,15 @@ def dashboard_stats(t: Tables, as_of: str, variant: str = "snapshot") -> DataFra
     used = _features(t).agg(
         F.count_if(plans).alias("total_lesson_plans"), F.count_if(slides).alias("total_presentations"), *done
     )
-    row = broadcast_scalars(users, messages, counts, averages, used, feature_discovery(t, variant))
-    return row.withColumn("registration_rate", rate(F.col("_registered"), F.col("total_users"), 1)).drop("_registered")
+    discovered, per = _discovered(t, variant)
+    row = broadcast_scalars(users, messages, counts, used, discovered)
+    total = F.col("total_users")
+    return row.withColumns(
+        {
+            "registration_rate": rate(F.col("_registered"), total, 1),
+            "feature_discovery_rate": rate(F.col("_discovered"), total * per, 1),
+        }
+    ).drop("_registered", "_discovered")
 
 
 # A3 - A6, A12, A16 -------------------------------------------------------------------

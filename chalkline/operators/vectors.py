@@ -151,9 +151,6 @@ def neighbours(
         .collect()
     }
     split = {cell: -(-n // block) for cell, n in sizes.items()}
-    by_pivot: dict[int, list[int]] = {}
-    for p, r in sizes:
-        by_pivot.setdefault(p, []).append(r)
     id_type = distinct.schema["id"].dataType.simpleString()
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -163,24 +160,29 @@ def neighbours(
             vs = _matrix(batch["v"])
             angles, pivot, ring = home_of(vs)
             part = batch["part"].to_numpy()
-            out: list[tuple[int, int, int, bool]] = []
-            rows: list[int] = []
-            for i in range(len(batch)):
-                here = (int(pivot[i]), int(ring[i]))
-                out.append((here[0], here[1], int(part[i] % split[here]), True))
-                rows.append(i)
-                for p, known in by_pivot.items():
-                    a = angles[i, p]
-                    for r in known:
-                        if r * width - reach <= a <= (r + 1) * width + reach:
-                            for s in range(split[(p, r)]):
-                                out.append((p, r, s, False))
-                                rows.append(i)
-            frame = pd.DataFrame(out, columns=["pivot", "ring", "piece", "home"])
-            frame["id"] = batch["id"].to_numpy()[rows]
-            frame["v"] = list(vs[rows])
-            frame["part"] = part[rows]
-            yield frame
+            pieces = np.array([split[(int(p), int(r))] for p, r in zip(pivot, ring)])
+            who = [np.arange(len(batch))]
+            cell = [np.column_stack([pivot, ring, part % pieces, np.ones(len(batch), dtype=int)])]
+            for (p, r), parts in split.items():
+                near = np.flatnonzero(
+                    (angles[:, p] >= r * width - reach) & (angles[:, p] <= (r + 1) * width + reach)
+                )
+                for piece in range(parts if len(near) else 0):
+                    who.append(near)
+                    cell.append(np.tile([p, r, piece, 0], (len(near), 1)))
+            rows = np.concatenate(who)
+            where = np.concatenate(cell)
+            yield pd.DataFrame(
+                {
+                    "pivot": where[:, 0].astype("int32"),
+                    "ring": where[:, 1].astype("int32"),
+                    "piece": where[:, 2].astype("int32"),
+                    "home": where[:, 3] == 1,
+                    "id": batch["id"].to_numpy()[rows],
+                    "v": list(vs[rows]),
+                    "part": part[rows],
+                }
+            )
 
     placed = distinct.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).cast("int")).mapInPandas(
         visits, f"pivot int, ring int, piece int, home boolean, id {id_type}, v array<double>, part int"
@@ -205,15 +207,16 @@ def neighbours(
         if not len(home) or not len(guest):
             return empty
         home = home.sort_values("id")
-        ids = home["id"].to_numpy()
+        ids, guests = home["id"].to_numpy(), guest["id"].to_numpy()
         cos = np.round(_matrix(guest["v"]) @ _matrix(home["v"]).T, DIGITS)
-        out = []
-        for i, who in enumerate(guest["id"].to_numpy()):
-            close = np.flatnonzero((cos[i] >= threshold) & (ids != who))
-            # home rows are in id order, so a stable sort breaks ties by id
-            close = close[np.argsort(-cos[i][close], kind="stable")][:k]
-            out.append(pd.DataFrame({"id": who, "other": ids[close], "cosine": cos[i][close]}))
-        return pd.concat(out) if out else empty
+        row, col = np.nonzero((cos >= threshold) & (ids[None, :] != guests[:, None]))
+        value = cos[row, col]
+        # home rows are in id order, so their place breaks ties by id
+        order = np.lexsort((col, -value, row))
+        row, col, value = row[order], col[order], value[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = nth < k
+        return pd.DataFrame({"id": guests[row[keep]], "other": ids[col[keep]], "cosine": value[keep]})
 
     near = spread.groupBy("pivot", "ring", "piece", "lane").applyInPandas(
         best, f"id {id_type}, other {id_type}, cosine double"
@@ -244,13 +247,15 @@ def reciprocal_best(vectors: DataFrame, threshold: float = 0.92, scripts: DataFr
 
 
 def cosine_profile(
-    vectors: DataFrame, id_col: str = "id", vector_col: str = "embedding", blocks: int = 16, digits: int = 6
+    vectors: DataFrame, id_col: str = "id", vector_col: str = "embedding", blocks: int | None = None, digits: int = 6
 ) -> DataFrame:
     """Min, median, p95 and max cosine over all pairs, to ``digits`` decimals.
 
     Equal vectors are merged with their number, so copies cost nothing. The rest is compared block by
     block; a task returns counts per rounded cosine, not pairs, and the percentiles come from the
-    added-up counts. ``blocks`` grows with the table: a task holds two blocks of vectors."""
+    added-up counts. By default a block has about 2048 vectors; a task holds two blocks."""
+    if blocks is None:
+        blocks = max(4, vectors.count() // 2048)
     merged = _unit(vectors, id_col, vector_col).groupBy("v").agg(F.count("*").alias("times"), F.min("id").alias("id"))
     filed = merged.withColumn("mine", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     spread = filed.select(

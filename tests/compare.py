@@ -7,6 +7,7 @@ import decimal
 import math
 import sys
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 
@@ -69,30 +70,43 @@ def compare(spark, con, folder, name, fn, sql):
     return None
 
 
+def compare_all(spark, folder, queries, oracles, workers=6):
+    """(name, problem, seconds) of all queries, several at a time."""
+    con = duck(folder)
+
+    def one(name):
+        start = time.time()
+        try:
+            problem = compare(spark, con.cursor(), folder, name, queries[name], oracles.get(name))
+        except Exception as error:  # noqa: BLE001
+            problem = f"{type(error).__name__}: {str(error)[:900]}"
+        return name, problem, time.time() - start
+
+    with ThreadPoolExecutor(workers) as pool:
+        yield from pool.map(one, queries)
+
+
 def main(argv):
     sys.path.insert(0, ".")
     import __spark_entry__ as entry
     from chalkline.session import local_session
 
-    folder = argv[0]
-    only = argv[1:]
+    folder, only = argv[0], argv[1:]
     spark = local_session(cores="8")
-    con = duck(folder)
-    queries, oracles = entry.queries(), entry.oracle_sql()
+
+    def wanted(name):
+        return not only or any(
+            name == o or name.startswith(o + "_") or (o.endswith("*") and name.startswith(o[:-1])) for o in only
+        )
+
+    queries = {n: f for n, f in entry.queries().items() if wanted(n)}
+    oracles = entry.oracle_sql()
     bad = 0
-    for name, fn in queries.items():
-        if only and not any(name == o or name.startswith(o + "_") or (o.endswith("*") and name.startswith(o[:-1])) for o in only):
-            continue
-        start = time.time()
-        try:
-            problem = compare(spark, con, folder, name, fn, oracles.get(name))
-        except Exception as error:  # noqa: BLE001
-            problem = f"{type(error).__name__}: {str(error)[:900]}"
-        took = time.time() - start
-        if problem:
-            bad += 1
-        print(f"{'BAD ' if problem else 'ok  '} {name} {took:.2f}s {'' if name in oracles else '(rows only)'} {problem or ''}", flush=True)
-    print(f"{bad} bad")
+    for name, problem, took in compare_all(spark, folder, queries, oracles):
+        bad += bool(problem)
+        checked = "" if name in oracles else "(rows only)"
+        print(f"{'BAD ' if problem else 'ok  '} {name} {took:.2f}s {checked} {problem or ''}", flush=True)
+    print(f"{bad} bad of {len(queries)}")
 
 
 if __name__ == "__main__":
