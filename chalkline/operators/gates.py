@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chalkline.functions.codes import grade_code, parse_code, validate_code
@@ -240,15 +240,8 @@ LESSON = r"^grade_\d+_[a-z0-9_]+_ch\d+_seg\d+$"
 PAGE = r"^pg_\d{3}\.json$"
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """V5: relative paths and sizes below ``root``; file contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
-    inside = F.substring_index(F.url_decode("path"), root.rstrip("/") + "/", -1)
-    return files.select(inside.alias("path"), "length")
-
-
 def project_problems(files: DataFrame) -> DataFrame:
-    """V5: (problem, item) rows: names that break the folder contract, books without pages, outputs
+    """V5: (problem, item) rows over ``files(path)`` relative to the project (see ``hidden.list_tree``): names that break the folder contract, books without pages, outputs
     of unknown books, audio without a lesson, and lessons with two audio formats."""
     parts = F.split("path", "/")
     at = files.select(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chalkline.functions.rows import posexplode_into
+from chalkline.sources.hidden import read_lines
 
 SEGMENT = (
     "segment_index bigint, day_label string, chapter_number bigint, chapter_title string, topic string, "
@@ -55,7 +56,8 @@ def _struct(ddl: str) -> str:
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """S3: ledger lines with a ``malformed`` flag: broken JSON or one of the four keys missing."""
-    lines = spark.read.text(path).filter(F.trim("value") != "")
+    hidden = path.rstrip("/").rsplit("/", 1)[-1].startswith("_")
+    lines = (read_lines(spark, path) if hidden else spark.read.text(path)).filter(F.trim("value") != "")
     keys = F.json_object_keys("value")
     complete = F.lit(True)
     for key in ("ts", "stage", "unit", "artifact"):
