@@ -92,7 +92,7 @@ def brief_daily_by_unit(panels: DataFrame, cohort: DataFrame, day: dt.date | str
     )
     counts = per_user.groupBy("d", "unit").agg(F.sum("l").alias("lp_teachers"), F.sum("c").alias("coach_teachers"))
     spine = day_spine(panels.sparkSession, str(day - dt.timedelta(days=13)), str(day), "d")
-    grid = units.crossJoin(few).filter("_few").drop("_few").crossJoin(F.broadcast(spine))  # 14 days
+    grid = units.crossJoin(F.broadcast(few)).filter("_few").drop("_few").crossJoin(F.broadcast(spine))  # 14 days
     return grid.join(counts, ["d", "unit"], "left").fillna(0, ["lp_teachers", "coach_teachers"])
 
 
@@ -205,7 +205,7 @@ def coaching_summary(coaching: DataFrame) -> DataFrame:
         .agg(F.sum("n").alias("n"))
         .agg(F.min_by("framework", F.struct((-F.col("n")).alias("n"), "framework")).alias("framework"))
     )
-    return totals.crossJoin(mode)
+    return totals.crossJoin(F.broadcast(mode))  # one row each
 
 
 def score_trend(coaching: DataFrame) -> DataFrame:

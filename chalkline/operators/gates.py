@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chalkline.functions.codes import grade_code, parse_code, validate_code
 from chalkline.functions.maths import half_even
-from chalkline.functions.rows import explode_into
+from chalkline.functions.rows import explode_into, inline_into
 
 # V1 -----------------------------------------------------------------------------
 
@@ -241,57 +241,57 @@ PAGE = r"^pg_\d{3}\.json$"
 
 
 def project_problems(files: DataFrame) -> DataFrame:
-    """V5: (problem, item) rows over ``files(path)`` relative to the project (see ``hidden.list_tree``): names that break the folder contract, books without pages, outputs
-    of unknown books, audio without a lesson, and lessons with two audio formats."""
+    """V5: (problem, item) rows over ``files(path)`` relative to the project (see ``hidden.list_tree``):
+    names that break the folder contract, books without pages, outputs of unknown books, audio without
+    a lesson, and lessons with two audio formats.
+
+    Every path says what it is evidence for, as (problem, item, against or in favour); one aggregation
+    keeps the items with evidence against them and none in favour."""
     parts = F.split("path", "/")
-    at = files.select(
+    named = files.select(
         F.get(parts, F.lit(0)).alias("top"),
         F.when(F.size(parts) > 2, F.get(parts, F.lit(1))).alias("folder"),
         F.element_at(parts, -1).alias("name"),
     )
-    pages = at.filter((F.col("top") == "01_page_truth") & F.col("folder").isNotNull())
-    books = pages.select(F.col("folder").alias("book")).distinct()
-    lessons = at.filter((F.col("top") == "04_lesson_plans") & F.col("folder").isNotNull()).select(
-        F.col("folder").alias("lesson")
-    ).distinct()
-    is_page = F.col("name").rlike(r"^pg_.*\.json$")
-
-    def found(df: DataFrame, problem: str, item: Column) -> DataFrame:
-        return df.select(F.lit(problem).alias("problem"), item.alias("item")).distinct()
-
-    def in_folder(top: str) -> DataFrame:
-        return at.filter(F.col("top") == top)
-
-    stem = F.regexp_replace("name", r"_full_segments\.json$", "")
-    segmented = in_folder("02_segmentation").filter(F.col("name").endswith("_full_segments.json")).select(stem.alias("book"))
-    enriched = in_folder("03_enrichment").filter(F.col("folder").isNotNull())
-    audio = in_folder("05_voicenotes").filter(F.col("name").rlike(r"\.(mp3|ogg)$"))
-    spoken = audio.select(F.regexp_replace("name", r"\.(mp3|ogg)$", "").alias("lesson"), F.col("name").endswith(".mp3").alias("mp3"))
-    both = spoken.groupBy("lesson").agg(F.max("mp3").alias("a"), F.max(~F.col("mp3")).alias("b")).filter("a AND b")
-    page_counts = pages.groupBy(F.col("folder").alias("book")).agg(F.count_if(is_page).alias("n"))
-    out = [
-        found(books.filter(~F.col("book").rlike(BOOK)), "book name", F.col("book")),
-        found(pages.filter(is_page & ~F.col("name").rlike(PAGE)), "page name", F.concat_ws("/", "folder", "name")),
-        found(page_counts.filter("n = 0"), "book without pages", F.col("book")),
-        found(segmented.join(books, "book", "left_anti"), "segmentation of unknown book", F.col("book")),
-        found(
-            enriched.select(F.col("folder").alias("book")).join(books, "book", "left_anti"),
-            "enrichment of unknown book",
-            F.col("book"),
-        ),
-        found(
-            enriched.filter(F.col("name").endswith(".json") & ~F.regexp_replace("name", r"\.json$", "").rlike(LESSON)),
-            "lesson body name",
-            F.concat_ws("/", "folder", "name"),
-        ),
-        found(lessons.filter(~F.col("lesson").rlike(LESSON)), "lesson name", F.col("lesson")),
-        found(spoken.filter("mp3").join(lessons, "lesson", "left_anti"), "audio without lesson", F.col("lesson")),
-        found(both, "two audio formats", F.col("lesson")),
-    ]
-    problems = out[0]
-    for df in out[1:]:
-        problems = problems.unionByName(df)
-    return problems
+    name, folder = F.col("name"), F.col("folder")
+    inside = F.concat_ws("/", folder, name)
+    page = (F.col("top") == "01_page_truth") & folder.isNotNull()
+    is_page = name.rlike(r"^pg_.*\.json$")
+    segments = (F.col("top") == "02_segmentation") & name.endswith("_full_segments.json")
+    segmented = F.regexp_replace(name, r"_full_segments\.json$", "")
+    enriched = (F.col("top") == "03_enrichment") & folder.isNotNull()
+    lesson = (F.col("top") == "04_lesson_plans") & folder.isNotNull()
+    audio = (F.col("top") == "05_voicenotes") & name.rlike(r"\.(mp3|ogg)$")
+    spoken = F.regexp_replace(name, r"\.(mp3|ogg)$", "")
+    body = enriched & name.endswith(".json")
+
+    def says(when: Column, problem: str, item: Column, against: Column | bool) -> Column:
+        verdict = F.lit(against) if isinstance(against, bool) else against
+        return F.when(when, F.struct(F.lit(problem).alias("problem"), item.alias("item"), verdict.alias("against")))
+
+    evidence = F.array_compact(
+        F.array(
+            says(page, "book name", folder, ~folder.rlike(BOOK)),
+            says(page & is_page, "page name", inside, ~name.rlike(PAGE)),
+            says(page, "book without pages", folder, True),
+            says(page & is_page, "book without pages", folder, False),
+            says(page, "segmentation of unknown book", folder, False),
+            says(segments, "segmentation of unknown book", segmented, True),
+            says(page, "enrichment of unknown book", folder, False),
+            says(enriched, "enrichment of unknown book", folder, True),
+            says(body, "lesson body name", inside, ~F.regexp_replace(name, r"\.json$", "").rlike(LESSON)),
+            says(lesson, "lesson name", folder, ~folder.rlike(LESSON)),
+            says(lesson, "audio without lesson", folder, False),
+            says(audio & name.endswith(".mp3"), "audio without lesson", spoken, True),
+        )
+    )
+    judged = inline_into(named, [], evidence, "problem").groupBy("problem", "item").agg(F.min("against").alias("bad"))
+    formats = named.filter(audio).groupBy(spoken.alias("item")).agg(F.count_distinct(F.right(name, F.lit(3))).alias("n"))
+    return (
+        judged.filter("bad")
+        .select("problem", "item")
+        .unionByName(formats.filter("n > 1").select(F.lit("two audio formats").alias("problem"), "item"))
+    )
 
 
 def project_stats(files: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from chalkline.functions.codes import parse_code, validate_code
 from chalkline.functions.rows import posexplode_into
-from chalkline.operators.ordered import carry_lag, number_rows, position_chunk
+from chalkline.operators.ordered import carry_lag, in_order, position_chunk
 from chalkline.session import cut_lineage
 
 BLOOM = ["remember", "understand", "apply", "analyze", "evaluate", "create"]
@@ -185,8 +185,7 @@ def precedes_slo(teaches: DataFrame) -> DataFrame:
     first = teaches.groupBy("book_id", "strand", "node_id").agg(F.min("place").alias("place"))
     chunk = position_chunk("place")
     keys, order = ["book_id", "strand"], ["place", "node_id"]
-    placed = number_rows(first, keys, order, "_pos", chunk)
-    lagged = carry_lag(placed, keys, order, ["node_id"], chunk)
+    lagged = in_order(first, keys, order, chunk, lag=["node_id"], number="_pos")
     return lagged.filter(F.col("prev_node_id").isNotNull()).select(
         "book_id", "strand", F.col("prev_node_id").alias("src"), F.col("node_id").alias("dst"), (F.col("_pos") - 2).alias("order")
     )

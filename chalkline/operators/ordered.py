@@ -17,45 +17,56 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for key in keys:
-        cond = cond & left[key].eqNullSafe(right[key])
-    return cond
+def _attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Join a table with one row per (key, chunk) to the rows; keys may be NULL."""
+    renamed = table.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_chunk").alias("_k_chunk"), *values)
+    cond = F.col("_chunk").eqNullSafe(F.col("_k_chunk"))
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return rows.join(renamed, cond, "left")
 
 
-def carry_lag(
+def in_order(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    values: Sequence[str],
     chunk: Column,
+    lag: Sequence[str] = (),
+    number: str | None = None,
 ) -> DataFrame:
-    """Add ``prev_<value>`` from the row before within the key."""
+    """Add ``prev_<column>`` from the row before and the 1-based position within the key.
+
+    The rows are shuffled once. The table of chunks comes from a second, narrow scan that is
+    aggregated before its shuffle."""
     keys, order = list(keys), list(order)
     rows = df.withColumn("_chunk", chunk)
     within = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    lasts = rows.groupBy(*keys, "_chunk").agg(
-        F.max_by(F.struct(*values), F.struct(*order)).alias("_last")
-    )
-    carried = lasts.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("_chunk").alias("_k_chunk"),
-        F.lag("_last").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_carry"),
-    ).filter(F.col("_carry").isNotNull())
-    placed = rows.withColumn("_first", F.row_number().over(within) == 1)
-    for value in values:
+    across = Window.partitionBy(*keys).orderBy("_chunk")
+    sums, carried = [], []
+    if lag:
+        sums.append(F.max_by(F.struct(*lag), F.struct(*order)).alias("_last"))
+        carried.append(F.lag("_last").over(across).alias("_carry"))
+    if number:
+        sums.append(F.count("*").alias("_n"))
+        before = across.rowsBetween(Window.unboundedPreceding, -1)
+        carried.append(F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    chunks = rows.groupBy(*keys, "_chunk").agg(*sums).select(*keys, "_chunk", *carried)
+    names = (["_carry"] if lag else []) + (["_before"] if number else [])
+    placed = rows.withColumn("_nth", F.row_number().over(within))
+    for value in lag:
         placed = placed.withColumn(f"prev_{value}", F.lag(value).over(within))
-    cond = F.col("_chunk").eqNullSafe(F.col("_k_chunk"))
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    joined = placed.join(carried, cond, "left")
     out = [F.col(c) for c in df.columns]
-    for value in values:
-        out.append(
-            F.when(F.col("_first"), F.col(f"_carry.{value}")).otherwise(F.col(f"prev_{value}")).alias(f"prev_{value}")
-        )
-    return joined.select(*out)
+    for value in lag:
+        first = F.col("_nth") == 1
+        out.append(F.when(first, F.col(f"_carry.{value}")).otherwise(F.col(f"prev_{value}")).alias(f"prev_{value}"))
+    if number:
+        out.append((F.col("_nth") + F.col("_before")).alias(number))
+    return _attach(placed, chunks, keys, names).select(*out)
+
+
+def carry_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], chunk: Column) -> DataFrame:
+    """Add ``prev_<value>`` from the row before within the key."""
+    return in_order(df, keys, order, chunk, lag=list(values))
 
 
 def running_total(
@@ -72,24 +83,14 @@ def running_total(
     within = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy(*keys, "_chunk").agg(F.sum("_v").alias("_s"))
-    offsets = sums.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("_chunk").alias("_k_chunk"),
-        F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"),
-    )
-    cond = F.col("_chunk").eqNullSafe(F.col("_k_chunk"))
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return (
-        rows.withColumn("_run", F.sum("_v").over(within))
-        .join(offsets, cond, "left")
-        .select(*df.columns, (F.col("_run") + F.coalesce("_before", F.lit(0))).alias(name))
-    )
+    offsets = sums.select(*keys, "_chunk", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
+    placed = rows.withColumn("_run", F.sum("_v").over(within))
+    return _attach(placed, offsets, keys, ["_before"]).select(*df.columns, (F.col("_run") + F.col("_before")).alias(name))
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, chunk: Column) -> DataFrame:
     """Add the 1-based position within the key."""
-    return running_total(df, keys, order, F.lit(1), name, chunk)
+    return in_order(df, keys, order, chunk, number=name)
 
 
 def time_chunk(column: str, unit: str = "hour") -> Column:

@@ -40,7 +40,7 @@ def exact_percentiles(
 
     def attach(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
         if not on:
-            return left.crossJoin(right)  # one row on the right
+            return left.crossJoin(F.broadcast(right))  # without keys there is one group
         renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in on], *[c for c in right.columns if c not in on])
         cond = F.lit(True)
         for k in on:

@@ -611,9 +611,8 @@ def compare_cohorts(cohorts: DataFrame, first: str, second: str) -> DataFrame:
     """Differences in points between two cohort weeks, NULL while one of them is too young."""
     a = cohorts.filter(F.col("cohort_week") == F.lit(first).cast("date"))
     b = cohorts.filter(F.col("cohort_week") == F.lit(second).cast("date"))
-    pair = a.select([F.col(c).alias(f"a_{c}") for c in a.columns]).crossJoin(
-        b.select([F.col(c).alias(f"b_{c}") for c in b.columns])
-    )
+    other = b.select([F.col(c).alias(f"b_{c}") for c in b.columns])
+    pair = a.select([F.col(c).alias(f"a_{c}") for c in a.columns]).crossJoin(F.broadcast(other))  # one week each
 
     def diff(column: str, flag: str | None = None) -> Column:
         out = _tenth(F.col(f"b_{column}") - F.col(f"a_{column}"))

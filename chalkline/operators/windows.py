@@ -22,15 +22,47 @@ from chalkline.operators.sets import word_counts
 
 
 def sessionize(events: DataFrame, user: str, ts: str, tie: str, gap_minutes: int = 30) -> DataFrame:
-    """Number the sessions of each user; a gap strictly longer than ``gap_minutes`` opens one."""
-    lagged = carry_lag(events, [user], [ts, tie], [ts], time_chunk(ts))
-    gap = F.unix_micros(F.col(ts)) - F.unix_micros(F.col(f"prev_{ts}"))
-    opened = lagged.withColumn(
-        "_opens",
-        F.when(F.col(f"prev_{ts}").isNull() | (gap > gap_minutes * 60_000_000), 1).otherwise(0),
-    )
-    numbered = running_total(opened, [user], [ts, tie], F.col("_opens"), "session_no", time_chunk(ts))
-    return numbered.drop("_opens", f"prev_{ts}").withColumnsRenamed({user: "user_id", ts: "created_at"})
+    """Number the sessions of each user; a gap strictly longer than ``gap_minutes`` opens one.
+
+    Every user is cut into hours. Gaps are found inside each hour; a table with one row per user and
+    hour (first, last, gaps inside) tells which hours open with a new session and how many came
+    before. The events are shuffled once in full and once with two columns for that table."""
+    gap = gap_minutes * 60_000_000
+    keys = [user, "_hour"]
+
+    def longer(later: Column, earlier: Column) -> Column:
+        return F.unix_micros(later) - F.unix_micros(earlier) > gap
+
+    def with_gaps(df: DataFrame) -> DataFrame:
+        order = Window.partitionBy(*keys).orderBy(ts, tie)
+        opens = F.coalesce(longer(F.col(ts), F.lag(ts).over(order)), F.lit(False)).cast("int")
+        return df.withColumn("_opens", opens)
+
+    rows = events.withColumn("_hour", time_chunk(ts))
+    hours = with_gaps(rows.select(*keys, ts, tie)).groupBy(*keys).agg(
+        F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.sum("_opens").alias("_inside")
+    )
+    across = Window.partitionBy(user).orderBy("_hour")
+    starts = F.when(F.lag("_last").over(across).isNull(), 1).otherwise(
+        longer(F.col("_first"), F.lag("_last").over(across)).cast("int")
+    )
+    before = across.rowsBetween(Window.unboundedPreceding, -1)
+    numbered = hours.withColumn("_starts", starts).select(
+        F.col(user).alias("_user"),
+        F.col("_hour").alias("_at"),
+        (F.coalesce(F.sum(F.col("_starts") + F.col("_inside")).over(before), F.lit(0)) + F.col("_starts")).alias("_base"),
+    )
+    order = Window.partitionBy(*keys).orderBy(ts, tie)
+    placed = with_gaps(rows).withColumn(
+        "_run", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    same = F.col(user).eqNullSafe(F.col("_user")) & F.col("_hour").eqNullSafe(F.col("_at"))
+    return (
+        placed.join(numbered, same)
+        .withColumn("session_no", F.col("_base") + F.col("_run"))
+        .drop("_user", "_at", "_base", "_run", "_opens", "_hour")
+        .withColumnsRenamed({user: "user_id", ts: "created_at"})
+    )
 
 
 def sessions(numbered: DataFrame) -> DataFrame:

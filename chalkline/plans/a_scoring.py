@@ -395,7 +395,7 @@ def f3(spark, folder):
       CASE WHEN q < 20 THEN 'NOT_ADDRESSED' WHEN n = 1 AND a >= 2 THEN 'ACHIEVED' WHEN n = 1 THEN 'LIKELY_ACHIEVED' WHEN n = 2 THEN 'NEEDS_EVIDENCE' WHEN n = 3 OR a = 0 THEN 'NOT_ASSESSED' ELSE 'UNKNOWN' END AS objective FROM c""",
 )
 def f4(spark, folder):
-    counts = Programme(spark, folder).answers.groupBy("session_id").agg(
+    counts = Programme(spark, folder).picks.groupBy("session_id").agg(
         F.count_if("is_correct").alias("a"),
         F.count_if(F.col("l_returnflag") == "R").alias("n"),
         F.sum("l_quantity").cast("bigint").alias("q"),

@@ -218,9 +218,7 @@ class Programme:
         sessions = windows.sessions(windows.sessionize(self.ev, "user_id", "created_at", "id", 6 * 60))
         return sessions.withColumn("session_type", F.expr(SESSION_TYPE))
 
-    @cached_property
-    def answers(self) -> DataFrame:
-        lines = number_rows(self.table("lineitem"), ["l_orderkey"], LINE_ORDER, "pos", position_chunk("l_linenumber"))
+    def _answers(self, lines: DataFrame, *more: str) -> DataFrame:
         keys = self.table("supplier").select("s_suppkey", F.expr(KEY_OPTION).alias("key_option"))
         picked = lines.withColumn("selected_option", F.expr(PICK)).join(keys, F.col("s_suppkey") == F.col("l_suppkey"))
         return picked.select(
@@ -231,9 +229,20 @@ class Programme:
             "l_quantity",
             "l_extendedprice",
             "l_returnflag",
-            "pos",
+            *more,
         )
 
+    @cached_property
+    def picks(self) -> DataFrame:
+        """Answers without their place."""
+        return self._answers(self.table("lineitem"))
+
+    @cached_property
+    def answers(self) -> DataFrame:
+        """Answers with their place in the session."""
+        lines = number_rows(self.table("lineitem"), ["l_orderkey"], LINE_ORDER, "pos", position_chunk("l_linenumber"))
+        return self._answers(lines, "pos")
+
     @cached_property
     def questions(self) -> DataFrame:
         quizzes = self.table("orders").select(F.col("o_orderpriority").alias("quiz_id")).distinct()

@@ -225,7 +225,7 @@ def w11(spark, folder):
       CASE WHEN correct / answered >= 0.8 THEN 'mastered' WHEN correct / answered >= 0.6 THEN 'developing' ELSE 'needs_practice' END AS mastery_level FROM c"""),
 )
 def z1(spark, folder):
-    return Z.session_mastery(Programme(spark, folder).answers)
+    return Z.session_mastery(Programme(spark, folder).picks)
 
 
 _PICKS = """p AS (SELECT r.{key}, a.question_id, selected_option, count(*) AS n, count(*) FILTER (WHERE is_correct) AS r, count(*) FILTER (WHERE NOT is_correct) AS w
@@ -250,7 +250,7 @@ _OPTION = "CASE {l} WHEN 'A' THEN option_a WHEN 'B' THEN option_b WHEN 'C' THEN
 )
 def z2(spark, folder):
     p = Programme(spark, folder)
-    return Z.missed_roster(p.quiz_runs, p.answers, p.questions)
+    return Z.missed_roster(p.quiz_runs, p.picks, p.questions)
 
 
 @query(
@@ -270,7 +270,7 @@ def z2(spark, folder):
 )
 def z3(spark, folder):
     p = Programme(spark, folder)
-    return Z.missed_shared(p.quiz_runs, p.answers, p.questions.drop("quiz_id").dropDuplicates(["question_id"]))
+    return Z.missed_shared(p.quiz_runs, p.picks, p.questions.drop("quiz_id").dropDuplicates(["question_id"]))
 
 
 @query(
@@ -286,7 +286,7 @@ def z3(spark, folder):
 )
 def z4(spark, folder):
     p = Programme(spark, folder)
-    return Z.question_audit(p.quiz_runs, p.answers, p.questions)
+    return Z.question_audit(p.quiz_runs, p.picks, p.questions)
 
 
 _LEVELED = "(SELECT *, CASE WHEN mastery_percentage >= 80 THEN 'mastered' WHEN mastery_percentage >= 60 THEN 'developing' ELSE 'needs_practice' END AS lv FROM quiz_runs)"
@@ -586,7 +586,7 @@ def r3(spark, folder):
       CASE WHEN correct_answers < lo THEN 'urgent_intervention' WHEN correct_answers < mid THEN 'below_benchmark' WHEN correct_answers < hi THEN 'at_benchmark' ELSE 'above_benchmark' END AS status FROM t""",
 )
 def r4(spark, folder):
-    answers = Programme(spark, folder).answers.select(
+    answers = Programme(spark, folder).picks.select(
         F.col("session_id").alias("assessment_id"),
         (F.col("session_id") % 7).cast("int").alias("grade_level"),
         F.col("is_correct").alias("correct"),
