@@ -286,17 +286,22 @@ def reading_overview(reading: DataFrame) -> DataFrame:
     """Per user the completed assessments, mean rate and accuracy (missing as 0), distinct
     students (unnamed ones as one) and the newest row."""
     done = reading.filter(F.col("status") == "completed")
+
+    def exact(column: str) -> Column:
+        # a decimal sum does not depend on the order in which partial sums arrive
+        return F.sum(F.coalesce(column, F.lit(0.0)).cast("decimal(24,6)")).cast("double")
+
     per_student = done.groupBy("user_id", "student_identifier").agg(
         F.count("*").alias("n"),
-        F.sum(F.coalesce("wcpm", F.lit(0.0))).alias("w"),
-        F.sum(F.coalesce("accuracy", F.lit(0.0))).alias("a"),
+        exact("wcpm").alias("w"),
+        exact("accuracy").alias("a"),
         F.max(F.struct("created_at", "id")).alias("last"),
     )
     tenth = lambda x: half_up(x * 10) / 10
     return per_student.groupBy("user_id").agg(
         F.sum("n").alias("total_assessments"),
-        tenth(F.sum("w") / F.sum("n")).alias("average_wcpm"),
-        tenth(F.sum("a") / F.sum("n")).alias("average_accuracy"),
+        tenth(exact("w") / F.sum("n")).alias("average_wcpm"),
+        tenth(exact("a") / F.sum("n")).alias("average_accuracy"),
         F.count("*").alias("students_assessed"),
         F.max("last")["id"].alias("latest_id"),
         F.max("last")["created_at"].alias("latest_at"),
