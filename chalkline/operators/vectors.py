@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from chalkline.operators.ordered import top_n
 from chalkline.operators.percentiles import exact_percentiles
+from chalkline.session import cut_lineage
 
 # Cosines are compared after rounding, so that equal vectors tie whatever block they fall in.
 DIGITS = 9
@@ -55,8 +56,9 @@ def vector_search(
     score = F.when(
         (F.size("embedding") != len(query)) | (norm == 0), F.lit(0.0)
     ).otherwise(dot(F.col("embedding"), target) / norm)
-    scored = df.withColumn("score", score)
-    return scored.filter(F.col("score") >= min_score).orderBy(F.col("score").desc(), "id").limit(limit)
+    # the floor is applied to the best rows: a filter before the sort would compute the score twice
+    best = df.withColumn("score", score).orderBy(F.col("score").desc(), "id").limit(limit)
+    return best.filter(F.col("score") >= min_score)
 
 
 def upsert(store: DataFrame, changes: DataFrame, key: str = "id", at: str = "indexed_at") -> DataFrame:
@@ -120,7 +122,7 @@ def neighbours(
     driver sees.
     """
     unit = _unit(vectors, id_col, vector_col)
-    distinct = top_n(unit, ["v"], [F.col("id").asc()], k + 1).drop("rank")
+    distinct = cut_lineage(top_n(unit, ["v"], [F.col("id").asc()], k + 1).drop("rank"))  # read four times below
     if pivots is None:
         pivots = max(1, min(256, distinct.count() // block))
     chosen = distinct.orderBy(F.xxhash64("id"), "id").limit(pivots).select("v").collect()

@@ -339,7 +339,7 @@ def z6(spark, folder):
 
 @query(
     "Z7_valid_questions",
-    """WITH g AS (SELECT doc_id, text AS q, lang AS a, source AS b, CASE WHEN n_chars > 300 THEN left(text, 400) ELSE lang END AS c, CASE WHEN n_chars < 1000 THEN 'A' WHEN n_chars < 3000 THEN 'B' ELSE 'D' END AS k,
+    """WITH g AS (SELECT doc_id, text AS q, lang AS a, source AS b, CASE WHEN n_chars > 300 THEN text ELSE lang END AS c, CASE WHEN n_chars < 1000 THEN 'A' WHEN n_chars < 3000 THEN 'B' ELSE 'D' END AS k,
       CAST(n_chars AS INTEGER) // 250 AS d FROM documents)
     SELECT doc_id, CASE WHEN length(q) > 200 THEN left(q, 197) || '...' ELSE q END AS question_text, a AS option_a, b AS option_b,
       CASE WHEN length(c) > 250 THEN left(c, 247) || '...' ELSE c END AS option_c, k AS correct_option, CASE WHEN d BETWEEN 1 AND 5 THEN d ELSE 3 END AS difficulty_level,
@@ -354,7 +354,7 @@ def z7(spark, folder):
         F.col("text").alias("question_text"),
         F.col("lang").alias("option_a"),
         F.col("source").alias("option_b"),
-        F.when(F.col("n_chars") > 300, F.left("text", F.lit(400))).otherwise(F.col("lang")).alias("option_c"),
+        F.when(F.col("n_chars") > 300, F.col("text")).otherwise(F.col("lang")).alias("option_c"),
         F.when(F.col("n_chars") < 1000, "A").when(F.col("n_chars") < 3000, "B").otherwise("D").alias("correct_option"),
         F.floor(F.col("n_chars") / 250).cast("int").alias("difficulty_level"),
         notes.alias("distractor_misconceptions"),
