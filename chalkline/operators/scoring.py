@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chalkline.functions.maths import attendance_pct, half_up, rate_or_null, whole_pct
@@ -225,28 +225,33 @@ def normalize_language(code: Column) -> Column:
     return F.coalesce(F.create_map(*pairs)[base], F.when(low.isin(LANGUAGES), low), base)
 
 
+def _language_counts(tokens: DataFrame, key: str) -> DataFrame:
+    """Tokens per transcript and known language; the others count under NULL."""
+    code = normalize_language(F.nullif("language", F.lit("")))
+    return tokens.groupBy(key, F.when(code.isin(LANGUAGES), code).alias("language")).agg(F.count("*").alias("count"))
+
+
 def language_distribution(tokens: DataFrame, key: str = "session_id") -> DataFrame:
     """Tokens per known language and their share per transcript."""
-    known = tokens.filter(F.coalesce("language", F.lit("")) != "").withColumn("language", normalize_language(F.col("language")))
-    counts = known.filter(F.col("language").isin(LANGUAGES)).groupBy(key, "language").agg(F.count("*").alias("count"))
-    totals = counts.groupBy(key).agg(F.sum("count").alias("_all"))
-    return counts.join(totals, key).select(key, "language", "count", (F.col("count") / F.col("_all")).alias("share"))
+    known = _language_counts(tokens, key).filter(F.col("language").isNotNull())
+    whole = F.sum("count").over(Window.partitionBy(key))  # at most one row per language
+    return known.withColumn("share", F.col("count") / whole)
 
 
 def dominant_language(tokens: DataFrame, key: str = "session_id", threshold: float = 0.5) -> DataFrame:
     """The language with more than half of the known tokens, else NULL, and the top share.
     Transcripts without known tokens keep a row with share 0."""
-    shares = language_distribution(tokens, key)
-    top = shares.groupBy(key).agg(
-        F.max("share").alias("confidence"),
-        F.min_by("language", F.struct((-F.col("share")).alias("s"), "language")).alias("_best"),
+    known = F.col("language").isNotNull()
+    tops = _language_counts(tokens, key).groupBy(key).agg(
+        F.sum("count").alias("total_tokens"),
+        (F.max(F.when(known, F.col("count"))) / F.sum(F.when(known, F.col("count")))).alias("_share"),
+        F.min(F.when(known, F.struct((-F.col("count")).alias("n"), "language"))).alias("_best"),
     )
-    sizes = tokens.groupBy(key).agg(F.count("*").alias("total_tokens"))
-    return sizes.join(top, key, "left").select(
+    return tops.select(
         key,
         "total_tokens",
-        F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
-        F.when(F.col("confidence") > threshold, F.col("_best")).alias("language"),
+        F.coalesce("_share", F.lit(0.0)).alias("confidence"),
+        F.when(F.col("_share") > threshold, F.col("_best.language")).alias("language"),
     )
 
 

@@ -285,7 +285,7 @@ def cosine_profile(
         return found.groupby("cosine", as_index=False)["n"].sum()
 
     tallied = spread.groupBy("low", "high").applyInPandas(counts, "cosine double, n bigint")
-    total = tallied.groupBy("cosine").agg(F.sum("n").alias("n"))
+    total = cut_lineage(tallied.groupBy("cosine").agg(F.sum("n").alias("n")))  # the product runs once
     wanted = {"min": (0.0, "disc"), "median": (0.5, "cont"), "p95": (0.95, "cont"), "max": (1.0, "disc")}
     return exact_percentiles(total, [], "cosine", wanted, weight="n").withColumnRenamed("n", "pairs")
 
