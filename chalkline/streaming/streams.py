@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from chalkline.sources.sinks import refresh_all
-from chalkline.sources.tables import DECLARED
+from chalkline.sources.tables import declared
 
 MINUTE = 60_000_000
 HOUR = 60 * MINUTE  # microseconds, as timestamps are kept
@@ -18,14 +18,10 @@ HOUR = 60 * MINUTE  # microseconds, as timestamps are kept
 
 def read_stream(spark: SparkSession, name: str, folder: str, files_per_batch: int | None = None) -> DataFrame:
     """Files of a declared table as a stream; zone-less times are read as UTC."""
-    stored = DECLARED[name].replace(" timestamp", " timestamp_ntz")
-    reader = spark.readStream.schema(stored).option("pathGlobFilter", f"{name}*.parquet")
+    reader = spark.readStream.schema(declared(name)).option("pathGlobFilter", f"{name}*.parquet")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    raw = reader.parquet(folder)
-    return raw.select(
-        *[F.col(c).cast("timestamp").alias(c) if t == "timestamp_ntz" else F.col(c) for c, t in raw.dtypes]
-    )
+    return reader.parquet(folder)
 
 
 def stream_sessions(events: DataFrame, user: str, ts: str, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:

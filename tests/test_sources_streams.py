@@ -258,3 +258,11 @@ def test_snapshot_stream_reports(spark, event_files, tmp_path):
     )
     started.awaitTermination()
     assert [r["view"] for r in reports[0]] == ["n"] and sinks.read_snapshot(spark, str(tmp_path / "s"), "n").count() == 4
+
+
+def test_time_filters_reach_the_scan(spark):
+    from chalkline.operators.filters import in_days
+
+    events = load(spark, "events", "/root/testdata/sf0.001/events.parquet")
+    plan = in_days(events, "ts", "2024-01-05", "2024-01-06", "Asia/Karachi").select("event_id", "d")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts" in plan and "LessThan(ts" in plan and "props" not in plan
