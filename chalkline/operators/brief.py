@@ -1,7 +1,7 @@
 """The daily and weekly programme brief.
 
-Every panel works on cohort facts: rows ``(user_id, unit, d, kind)`` of cohort teachers with the
-local day. ``brief_facts`` builds them once; the caller may persist them for all panels. Counts of
+Every panel works on cohort facts: rows ``(user_id, unit, d, kind, n)`` of cohort teachers with the
+local day and the number of events. ``brief_facts`` builds them once; the caller may persist them for all panels. Counts of
 distinct teachers come from one row per (window, teacher), never from raw rows.
 """
 
@@ -42,15 +42,21 @@ def brief_facts(
     hi: dt.date | str,
     tz: str = "UTC",
 ) -> DataFrame:
-    """Facts of cohort teachers in ``[lo, hi]``. ``sources`` maps a kind to (table, time column,
-    condition)."""
+    """Facts of cohort teachers in ``[lo, hi]``: rows (user_id, d, kind, n, unit), ``n`` events each.
+    ``sources`` maps a kind to (table, time column, condition). Events are counted before they meet
+    the cohort, so a very active teacher brings one row per day and kind."""
     out = None
     for kind, (df, ts, condition) in sources.items():
         if condition is not None:
             df = df.filter(condition)
         part = in_days(df, ts, str(lo), str(hi), tz).select("user_id", "d", F.lit(kind).alias("kind"))
         out = part if out is None else out.unionByName(part)
-    return out.join(cohort.select(F.col("id").alias("user_id"), "unit"), "user_id")
+    counted = out.groupBy("user_id", "d", "kind").agg(F.count("*").alias("n"))
+    return counted.join(cohort.select(F.col("id").alias("user_id"), "unit"), "user_id")
+
+
+def _events(condition: Column) -> Column:
+    return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
 
 
 def _panel_counts(facts: DataFrame, panels: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -59,7 +65,7 @@ def _panel_counts(facts: DataFrame, panels: DataFrame, keys: Sequence[str]) -> D
     ``facts`` are the activity facts and ``panels`` the panel facts (kinds of ``PANELS``)."""
     kinds = panels.withColumn("_active", F.lit(0)).unionByName(facts.withColumn("_active", F.lit(1)))
     per_user = kinds.groupBy(*keys, "user_id").agg(
-        *[F.count_if((F.col("kind") == p) & (F.col("_active") == 0)).alias(f"_{p}") for p in PANELS],
+        *[_events((F.col("kind") == p) & (F.col("_active") == 0)).alias(f"_{p}") for p in PANELS],
         F.max("_active").alias("_a"),
     )
     aggs = []
@@ -127,7 +133,7 @@ def window_totals(panels: DataFrame, lo: dt.date | str, hi: dt.date | str) -> Da
     spans = _windows(_day(lo), _day(hi))
     per_user = panels.groupBy("user_id").agg(
         *[
-            F.count_if(inside & (F.col("kind") == p)).alias(f"_{w}{p}")
+            _events(inside & (F.col("kind") == p)).alias(f"_{w}{p}")
             for w, inside in spans.items()
             for p in PANELS
         ]
@@ -268,7 +274,7 @@ def feature_strip(facts: DataFrame, lo: dt.date | str, hi: dt.date | str) -> Dat
     """Uses per kind in the window and in the window before."""
     spans = _windows(_day(lo), _day(hi))
     return facts.groupBy("kind").agg(
-        F.count_if(spans[""]).alias("n"), F.count_if(spans["prev_"]).alias("prev")
+        _events(spans[""]).alias("n"), _events(spans["prev_"]).alias("prev")
     )
 
 

@@ -104,7 +104,7 @@ def audience(
     if country != "all":
         df = df.filter(F.col("phone_number").startswith(country))
     if activity != "all":
-        active = _since(messages, as_of, ACTIVITY_DAYS[activity]).select(F.col("user_id").alias("id"))
+        active = _since(messages, as_of, ACTIVITY_DAYS[activity]).select(F.col("user_id").alias("id")).distinct()
         df = df.join(active, "id", "left_semi")
     return df
 
@@ -141,7 +141,7 @@ def audience_matrix(users: DataFrame, messages: DataFrame, as_of: str, countries
 
 def missing_from(expected: DataFrame, seen: DataFrame, on: str) -> DataFrame:
     """Expected rows whose key was never seen."""
-    return expected.join(seen.select(on), on, "left_anti")
+    return expected.join(seen.select(on).distinct(), on, "left_anti")
 
 
 def mark_missing_absent(heard: DataFrame, roster: DataFrame) -> DataFrame:
@@ -165,22 +165,27 @@ def interval_join(
     """Per user, whether an event fell into each half-open day offset ``[from, to)`` after the
     start; ``first_day`` compares calendar dates instead.
 
-    ``starts(user_id, started_at, ...)`` has one row per user and ``events(user_id, at)``. The start
-    side holds each user once, so the events of a very active user can be split over tasks by the
-    adaptive skew join, and the flags are taken with a partial aggregation right after it.
+    ``starts(user_id, started_at, ...)`` has one row per user and ``events(user_id, at)``. Before the
+    join the events are reduced to first and last per user and calendar day. That loses nothing:
+    bucket borders are whole days apart, so a day holds at most one border of a bucket, and whether an
+    event lies on the right side of it shows in the day's first or last event. A very active user
+    reaches the join with one row per day.
     """
-    span = max(hi for _, _, hi in buckets)
+    if any(hi <= lo for _, lo, hi in buckets):
+        raise ValueError("a bucket spans at least one day")
+    day_us = 86_400_000_000
     people = starts.select("user_id", "started_at")
-    joined = events.join(people, "user_id")
-    micros = F.unix_micros("at") - F.unix_micros("started_at")
-    offset = F.floor(micros / F.lit(86_400_000_000)).cast("int")
-    same_day = F.to_date("at") == F.to_date("started_at")
-    near = joined.filter(((offset >= 0) & (offset < span)) | same_day)
-    flags = [F.max((offset >= lo) & (offset < hi)).alias(name) for name, lo, hi in buckets]
+    daily = events.groupBy("user_id", F.to_date("at").alias("_day")).agg(
+        F.min("at").alias("_first"), F.max("at").alias("_last")
+    )
+    joined = daily.join(people, "user_id")
+    start = F.unix_micros("started_at")
+    first, last = F.unix_micros("_first") - start, F.unix_micros("_last") - start
+    flags = [F.max((last >= lo * day_us) & (first < hi * day_us)).alias(name) for name, lo, hi in buckets]
     if first_day:
-        flags.insert(0, F.max(same_day).alias(first_day))
+        flags.insert(0, F.max(F.col("_day") == F.to_date("started_at")).alias(first_day))
     names = ([first_day] if first_day else []) + [b[0] for b in buckets]
-    per_user = near.groupBy("user_id").agg(*flags)
+    per_user = joined.groupBy("user_id").agg(*flags)
     return starts.join(per_user, "user_id", "left").fillna(False, names)
 
 

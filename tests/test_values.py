@@ -369,3 +369,26 @@ def test_qa_minutes(spark):
     assert got[1, "S2"] and not got[2, "S2"] and got[3, "S2"]
     assert got[1, "H1"] and not got[3, "H1"] and (1, "H5") not in got
     assert {r["lesson_id"]: r["hard_pass"] for r in gates.qa_summary(checks).collect()} == {1: True, 2: False, 3: False}
+
+
+def test_interval_join_equals_row_by_row(spark):
+    import random
+
+    rng = random.Random(12)
+    base = dt.datetime(2024, 3, 1)
+    starts = {u: base + dt.timedelta(minutes=rng.randrange(5000)) for u in range(12)}
+    events = [(rng.randrange(14), base + dt.timedelta(minutes=rng.randrange(-2000, 60_000))) for _ in range(150)]
+    # events exactly on bucket borders
+    events += [(u, s + dt.timedelta(days=d)) for u, s in list(starts.items())[:4] for d in (1, 8)]
+    buckets = [("a", 1, 8), ("b", 8, 9), ("c", 15, 30)]
+    out = J.interval_join(
+        spark.createDataFrame(list(starts.items()), "user_id int, started_at timestamp"),
+        spark.createDataFrame(events, "user_id int, at timestamp"),
+        buckets,
+    )
+    for r in out.collect():
+        s = starts[r["user_id"]]
+        mine = [t for u, t in events if u == r["user_id"]]
+        assert r["day0"] == any(t.date() == s.date() for t in mine)
+        for name, lo, hi in buckets:
+            assert r[name] == any(s + dt.timedelta(days=lo) <= t < s + dt.timedelta(days=hi) for t in mine)
