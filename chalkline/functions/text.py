@@ -61,11 +61,12 @@ FEATURE_PHRASES = {
 def clean_transcript(text: Column) -> Column:
     """F8: drop [mm:ss] marks, speaker labels with a language and stand-alone language codes."""
     out = F.coalesce(text, F.lit(""))
+    start, end = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"  # word borders by ASCII letters only
     for pattern in (
         r"\[\d{2}:\d{2}\]",
-        r"(?i)\bTeacher\b\s*\([A-Z]{2}\)\s*:",
-        r"(?i)\bStudent\b\s*\([A-Z]{2}\)\s*:",
-        r"(?i)\b(EN|UR|AR|ES)\b",
+        rf"(?i){start}Teacher{end}\s*\([A-Z]{{2}}\)\s*:",
+        rf"(?i){start}Student{end}\s*\([A-Z]{{2}}\)\s*:",
+        rf"(?i){start}(EN|UR|AR|ES){end}",
     ):
         out = F.regexp_replace(out, pattern, "")
     out = F.regexp_replace(out, r"\s{2,}", " ")

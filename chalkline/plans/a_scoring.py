@@ -454,7 +454,18 @@ def f8(spark, folder):
     return Programme(spark, folder).table("documents").select("doc_id", F.array_join(text.tokenize(F.col("text")), " ").alias("tokens"))
 
 
-@query("F8_clean_transcript")
+_CLEAN = "text"
+for _pattern in (
+    "\\[[0-9]{2}:[0-9]{2}\\]",
+    "(?i)\\bTeacher\\b\\s*\\([A-Z]{2}\\)\\s*:",
+    "(?i)\\bStudent\\b\\s*\\([A-Z]{2}\\)\\s*:",
+    "(?i)\\b(EN|UR|AR|ES)\\b",
+):
+    _CLEAN = f"regexp_replace({_CLEAN}, '{_pattern}', '', 'g')"
+_CLEAN = f"regexp_replace(regexp_replace({_CLEAN}, '\\s{{2,}}', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+@query("F8_clean_transcript", f"SELECT doc_id, {_CLEAN} AS clean FROM documents")
 def f8_clean(spark, folder):
     return Programme(spark, folder).table("documents").select("doc_id", text.clean_transcript(F.col("text")).alias("clean"))
 

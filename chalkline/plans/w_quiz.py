@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from chalkline.functions.text import clean_transcript, tokenize
+from chalkline.functions.text import tokenize
 from chalkline.operators import coaching as C
 from chalkline.operators import quiz as Z
 from chalkline.operators import reading as R
@@ -123,11 +123,6 @@ def _pairs(p):
 
 
 _TOK = "list_filter(string_split_regex(regexp_replace(lower({t}), '[^\\w\\s\\x{{0600}}-\\x{{06FF}}]', '', 'g'), '\\s+'), lambda w: w <> '')"
-_CLEAN = (
-    "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({t}, '\\[[0-9]{{2}}:[0-9]{{2}}\\]', '', 'g'), "
-    "'(?i)\\bTeacher\\b\\s*\\([A-Z]{{2}}\\)\\s*:', '', 'g'), '(?i)\\bStudent\\b\\s*\\([A-Z]{{2}}\\)\\s*:', '', 'g'), "
-    "'(?i)\\b(EN|UR|AR|ES)\\b', '', 'g'), '\\s{{2,}}', ' ', 'g'), E' \\n\\t\\r')"
-)
 _PAIRS = f"""pairs AS (SELECT concat(CAST(a.conv_id AS VARCHAR), '-', CAST(a.turn AS VARCHAR)) AS id, a.text AS p, b.text AS t,
     {_TOK.format(t='a.text')} AS passage, {_TOK.format(t='b.text')} AS words FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)"""
 
