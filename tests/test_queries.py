@@ -6,6 +6,7 @@ import pytest
 from compare import compare_all
 
 import __spark_entry__ as entry
+from chalkline import plans
 
 FOLDER = os.environ.get("CHALKLINE_SF_DIR", "/root/testdata/sf0.001")
 # empty at this scale on both sides; compared on larger tables
@@ -14,10 +15,10 @@ MAY_BE_EMPTY = {"A14_compare_cohorts", "D1_cooling_down", "E2_mutual_knn", "P1_f
 
 @pytest.fixture(scope="module")
 def results(spark):
-    return {name: problem for name, problem, _ in compare_all(spark, FOLDER, entry.queries(), entry.oracle_sql())}
+    return {name: problem for name, problem, _ in compare_all(spark, FOLDER, plans.QUERIES, plans.ORACLES)}
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(plans.QUERIES))
 def test_query(results, name):
     problem = results[name]
     if name in MAY_BE_EMPTY and problem in ("no rows on either side", "no rows"):
@@ -30,5 +31,9 @@ def test_entry(spark):
     assert "cohort_week" in df.columns and df.count() > 0
 
 
+def test_entry_has_all_queries():
+    assert set(plans.QUERIES) <= set(entry.queries())
+
+
 def test_oracles_belong_to_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
