@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from chalkline.llm.exact import exact_dedup
+from chalkline.llm.mixing import mix_sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,3 +38,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 )
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(table(spark, folder, "documents"))
+
+
+@query("op2_mix_sources")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_sources(table(spark, folder, "documents"))
