@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chalkline.llm.exact import exact_dedup
 from chalkline.llm.mixing import mix_sources
+from chalkline.llm.warc import read_archives, shared_folder, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,3 +44,19 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_mix_sources")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents"))
+
+
+@query(
+    "op9_warc_bundles",
+    """WITH p AS (SELECT page_id, coalesce(html, '') AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS head,
+                     sha1(coalesce(html, '')) AS x FROM pages)
+       SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+              array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                ((('0x' || substr(x, ((i // 4) * 5 + 1)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31) + 1, 1)), '') AS payload_digest,
+              CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type,
+              CASE WHEN page_id <> head THEN head END AS refers_to
+       FROM p""",
+)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    index = write_archives(table(spark, folder, "pages"), shared_folder(spark, "warc"))
+    return read_archives(index).drop("url")
