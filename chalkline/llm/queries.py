@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chalkline.llm.exact import exact_dedup
 from chalkline.llm.mixing import mix_sources
+from chalkline.llm.packing import pack_documents
 from chalkline.llm.warc import read_archives, shared_folder, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +61,10 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     index = write_archives(table(spark, folder, "pages"), shared_folder(spark, "warc"))
     return read_archives(index).drop("url")
+
+
+@query("op6_best_fit_packing")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
