@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from chalkline.llm import langid
 from chalkline.llm.exact import exact_dedup
 from chalkline.llm.mixing import mix_sources
 from chalkline.llm.packing import pack_documents
@@ -68,3 +70,11 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     return pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op4_language_id")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = F.coalesce(langid.fifth("doc_id") == 0, F.lit(False))
+    model = langid.train(docs.where(langid.fifth("doc_id") != 0))
+    return langid.identify(docs, model).withColumn("held_out", held_out)
