@@ -242,9 +242,14 @@ def write_archives(
 
     files, root = open_folder(folder)
     files.create_dir(root, recursive=True)
-    records = plan_records(pages, least_bytes)
+    spark = pages.sparkSession
+    # as many tasks as archives, but not fewer than the cluster runs at once: many small shuffle
+    # partitions would otherwise leave as many small archives
+    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // archive_bytes))
+    records = plan_records(pages, least_bytes).coalesce(tasks)
     records.mapInArrow(write, INDEX).write.mode("overwrite").parquet(f"{folder}/index")
-    return pages.sparkSession.read.parquet(f"{folder}/index")
+    return spark.read.parquet(f"{folder}/index")
 
 
 def read_archives(index: DataFrame) -> DataFrame:
