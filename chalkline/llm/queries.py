@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkline.llm import langid
+from chalkline.llm import langid, privacy
 from chalkline.llm.exact import exact_dedup
 from chalkline.llm.mixing import mix_sources
 from chalkline.llm.packing import pack_documents
@@ -78,3 +78,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.coalesce(langid.fifth("doc_id") == 0, F.lit(False))
     model = langid.train(docs.where(langid.fifth("doc_id") != 0))
     return langid.identify(docs, model).withColumn("held_out", held_out)
+
+
+@query("op7_private_data")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return privacy.digest(privacy.find_private(table(spark, folder, "documents")))

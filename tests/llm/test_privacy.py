@@ -1,0 +1,99 @@
+import hashlib
+import random
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from chalkline.llm import privacy
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    t = 0
+    for i, c in enumerate(reversed(d)):
+        x = int(c) * (2 if i % 2 else 1)
+        t += x - 9 if x > 9 else x
+    return t % 10 == 0
+
+
+def base(text):
+    out = []
+    for k, p in PLAIN.items():
+        for m in re.finditer(p, text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            if k == "ip" and any(int(x) > 255 for x in m[0].split(".")):
+                continue
+            if k == "card" and not (13 <= len(d) <= 19 and luhn(d)):
+                continue
+            if k == "phone" and not 9 <= len(d) <= 15:
+                continue
+            out.append((privacy.KINDS.index(k), m.start(), m.end()))
+    return sorted(out)
+
+
+def rows_of(spark, texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").selectExpr("*", "'v' AS value", "1 AS kind", "2 AS row")
+    return {r.doc_id: r for r in privacy.find_private(df).collect()}
+
+
+PIECES = ["a@b.c", "x.y+z@m-1.example.com", "_d@e.f", "@", ".", "1.2.3.4", "256.1.1.1", "001.002.3.4", "4026438919052864", "4046 6790-3662 0762",
+          "+1 (837) 555-3476", "+44", " ", "-", "12", "é𝒳", "word", "%", "\n", "+", "(", "9" * 40, "1.2.3.4.5.6.7.8", "..", "a@b", "0"]
+
+
+def test_base_equals_plain_patterns(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choices(PIECES, k=rng.randrange(0, 14))) for _ in range(3000)] + [None, "", "1" * 60_000, "a" * 60_000, "1 " * 30_000, "a@" * 5_000 + "b.c"]
+    got = rows_of(spark, texts)
+    for i, t in enumerate(texts):
+        assert [tuple(x) for x in got[i].base] == base(t), t
+
+
+def test_digest(spark):
+    text = "é mail a@b.c or 1.2.3.4 or +1 (837) 555-3476"
+    df = spark.createDataFrame([(1, text), (1, text), (None, None)], "doc_id long, text string")
+    got = privacy.digest(privacy.find_private(df)).collect()
+    want = ",".join(f"{privacy.KINDS[k]}:{s}:{e}" for k, s, e in base(text))
+    full = [r for r in got if r.doc_id == 1]
+    assert len(full) == 2 and all(r.spans == want and r.base_sha256 == hashlib.sha256(want.encode()).hexdigest() for r in full)
+    assert (full[0].n_email, full[0].n_ip, full[0].n_card, full[0].n_phone) == (1, 1, 0, 1)
+    none = [r for r in got if r.doc_id is None][0]
+    assert none.spans == "" and none.base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert privacy.digest(privacy.find_private(df.limit(0))).count() == 0
+
+
+def test_contexts_find_unseen_identifiers(spark):
+    phone = lambda i: f"+1 (837) 555-{3000 + i}"
+    texts = [f"please call {phone(i)} today" for i in range(12)]
+    texts += ["then call 0837/5553999 soon"]  # no seed pattern knows it, its context does
+    texts += [f"order a{7000 + i} was {phone(50 + i)} shipped" for i in range(6)]  # "was" and "order" prove nothing
+    texts += ["order b91234 came", "version 20240101 is out"]
+    got = rows_of(spark, texts)
+    assert [tuple(x) for x in got[12].added] == [(3, 10, 22)]
+    assert not any(got[i].added for i in got if i != 12)
+
+
+def test_a_second_round_learns_from_the_first(spark):
+    phone = lambda i: f"+1 (837) 555-{3000 + i}"
+    texts = [f"please call {phone(i)} x" for i in range(40)]
+    texts += [f"dial {phone(100 + i)} x" for i in range(16)]
+    # "dial" alone is below the bar (16 seeds of 19 values + 1); the values that "call" vouches for lift it
+    texts += [f"please call 0837/555{i}999 x" for i in range(3)] + [f"dial 0837/555{i}999 x" for i in range(3)]
+    texts += ["dial 0837/5557777 x"]
+    one = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    count = lambda r: sum(len(x.added) for x in privacy.find_private(one, rounds=r).collect())
+    assert count(1) == 6 and count(2) == 7
+
+
+@settings(max_examples=1, deadline=None)
+@given(st.lists(st.text(alphabet="a1@. +()-%_\né", max_size=30), min_size=400, max_size=400))
+def test_base_on_random_texts(spark, texts):
+    got = rows_of(spark, texts)
+    for i, t in enumerate(texts):
+        assert [tuple(x) for x in got[i].base] == base(t), t
