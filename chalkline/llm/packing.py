@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -24,29 +25,71 @@ class TokenCache:
 
     A byte-level tokenizer first cuts a text by a pattern, and no cut-out stretch spans the border
     between a non-blank character and a single space that a non-blank one follows. So the ids of a
-    text are those of its stretches, one after the other. The cache is emptied when it is full.
+    text are those of its stretches, one after the other. Stretches not met before are encoded
+    many at a time, on lines of their own (the line break is always cut out alone there). Two
+    generations of at most ``most`` stretches are kept; what is met again moves to the new one.
     """
 
     CUT = re.compile(r"(?<=\S)(?= \S)")
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.ids: dict[str, bytes] = {}
+        self.line = self.plain(["\n"])[0]
         self.most = most
+        self.new: dict[str, bytes] = {}  # ids of a space and the word
+        self.old: dict[str, bytes] = {}
+
+    def plain(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: set[str]) -> None:
+        ids = self.new
+        for w in self.old.keys() & words:
+            ids[w] = self.old[w]
+        words -= ids.keys()
+        # a word with a blank inside is encoded alone
+        lines = [w for w in words if len(w.split()) == 1]
+        spaced = list(words.difference(lines))
+        for k in range(0, len(lines), 4096):
+            part = lines[k : k + 4096]
+            got = np.frombuffer(self.plain(["\n".join([" " + w for w in part])])[0], "<u4")
+            cuts = np.flatnonzero(got == np.frombuffer(self.line, "<u4")[0])
+            if len(cuts) != len(part) - 1:
+                spaced += part
+                continue
+            at = [0, *(cuts + 1).tolist()]
+            to = [*cuts.tolist(), len(got)]
+            raw = got.tobytes()
+            for w, a, b in zip(part, at, to):
+                ids[w] = raw[4 * a : 4 * b]
+        for w, x in zip(spaced, self.plain([" " + w for w in spaced])):
+            ids[w] = x
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        cut = [self.CUT.split(t) if t else [] for t in texts]
-        if len(self.ids) > self.most:
-            self.ids.clear()
-        ids = self.ids
-        new = list({w for parts in cut for w in parts if w not in ids})
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            ids[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(ids.__getitem__, parts)) for parts in cut]
+        if len(self.new) > self.most:
+            self.new, self.old = {}, self.new
+        cut = [t.split(" ") for t in texts]
+        words: set[str] = set()
+        for parts in cut:
+            words.update(parts)
+        words -= self.new.keys()
+        # a part that is empty or has a blank at an end makes no safe cut
+        unsafe = {w for w in words if not w or w[0].isspace() or w[-1].isspace()}
+        words -= unsafe
+        self._learn(words)
+        ids, out = self.new.__getitem__, []
+        heads = self.plain([parts[0] for parts in cut])
+        for text, parts, head in zip(texts, cut, heads):
+            if unsafe and not unsafe.isdisjoint(parts):
+                out.append(b"".join(self.plain(self.CUT.split(text))))
+            else:
+                parts[0:1] = ()
+                out.append(head + b"".join(map(ids, parts)))
+        return out
 
 
 _caches: dict[str, TokenCache] = {}  # a worker serves many tasks
