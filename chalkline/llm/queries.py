@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkline.llm import langid, privacy
+from chalkline.llm import langid, merkle, privacy
 from chalkline.llm.exact import exact_dedup
 from chalkline.llm.mixing import mix_sources
 from chalkline.llm.packing import pack_documents
@@ -83,3 +83,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_private_data")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return privacy.digest(privacy.find_private(table(spark, folder, "documents")))
+
+
+@query("op5_merkle_fingerprints")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.fingerprint_edits(table(spark, folder, "documents"))
