@@ -11,6 +11,7 @@ from chalkline.llm import langid, merkle, privacy
 from chalkline.llm.exact import exact_dedup
 from chalkline.llm.mixing import mix_sources
 from chalkline.llm.packing import pack_documents
+from chalkline.llm.repeats import remove_repeats
 from chalkline.llm.warc import read_archives, shared_folder, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +89,19 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_merkle_fingerprints")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.fingerprint_edits(table(spark, folder, "documents"))
+
+
+@query(
+    "op8_remove_repeats",
+    r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+             s AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS p FROM w WHERE len(ws) >= 20),
+             g AS (SELECT doc_id, p, sha256(array_to_string(ws[p:p + 19], ' ')) AS k FROM s),
+             f AS (SELECT k, min(ROW(doc_id, p)) AS head FROM g GROUP BY k),
+             gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS i FROM g JOIN f USING (k) WHERE ROW(doc_id, p) > head),
+             x AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM w),
+             kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM x ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+        SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id""",
+)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(table(spark, folder, "documents"))
