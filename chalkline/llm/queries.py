@@ -12,6 +12,7 @@ from chalkline.llm.exact import exact_dedup
 from chalkline.llm.mixing import mix_sources
 from chalkline.llm.packing import pack_documents
 from chalkline.llm.repeats import remove_repeats
+from chalkline.llm.similar import similar_documents
 from chalkline.llm.warc import read_archives, shared_folder, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +106,20 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(table(spark, folder, "documents"))
+
+
+@query(
+    "op10_similar_documents",
+    r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                               'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+             g AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS p FROM w WHERE len(ws) > 0),
+             s AS (SELECT DISTINCT doc_id, array_to_string(ws[p:p + 3], ' ') AS x FROM g),
+             n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+             o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b USING (x) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+             link AS (SELECT a, b FROM o JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * o >= 85 * (na.n + nb.n - o)),
+             r AS (SELECT a, b FROM link UNION SELECT r.a, link.b FROM r JOIN link ON r.b = link.a)
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(min(r.b), w.doc_id)) AS component_id
+        FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN r ON r.a = w.doc_id GROUP BY w.doc_id, n.n""",
+)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_documents(table(spark, folder, "documents"), words=4, num=85, den=100)

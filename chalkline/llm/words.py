@@ -96,6 +96,13 @@ class Words:
         np.cumsum(_BYTE[self.buf] * powers(_R, n), out=total[1:])
         return mix((total[self.end] - total[self.start]) * powers(inverse(_R), n)[self.start])
 
+    def runs(self, hashes: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = _S) -> np.ndarray:
+        """A hash of the words start .. end - 1, for each pair; other than that of any gram of equal words."""
+        n = len(hashes)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(hashes * powers(seed, n), out=total[1:])
+        return mix((total[end] - total[start]) * powers(inverse(seed), n + 1)[start] + (end - start).astype(np.uint64))
+
     def grams(self, hashes: np.ndarray, k: int, seed: int = _S) -> tuple[np.ndarray, np.ndarray]:
         """(position of the first word, hash) of every run of ``k`` words inside one row."""
         n = len(hashes)
