@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkline.llm import langid, merkle, privacy
+from chalkline.llm import langid, merkle, privacy, quality
 from chalkline.llm.exact import exact_dedup
 from chalkline.llm.mixing import mix_sources
 from chalkline.llm.packing import pack_documents
@@ -123,3 +123,9 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return similar_documents(table(spark, folder, "documents"), words=4, num=85, den=100)
+
+
+@query("op1_quality_perplexity")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    trusted = quality.trusted_ids(table(spark, folder, "labels"))
+    return quality.judge_quality(table(spark, folder, "documents"), trusted)
