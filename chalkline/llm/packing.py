@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
-from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -20,79 +19,62 @@ from chalkline.session import cut_lineage
 # ---------------------------------------------------------------- tokens
 
 
-class TokenCache:
-    """Ids of whole texts, encoded once per different stretch between safe cuts.
+# fixed value: the pattern by which byte-level tokenizers of this kind cut a text
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_letters() -> dict[str, int]:
+    """The letter a tokenizer file writes for each byte: visible ones as they are, the others from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(visible)]
+    return {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
-    A byte-level tokenizer first cuts a text by a pattern, and no cut-out stretch spans the border
-    between a non-blank character and a single space that a non-blank one follows. So the ids of a
-    text are those of its stretches, one after the other. Stretches not met before are encoded
-    many at a time, on lines of their own (the line break is always cut out alone there). Two
-    generations of at most ``most`` stretches are kept; what is met again moves to the new one.
-    """
 
-    CUT = re.compile(r"(?<=\S)(?= \S)")
+class Encoder:
+    """The ids that ``tokenizers`` gives for a byte-level file, where it can by a faster merger of the same pairs.
+
+    If the id of each merged token follows the order of the merges, then the merges are ranks, and
+    ``tiktoken`` over the same vocabulary and cuts yields the same ids. Files that are not of this
+    kind, and texts that it cannot take, go to ``tokenizers``.
+    """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.line = self.plain(["\n"])[0]
-        self.most = most
-        self.new: dict[str, bytes] = {}  # ids of a space and the word
-        self.old: dict[str, bytes] = {}
-
-    def plain(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: set[str]) -> None:
-        ids = self.new
-        for w in self.old.keys() & words:
-            ids[w] = self.old[w]
-        words -= ids.keys()
-        # a word with a blank inside is encoded alone
-        lines = [w for w in words if len(w.split()) == 1]
-        spaced = list(words.difference(lines))
-        for k in range(0, len(lines), 4096):
-            part = lines[k : k + 4096]
-            got = np.frombuffer(self.plain(["\n".join([" " + w for w in part])])[0], "<u4")
-            cuts = np.flatnonzero(got == np.frombuffer(self.line, "<u4")[0])
-            if len(cuts) != len(part) - 1:
-                spaced += part
-                continue
-            at = [0, *(cuts + 1).tolist()]
-            to = [*cuts.tolist(), len(got)]
-            raw = got.tobytes()
-            for w, a, b in zip(part, at, to):
-                ids[w] = raw[4 * a : 4 * b]
-        for w, x in zip(spaced, self.plain([" " + w for w in spaced])):
-            ids[w] = x
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        if len(self.new) > self.most:
-            self.new, self.old = {}, self.new
-        cut = [t.split(" ") for t in texts]
-        words: set[str] = set()
-        for parts in cut:
-            words.update(parts)
-        words -= self.new.keys()
-        # a part that is empty or has a blank at an end makes no safe cut
-        unsafe = {w for w in words if not w or w[0].isspace() or w[-1].isspace()}
-        words -= unsafe
-        self._learn(words)
-        ids, out = self.new.__getitem__, []
-        heads = self.plain([parts[0] for parts in cut])
-        for text, parts, head in zip(texts, cut, heads):
-            if unsafe and not unsafe.isdisjoint(parts):
-                out.append(b"".join(self.plain(self.CUT.split(text))))
-            else:
-                parts[0:1] = ()
-                out.append(head + b"".join(map(ids, parts)))
-        return out
-
-
-_caches: dict[str, TokenCache] = {}  # a worker serves many tasks
+        self.slow = Tokenizer.from_file(path)
+        self.slow.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.fast = self._ranked(path)
+
+    @staticmethod
+    def _ranked(path: str):
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, cutter = spec["model"], spec.get("pre_tokenizer") or {}
+        merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model.get("merges", ())]
+        ordered = all(model["vocab"].get(m) == 256 + k for k, m in enumerate(merges))
+        if model["type"] != "BPE" or cutter.get("type") != "ByteLevel" or cutter.get("add_prefix_space") or spec.get("normalizer") or not ordered:
+            return None
+        letters, special = _byte_letters(), {t["content"] for t in spec.get("added_tokens", ())}
+        ranks = {bytes(letters[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+        return tiktoken.Encoding("of a file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian 32-bit ids."""
+        ids = None
+        if self.fast is not None:
+            try:
+                ids = self.fast.encode_ordinary(text)
+            except BaseException as error:  # the pattern engine gives up on some very long runs by a panic
+                if isinstance(error, (KeyboardInterrupt, SystemExit, MemoryError)):
+                    raise
+        if ids is None:
+            ids = self.slow.encode(text, add_special_tokens=False).ids
+        return np.array(ids, "<u4").tobytes()
+
+
+_encoders: dict[str, Encoder] = {}  # a worker serves many tasks
 
 PIECE = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("crc", pa.int64())])
 
@@ -107,13 +89,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, id: str, text: str, capacity:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        cache = _caches.get(tokenizer) or _caches.setdefault(tokenizer, TokenCache(tokenizer))
+        encoder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, Encoder(tokenizer))
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 rows = []
-                for i, ids in zip(part.column("id").to_pylist(), cache.encode(part.column("text").to_pylist())):
-                    data = memoryview(ids + end)
+                for i, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist()):
+                    data = memoryview(encoder.encode(text) + end)
                     n = len(data) // 4
                     at = 0
                     for k in range(-(-n // capacity)):

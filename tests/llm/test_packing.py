@@ -81,17 +81,21 @@ def test_children_are_packings(items, seed):
         assert (child >= 0).all() and np.bincount(child, weights=sizes).max() <= 50
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(alphabet="a Z1'.\n\t \x1cé日<|>", max_size=40))
-def test_cut_texts_have_the_same_ids(text):
-    cache = packing._caches.setdefault(PATH, packing.TokenCache(PATH))
-    assert np.frombuffer(cache.encode([text])[0], "<u4").tolist() == plain_once().encode(text, add_special_tokens=False).ids
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(st.text(alphabet="a Z1'.\n\t \x1c\x85\xa0\u2028é日<|>ſ²٣", max_size=40), st.text(max_size=40)))
+def test_same_ids_as_the_tokenizer_itself(text):
+    encoder = packing._encoders.get(PATH) or packing._encoders.setdefault(PATH, packing.Encoder(PATH))
+    assert encoder.fast is not None
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == encoder.slow.encode(text, add_special_tokens=False).ids
 
 
-_plain = []
+def test_same_ids_on_whole_documents(spark):
+    encoder = packing.Encoder(PATH)
+    for row in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect():
+        assert np.frombuffer(encoder.encode(row.text), "<u4").tolist() == encoder.slow.encode(row.text, add_special_tokens=False).ids
 
 
-def plain_once():
-    if not _plain:
-        _plain.append(plain())
-    return _plain[0]
+def test_very_long_runs():
+    encoder = packing.Encoder(PATH)
+    for text in (" " * 300_000, "\n" * 300_000 + "a", "a" * 20_000, "1" * 20_000):
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == encoder.slow.encode(text, add_special_tokens=False).ids
