@@ -12,8 +12,10 @@ import io
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def open_folder(folder: str) -> tuple[fs.FileSystem, str]:
@@ -73,3 +75,60 @@ def checksum(ids: np.ndarray, so_far: tuple[int, int] = (0, 0)) -> tuple[int, in
 
     total = int(mix(ids.astype(np.int64).view(np.uint64)).sum(dtype=np.uint64))
     return so_far[0] + len(ids), (so_far[1] + total) % 2**64
+
+
+def row_key(id: str, text: str) -> Column:
+    """64 bits of the id and the whole text: rows that share them are interchangeable."""
+    return F.xxhash64(F.col(id), F.col(text))
+
+
+def repeat_rows(docs: DataFrame, decisions: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Each row of ``docs``, with all its columns, as often as its decision says.
+
+    ``decisions``: (block, row_key, copies), one for each row that is to stay; rows without one go.
+    ``block`` is spark_partition_id() of the same stored table. The decisions of a split go to its
+    file and are applied while it is read again, so rows are not shuffled; of rows with equal keys
+    each takes one of the decisions.
+    """
+    spark, columns = docs.sparkSession, docs.columns
+    folder, count = shared_folder(spark, "rows"), shards(spark)
+
+    def keep(batches):
+        parts: dict[int, list] = {}
+        for b in batches:
+            block, key, copies = (b.column(c).to_numpy() for c in ("block", "key", "copies"))
+            for x in np.unique(block).tolist():
+                parts.setdefault(x, []).append((key[block == x], copies[block == x]))
+        for block, found in parts.items():
+            key, copies = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((-copies, key))
+            save(folder, f"rows-{block}", key=key[order], copies=copies[order])
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32())], names=["block"])
+
+    kept = decisions.select(
+        F.col("block").cast("int").alias("block"), F.col("row_key").cast("long").alias("key"), F.col("copies").cast("long").alias("copies")
+    )
+    kept.repartition(count, "block").mapInArrow(keep, "block int").agg(F.count("*")).collect()
+
+    def apply(batches):
+        from pyspark import TaskContext
+
+        side = load(folder, f"rows-{TaskContext.get().partitionId()}")
+        if not side:
+            return
+        keys, copies, used = side["key"], side["copies"], np.zeros(len(side["key"]), bool)
+        for batch in batches:
+            times = np.zeros(batch.num_rows, np.int64)
+            mine = batch.column(len(columns)).to_numpy()
+            first, last = np.searchsorted(keys, mine), np.searchsorted(keys, mine, "right")
+            for i in np.flatnonzero(first < last).tolist():
+                free = first[i] + np.flatnonzero(~used[first[i] : last[i]])[:1]
+                if len(free):
+                    used[free] = True
+                    times[i] = copies[free[0]]
+            out = pa.RecordBatch.from_arrays(batch.columns[: len(columns)], names=columns)
+            yield out.take(pa.array(np.repeat(np.arange(batch.num_rows), times)))
+        if not used.all():
+            raise RuntimeError("a split holds other rows than before; store the table first")
+
+    return docs.select(*columns, row_key(id, text).alias("__key")).mapInArrow(apply, docs.schema)

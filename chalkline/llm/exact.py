@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chalkline.llm import blocks
+
 _NONE = -(1 << 63)
 _GROUP = "key long, text binary, keep long, size long"
 
@@ -193,3 +195,17 @@ def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", limit:
         F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
+
+
+def keep_exact(docs: DataFrame, id: str = "doc_id", text: str = "text", limit: int = 48 << 20) -> DataFrame:
+    """One row of each group of equal texts, with all its columns: one that has the largest id.
+
+    Rows that repeat id and text are one document, so one of them stays. ``docs`` is a stored table.
+    """
+    digest = F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
+    rows = docs.select(
+        F.col(id).cast("long").alias("_id"), digest.alias("sha"), F.spark_partition_id().alias("block"), blocks.row_key(id, text).alias("row_key")
+    )
+    heads = rows.join(exact_groups(docs, id, text, limit), "sha").where(F.col("_id").eqNullSafe(F.col("keep_id")))
+    chosen = heads.groupBy("sha").agg(F.min(F.struct("block", "row_key")).alias("one"))
+    return blocks.repeat_rows(docs, chosen.select("one.block", "one.row_key", F.lit(1).alias("copies")), id, text)

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chalkline.llm import blocks
 from chalkline.llm.words import WORD
 from chalkline.session import cut_lineage
 
@@ -118,7 +119,7 @@ def _whole_copies(cap: float):
     return assign
 
 
-def mix_sources(
+def _mixed(
     docs: DataFrame,
     id: str = "doc_id",
     text: str = "text",
@@ -129,18 +130,17 @@ def mix_sources(
     tolerance: float = 1e-6,
     rounds: int = 60,
 ) -> DataFrame:
-    """One row per row of ``docs``: id, size, source_size, target, taken, rate, copies.
-
-    ``rate`` is the tilted rate, ``copies`` a whole number from 0 to ``cap``, ``taken`` = copies x
-    size. Per source the taken words differ from the target by less than about half the smallest
-    size that can still correct it, since the rounding error runs from the largest to the smallest
-    cells. Which documents of a cell get the extra copy follows from a hash of the id, so reruns
-    agree. Texts without words and null texts have size 0 and one copy; a null source is a source.
-    One task sees the cells of one source: one row per different size, and one more per ``CELL``
-    documents of a size; a cell of many documents is ranked in parts of about ``CELL`` rows.
-    An empty table gives an empty table; other columns are not looked at.
-    """
-    sized = cut_lineage(docs.select(F.col(id).alias("id"), _key(source).alias("key"), F.col(source).alias("source"), word_count(text).alias("size")))
+    """(id, block, row_key, size, source_size, target, rate, copies) of every row: see ``mix_sources``."""
+    sized = cut_lineage(
+        docs.select(
+            F.col(id).alias("id"),
+            _key(source).alias("key"),
+            F.col(source).alias("source"),
+            word_count(text).alias("size"),
+            F.spark_partition_id().alias("block"),
+            blocks.row_key(id, text).alias("row_key"),
+        )
+    )
     cells = cut_lineage(sized.groupBy("key", "source", "size").agg(F.count("*").alias("n")))
     totals = cells.groupBy("key", "source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     goals = cut_lineage(source_targets(totals, weights, share, cap))
@@ -148,7 +148,7 @@ def mix_sources(
 
     hot = cells.where(F.col("n") > CELL).select("key", "size", F.ceil(F.col("n") / CELL).alias("parts"))
     part = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), F.col("parts"))).cast("long")
-    placed = sized.join(hot, ["key", "size"], "left").select("id", "key", "size", part.alias("part"))
+    placed = sized.join(hot, ["key", "size"], "left").select("id", "key", "size", "block", "row_key", part.alias("part"))
     rate = F.when(F.col("size") == 0, F.lit(1.0)).otherwise(
         _rate(F.col("tilt"), F.col("size").cast("double"), F.col("mean"), float(cap))
     )
@@ -163,7 +163,7 @@ def mix_sources(
         .applyInPandas(_whole_copies(cap), "key string, size long, part long, base long, extra long")
     )
     ranked = placed.withColumn(
-        "rank", F.row_number().over(Window.partitionBy("key", "size", "part").orderBy(F.xxhash64("id"), "id"))
+        "rank", F.row_number().over(Window.partitionBy("key", "size", "part").orderBy(F.xxhash64("id"), "id", "row_key"))
     )
     copies = F.col("base") + (F.col("rank") <= F.col("extra")).cast("long")
     return (
@@ -171,12 +171,49 @@ def mix_sources(
         .join(goals, "key")
         .join(tilts.select("key", "mean", "tilt"), "key", "left")
         .select(
-            F.col("id").alias(id),
-            "size",
-            "source_size",
-            "target",
-            (copies * F.col("size")).alias("taken"),
-            rate.alias("rate"),
-            copies.alias("copies"),
+            "id", "block", "row_key", "size", "source_size", "target", rate.alias("rate"), copies.alias("copies")
         )
     )
+
+
+def mix_sources(
+    docs: DataFrame,
+    id: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    weights: tuple[float, ...] = (3, 1, 2),
+    share: float = 1.5,
+    cap: int = 2,
+    tolerance: float = 1e-6,
+    rounds: int = 60,
+) -> DataFrame:
+    """One row per row of ``docs``: id, size, source_size, target, taken, rate, copies.
+
+    ``rate`` is the tilted rate, ``copies`` a whole number from 0 to ``cap``, ``taken`` = copies x
+    size. Per source the taken words differ from the target by less than about half the smallest
+    size that can still correct it, since the rounding error runs from the largest to the smallest
+    cells. Which documents of a cell get the extra copy follows from a hash of the id, so reruns
+    agree. Texts without words and null texts have size 0 and one copy; a null source is a source.
+    One task sees the cells of one source: one row per different size, and one more per ``CELL``
+    documents of a size; a cell of many documents is ranked in parts of about ``CELL`` rows.
+    An empty table gives an empty table; other columns are not looked at.
+    """
+    rows = _mixed(docs, id, text, source, weights, share, cap, tolerance, rounds)
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return rows.select(F.col("id").alias(id), "size", "source_size", "target", taken, "rate", "copies")
+
+
+def take_mix(
+    docs: DataFrame,
+    id: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    weights: tuple[float, ...] = (3, 1, 2),
+    share: float = 1.5,
+    cap: int = 2,
+    tolerance: float = 1e-6,
+    rounds: int = 60,
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, as often as the mix takes them. ``docs`` is a stored table."""
+    rows = _mixed(docs, id, text, source, weights, share, cap, tolerance, rounds)
+    return blocks.repeat_rows(docs, rows.where("copies > 0").select("block", "row_key", "copies"), id, text)

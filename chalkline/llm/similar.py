@@ -316,51 +316,34 @@ def _search_groups(rows: DataFrame, reps: DataFrame, wanted: DataFrame, k: int,
     return cut_lineage(sent.repartition("grp").sortWithinPartitions("grp", "node").mapInArrow(search, "a long, b long"))
 
 
-def similar_documents(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100
-) -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id (smallest id reachable by links, itself included).
-
-    Two rows link when den x (common shingles) >= num x (all shingles of both). Rows without words
-    have no shingles and link with nothing. Null texts count as empty; a null id is larger than
-    any other; repeated rows are rows with the same set. An empty table gives an empty table, other
-    columns are not looked at.
-
-    1. Equal sets become one node, however many rows have them.
-    2. Nodes that may link meet under a key of an equal part (see ``Levels``); this loses no link.
-    3. In each list of nodes that met, the first is the pivot. Nodes of a pivot are searched in
-       groups of about ``GROUP`` (see ``Group``), which connects near copies with a number of rows
-       that follows the number of nodes, not of pairs.
-    4. Lists that still hold several components are searched in full: every node outside the
-       largest component of its list meets all others, in groups of two chunks.
-    5. Components are found by contraction; a row takes the smallest id of its component.
-
-    Sets travel for nodes that met others only; texts never do (see ``blocks``, which also says
-    what ``docs`` must be). Sets are told apart by 64 bits.
-    """
+def _connected(docs: DataFrame, id: str, text: str, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(id, n, node, block, row_key) of every row, and (node, least, root) of every set: see ``similar_documents``."""
     spark = docs.sparkSession
     count, levels = blocks.shards(spark), Levels(num, den)
     rows = docs.select(
-        F.coalesce(F.col(id).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")
+        F.coalesce(F.col(id).cast("long"), F.lit(NULL_ID)).alias("id"),
+        F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"),
+        blocks.row_key(id, text).alias("row_key"),
     )
 
     def describe(batches):
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId()
-        for ids, texts in _ids(batches):
-            sets = shingle_sets(texts, words)
+        for part in (p for b in batches for p in slices(b, "text", 2 << 20)):
+            ids, sets = part.column("id").to_numpy(), shingle_sets(part.column("text"), words)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([None if i == NULL_ID else i for i in ids.tolist()], pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
                     pa.array(np.full(len(sets), block, np.int32)),
+                    part.column("row_key"),
                 ],
-                names=["id", "n", "node", "block"],
+                names=["id", "n", "node", "block", "row_key"],
             )
 
-    described = cut_lineage(rows.mapInArrow(describe, "id long, n long, node long, block int"))
+    described = cut_lineage(rows.mapInArrow(describe, "id long, n long, node long, block int, row_key long"))
     classes = described.where("node IS NOT NULL").groupBy("node").agg(
         F.min("id").alias("least"), F.min(F.struct("block", F.coalesce("id", F.lit(NULL_ID)).alias("id"))).alias("rep")
     )
@@ -458,10 +441,48 @@ def similar_documents(
 
     roots = components(links.union(more))
     named = classes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    return described, cut_lineage(named)
+
+
+def similar_documents(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100
+) -> DataFrame:
+    """One row per row of ``docs``: id, n_shingles, component_id (smallest id reachable by links, itself included).
+
+    Two rows link when den x (common shingles) >= num x (all shingles of both). Rows without words
+    have no shingles and link with nothing. Null texts count as empty; a null id is larger than
+    any other; repeated rows are rows with the same set. An empty table gives an empty table, other
+    columns are not looked at.
+
+    1. Equal sets become one node, however many rows have them.
+    2. Nodes that may link meet under a key of an equal part (see ``Levels``); this loses no link.
+    3. In each list of nodes that met, the first is the pivot. Nodes of a pivot are searched in
+       groups of about ``GROUP`` (see ``Group``), which connects near copies with a number of rows
+       that follows the number of nodes, not of pairs.
+    4. Lists that still hold several components are searched in full: every node outside the
+       largest component of its list meets all others, in groups of two chunks.
+    5. Components are found by contraction; a row takes the smallest id of its component.
+
+    Sets travel for nodes that met others only; texts never do (see ``blocks``, which also says
+    what ``docs`` must be). Sets are told apart by 64 bits.
+    """
+    described, named = _connected(docs, id, text, words, num, den)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = cut_lineage(named.join(least, "root").select("node", "component_id"))
+    of_node = named.join(least, "root").select("node", "component_id")
     return described.join(of_node, "node", "left").select(
         F.col("id").alias(id),
         F.col("n").alias("n_shingles"),
         F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
     )
+
+
+def keep_dissimilar(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100
+) -> DataFrame:
+    """One row of each component, with all its columns: the one with the smallest id (null last). Rows without words stay."""
+    described, named = _connected(docs, id, text, words, num, den)
+    row = F.struct(F.col("id").isNull().alias("last"), "id", "node", "block", "row_key")
+    first = described.where("node IS NOT NULL").groupBy("node").agg(F.min(row).alias("row"))
+    chosen = first.join(named.select("node", "root"), "node").groupBy("root").agg(F.min("row").alias("row")).select("row.block", "row.row_key")
+    bare = described.where("node IS NULL").select("block", "row_key")
+    return blocks.repeat_rows(docs, chosen.union(bare).withColumn("copies", F.lit(1)), id, text)

@@ -3,7 +3,8 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent))
+for folder in (Path(__file__).resolve().parent, Path(__file__).resolve().parents[2]):
+    sys.path.insert(0, str(folder))
 
 
 @pytest.fixture(scope="session")
