@@ -263,20 +263,33 @@ def orient_pairs(pairs: DataFrame, meta: DataFrame, max_gap: int = 2) -> DataFra
 # G7 -----------------------------------------------------------------------------------------
 
 
-def _trim(edges: DataFrame) -> DataFrame:
-    """Edges whose source is reached and whose target leads on."""
-    return edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(
-        edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"
-    )
+def _led_from_a_source(edges: DataFrame, doublings: int) -> DataFrame:
+    """Nodes ``(node)`` that no cycle leads to, as far as chains tell: those without in-edge, and those whose only way
+    back, one in-edge at a time, ends in such a node. The way back is doubled in each step."""
+    into = edges.groupBy("dst").agg(F.count("*").alias("n"), F.min("src").alias("src"))
+    sources = edges.select(F.col("src").alias("node")).distinct().join(into, F.col("node") == F.col("dst"), "left_anti")
+    back = cut_lineage(into.filter("n = 1").select(F.col("dst").alias("node"), F.col("src").alias("up")))
+    for _ in range(doublings):
+        further = back.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        back = cut_lineage(back.join(further, "up", "left").select("node", F.coalesce("top", "up").alias("up")))
+    return sources.union(back.join(sources.select(F.col("node").alias("up")), "up", "left_semi").select("node"))
 
 
 def cyclic_core(edges: DataFrame) -> DataFrame:
-    """Edges left after trimming nodes without in- or out-edges until nothing changes. A trimmed edge
-    lies on no cycle. One checkpoint per round keeps the plan short."""
-    core = cut_lineage(edges.filter(F.col("src") != F.col("dst")))
+    """Edges left after leaving out, until nothing changes, edges that come from nodes no cycle leads to or go to
+    nodes that lead to no cycle. An edge left out lies on no cycle.
+
+    A round settles whole chains, by steps that double, so the number of rounds follows how often
+    chains meet, not how long they are."""
+    core = cut_lineage(edges.filter(F.col("src") != F.col("dst")).distinct())
     before = core.count()
     while before:
-        core = cut_lineage(_trim(core))
+        doublings = max(1, before.bit_length())
+        ahead = _led_from_a_source(core.select("src", "dst"), doublings).select(F.col("node").alias("src"))
+        core = cut_lineage(core.join(ahead, "src", "left_anti"))
+        turned = core.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        behind = _led_from_a_source(turned, doublings).select(F.col("node").alias("dst"))
+        core = cut_lineage(core.join(behind, "dst", "left_anti"))
         after = core.count()
         if after == before:
             break
@@ -312,49 +325,39 @@ def components(edges: DataFrame) -> DataFrame:
 
 def acyclic_core(edges: DataFrame) -> DataFrame:
     """``edges(src, dst, weight)`` with ``kept``: heaviest first, an edge that closes a cycle of
-    kept edges is dropped (ties by src, dst).
+    kept edges is dropped (ties by src, dst; without weight last).
 
-    Oriented edges can only form a cycle among outcomes of unknown grade or Bloom. All other edges are
-    settled by trimming in Spark; what remains is decided per weak component of the core. Both the
-    greedy rule and the trimming see each cycle in one component, so the result equals the greedy
-    rule on the whole graph."""
+    Edges outside the cyclic core stay and are settled by joins. Core edges that are connected are
+    one group, a task each: for every node it holds the set of nodes from which kept edges lead to
+    it, as one long integer, so an edge is tested by one bit and a kept edge adds the set of its
+    source to all nodes its target leads to. A group of n nodes takes n * n / 8 bytes."""
     import pandas as pd
 
-    core = cyclic_core(edges)
+    core = cyclic_core(edges.select("src", "dst")).join(edges, ["src", "dst"])
     labels = components(core)
     grouped = core.join(labels.withColumnRenamed("node", "src"), "src")
 
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["weight", "src", "dst"], ascending=[False, True, True])
-        after: dict = {}
-        drop = []
-        for src, dst in zip(pdf["src"], pdf["dst"]):
-            seen, stack = set(), [dst]
-            closes = False
-            while stack:
-                node = stack.pop()
-                if node == src:
-                    closes = True
-                    break
-                if node not in seen:
-                    seen.add(node)
-                    stack.extend(after.get(node, ()))
-            drop.append(closes)
-            if not closes:
-                after.setdefault(src, []).append(dst)
-        return pdf[["src", "dst"]].assign(dropped=drop)
+    def settle(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["weight", "src", "dst"], ascending=[False, True, True], ignore_index=True)
+        number, _ = pd.factorize(pd.concat([part["src"], part["dst"]], ignore_index=True))
+        tails, heads = number[: len(part)].tolist(), number[len(part) :].tolist()
+        upstream = [1 << k for k in range(int(number.max()) + 1)]  # a node counts as upstream of itself
+        stays = []
+        for tail, head in zip(tails, heads):
+            ok = not upstream[tail] >> head & 1
+            stays.append(ok)
+            if ok and not upstream[head] >> tail & 1:
+                gained, bit = upstream[tail], 1 << head
+                upstream = [u | gained if u & bit else u for u in upstream]
+        return part.loc[[not x for x in stays], ["src", "dst"]]
 
     kind = edges.schema["src"].dataType.simpleString()
-    dropped = (
-        grouped.groupBy("component")
-        .applyInPandas(decide, f"src {kind}, dst {kind}, dropped boolean")
-        .filter("dropped")
-        .select("src", "dst", F.lit(False).alias("_kept"))
-    )
+    dropped = grouped.groupBy("component").applyInPandas(settle, f"src {kind}, dst {kind}").distinct()
+    dropped = dropped.withColumn("_kept", F.lit(False))
     loop = F.col("src") == F.col("dst")
     return edges.join(dropped, ["src", "dst"], "left").withColumn("kept", F.coalesce("_kept", ~loop)).drop("_kept")
 
 
 def has_cycle(edges: DataFrame) -> bool:
     """Whether any directed cycle exists."""
-    return not edges.filter(F.col("src") == F.col("dst")).isEmpty() or not cyclic_core(edges).isEmpty()
+    return not edges.filter(F.col("src") == F.col("dst")).isEmpty() or not cyclic_core(edges.select("src", "dst")).isEmpty()

@@ -46,6 +46,18 @@ def test_chain_has_no_core(spark):
     assert G.acyclic_core(chain).filter("kept").count() == 9 and not G.has_cycle(chain)
 
 
+def test_long_chain_takes_few_rounds(spark, monkeypatch):
+    calls = []
+    plain = G.cut_lineage
+    monkeypatch.setattr(G, "cut_lineage", lambda df: calls.append(1) or plain(df))
+    n = 10_000
+    chain = spark.range(n).selectExpr("id AS src", "id + 1 AS dst", "1.0D AS weight")
+    ring = spark.createDataFrame([(n, n + 1, 3.0), (n + 1, n + 2, 1.0), (n + 2, n, 2.0)], "src long, dst long, weight double")
+    out = G.acyclic_core(chain.union(ring))
+    assert [(r.src, r.dst) for r in out.filter("NOT kept").collect()] == [(n + 1, n + 2)]
+    assert len(calls) < 120  # doubling steps, not layers
+
+
 def make_segments(spark):
     rows = []
     for i in range(1, 13):
