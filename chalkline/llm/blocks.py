@@ -61,6 +61,16 @@ def load(folder: str, name: str) -> dict[str, np.ndarray]:
         return {}
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint a reduced table (counts, edges, models) in as many files as the cluster has cores, not one a partition.
+
+    Not for a scan that asks for its split: the tasks are no longer those of the splits.
+    """
+    from chalkline.session import cut_lineage
+
+    return cut_lineage(df.coalesce(df.sparkSession.sparkContext.defaultParallelism))
+
+
 def shards(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

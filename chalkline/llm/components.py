@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.session import cut_lineage
+from chalkline.llm.blocks import cut
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -16,19 +16,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     grows with the logarithm of the number of nodes. Only minima are taken per node, so a node with
     very many edges is reduced before the shuffle.
     """
-    left = cut_lineage(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
+    left = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
     nodes = left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))).distinct()
     labels = nodes.withColumn("root", F.col("node"))
     while not left.isEmpty():
         both = left.union(left.select("b", "a"))
-        hooks = cut_lineage(both.groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p")))
+        hooks = cut(both.groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p")))
         for _ in range(2):
             next_ = hooks.select(F.col("a").alias("p"), F.col("p").alias("q"))
             hooks = hooks.join(next_, "p", "left").select("a", F.coalesce("q", "p").alias("p"))
-        hooks = cut_lineage(hooks)
+        hooks = cut(hooks)
         to = lambda x, y: hooks.select(F.col("a").alias(x), F.col("p").alias(y))
-        left = cut_lineage(
+        left = cut(
             left.join(to("a", "pa"), "a").join(to("b", "pb"), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")).where("a <> b").distinct()
         )
         labels = labels.join(to("root", "p"), "root", "left").select("node", F.coalesce("p", "root").alias("root"))
-    return cut_lineage(labels)
+    return cut(labels)

@@ -72,7 +72,7 @@ def solve_tilts(cells: DataFrame, goals: DataFrame, cap: float, tolerance: float
         "key", "target", F.lit(0.0).alias("tilt"), F.lit(False).alias("done"), full.alias("full")
     )
     means = cells.groupBy("key").agg((F.sum(F.col("n") * F.col("size")) / F.sum("n")).cast("double").alias("mean"))
-    state = cut_lineage(state.join(means, "key"))
+    state = blocks.cut(state.join(means, "key"))
     for _ in range(rounds):
         size, mean, n = F.col("size").cast("double"), F.col("mean"), F.col("n")
         r = _rate(F.col("tilt"), size, mean, cap)
@@ -82,7 +82,7 @@ def solve_tilts(cells: DataFrame, goals: DataFrame, cap: float, tolerance: float
             .agg(F.sum(n * size * r).alias("got"), F.sum(n * size * size / mean * r * (1 - r / cap)).alias("slope"))
         )
         step = F.when(F.col("slope") > 0, (F.col("got") - F.col("target")) / F.col("slope")).otherwise(0.0)
-        state = cut_lineage(
+        state = blocks.cut(
             state.join(sums, "key", "left").select(
                 "key",
                 "target",
@@ -141,9 +141,9 @@ def _mixed(
             blocks.row_key(id, text).alias("row_key"),
         )
     )
-    cells = cut_lineage(sized.groupBy("key", "source", "size").agg(F.count("*").alias("n")))
+    cells = blocks.cut(sized.groupBy("key", "source", "size").agg(F.count("*").alias("n")))
     totals = cells.groupBy("key", "source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
-    goals = cut_lineage(source_targets(totals, weights, share, cap))
+    goals = blocks.cut(source_targets(totals, weights, share, cap))
     tilts = solve_tilts(cells.where("size > 0").drop("source"), goals, float(cap), tolerance, rounds)
 
     hot = cells.where(F.col("n") > CELL).select("key", "size", F.ceil(F.col("n") / CELL).alias("parts"))

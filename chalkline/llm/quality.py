@@ -53,12 +53,12 @@ def fit(counts: DataFrame, order: int) -> tuple[dict[int, DataFrame], dict[int,
     the left of an n-gram, but for those that begin in the padding, which keep their own counts.
     Each order is a few aggregations and joins over n-grams, sharded by n-gram or context.
     """
-    tables = {order: cut_lineage(counts.select("g", "raw", F.col("raw").alias("a")))}
+    tables = {order: blocks.cut(counts.select("g", "raw", F.col("raw").alias("a")))}
     for n in range(order - 1, 0, -1):
         up = tables[n + 1].select(_low(F.col("g"), n).alias("g"), "raw")
         t = up.groupBy("g").agg(F.sum("raw").alias("raw"), F.count("*").alias("left"))
         padded = F.shiftright("g", 8 * (n - 1)) == 0
-        tables[n] = cut_lineage(t.select("g", "raw", F.when(padded, F.col("raw")).otherwise(F.col("left")).alias("a")))
+        tables[n] = blocks.cut(t.select("g", "raw", F.when(padded, F.col("raw")).otherwise(F.col("left")).alias("a")))
     seen: dict[int, DataFrame] = {}
     gammas: dict[int, DataFrame] = {}
     for n in range(1, order + 1):
@@ -68,15 +68,15 @@ def fit(counts: DataFrame, order: int) -> tuple[dict[int, DataFrame], dict[int,
         off = F.when(a == 1, d1).when(a == 2, d2).otherwise(d3)
         t = tables[n].withColumn("ctx", F.shiftright("g", 8))
         sums = t.groupBy("ctx").agg(F.sum("a").alias("all"), F.sum(off).alias("off"))
-        sums = cut_lineage(sums.select("ctx", "all", (F.col("off") / F.col("all")).alias("gamma")))
+        sums = blocks.cut(sums.select("ctx", "all", (F.col("off") / F.col("all")).alias("gamma")))
         gammas[n] = sums.select("ctx", "gamma")
         t = t.join(sums, "ctx").select("g", ((a - off) / F.col("all")).alias("own"), "gamma")
         if n == 1:
-            seen[n] = cut_lineage(t.select("g", (F.col("own") + F.col("gamma") / (SYMBOLS + 1)).alias("p")))
+            seen[n] = blocks.cut(t.select("g", (F.col("own") + F.col("gamma") / (SYMBOLS + 1)).alias("p")))
         else:
             lower = seen[n - 1].select(F.col("g").alias("suffix"), F.col("p").alias("below"))
             t = t.withColumn("suffix", _low(F.col("g"), n - 1)).join(lower, "suffix")
-            seen[n] = cut_lineage(t.select("g", (F.col("own") + F.col("gamma") * F.col("below")).alias("p")))
+            seen[n] = blocks.cut(t.select("g", (F.col("own") + F.col("gamma") * F.col("below")).alias("p")))
     return seen, gammas
 
 
@@ -141,7 +141,7 @@ class Scorer:
             if out:
                 yield _rows(list(zip(*out)), ["shard", "block", "keys"], [pa.int32(), pa.int32(), pa.binary()])
 
-        asked = cut_lineage(rows.mapInArrow(ask, "shard int, block int, keys binary").repartition(count, "shard"))
+        asked = blocks.cut(rows.mapInArrow(ask, "shard int, block int, keys binary").repartition(count, "shard"))
 
         def different(batches):
             keys = [np.frombuffer(k, "<i8") for b in batches for k in b.column("keys").to_pylist()]

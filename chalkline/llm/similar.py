@@ -313,7 +313,7 @@ def _search_groups(rows: DataFrame, reps: DataFrame, wanted: DataFrame, k: int,
     if not asked:
         return spark.createDataFrame([], "a long, b long")
     sent = rows.mapInArrow(send, "grp long, node long, known long, tokens binary")
-    return cut_lineage(sent.repartition("grp").sortWithinPartitions("grp", "node").mapInArrow(search, "a long, b long"))
+    return blocks.cut(sent.repartition("grp").sortWithinPartitions("grp", "node").mapInArrow(search, "a long, b long"))
 
 
 def _connected(docs: DataFrame, id: str, text: str, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -403,11 +403,11 @@ def _connected(docs: DataFrame, id: str, text: str, words: int, num: int, den: i
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["list", "members"])
 
     posted = blocks.by_shard(rows.mapInArrow(post, _POSTINGS), count)
-    met = cut_lineage(posted.mapInArrow(meet, _LIST))
+    met = blocks.cut(posted.mapInArrow(meet, _LIST))
     entries = met.select("list", F.get("members", F.lit(0)).alias("pivot"), F.explode("members").alias("node"))
 
     # first search: a pivot and the nodes that met it
-    pairs = cut_lineage(entries.where("node <> pivot").select("pivot", "node").distinct())
+    pairs = blocks.cut(entries.where("node <> pivot").select("pivot", "node").distinct())
     chunks = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / GROUP).alias("chunks"))
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks"))
     spread = pairs.join(chunks, "pivot").select(F.xxhash64("pivot", chunk).alias("grp"), "node")
@@ -419,7 +419,7 @@ def _connected(docs: DataFrame, id: str, text: str, words: int, num: int, den: i
 
     # second search: lists that are not of one component
     entries = entries.select("list", "node").distinct().join(roots, "node", "left").select("list", "node", F.coalesce("root", "node").alias("root"))
-    entries = cut_lineage(entries)
+    entries = blocks.cut(entries)
     parts = entries.groupBy("list", "root").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("list").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most")).where("roots > 1")
     mixed = mixed.select(
@@ -441,7 +441,7 @@ def _connected(docs: DataFrame, id: str, text: str, words: int, num: int, den: i
 
     roots = components(links.union(more))
     named = classes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    return described, cut_lineage(named)
+    return described, blocks.cut(named)
 
 
 def similar_documents(
