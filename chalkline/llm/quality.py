@@ -103,7 +103,7 @@ class Scorer:
         spark = docs.sparkSession
         self.folder, self.count = blocks.shared_folder(spark, "quality"), blocks.shards(spark)
         self._mark(trusted, held_out)
-        rows = self._texts(docs.select())
+        rows = self._texts()
         folder, count = self.folder, self.count
 
         def learn(batches):
@@ -172,9 +172,8 @@ class Scorer:
 
         answers.repartition(count, "block").mapInArrow(keep, "block int").agg(F.count("*")).collect()
 
-    def _texts(self, columns: DataFrame) -> DataFrame:
+    def _texts(self) -> DataFrame:
         return self.docs.select(
-            *columns.columns,
             F.coalesce(F.col(self.id).cast("long"), F.lit(NULL_ID)).alias("__id"),
             F.coalesce(F.col(self.text), F.lit("")).cast("binary").alias("__text"),
         )
@@ -217,14 +216,17 @@ class Scorer:
 
         found.mapInArrow(keep, "block int").agg(F.count("*")).collect()
 
-    def score(self, *columns: str) -> DataFrame:
-        """``columns`` of every row, with __tokens, __logp (natural, all tokens) and __limits (whether the row sets limits)."""
-        folder, order, width = self.folder, self.order, len(columns)
+    def score(self, lang: str) -> DataFrame:
+        """The id, ``lang``, block and row_key of every row, with __tokens, __logp (natural, of all tokens) and
+        __limits (whether the row sets limits)."""
+        folder, order = self.folder, self.order
+        names = [self.id, lang, "__row_key"]
 
         def run(batches):
             from pyspark import TaskContext
 
-            side, logs = Scorer._side(folder), blocks.load(folder, f"logs-{TaskContext.get().partitionId()}")
+            block = TaskContext.get().partitionId()
+            side, logs = Scorer._side(folder), blocks.load(folder, f"logs-{block}")
             for batch in batches:
                 for part in slices(batch, "__text", 2 << 20):
                     g, row = grams(part.column("__text"), order)
@@ -233,15 +235,16 @@ class Scorer:
                         raise RuntimeError("a split holds other rows than before; store the table first")
                     n = part.num_rows
                     more = [
+                        pa.array(np.full(n, block, np.int32)),
                         pa.array(np.bincount(row, minlength=n)),
                         pa.array(np.bincount(row, logs["p"][place], n)),
                         pa.array(Scorer._has(side, part.column("__id").to_numpy().astype(np.int64), 1)),
                     ]
-                    yield pa.RecordBatch.from_arrays(part.columns[:width] + more, names=[*columns, "__tokens", "__logp", "__limits"])
+                    yield pa.RecordBatch.from_arrays(part.columns[:3] + more, names=[*names, "__block", "__tokens", "__logp", "__limits"])
 
-        chosen = self.docs.select(*columns)
-        fields = [T.StructField("__tokens", T.LongType()), T.StructField("__logp", T.DoubleType()), T.StructField("__limits", T.BooleanType())]
-        return self._texts(chosen).mapInArrow(run, T.StructType([*chosen.schema.fields, *fields]))
+        chosen = self.docs.select(self.id, lang, blocks.row_key(self.id, self.text).alias("__row_key"), F.coalesce(F.col(self.id).cast("long"), F.lit(NULL_ID)).alias("__id"), F.coalesce(F.col(self.text), F.lit("")).cast("binary").alias("__text"))
+        fields = [T.StructField("__block", T.IntegerType()), T.StructField("__tokens", T.LongType()), T.StructField("__logp", T.DoubleType()), T.StructField("__limits", T.BooleanType())]
+        return chosen.mapInArrow(run, T.StructType([*chosen.schema.fields[:3], *fields]))
 
 
 def _perplexity() -> Column:
@@ -268,15 +271,16 @@ def limits(scores: DataFrame, lang: str, quantile: float, slack: float, least: i
     return by.select("key", threshold.alias("threshold")), pooled
 
 
-def _judged(scorer: Scorer, columns: list[str], lang: str, quantile: float, slack: float, least: int, short: float) -> DataFrame:
-    """``columns`` of every row with __tokens, __perplexity, __threshold and __kept.
+def _judged(scorer: Scorer, lang: str, quantile: float, slack: float, least: int, short: float) -> DataFrame:
+    """(id, lang, block, row_key, __tokens, __perplexity, __threshold, __kept) of every row, scored once.
 
     The mean over few bytes strays further, so a text of n bytes may pass the limit by
     ``short`` / sqrt(n) in the logarithm.
     """
-    by, pooled = limits(cut_lineage(scorer.score(lang)), lang, quantile, slack, least)
+    rows = cut_lineage(scorer.score(lang))
+    by, pooled = limits(rows, lang, quantile, slack, least)
     by = by.select(F.col("key").alias("__key"), F.col("threshold").alias("__threshold"))
-    rows = scorer.score(*columns).withColumns({"__perplexity": _perplexity(), "__key": _key(lang)})
+    rows = rows.withColumns({"__perplexity": _perplexity(), "__key": _key(lang)})
     rows = rows.join(by, "__key", "left").withColumn("__threshold", F.coalesce("__threshold", F.lit(pooled).cast("double")))
     rows = rows.withColumn("__threshold", F.col("__threshold") * F.exp(short / F.sqrt("__tokens")))
     fits = F.coalesce(F.col("__perplexity") <= F.col("__threshold"), F.col("__threshold").isNull())
@@ -320,7 +324,7 @@ def judge_quality(
     trusted together. An empty table gives an empty table; other columns are not looked at.
     """
     scorer = Scorer(docs, trusted, id, text, order, held_out)
-    rows = _judged(scorer, [id, lang], lang, quantile, slack, least, short)
+    rows = _judged(scorer, lang, quantile, slack, least, short)
     names = {"__tokens": "n_tokens", "__perplexity": "perplexity", "__threshold": "threshold", "__kept": "kept"}
     return rows.select(id, lang, *[F.col(a).alias(b) for a, b in names.items()])
 
@@ -338,6 +342,8 @@ def keep_quality(
     least: int = 50,
     short: float = 2.0,
 ) -> DataFrame:
-    """The rows that ``judge_quality`` keeps, with all their columns. The decision is made in the scan, row by row."""
+    """The rows that ``judge_quality`` keeps, with all their columns, each row judged by itself."""
     scorer = Scorer(docs, trusted, id, text, order, held_out)
-    return _judged(scorer, docs.columns, lang, quantile, slack, least, short).where("__kept").select(*docs.columns)
+    kept = _judged(scorer, lang, quantile, slack, least, short).where("__kept")
+    decisions = kept.select(F.col("__block").alias("block"), F.col("__row_key").alias("row_key"), F.lit(1).alias("copies"))
+    return blocks.repeat_rows(docs, decisions, id, text)
