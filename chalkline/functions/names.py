@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chalkline.functions.rows import posexplode_into
+from chalkline.functions.spaces import EDGES, SPACE, SPACE_CHARS
 
 # Roll-call words.
 PRESENT_WORDS = [
@@ -51,8 +52,8 @@ def dice_of(left: Column, right: Column, grams_a: Column, grams_b: Column) -> Co
 
 def normalize_status(text: Column) -> Column:
     """present, absent or unknown. Absent words win, since some hold a present word."""
-    lower = F.regexp_replace(F.trim(F.lower(text)), r"\s+", " ")
-    joined = F.regexp_replace(lower, r"\s", "")
+    lower = F.regexp_replace(F.trim(F.lower(text)), f"{SPACE}+", " ")
+    joined = F.regexp_replace(lower, SPACE, "")
 
     def says(words: list[str]) -> Column:
         hit = F.lit(False)
@@ -72,15 +73,14 @@ def parse_roster(rosters: DataFrame, text: str = "text") -> DataFrame:
     """one row per student line with ``line_no``, ``student_name``, ``father_name``, ``parent_phone``."""
     split = F.split(F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), "\r", "\n"), "\n")
     lines = posexplode_into(rosters, [c for c in rosters.columns if c != text], split, "line_no", "_line")
-    edges = r"^\s+|\s+$"
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("_line", edges, ""), r"^\d+\.\s*", ""), r"^[-*•]\s*", "")
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("_line", EDGES, ""), rf"^\d+\.{SPACE}*", ""), f"^[-*•]{SPACE}*", "")
     cleaned = lines.withColumn("_line", bare).withColumn(
-        "_found", F.nullif(F.regexp_extract("_line", r"(\+?\d[\d\s-]{8,}\d)", 1), F.lit(""))
+        "_found", F.nullif(F.regexp_extract("_line", rf"(\+?\d[\d{SPACE_CHARS}-]{{8,}}\d)", 1), F.lit(""))
     )
-    without = F.regexp_replace("_line", r"(?s)^(.*?)\+?\d[\d\s-]{8,}\d", "$1 ")
-    tidy = F.trim(F.regexp_replace(F.trim(F.regexp_replace(without, r"\s+", " ")), r"[,;|]\s*$", ""))
+    without = F.regexp_replace("_line", rf"(?s)^(.*?)\+?\d[\d{SPACE_CHARS}-]{{8,}}\d", "$1 ")
+    tidy = F.trim(F.regexp_replace(F.trim(F.regexp_replace(without, f"{SPACE}+", " ")), f"[,;|]{SPACE}*$", ""))
     cleaned = cleaned.withColumn("_line", F.when(F.col("_found").isNull(), F.col("_line")).otherwise(tidy))
-    pair = r"(?i)^(.+?)\s+[sd]/o\s+(.+)$"
+    pair = f"(?i)^(.+?){SPACE}+[sd]/o{SPACE}+(.+)$"
     is_pair = F.col("_line").rlike(pair)
     comma = F.contains("_line", F.lit(","))
     name = (
@@ -98,7 +98,7 @@ def parse_roster(rosters: DataFrame, text: str = "text") -> DataFrame:
             {
                 "student_name": name,
                 "father_name": father,
-                "parent_phone": F.regexp_replace("_found", r"[\s-]", ""),
+                "parent_phone": F.regexp_replace("_found", f"[{SPACE_CHARS}-]", ""),
             }
         )
         .filter(F.col("student_name") != "")
@@ -110,7 +110,7 @@ def normalize_phone(raw: Column, country_code: str = "") -> Column:
     """``struct<valid, normalized, reason>`` with the reason required, letters, too_short,
     too_long, invalid or blocked."""
     digits_cc = "".join(ch for ch in country_code if ch.isdigit())
-    phone = F.regexp_replace(raw.cast("string"), r"[\s\-()]", "")
+    phone = F.regexp_replace(raw.cast("string"), rf"[{SPACE_CHARS}\-()]", "")
     has_letters = phone.rlike("[a-zA-Z]")
     if digits_cc:
         phone = F.when(phone.rlike(r"^0\d{6,}$"), F.concat(F.lit(f"+{digits_cc}"), F.substr(phone, F.lit(2)))).otherwise(phone)

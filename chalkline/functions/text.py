@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chalkline.functions.rows import posexplode_into
+from chalkline.functions.spaces import EDGES, SPACE, SPACE_CHARS
 
 ARABIC_BLOCK = "\\u0600-\\u06FF"
 
@@ -64,30 +65,30 @@ def clean_transcript(text: Column) -> Column:
     start, end = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"  # word borders by ASCII letters only
     for pattern in (
         r"\[\d{2}:\d{2}\]",
-        rf"(?i){start}Teacher{end}\s*\([A-Z]{{2}}\)\s*:",
-        rf"(?i){start}Student{end}\s*\([A-Z]{{2}}\)\s*:",
+        rf"(?i){start}Teacher{end}{SPACE}*\([A-Z]{{2}}\){SPACE}*:",
+        rf"(?i){start}Student{end}{SPACE}*\([A-Z]{{2}}\){SPACE}*:",
         rf"(?i){start}(EN|UR|AR|ES){end}",
     ):
         out = F.regexp_replace(out, pattern, "")
-    out = F.regexp_replace(out, r"\s{2,}", " ")
-    return F.regexp_replace(out, r"^\s+|\s+$", "")
+    out = F.regexp_replace(out, SPACE + "{2,}", " ")
+    return F.regexp_replace(out, EDGES, "")
 
 
 def tokenize(text: Column) -> Column:
     """F8: lower-case words of ASCII word characters and the Arabic block."""
-    kept = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"[^\\w\\s{ARABIC_BLOCK}]", "")
-    return F.filter(F.split(kept, r"\s+"), lambda w: w != "")
+    kept = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"[^\\w{SPACE_CHARS}{ARABIC_BLOCK}]", "")
+    return F.filter(F.split(kept, f"{SPACE}+"), lambda w: w != "")
 
 
 def parse_lines(df: DataFrame, text: str = "text") -> DataFrame:
     """F8: transcript lines as rows with time, speaker, speaker type and text."""
-    pattern = r"(?i)^\[(\d{2}:\d{2})\]\s*(Teacher|Student\s*\d*)\s*\((\w+)\):\s*(.*)$"
+    pattern = rf"(?i)^\[(\d{{2}}:\d{{2}})\]{SPACE}*(Teacher|Student{SPACE}*\d*){SPACE}*\((\w+)\):{SPACE}*(.*)$"
     lines = posexplode_into(
         df, [c for c in df.columns if c != text], F.split(text, "\n"), "line_no", "_line"
-    ).filter(F.trim(F.regexp_replace("_line", r"\s", " ")) != "")
+    ).filter(F.trim(F.regexp_replace("_line", SPACE, " ")) != "")
     spoken = F.col("_line").rlike(pattern)
     speaker = F.trim(F.regexp_extract("_line", pattern, 2))
-    whole = F.regexp_replace("_line", r"^\s+|\s+$", "")
+    whole = F.regexp_replace("_line", EDGES, "")
     return lines.withColumns(
         {
             "spoken_at": F.when(spoken, F.regexp_extract("_line", pattern, 1)).otherwise("--:--"),
@@ -106,7 +107,7 @@ def script_of(text: Column) -> Column:
 def detect_language(text: Column) -> Column:
     """language by letter shares."""
     body = F.coalesce(text, F.lit(""))
-    total = F.length(F.regexp_replace(body, r"\s", ""))
+    total = F.length(F.regexp_replace(body, SPACE, ""))
 
     def share(pattern: str) -> Column:
         return F.regexp_count(body, F.lit(pattern)) / total
@@ -188,7 +189,7 @@ def mispronounced(json: Column, language: Column) -> Column:
 def paragraph_chunks(text: Column, limit: int = 15000) -> Column:
     """paragraphs packed in order into chunks of at most ``limit`` characters; a longer
     paragraph stays whole. Works inside one row."""
-    edge = r"^\s+|\s+$"
+    edge = EDGES
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
 
     def step(acc: Column, para: Column) -> Column:

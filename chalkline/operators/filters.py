@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chalkline.operators.ordered import top_n
@@ -265,12 +265,32 @@ def exclude_answered(sessions: DataFrame, questions: DataFrame, answers: DataFra
     ``sessions(session_id, quiz_id, level)``, ``questions(question_id, quiz_id, difficulty_level,
     sort_order)``, ``answers(session_id, question_id)``. An unanswered question at the level wins,
     else one within one level; the first in sort order. Each session meets the questions of its
-    own quiz only.
+    own answers only: questions are numbered per quiz and level, and the first number that the
+    session's answers there leave out is the next question. The rows made are three per session
+    and one per answer.
     """
-    reachable = sessions.join(questions, "quiz_id").filter(
-        F.col("difficulty_level").between(F.greatest(F.lit(1), F.col("level") - 1), F.least(F.lit(5), F.col("level") + 1))
+    order = Window.partitionBy("quiz_id", "difficulty_level").orderBy("sort_order", "question_id")
+    numbered = questions.withColumn("_nth", F.row_number().over(order))
+    levels = sessions.withColumn("difficulty_level", F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1))).filter(
+        F.col("difficulty_level").between(1, 5)
+    )
+    given = (
+        answers.select("session_id", "question_id")
+        .distinct()
+        .join(numbered.select("question_id", F.col("quiz_id").alias("_quiz"), "difficulty_level", "_nth"), "question_id")
+        .join(sessions.select("session_id", F.col("quiz_id").alias("_quiz")), ["session_id", "_quiz"])
+    )
+    place = F.row_number().over(Window.partitionBy("session_id", "difficulty_level").orderBy("_nth"))
+    gaps = (
+        given.withColumn("_place", place)
+        .groupBy("session_id", "difficulty_level")
+        .agg(F.coalesce(F.min(F.when(F.col("_nth") != F.col("_place"), F.col("_place"))), F.count("*") + 1).cast("int").alias("_gap"))
+    )
+    open_ = (
+        levels.join(gaps, ["session_id", "difficulty_level"], "left")
+        .withColumn("_nth", F.coalesce("_gap", F.lit(1)))
+        .join(numbered.select("quiz_id", "difficulty_level", "_nth", "question_id", "sort_order"), ["quiz_id", "difficulty_level", "_nth"])
     )
-    open_ = reachable.join(answers.select("session_id", "question_id").distinct(), ["session_id", "question_id"], "left_anti")
     rank = F.struct((F.col("difficulty_level") != F.col("level")).alias("other"), "sort_order", "question_id")
     return (
         open_.groupBy("session_id", "quiz_id", "level")

@@ -1,8 +1,9 @@
 """Exact percentiles of groups of any size (N4, used by A25 and A30).
 
 The built-in exact aggregates hold every distinct value of a group in one
-buffer. Here distinct values are counted first, summed into equal-width bins
-between the group's smallest and largest value, and only the bins that hold a
+buffer. Here distinct values are counted first, summed into bins between
+approximate quantiles of the group's distinct values, so that a bin holds about
+as many of them as any other wherever they lie, and only the bins that hold a
 wanted rank are ordered.
 """
 
@@ -13,7 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 4096
+#: bins per group, in rows of STEP for a search in two steps
+BINS, STEP = 1024, 32
 
 
 def exact_percentiles(
@@ -33,8 +35,9 @@ def exact_percentiles(
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(
         (F.sum(weight) if weight else F.count("*")).alias("_n")
     )
+    shares = F.array(*[F.lit(i / BINS) for i in range(BINS)])
     bounds = counted.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total")
+        F.percentile_approx("_v", shares, F.lit(8 * BINS)).alias("_cuts"), F.sum("_n").alias("_total")
     )
     keyed = [F.col(k) for k in keys]
 
@@ -47,8 +50,19 @@ def exact_percentiles(
             cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
         return left.join(renamed, cond).drop(*[f"_r_{k}" for k in on])
 
-    width = F.when(F.col("_hi") > F.col("_lo"), (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
-    binned = attach(counted, bounds, keys).withColumn("_bin", F.floor(width * BINS).cast("int"))
+    below = lambda part: F.size(F.filter(part, lambda cut: cut < F.col("_v")))
+    tops = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1), F.lit(STEP)), lambda i: F.get(F.col("_cuts"), i))
+    binned = (
+        attach(counted, bounds.withColumn("_tops", tops), keys)
+        .withColumn("_row", below(F.col("_tops")))
+        .withColumn(
+            "_bin",
+            F.when(F.col("_row") == 0, 0).otherwise(
+                (F.col("_row") - 1) * STEP + 1 + below(F.slice("_cuts", (F.col("_row") - 1) * STEP + 2, F.lit(STEP - 1)))
+            ),
+        )
+        .drop("_cuts", "_tops", "_row")
+    )
     order = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     bins = (
         binned.groupBy(*keys, "_bin")
@@ -70,7 +84,7 @@ def exact_percentiles(
         for rank in ranks(p, method):
             hits = hits | ((rank >= F.col("_bstart")) & (rank < F.col("_bend")))
     target = bins.filter(hits).select(*keyed, "_bin", "_bstart")
-    near = attach(binned.drop("_lo", "_hi"), target, [*keys, "_bin"])
+    near = attach(binned, target, [*keys, "_bin"])
     inside = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     placed = near.withColumn("_end", F.col("_bstart") + F.sum("_n").over(inside)).withColumn(
         "_start", F.col("_end") - F.col("_n")

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from chalkline.functions.bands import comprehension
 from chalkline.functions.letters import letters_correct
 from chalkline.functions.maths import half_up
+from chalkline.functions.spaces import EDGES, SPACE, SPACE_CHARS
 from chalkline.functions.text import clean_transcript, tokenize
 
 _ERROR = "struct<type:string,expected:string,actual:string,position:int>"
@@ -174,8 +175,8 @@ def text_pronunciation(pairs: DataFrame, reference: str = "reference", heard: st
     The heard words become a map, so each reference word costs one lookup."""
 
     def words(column: str) -> Column:
-        kept = F.regexp_replace(F.lower(column), r"[^\w\s]", "")
-        return F.split(F.regexp_replace(kept, r"^\s+|\s+$", ""), r"\s+")
+        kept = F.regexp_replace(F.lower(column), rf"[^\w{SPACE_CHARS}]", "")
+        return F.split(F.regexp_replace(kept, EDGES, ""), f"{SPACE}+")
 
     split = pairs.withColumns({"_ref": words(reference), "_heard": words(heard)}).withColumn(
         "_known", F.map_from_entries(F.transform(F.array_distinct("_heard"), lambda w: F.struct(w, F.lit(True))))

@@ -302,7 +302,7 @@ def weighted_index(catalog: DataFrame, fields: dict[str, str], key: str = "id")
         F.struct(
             F.lit(WEIGHTS[letter]).alias("weight"),
             F.array_distinct(
-                F.filter(F.split(F.lower(F.coalesce(F.col(name).cast("string"), F.lit(""))), r"[^\w]+"), lambda t: t != "")
+                F.filter(F.split(F.lower(F.coalesce(F.col(name).cast("string"), F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda t: t != "")
             ).alias("tokens"),
         )
         for name, letter in fields.items()

@@ -320,15 +320,15 @@ def g7(spark, folder):
 
 @query(
     "G7_ring_cuts",
-    """WITH e AS (SELECT c_custkey AS src, CASE WHEN (c_custkey - 1) % 3 = 2 OR c_custkey = (SELECT max(c_custkey) FROM customer) THEN c_custkey - (c_custkey - 1) % 3 ELSE c_custkey + 1 END AS dst,
-        CAST(c_acctbal AS DOUBLE) AS weight, (c_custkey - 1) // 3 AS ring FROM customer)
+    """WITH e AS (SELECT c_custkey AS src, CASE WHEN c_custkey % 3 = 2 OR c_custkey = (SELECT max(c_custkey) FROM customer) THEN c_custkey - c_custkey % 3 ELSE c_custkey + 1 END AS dst,
+        CAST(c_acctbal AS DOUBLE) AS weight, c_custkey // 3 AS ring FROM customer)
     SELECT src, dst, weight, row_number() OVER (PARTITION BY ring ORDER BY weight DESC, src, dst) < count(*) OVER (PARTITION BY ring) AS kept FROM e""",
 )
 def g7_rings(spark, folder):
     """Customers in rings of three (the last ring may be shorter), weighted by balance: each ring loses its lightest edge."""
     customers = Programme(spark, folder).table("customer")
     last = customers.agg(F.max("c_custkey").alias("last"))
-    place = F.pmod(F.col("c_custkey") - 1, F.lit(3))
+    place = F.pmod(F.col("c_custkey"), F.lit(3))
     turn = (place == 2) | (F.col("c_custkey") == F.col("last"))
     rings = customers.crossJoin(F.broadcast(last)).select(
         F.col("c_custkey").alias("src"),

@@ -86,3 +86,36 @@ def test_exact_percentiles(spark):
     assert np.isclose(out["a"]["m"], np.quantile(a, 0.5)) and np.isclose(out["a"]["p9"], np.quantile(a, 0.9))
     assert out["a"]["d"] == a[int(np.ceil(0.25 * 701)) - 1]
     assert out["b"]["m"] == 5.0 and "c" not in out
+
+
+def test_percentiles_with_an_outlier(spark):
+    from chalkline.operators import percentiles
+
+    data = spark.range(200_000).selectExpr("CAST(id AS DOUBLE) AS v").union(spark.createDataFrame([(1e13,)], "v double"))
+    out = exact_percentiles(data, [], "v", {"m": (0.5, "cont"), "p95": (0.95, "disc"), "top": (1.0, "disc")}).first()
+    assert (out["n"], out["m"], out["p95"], out["top"]) == (200_001, 100_000.0, 190_000.0, 1e13)
+    plan = exact_percentiles(data, [], "v", {"m": (0.5, "disc")})
+    cuts = data.agg(F.percentile_approx("v", F.array(*[F.lit(i / percentiles.BINS) for i in range(percentiles.BINS)]), F.lit(8 * percentiles.BINS)).alias("c")).first()["c"]
+    assert plan.first()["m"] == 100_000.0
+    assert max(b - a for a, b in zip(cuts, cuts[1:]) if b < 1e12) < 1_000  # no bin near the wanted ranks is large
+
+
+def test_next_question_by_first_gap(spark):
+    from chalkline.operators.filters import exclude_answered
+
+    rng = random.Random(4)
+    questions = [(q, rng.randrange(4), rng.randrange(1, 6), rng.randrange(9)) for q in range(120)]
+    sessions = [(s, rng.randrange(5), rng.randrange(1, 6)) for s in range(80)]
+    answers = [(s, rng.randrange(120)) for s, _, _ in sessions for _ in range(rng.randrange(90))]
+    got = exclude_answered(
+        spark.createDataFrame(sessions, "session_id int, quiz_id int, level int"),
+        spark.createDataFrame(questions, "question_id int, quiz_id int, difficulty_level int, sort_order int"),
+        spark.createDataFrame(answers, "session_id int, question_id int"),
+    )
+    want = set()
+    for s, z, level in sessions:
+        left = [(d != level, o, q, d) for q, y, d, o in questions if y == z and abs(d - level) <= 1 and (s, q) not in set(answers)]
+        if left:
+            _, _, q, d = min(left)
+            want.add((s, z, level, q, d))
+    assert {tuple(r) for r in got.collect()} == want

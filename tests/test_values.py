@@ -392,3 +392,15 @@ def test_interval_join_equals_row_by_row(spark):
         assert r["day0"] == any(t.date() == s.date() for t in mine)
         for name, lo, hi in buckets:
             assert r[name] == any(s + dt.timedelta(days=lo) <= t < s + dt.timedelta(days=hi) for t in mine)
+
+
+def test_wide_spaces_and_urdu_search(spark):
+    from chalkline.functions.text import clean_transcript, tokenize
+    from chalkline.operators.vectors import weighted_index, weighted_search
+
+    df = spark.createDataFrame([("foo bar", "[01:02]  a 　b "), ("کتاب x", "﻿EN y")], "a string, b string")
+    got = df.select(tokenize(F.col("a")).alias("a"), clean_transcript(F.col("b")).alias("b")).collect()
+    assert [list(r.a) for r in got] == [["foo", "bar"], ["کتاب", "x"]] and [r.b for r in got] == ["a b", "y"]
+    catalog = spark.createDataFrame([(1, "3", "کتاب ریاضی"), (2, "4", "maths")], "id int, grade string, topic string")
+    index = weighted_index(catalog, {"grade": "A", "topic": "B"})
+    assert [r.id for r in weighted_search(index, "ریاضی").collect()] == [1]
