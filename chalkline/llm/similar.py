@@ -22,6 +22,8 @@ from chalkline.session import cut_lineage
 NULL_ID = 2**63 - 1
 #: a group that is searched holds about this many sets on either side
 GROUP = 256
+#: nodes that met each other, directly or not, are searched as one group up to this many
+WHOLE = 1024
 
 
 # ---------------------------------------------------------------- sets
@@ -316,6 +318,51 @@ def _search_groups(rows: DataFrame, reps: DataFrame, wanted: DataFrame, k: int,
     return blocks.cut(sent.repartition("grp").sortWithinPartitions("grp", "node").mapInArrow(search, "a long, b long"))
 
 
+def _search_large(rows: DataFrame, reps: DataFrame, entries: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links of nodes whose part is too large for one group, from lists (list, node) and (pivot, node) pairs.
+
+    First a pivot and the nodes that met it, in chunks. Then, for lists that still hold several
+    components, the parts which those lists connect: whole if they are small, else every list in
+    groups of two chunks, one of them of nodes outside the largest component of the list.
+    """
+    chunks = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / GROUP).alias("chunks"))
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks"))
+    spread = pairs.join(chunks, "pivot").select(F.xxhash64("pivot", chunk).alias("grp"), "node")
+    centre = chunks.select(F.col("pivot").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("c"))
+    centre = centre.select(F.xxhash64(F.col("node").alias("pivot"), "c").alias("grp"), "node")
+    links = _search_groups(rows, reps, spread.union(centre).withColumn("known", F.col("node")), k, num, den)
+    roots = components(links)
+
+    entries = entries.select("list", "node").distinct().join(roots, "node", "left").select("list", "node", F.coalesce("root", "node").alias("root"))
+    entries = blocks.cut(entries)
+    parts = entries.groupBy("list", "root").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("list").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most")).where("roots > 1")
+    mixed = mixed.select(
+        "list",
+        F.col("most.root").alias("largest"),
+        F.ceil((F.col("n") - F.col("most.n")) / GROUP).alias("minor"),
+        F.ceil(F.col("most.n") / GROUP).alias("major"),
+    )
+    entries = blocks.cut(entries.join(mixed, "list"))
+    first = entries.groupBy("list").agg(F.min("node").alias("a"))
+    together = components(entries.join(first, "list").select("a", F.col("node").alias("b")).distinct())
+    size = together.groupBy("root").agg(F.count("*").alias("n"))
+    together = blocks.cut(together.join(size, "root").select("node", F.col("root").alias("grp"), (F.col("n") <= WHOLE).alias("small")))
+    known = entries.select("node", F.col("root").alias("known")).distinct()
+    whole = together.where("small").join(known, "node").select("grp", "node", "known")
+
+    entries = entries.join(together.where("not small").select("node"), "node")
+    h = F.xxhash64("node", "list")
+    is_major = F.col("root") == F.col("largest")
+    place = F.when(is_major, F.col("minor") + F.pmod(h, F.col("major"))).otherwise(F.pmod(h, F.col("minor")))
+    last = F.when(is_major, F.col("minor")).otherwise(F.col("minor") + F.col("major")) - 1
+    meets = entries.withColumn("at", place).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last))).where("other <> at")
+    paired = meets.select(
+        F.xxhash64("list", F.least("at", "other"), F.greatest("at", "other")).alias("grp"), "node", F.col("root").alias("known")
+    ).distinct()
+    return links.union(_search_groups(rows, reps, whole.union(paired), k, num, den))
+
+
 def _connected(docs: DataFrame, id: str, text: str, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(id, n, node, block, row_key) of every row, and (node, least, root) of every set: see ``similar_documents``."""
     spark = docs.sparkSession
@@ -406,40 +453,18 @@ def _connected(docs: DataFrame, id: str, text: str, words: int, num: int, den: i
     met = blocks.cut(posted.mapInArrow(meet, _LIST))
     entries = met.select("list", F.get("members", F.lit(0)).alias("pivot"), F.explode("members").alias("node"))
 
-    # first search: a pivot and the nodes that met it
+    # nodes that met, directly or not: most such parts are small enough to be searched whole
     pairs = blocks.cut(entries.where("node <> pivot").select("pivot", "node").distinct())
-    chunks = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / GROUP).alias("chunks"))
-    chunk = F.pmod(F.xxhash64("node"), F.col("chunks"))
-    spread = pairs.join(chunks, "pivot").select(F.xxhash64("pivot", chunk).alias("grp"), "node")
-    centre = chunks.select(F.col("pivot").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("c"))
-    centre = centre.select(F.xxhash64(F.col("node").alias("pivot"), "c").alias("grp"), "node")
-    wanted = spread.union(centre).withColumn("known", F.col("node"))
+    part = components(pairs, "pivot", "node")
+    size = part.groupBy("root").agg(F.count("*").alias("n"))
+    part = blocks.cut(part.join(size, "root").select("node", F.col("root").alias("grp"), (F.col("n") <= WHOLE).alias("small")))
+    wanted = part.where("small").select("grp", "node", F.col("node").alias("known"))
     links = _search_groups(rows, reps, wanted, words, num, den)
-    roots = components(links)
+    if not part.where("not small").isEmpty():
+        large = part.where("not small").select("node")
+        links = links.union(_search_large(rows, reps, entries.join(large, "node"), pairs.join(large, "node"), words, num, den))
 
-    # second search: lists that are not of one component
-    entries = entries.select("list", "node").distinct().join(roots, "node", "left").select("list", "node", F.coalesce("root", "node").alias("root"))
-    entries = blocks.cut(entries)
-    parts = entries.groupBy("list", "root").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("list").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most")).where("roots > 1")
-    mixed = mixed.select(
-        "list",
-        F.col("most.root").alias("largest"),
-        F.ceil((F.col("n") - F.col("most.n")) / GROUP).alias("minor"),
-        F.ceil(F.col("most.n") / GROUP).alias("major"),
-    )
-    h = F.xxhash64("node", "list")
-    is_major = F.col("root") == F.col("largest")
-    place = F.when(is_major, F.col("minor") + F.pmod(h, F.col("major"))).otherwise(F.pmod(h, F.col("minor")))
-    placed = entries.join(mixed, "list").withColumn("at", place)
-    last = F.when(is_major, F.col("minor")).otherwise(F.col("minor") + F.col("major")) - 1
-    meets = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last))).where("other <> at")
-    wanted = meets.select(
-        F.xxhash64("list", F.least("at", "other"), F.greatest("at", "other")).alias("grp"), "node", F.col("root").alias("known")
-    ).distinct()
-    more = _search_groups(rows, reps, wanted, words, num, den)
-
-    roots = components(links.union(more))
+    roots = components(links)
     named = classes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     return described, blocks.cut(named)
 
@@ -456,11 +481,12 @@ def similar_documents(
 
     1. Equal sets become one node, however many rows have them.
     2. Nodes that may link meet under a key of an equal part (see ``Levels``); this loses no link.
-    3. In each list of nodes that met, the first is the pivot. Nodes of a pivot are searched in
-       groups of about ``GROUP`` (see ``Group``), which connects near copies with a number of rows
-       that follows the number of nodes, not of pairs.
-    4. Lists that still hold several components are searched in full: every node outside the
-       largest component of its list meets all others, in groups of two chunks.
+    3. Nodes that met, directly or through others, are a part. A part of up to ``WHOLE`` nodes is
+       searched as one group (see ``Group``).
+    4. Larger parts are searched list by list: the first node of a list is its pivot, and the nodes
+       of a pivot are searched in chunks, which connects near copies with a number of rows that
+       follows the number of nodes, not of pairs. Lists that still hold several components are
+       then searched in full (see ``_search_large``).
     5. Components are found by contraction; a row takes the smallest id of its component.
 
     Sets travel for nodes that met others only; texts never do (see ``blocks``, which also says
