@@ -21,14 +21,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     labels = nodes.withColumn("root", F.col("node"))
     while not left.isEmpty():
         both = left.union(left.select("b", "a"))
-        hooks = cut(both.groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p")))
+        hooks = both.groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p"))
         for _ in range(2):
-            next_ = hooks.select(F.col("a").alias("p"), F.col("p").alias("q"))
-            hooks = hooks.join(next_, "p", "left").select("a", F.coalesce("q", "p").alias("p"))
-        hooks = cut(hooks)
-        to = lambda x, y: hooks.select(F.col("a").alias(x), F.col("p").alias(y))
-        left = cut(
-            left.join(to("a", "pa"), "a").join(to("b", "pb"), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")).where("a <> b").distinct()
-        )
-        labels = labels.join(to("root", "p"), "root", "left").select("node", F.coalesce("p", "root").alias("root"))
+            further = hooks.select(F.col("a").alias("p"), F.col("p").alias("q")).hint("merge")
+            hooks = hooks.join(further, "p", "left").select("a", F.coalesce("q", "p").alias("p"))
+        lead = lambda x, y: hooks.select(F.col("a").alias(x), F.col("p").alias(y)).hint("merge")
+        moved = left.join(lead("a", "pa"), "a").join(lead("b", "pb"), "b").where("pa <> pb").select("pa", "pb").distinct()
+        # hooks and the edges that are left in one table, so that a round is one checkpoint
+        round_ = cut(hooks.select("a", "p", F.lit(True).alias("hook")).union(moved.select("pa", "pb", F.lit(False))))
+        steps = round_.where("hook").select(F.col("a").alias("root"), "p").hint("merge")
+        labels = labels.join(steps, "root", "left").select("node", F.coalesce("p", "root").alias("root"))
+        left = round_.where("not hook").select("a", F.col("p").alias("b"))
     return cut(labels)
