@@ -6,7 +6,8 @@ of a user's events, 10 000 positions of a list), run the window per
 ``(key, chunk)`` and carry the state over chunk borders through a table with one
 row per ``(key, chunk)``. The result is the same as with the plain window.
 
-``chunk`` must never decrease along the order and be computed from it.
+``chunk`` must never decrease along the order and be computed from it; a number
+asks for chunks of about so many rows.
 """
 
 from __future__ import annotations
@@ -17,31 +18,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Join a table with one row per (key, chunk) to the rows; keys may be NULL."""
-    renamed = table.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_chunk").alias("_k_chunk"), *values)
-    cond = F.col("_chunk").eqNullSafe(F.col("_k_chunk"))
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return rows.join(renamed, cond, "left")
+def _chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column | int) -> DataFrame:
+    """Add ``_g``, the key and the chunk of a row as one value.
+
+    A struct is never NULL itself and equal to another one with NULL in the same place. So window
+    and join partition by the same plain column, and one shuffle serves both. A number as ``chunk``
+    cuts each key into runs of about that many rows, by rank: the counts of the first order column
+    say where, and only keys of more rows have borders, so what is joined to the rows is small.
+    """
+    if isinstance(chunk, int):
+        first = order[0]
+        counts = df.groupBy(F.struct(*keys).alias("_k"), F.col(first).alias("_o")).agg(F.count("*").alias("_n"))
+        across = Window.partitionBy("_k").orderBy("_o")
+        start = F.sum("_n").over(across.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
+        placed = counts.withColumn("_c", F.floor(start / chunk))
+        borders = placed.withColumn("_b", F.coalesce(F.lag("_c").over(across), F.lit(0)) != F.col("_c")).filter("_b")
+        cuts = borders.groupBy("_k").agg(F.collect_list("_o").alias("_cuts"))
+        reached = F.size(F.filter("_cuts", lambda cut: cut <= F.col(first)))
+        rows = df.withColumn("_k", F.struct(*keys)).join(cuts, "_k", "left")
+        return rows.withColumn("_g", F.struct(*keys, F.coalesce(reached, F.lit(0)).alias("_chunk"))).drop("_k", "_cuts")
+    return df.withColumn("_g", F.struct(*keys, chunk.alias("_chunk")))
 
 
 def in_order(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    chunk: Column,
+    chunk: Column | int,
     lag: Sequence[str] = (),
     number: str | None = None,
 ) -> DataFrame:
     """Add ``prev_<column>`` from the row before and the 1-based position within the key.
 
-    The rows are shuffled once. The table of chunks comes from a second, narrow scan that is
-    aggregated before its shuffle."""
+    The rows are shuffled once, for window and join. The table of chunks comes from a second, narrow
+    scan that is aggregated before its shuffle."""
     keys, order = list(keys), list(order)
-    rows = df.withColumn("_chunk", chunk)
-    within = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    across = Window.partitionBy(*keys).orderBy("_chunk")
+    rows = _chunked(df, keys, order, chunk)
+    within = Window.partitionBy("_g").orderBy(*order)
+    across = Window.partitionBy(*[F.col("_g")[k] for k in keys]).orderBy(F.col("_g")["_chunk"])
     sums, carried = [], []
     if lag:
         sums.append(F.max_by(F.struct(*lag), F.struct(*order)).alias("_last"))
@@ -50,8 +64,7 @@ def in_order(
         sums.append(F.count("*").alias("_n"))
         before = across.rowsBetween(Window.unboundedPreceding, -1)
         carried.append(F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    chunks = rows.groupBy(*keys, "_chunk").agg(*sums).select(*keys, "_chunk", *carried)
-    names = (["_carry"] if lag else []) + (["_before"] if number else [])
+    chunks = rows.groupBy("_g").agg(*sums).select("_g", *carried)
     placed = rows.withColumn("_nth", F.row_number().over(within))
     for value in lag:
         placed = placed.withColumn(f"prev_{value}", F.lag(value).over(within))
@@ -61,10 +74,10 @@ def in_order(
         out.append(F.when(first, F.col(f"_carry.{value}")).otherwise(F.col(f"prev_{value}")).alias(f"prev_{value}"))
     if number:
         out.append((F.col("_nth") + F.col("_before")).alias(number))
-    return _attach(placed, chunks, keys, names).select(*out)
+    return placed.join(chunks, "_g", "left").select(*out)
 
 
-def carry_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], chunk: Column) -> DataFrame:
+def carry_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], chunk: Column | int) -> DataFrame:
     """Add ``prev_<value>`` from the row before within the key."""
     return in_order(df, keys, order, chunk, lag=list(values))
 
@@ -75,20 +88,21 @@ def running_total(
     order: Sequence[str],
     value: Column,
     name: str,
-    chunk: Column,
+    chunk: Column | int,
 ) -> DataFrame:
     """Add the inclusive running sum of ``value`` within the key as ``name``."""
     keys, order = list(keys), list(order)
-    rows = df.withColumn("_chunk", chunk).withColumn("_v", value)
-    within = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy(*keys, "_chunk").agg(F.sum("_v").alias("_s"))
-    offsets = sums.select(*keys, "_chunk", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
+    rows = _chunked(df, keys, order, chunk).withColumn("_v", value)
+    within = Window.partitionBy("_g").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    across = Window.partitionBy(*[F.col("_g")[k] for k in keys]).orderBy(F.col("_g")["_chunk"])
+    before = across.rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("_g").agg(F.sum("_v").alias("_s"))
+    offsets = sums.select("_g", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
     placed = rows.withColumn("_run", F.sum("_v").over(within))
-    return _attach(placed, offsets, keys, ["_before"]).select(*df.columns, (F.col("_run") + F.col("_before")).alias(name))
+    return placed.join(offsets, "_g", "left").select(*df.columns, (F.col("_run") + F.col("_before")).alias(name))
 
 
-def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, chunk: Column) -> DataFrame:
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, chunk: Column | int) -> DataFrame:
     """Add the 1-based position within the key."""
     return in_order(df, keys, order, chunk, number=name)
 

@@ -28,39 +28,36 @@ def sessionize(events: DataFrame, user: str, ts: str, tie: str, gap_minutes: int
     hour (first, last, gaps inside) tells which hours open with a new session and how many came
     before. The events are shuffled once in full and once with two columns for that table."""
     gap = gap_minutes * 60_000_000
-    keys = [user, "_hour"]
 
     def longer(later: Column, earlier: Column) -> Column:
         return F.unix_micros(later) - F.unix_micros(earlier) > gap
 
     def with_gaps(df: DataFrame) -> DataFrame:
-        order = Window.partitionBy(*keys).orderBy(ts, tie)
         opens = F.coalesce(longer(F.col(ts), F.lag(ts).over(order)), F.lit(False)).cast("int")
         return df.withColumn("_opens", opens)
 
-    rows = events.withColumn("_hour", time_chunk(ts))
-    hours = with_gaps(rows.select(*keys, ts, tie)).groupBy(*keys).agg(
+    # user and hour as one value that is never NULL: window and join need one shuffle together
+    order = Window.partitionBy("_g").orderBy(ts, tie)
+    rows = events.withColumn("_g", F.struct(F.col(user).alias("user"), time_chunk(ts).alias("hour")))
+    hours = with_gaps(rows.select("_g", ts, tie)).groupBy("_g").agg(
         F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.sum("_opens").alias("_inside")
     )
-    across = Window.partitionBy(user).orderBy("_hour")
+    across = Window.partitionBy("_g.user").orderBy("_g.hour")
     starts = F.when(F.lag("_last").over(across).isNull(), 1).otherwise(
         longer(F.col("_first"), F.lag("_last").over(across)).cast("int")
     )
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     numbered = hours.withColumn("_starts", starts).select(
-        F.col(user).alias("_user"),
-        F.col("_hour").alias("_at"),
+        "_g",
         (F.coalesce(F.sum(F.col("_starts") + F.col("_inside")).over(before), F.lit(0)) + F.col("_starts")).alias("_base"),
     )
-    order = Window.partitionBy(*keys).orderBy(ts, tie)
     placed = with_gaps(rows).withColumn(
         "_run", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0))
     )
-    same = F.col(user).eqNullSafe(F.col("_user")) & F.col("_hour").eqNullSafe(F.col("_at"))
     return (
-        placed.join(numbered, same)
+        placed.join(numbered, "_g")
         .withColumn("session_no", F.col("_base") + F.col("_run"))
-        .drop("_user", "_at", "_base", "_run", "_opens", "_hour")
+        .drop("_base", "_run", "_opens", "_g")
         .withColumnsRenamed({user: "user_id", ts: "created_at"})
     )
 
@@ -212,7 +209,7 @@ def self_corrections(readings: DataFrame) -> DataFrame:
 
 def precedes(lessons: DataFrame, book: str = "book_id", order: str = "segment_index", lesson: str = "lesson_id") -> DataFrame:
     """Each lesson linked to the next one of its book, as ``(book, src, dst)``."""
-    lagged = carry_lag(lessons, [book], [order, lesson], [lesson], position_chunk(order))
+    lagged = carry_lag(lessons, [book], [order, lesson], [lesson], 10_000)
     return lagged.filter(F.col(f"prev_{lesson}").isNotNull()).select(
         book, F.col(f"prev_{lesson}").alias("src"), F.col(lesson).alias("dst")
     )
@@ -269,4 +266,4 @@ def prior_feedback(sessions: DataFrame, key: str = "user_id", size: int = 10_000
 
 def dense_index(questions: DataFrame, key: str = "quiz_id", order: str = "sort_order", tie: str = "question_id") -> DataFrame:
     """Number the given (attempted) questions 1..n per quiz by sort order."""
-    return number_rows(questions, [key], [order, tie], "display_index", position_chunk(order))
+    return number_rows(questions, [key], [order, tie], "display_index", 10_000)

@@ -119,3 +119,25 @@ def test_next_question_by_first_gap(spark):
             _, _, q, d = min(left)
             want.add((s, z, level, q, d))
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_chunks_by_rank(rows, spark):
+    plain = rows.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("at", "id")).cast("bigint"))
+    same(plain, O.number_rows(rows, ["key"], ["at", "id"], "n", 40))
+    hot = spark.range(100_000).selectExpr("1 AS k", "CAST(id % 50 AS INT) AS at", "id")
+    sizes = O._chunked(hot, ["k"], ["at", "id"], 10_000).groupBy("_g").count().collect()
+    assert len(sizes) >= 9 and max(r["count"] for r in sizes) <= 12_000
+    assert O.number_rows(hot, ["k"], ["at", "id"], "n", 10_000).agg(F.count_distinct("n"), F.max("n")).first()[:] == (100_000, 100_000)
+
+
+def test_one_shuffle_for_window_and_join(rows, spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = O.in_order(rows.select("*", F.lit("x").alias("wide")), ["key"], ["at", "id"], F.floor(F.col("at") / 7), ["wide"])
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    full = [line for line in plan.splitlines() if "Exchange hashpartitioning(_g" in line]
+    # the rows once, for window and join; the aggregated table of chunks to be summed and, after its window, to be joined
+    assert len(full) == 3, plan
+    assert plan.count("Exchange hashpartitioning") == 4, plan
