@@ -241,7 +241,7 @@ PAGE = r"^pg_\d{3}\.json$"
 
 
 def project_problems(files: DataFrame) -> DataFrame:
-    """V5: (problem, item) rows over ``files(path)`` relative to the project (see ``hidden.list_tree``):
+    """V5: (problem, item) rows over ``files(path)`` relative to the project:
     names that break the folder contract, books without pages, outputs of unknown books, audio without
     a lesson, and lessons with two audio formats.
 

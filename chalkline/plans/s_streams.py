@@ -12,6 +12,7 @@ from chalkline.plans.g_graph import segments
 from chalkline.plans.p_joins import _WORD_VALUES
 from chalkline.plans.registry import query
 from chalkline.plans.standins import AS_OF, ORDER_DAY, Programme, over_programme
+from chalkline.sources import corpora
 from chalkline.sources import sinks as S
 from chalkline.streaming import run
 from chalkline.streaming import streams as ST
@@ -29,6 +30,42 @@ def s1(spark, folder):
     return out
 
 
+@query(
+    "S2_segments",
+    """SELECT 'grade_' || p_size % 5 || '_' || lower(right(p_brand, 1)) || '_set' AS book_id, CAST(p_size % 5 AS VARCHAR) AS grade, lower(right(p_brand, 1)) || ' set' AS subject,
+        CAST(row_number() OVER (PARTITION BY p_size % 5, lower(right(p_brand, 1)) ORDER BY p_partkey) - 1 AS INTEGER) AS position, p_partkey AS segment_index, p_type AS topic, p_name AS skill_type FROM part""",
+)
+def s2(spark, folder):
+    """Parts written as segment files, half of them as a list and half as an object, and parsed again."""
+    parts = Programme(spark, folder).table("part")
+    segment = F.struct(F.col("p_partkey").alias("segment_index"), F.col("p_type").alias("topic"), F.col("p_name").alias("skill_type"))
+    books = parts.groupBy((F.col("p_size") % 5).alias("grade"), F.lower(F.right("p_brand", F.lit(1))).alias("set")).agg(F.to_json(F.sort_array(F.collect_list(segment))).alias("listed"))
+    files = books.select(
+        F.concat(F.lit("/corpus/grade_"), F.col("grade").cast("string"), F.lit("_"), F.col("set"), F.lit("_set_full_segments.json")).alias("path"),
+        F.when(F.col("grade") % 2 == 0, F.col("listed")).otherwise(F.concat(F.lit('{"segments": '), F.col("listed"), F.lit("}"))).alias("value"),
+    )
+    return corpora.parse_segments(files).select("book_id", "grade", "subject", "position", "segment_index", "topic", "skill_type")
+
+
+@query(
+    "S3_ledger_counts",
+    """SELECT count(*) FILTER (o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0) AS stamped, count(*) FILTER (o_orderkey % 7 = 0 OR o_orderkey % 11 = 0) AS malformed FROM orders""",
+)
+def s3(spark, folder):
+    """Orders as ledger lines; some lack a key, some break off."""
+    key = F.col("o_orderkey")
+    line = F.to_json(
+        F.struct(
+            F.col("o_orderdate").cast("string").alias("ts"),
+            F.col("o_orderpriority").alias("stage"),
+            F.concat(F.lit("order "), key.cast("string")).alias("unit"),
+            F.when(key % 7 != 0, F.col("o_orderstatus")).alias("artifact"),
+        )
+    )
+    lines = Programme(spark, folder).table("orders").select(F.when(key % 11 == 0, F.left(line, F.lit(20))).otherwise(line).alias("value"))
+    return corpora.ledger_counts(corpora.parse_ledger(lines))
+
+
 @query(
     "S4_panel_columns",
     "SELECT column_name, column_name IN ('school_name', 'region', 'organization') AS can_group FROM (DESCRIBE SELECT c_name AS school_name, c_mktsegment AS region, c_acctbal FROM customer)",

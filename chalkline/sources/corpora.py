@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chalkline.functions.rows import posexplode_into
-from chalkline.sources.hidden import read_lines
 
 SEGMENT = (
     "segment_index bigint, day_label string, chapter_number bigint, chapter_title string, topic string, "
@@ -30,14 +29,11 @@ def book_columns(path: Column) -> dict[str, Column]:
     }
 
 
-def read_segments(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per lesson segment of every ``*_full_segments.json`` below ``folder``.
+def parse_segments(files: DataFrame) -> DataFrame:
+    """One row per lesson segment of ``files(path, value)``, a file's text in one row.
 
     A file holds a list or an object with a ``segments`` list; a file that is neither is skipped.
-    Files are parsed one per row, so their order inside stays known as ``position``."""
-    files = spark.read.text(f"{folder}/*_full_segments.json", wholetext=True).select(
-        "value", F.col("_metadata.file_path").alias("path")
-    )
+    The order inside a file stays known as ``position``."""
     items = f"array<struct<{_struct(SEGMENT)}>>"
     listed = F.from_json("value", items)
     wrapped = F.from_json("value", f"struct<segments:{items}>")["segments"]
@@ -50,14 +46,19 @@ def read_segments(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def read_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """The segments of every ``*_full_segments.json`` below ``folder``."""
+    files = spark.read.text(f"{folder}/*_full_segments.json", wholetext=True)
+    return parse_segments(files.select("value", F.col("_metadata.file_path").alias("path")))
+
+
 def _struct(ddl: str) -> str:
     return ", ".join(f"{name}:{kind}" for name, kind in (part.strip().split(" ", 1) for part in ddl.split(",")))
 
 
-def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """S3: ledger lines with a ``malformed`` flag: broken JSON or one of the four keys missing."""
-    hidden = path.rstrip("/").rsplit("/", 1)[-1].startswith("_")
-    lines = (read_lines(spark, path) if hidden else spark.read.text(path)).filter(F.trim("value") != "")
+def parse_ledger(lines: DataFrame) -> DataFrame:
+    """S3: ``lines(value)`` with a ``malformed`` flag: broken JSON or one of the four keys missing."""
+    lines = lines.filter(F.trim("value") != "")
     keys = F.json_object_keys("value")
     complete = F.lit(True)
     for key in ("ts", "stage", "unit", "artifact"):
@@ -67,6 +68,14 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """S3: the lines of a ledger file. Spark's readers pass over names that start with an underscore or a
+    dot, so the file must have a visible one."""
+    if path.rstrip("/").rsplit("/", 1)[-1][:1] in ("_", "."):
+        raise ValueError(f"give the ledger a name that Spark's readers see: {path}")
+    return parse_ledger(spark.read.text(path))
+
+
 def ledger_counts(ledger: DataFrame) -> DataFrame:
     """S3: stamped and malformed lines."""
     return ledger.agg(
