@@ -142,8 +142,13 @@ def train(
     """
     usable = docs.where(F.col(lang).isNotNull() & F.col(id).isNotNull() & F.col(text).rlike(r"\p{L}"))
     draw = Window.partitionBy("lang").orderBy("h", "id")
+    # a share of each language that holds half as many again as wanted, so that few rows meet in one task
+    chosen_share = 1.5 * per_language / F.col("n")
+    counts = usable.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n"))
     ids = (
         usable.select(F.col(id).alias("id"), F.col(lang).alias("lang"), F.xxhash64(F.col(id), F.lit(7)).alias("h"))
+        .join(counts, "lang")
+        .where(F.pmod(F.xxhash64(F.col("id"), F.lit(8)), F.lit(1 << 20)) < chosen_share * (1 << 20))
         .withColumn("r", F.row_number().over(draw))
         .where(F.col("r") <= per_language)
         .select("id", "lang", F.pmod(F.col("h"), F.lit(5)).alias("fold"))
