@@ -183,17 +183,16 @@ def precedes_slo(teaches: DataFrame) -> DataFrame:
     """``teaches(book_id, strand, node_id, place)`` to a chain per book and strand: outcomes by
     first introduction, each linked to the next, numbered from 0."""
     first = teaches.groupBy("book_id", "strand", "node_id").agg(F.min("place").alias("place"))
-    chunk = position_chunk("place")
     keys, order = ["book_id", "strand"], ["place", "node_id"]
-    lagged = in_order(first, keys, order, chunk, lag=["node_id"], number="_pos")
+    lagged = in_order(first, keys, order, 10_000, lag=["node_id"], number="_pos")
     return lagged.filter(F.col("prev_node_id").isNotNull()).select(
         "book_id", "strand", F.col("prev_node_id").alias("src"), F.col("node_id").alias("dst"), (F.col("_pos") - 2).alias("order")
     )
 
 
 def outcome_places(outcomes: DataFrame) -> DataFrame:
-    """Places of outcomes in their book for G3. A segment lists far fewer than 10 000 codes."""
-    return outcomes.select("book_id", "strand", "node_id", (F.col("position") * 10_000 + F.col("code_no")).alias("place"))
+    """Places of outcomes in their book for G3: the segment, then the place of the code in it."""
+    return outcomes.select("book_id", "strand", "node_id", F.struct("position", "code_no").alias("place"))
 
 
 def co_taught(lessons: DataFrame) -> DataFrame:

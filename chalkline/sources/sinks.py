@@ -42,7 +42,9 @@ def append_once(incoming: DataFrame, path: str, key: str, order: Sequence[str])
     try:
         stored = spark.read.schema(incoming.schema).parquet(path)
         stored.limit(1).count()
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         stored = None
     only_new(incoming, stored, key, order).write.mode("append").parquet(path)
 
