@@ -22,8 +22,10 @@ from chalkline.session import cut_lineage
 NULL_ID = 2**63 - 1
 #: a group that is searched holds about this many sets on either side
 GROUP = 256
-#: nodes that met each other, directly or not, are searched as one group up to this many
-WHOLE = 1024
+#: nodes that met each other, directly or not, are searched as one group up to this many shingles in all
+WHOLE = 4_000_000
+#: central sets that are tried against all others of a group before the search
+PIVOTS = 8
 
 
 # ---------------------------------------------------------------- sets
@@ -194,28 +196,44 @@ class Group:
             if self.alike(common, n, len(self.sets[c])):
                 self.join(q, c)
 
+    def overlaps(self, q: int) -> np.ndarray:
+        """Shared tokens of set ``q`` with every set, by counting its lists."""
+        at = np.searchsorted(self.token, self.sets[q])
+        k = self.length[at]
+        place = np.repeat(self.start[at] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
+        return np.bincount(self.members[place], minlength=len(self.sets))
+
     def connect(self) -> list[tuple[int, int]]:
         """Links that connect all sets of the group which are connected inside it.
 
-        The sets are first tried against one of them, which settles a group of copies. Then every
-        set outside the largest component searches the index; pairs inside a component need none.
+        A few central sets, whose tokens are the most common, are tried against all others first;
+        that settles groups of copies around an original. Then every set outside the largest
+        component searches the index; pairs inside a component need none.
         """
         n = len(self.sets)
+        self.index()
+        size = np.array([len(s) for s in self.sets])
+        common = np.bincount(self.members, np.repeat(self.length, self.length), n) / size
+        tried = 0
+        for q in np.argsort(-common, kind="stable").tolist():
+            if tried == PIVOTS:
+                break
+            if tried and self.root(q) in near:
+                continue
+            tried += 1
+            both = self.overlaps(q)
+            linked = self.den * both >= self.num * (size[q] + size - both)
+            for i in np.flatnonzero(linked).tolist():
+                if i != q:
+                    self.join(q, i)
+            near = {self.root(q)} if tried == 1 else {self.root(x) for x in near} | {self.root(q)}
+        roots = [self.root(i) for i in range(n)]
         counts: dict[int, int] = {}
+        for r in roots:
+            counts[r] = counts.get(r, 0) + 1
+        largest = max(counts, key=lambda r: (counts[r], -r))
         for i in range(n):
-            counts[self.root(i)] = counts.get(self.root(i), 0) + 1
-        pivot = max(counts, key=lambda r: (counts[r], -r))
-        for i in range(n):
-            a, b = self.sets[pivot], self.sets[i]
-            if self.root(i) != self.root(pivot) and self.possible(len(a), len(b)):
-                place = np.minimum(np.searchsorted(a, b), len(a) - 1)
-                if self.alike(int((a[place] == b).sum()), len(a), len(b)):
-                    self.join(pivot, i)
-        largest = self.root(pivot)
-        rest = [i for i in range(n) if self.root(i) != largest]
-        if rest:
-            self.index()
-            for i in rest:
+            if self.root(i) != self.root(largest):
                 self.search(i)
         return self.links
 
@@ -318,7 +336,7 @@ def _search_groups(rows: DataFrame, reps: DataFrame, wanted: DataFrame, k: int,
     return blocks.cut(sent.repartition("grp").sortWithinPartitions("grp", "node").mapInArrow(search, "a long, b long"))
 
 
-def _search_large(rows: DataFrame, reps: DataFrame, entries: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _search_large(rows: DataFrame, reps: DataFrame, sizes: DataFrame, entries: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links of nodes whose part is too large for one group, from lists (list, node) and (pivot, node) pairs.
 
     First a pivot and the nodes that met it, in chunks. Then, for lists that still hold several
@@ -346,7 +364,7 @@ def _search_large(rows: DataFrame, reps: DataFrame, entries: DataFrame, pairs: D
     entries = blocks.cut(entries.join(mixed, "list"))
     first = entries.groupBy("list").agg(F.min("node").alias("a"))
     together = components(entries.join(first, "list").select("a", F.col("node").alias("b")).distinct())
-    size = together.groupBy("root").agg(F.count("*").alias("n"))
+    size = together.join(sizes, "node").groupBy("root").agg(F.sum("n").alias("n"))
     together = blocks.cut(together.join(size, "root").select("node", F.col("root").alias("grp"), (F.col("n") <= WHOLE).alias("small")))
     known = entries.select("node", F.col("root").alias("known")).distinct()
     whole = together.where("small").join(known, "node").select("grp", "node", "known")
@@ -392,9 +410,9 @@ def _connected(docs: DataFrame, id: str, text: str, words: int, num: int, den: i
 
     described = cut_lineage(rows.mapInArrow(describe, "id long, n long, node long, block int, row_key long"))
     classes = described.where("node IS NOT NULL").groupBy("node").agg(
-        F.min("id").alias("least"), F.min(F.struct("block", F.coalesce("id", F.lit(NULL_ID)).alias("id"))).alias("rep")
+        F.min("id").alias("least"), F.max("n").alias("n"), F.min(F.struct("block", F.coalesce("id", F.lit(NULL_ID)).alias("id"))).alias("rep")
     )
-    reps = classes.select("node", "rep.block", "rep.id")
+    reps, sizes = classes.select("node", "rep.block", "rep.id"), classes.select("node", "n")
 
     def post(batches):
         from pyspark import TaskContext
@@ -456,13 +474,13 @@ def _connected(docs: DataFrame, id: str, text: str, words: int, num: int, den: i
     # nodes that met, directly or not: most such parts are small enough to be searched whole
     pairs = blocks.cut(entries.where("node <> pivot").select("pivot", "node").distinct())
     part = components(pairs, "pivot", "node")
-    size = part.groupBy("root").agg(F.count("*").alias("n"))
+    size = part.join(sizes, "node").groupBy("root").agg(F.sum("n").alias("n"))
     part = blocks.cut(part.join(size, "root").select("node", F.col("root").alias("grp"), (F.col("n") <= WHOLE).alias("small")))
     wanted = part.where("small").select("grp", "node", F.col("node").alias("known"))
     links = _search_groups(rows, reps, wanted, words, num, den)
     if not part.where("not small").isEmpty():
         large = part.where("not small").select("node")
-        links = links.union(_search_large(rows, reps, entries.join(large, "node"), pairs.join(large, "node"), words, num, den))
+        links = links.union(_search_large(rows, reps, sizes, entries.join(large, "node"), pairs.join(large, "node"), words, num, den))
 
     roots = components(links)
     named = classes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
@@ -481,8 +499,8 @@ def similar_documents(
 
     1. Equal sets become one node, however many rows have them.
     2. Nodes that may link meet under a key of an equal part (see ``Levels``); this loses no link.
-    3. Nodes that met, directly or through others, are a part. A part of up to ``WHOLE`` nodes is
-       searched as one group (see ``Group``).
+    3. Nodes that met, directly or through others, are a part. A part of up to ``WHOLE`` shingles
+       is searched as one group (see ``Group``).
     4. Larger parts are searched list by list: the first node of a list is its pivot, and the nodes
        of a pivot are searched in chunks, which connects near copies with a number of rows that
        follows the number of nodes, not of pairs. Lists that still hold several components are

@@ -65,7 +65,7 @@ def table(seed, n=150):
 @pytest.mark.parametrize("seed, k, num, den, group", [(1, 4, 85, 100, 256), (2, 5, 80, 100, 256), (3, 4, 85, 100, 3), (4, 2, 50, 100, 4), (6, 4, 85, 100, 100), (5, 3, 100, 100, 256)])
 def test_equals_brute_force(docs, monkeypatch, seed, k, num, den, group):
     monkeypatch.setattr(similar, "GROUP", group)
-    monkeypatch.setattr(similar, "WHOLE", 1024 if group == 256 else 5)
+    monkeypatch.setattr(similar, "WHOLE", 4_000_000 if group == 256 else 300)
     rows = table(seed)
     got = similar.similar_documents(docs(rows, 4), words=k, num=num, den=den).collect()
     assert sorted(map(tuple, got), key=str) == brute(rows, k, num, den)
