@@ -16,6 +16,10 @@ from chalkline.session import cut_lineage
 #: the model predicts bytes and the end of a text, from a padded start; NUL in a text counts as 1
 SYMBOLS = 256
 NULL_ID = 2**63 - 1
+#: costs are summed by cells of so many tokens; a stretch is so many neighbouring cells
+CELL, STRETCH = 32, 4
+#: repeats are looked for in pieces of at most this many tokens, of equal length in a text
+PIECE = 256
 
 
 def grams(column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -33,6 +37,39 @@ def grams(column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
     return code[np.repeat(base, size + 1) + np.arange(len(row)) - np.repeat(np.cumsum(size + 1) - size - 1, size + 1)], row
 
 
+def worst_stretch(row: np.ndarray, logp: np.ndarray, n: int) -> np.ndarray:
+    """Of each row the largest mean of -logp in a stretch of neighbouring cells; of a short row its mean."""
+    count = np.bincount(row, minlength=n)
+    cells = -(-count // CELL)
+    cell_row = np.repeat(np.arange(n), cells)
+    offset = np.arange(len(cell_row)) - np.repeat(np.cumsum(cells) - cells, cells)
+    start = (np.cumsum(count) - count)[cell_row] + offset * CELL
+    sums = np.r_[0.0, np.cumsum(np.add.reduceat(logp, start, dtype=float))] if len(start) else np.zeros(1)
+    whole = np.flatnonzero((offset <= cells[cell_row] - STRETCH) | (offset == 0))
+    wide = np.minimum(cells[cell_row[whole]], STRETCH)
+    tokens = np.minimum(offset[whole] * CELL + wide * CELL, count[cell_row[whole]]) - offset[whole] * CELL
+    mean = (sums[whole] - sums[whole + wide]) / tokens
+    worst = np.zeros(n)
+    np.maximum.at(worst, cell_row[whole], mean)
+    return worst
+
+
+def least_fresh(row: np.ndarray, g: np.ndarray, n: int) -> np.ndarray:
+    """Of each row the smallest share of different n-grams in a piece of it: runs that repeat themselves have few."""
+    count = np.bincount(row, minlength=n)
+    pieces = -(-count // PIECE)
+    offset = np.arange(len(row)) - (np.cumsum(count) - count)[row]
+    piece = (np.cumsum(pieces) - pieces)[row] + offset * pieces[row] // count[row]
+    total = int(pieces.sum())
+    tag = np.sort((piece.astype(np.uint64) << np.uint64(40)) | g)
+    new = np.ones(len(tag), bool)
+    new[1:] = tag[1:] != tag[:-1]
+    share = np.bincount((tag[new] >> np.uint64(40)).astype(np.int64), minlength=total) / np.bincount(piece, minlength=total)
+    least = np.ones(n)
+    np.minimum.at(least, np.repeat(np.arange(n), pieces), share)
+    return least
+
+
 def _low(g: Column, n: int) -> Column:
     return g.bitwiseAND(F.lit((1 << 8 * n) - 1).cast("long"))
 
@@ -217,8 +254,8 @@ class Scorer:
         found.mapInArrow(keep, "block int").agg(F.count("*")).collect()
 
     def score(self, lang: str) -> DataFrame:
-        """The id, ``lang``, block and row_key of every row, with __tokens, __logp (natural, of all tokens) and
-        __limits (whether the row sets limits)."""
+        """The id, ``lang``, block and row_key of every row, with __tokens, __logp (natural, of all tokens), __worst
+        (see ``worst_stretch``), __fresh (see ``least_fresh``) and __limits (whether the row sets limits)."""
         folder, order = self.folder, self.order
         names = [self.id, lang, "__row_key"]
 
@@ -238,12 +275,14 @@ class Scorer:
                         pa.array(np.full(n, block, np.int32)),
                         pa.array(np.bincount(row, minlength=n)),
                         pa.array(np.bincount(row, logs["p"][place], n)),
+                        pa.array(worst_stretch(row, logs["p"][place], n)),
+                        pa.array(least_fresh(row, g, n)),
                         pa.array(Scorer._has(side, part.column("__id").to_numpy().astype(np.int64), 1)),
                     ]
-                    yield pa.RecordBatch.from_arrays(part.columns[:3] + more, names=[*names, "__block", "__tokens", "__logp", "__limits"])
+                    yield pa.RecordBatch.from_arrays(part.columns[:3] + more, names=[*names, "__block", "__tokens", "__logp", "__worst", "__fresh", "__limits"])
 
         chosen = self.docs.select(self.id, lang, blocks.row_key(self.id, self.text).alias("__row_key"), F.coalesce(F.col(self.id).cast("long"), F.lit(NULL_ID)).alias("__id"), F.coalesce(F.col(self.text), F.lit("")).cast("binary").alias("__text"))
-        fields = [T.StructField("__block", T.IntegerType()), T.StructField("__tokens", T.LongType()), T.StructField("__logp", T.DoubleType()), T.StructField("__limits", T.BooleanType())]
+        fields = [T.StructField("__block", T.IntegerType()), T.StructField("__tokens", T.LongType()), T.StructField("__logp", T.DoubleType()), T.StructField("__worst", T.DoubleType()), T.StructField("__fresh", T.DoubleType()), T.StructField("__limits", T.BooleanType())]
         return chosen.mapInArrow(run, T.StructType([*chosen.schema.fields[:3], *fields]))
 
 
@@ -257,34 +296,61 @@ def _key(lang: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(lang).cast("string")), F.lit("null"))
 
 
-def limits(scores: DataFrame, lang: str, quantile: float, slack: float, least: int) -> tuple[DataFrame, float | None]:
-    """(key, threshold) of each language, and the limit of all languages together.
+def limits(scores: DataFrame, lang: str, quantile: float, slack: float, least: int, short: float) -> tuple[DataFrame, dict]:
+    """(key, typical, stretch) of each language, and the limits of all together with the short-text term.
 
-    A limit is the ``quantile`` of the perplexities of the held-out trusted texts, times ``slack``.
-    A language with fewer than ``least`` of them takes the larger of its own and the common one.
+    All come from the held-out trusted texts, in logarithms. The three judgements share the part
+    1 - ``quantile`` that may be lost. The mean over few tokens strays further, so a text of n may pass by
+    s / sqrt(n); s is the one with the lowest mean limit that still lets that share of the held-out texts
+    pass. Where the texts are too few to show so rare a loss, the distance from their median is carried on
+    as an exponential tail goes. Fewer than ``least`` texts cannot say any of this: then the ``quantile``
+    is widened by ``slack``, and s is ``short``. A language with fewer than ``least`` takes the larger of
+    its own and the common limit.
     """
-    held = scores.where("__limits").select(_key(lang).alias("key"), _perplexity().alias("x")).where("x IS NOT NULL")
-    own = F.percentile_approx("x", F.lit(quantile), F.lit(10_000)) * slack
-    pooled = held.agg(own).first()[0]
-    by = held.groupBy("key").agg(own.alias("own"), F.count("*").alias("n"))
-    threshold = F.when(F.col("n") < least, F.greatest("own", F.lit(pooled))).otherwise(F.col("own"))
-    return by.select("key", threshold.alias("threshold")), pooled
+    span = F.least("__tokens", F.lit(CELL * STRETCH))
+    held = blocks.cut(
+        scores.where("__limits AND __tokens > 1").select(
+            _key(lang).alias("key"), (-F.col("__logp") / F.col("__tokens")).alias("x"), F.col("__worst").alias("w"),
+            F.col("__fresh").alias("fresh"), (1 / F.sqrt("__tokens")).alias("r"), (1 / F.sqrt(span)).alias("rw"),
+        )
+    )
+    share = 1 - (1 - quantile) / 3
+    at = lambda value, q: F.percentile_approx(value, F.lit(q), F.lit(10_000))
+    tried = [k / 4 for k in range(17)]
+    means = [(at(F.col("x") - s * F.col("r"), share) + s * F.avg("r")).alias(f"s{k}") for k, s in enumerate(tried)]
+    found = held.agg(F.count("*").alias("n"), *means).first()
+    if found.n < least:
+        s, taken, part, wider = short, 0.0, quantile, float(np.log(slack))
+    else:
+        s = min(zip([found[f"s{k}"] for k in range(len(tried))], tried))[1]
+        taken, part, wider = s, share, 0.0
+    n = F.count("*")
+    reach = F.when((n >= least) & F.lit(found.n >= least), F.greatest(F.lit(1.0), float(np.log(0.5 / (1 - share))) / F.log(n / 2))).otherwise(1.0)
+
+    def limit(value, q):
+        return at(value, 0.5) + reach * (at(value, q) - at(value, 0.5))
+
+    typical = (limit(F.col("x") - taken * F.col("r"), part) + wider).alias("typical")
+    stretch = (limit(F.col("w") - taken * F.col("rw"), part) + wider).alias("stretch")
+    fresh = (limit(F.col("fresh"), 1 - part) * float(np.exp(-wider))).alias("fresh")
+    pooled = held.agg(typical, stretch, fresh).first().asDict() | {"short": s}
+    by = held.groupBy("key").agg(typical, stretch, F.count("*").alias("n"))
+    own = lambda c: F.when(F.col("n") < least, F.greatest(c, F.lit(pooled[c]))).otherwise(F.col(c)).alias(c)
+    return by.select("key", own("typical"), own("stretch")), pooled
 
 
 def _judged(scorer: Scorer, lang: str, quantile: float, slack: float, least: int, short: float) -> DataFrame:
-    """(id, lang, block, row_key, __tokens, __perplexity, __threshold, __kept) of every row, scored once.
-
-    The mean over few bytes strays further, so a text of n bytes may pass the limit by
-    ``short`` / sqrt(n) in the logarithm.
-    """
+    """(id, lang, block, row_key, __tokens, __perplexity, __threshold, __kept) of every row, scored once."""
     rows = cut_lineage(scorer.score(lang))
-    by, pooled = limits(rows, lang, quantile, slack, least)
-    by = by.select(F.col("key").alias("__key"), F.col("threshold").alias("__threshold"))
-    rows = rows.withColumns({"__perplexity": _perplexity(), "__key": _key(lang)})
-    rows = rows.join(by, "__key", "left").withColumn("__threshold", F.coalesce("__threshold", F.lit(pooled).cast("double")))
-    rows = rows.withColumn("__threshold", F.col("__threshold") * F.exp(short / F.sqrt("__tokens")))
-    fits = F.coalesce(F.col("__perplexity") <= F.col("__threshold"), F.col("__threshold").isNull())
-    return rows.withColumn("__kept", F.col("__perplexity").isNotNull() & fits)
+    by, pooled = limits(rows, lang, quantile, slack, least, short)
+    by = by.select(F.col("key").alias("__key"), F.col("typical").alias("__typical"), F.col("stretch").alias("__stretch"))
+    rows = rows.withColumns({"__perplexity": _perplexity(), "__key": _key(lang)}).join(by, "__key", "left")
+    common = lambda c: F.lit(pooled[c]).cast("double")
+    wider = lambda n: pooled["short"] / F.sqrt(n)
+    rows = rows.withColumn("__threshold", F.exp(F.coalesce("__typical", common("typical")) + wider(F.col("__tokens"))))
+    stretch = F.coalesce("__stretch", common("stretch")) + wider(F.least("__tokens", F.lit(CELL * STRETCH)))
+    usual = (F.col("__perplexity") <= F.col("__threshold")) & (F.col("__worst") <= stretch) & (F.col("__fresh") >= common("fresh"))
+    return rows.withColumn("__kept", F.col("__perplexity").isNotNull() & F.coalesce(usual, F.col("__threshold").isNull()))
 
 
 def trusted_ids(labels: DataFrame, id: str = "doc_id") -> DataFrame:
@@ -316,8 +382,12 @@ def judge_quality(
     2. Each split asks for its different n-grams once. They are joined with the tables, order by
        order, and the answers go to a file of the split (see ``blocks``, which also says what
        ``docs`` must be). Texts never move.
-    3. Each split sums the answers over its whole texts. Limits are quantiles by language (null is
-       a language) of the held-out trusted texts, times ``slack``, and wider for short texts.
+    3. Each split sums the answers over its whole texts and over their stretches. A text is kept if its
+       perplexity and that of its worst stretch are within limits by language (null is a language), and
+       if no piece of it repeats its n-grams more than trusted texts do. Repeated runs are likely for
+       the model, so perplexity alone lets them pass. All limits come from the held-out trusted texts;
+       ``slack`` and ``short`` hold only where these are fewer than ``least`` (see ``limits``).
+       ``threshold`` is the limit of the perplexity.
 
     A null or empty text has no perplexity and is not kept. Without held-out trusted text there is
     no limit, and all other texts are kept. Null ids are never trusted; rows that repeat an id are

@@ -125,3 +125,41 @@ def test_grams_by_hand():
     g, row = quality.grams(pa.array([b"ab", b"", b"c"], pa.binary()), 3)
     assert [int(x).to_bytes(3, "big") for x in g] == [b"\0\0a", b"\0ab", b"ab\0", b"\0\0\0", b"\0\0c", b"\0c\0"]
     assert row.tolist() == [0, 0, 0, 1, 2, 2]
+
+
+def test_bad_labels_are_not_kept(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = read(spark, folder, "documents"), read(spark, folder, "labels")
+    got = quality.judge_quality(docs, quality.trusted_ids(labels)).join(labels, "doc_id").toPandas()
+    bad = got[got.quality == 0]
+    assert len(bad) > 50 and bad.kept.mean() < 0.02
+    assert (bad.toxic == 1).sum() > 5 and not bad[bad.toxic == 1].kept.any()
+    assert got[(got.quality == 1) & (got.toxic == 0)].kept.mean() > 0.98
+
+
+def test_spam_and_bad_stretch_of_likely_words(docs, spark):
+    rng = random.Random(5)
+    prose = lambda k: " ".join(rng.choice(["der", "die", "und", "ein", "gar", "was", "nun", "ist", "zu", "am"]) for _ in range(k))
+    rows = [(i, prose(rng.randrange(3, 300)), "de") for i in range(400)]
+    rows += [(1000, "der " * 300, "de"), (1001, prose(400) + " der" * 100 + " " + prose(400), "de"), (1002, prose(800) + " #@%&~^|$" * 16 + " " + prose(800), "de")]
+    trusted = spark.createDataFrame([(i,) for i in range(400)], "doc_id long")
+    got = {r.doc_id: r for r in quality.judge_quality(docs(rows), trusted).collect()}
+    assert np.mean([got[i].kept for i in range(400)]) > 0.97
+    assert not got[1000].kept and got[1000].perplexity < got[1000].threshold
+    assert not got[1001].kept and not got[1002].kept
+
+
+def test_stretch_and_fresh_by_hand():
+    rng = np.random.default_rng(3)
+    size = [1, 5, 31, 32, 33, 127, 128, 129, 300, 1000]
+    row = np.repeat(np.arange(len(size)), size)
+    logp, g = -rng.random(len(row)), rng.integers(0, 9, len(row), dtype=np.uint64)
+    worst, fresh = quality.worst_stretch(row, logp, len(size)), quality.least_fresh(row, g, len(size))
+    for i, n in enumerate(size):
+        p, x = logp[row == i], g[row == i]
+        cells = -(-n // 32)
+        starts = range(0, max(cells - 4, 0) * 32 + 1, 32)
+        assert worst[i] == pytest.approx(max(-p[s : s + 128].mean() for s in starts))
+        k = -(-n // 256)
+        pieces = [x[np.arange(n) * k // n == j] for j in range(k)]
+        assert fresh[i] == pytest.approx(min(len(set(q.tolist())) / len(q) for q in pieces))
