@@ -26,6 +26,8 @@ GROUP = 256
 WHOLE = 4_000_000
 #: central sets that are tried against all others of a group before the search
 PIVOTS = 8
+#: sets with too many empty parts are dealt again this often before they meet under single tokens
+DEALS = 8
 
 
 # ---------------------------------------------------------------- sets
@@ -66,8 +68,11 @@ class Levels:
     d = (|a| + |b|) (den - num) / (den + num) tokens. Bands of sizes are so wide that sets which
     link lie in the same or in adjacent bands; level v holds the pairs whose larger set is in band
     v. If the tokens are dealt to more than d parts by a hash, one part at least is the same in
-    both. A few more parts make it certain that such a part is not empty, but for sets with very
-    many empty parts, which meet under a key of their own.
+    both. If more parts of a set hold tokens than can differ, one of the equal ones is not empty. A
+    set without so many is bare. Two sets whose equal parts are all empty are both bare, so bare
+    sets are dealt again by another hash, and those that are bare in all ``DEALS`` meet under their first
+    tokens by hash: of n tokens any n - ceil(n num / den) + 1 hold one that is shared. Only
+    such a token can be common to unlike sets.
     """
 
     def __init__(self, num: int, den: int):
@@ -93,29 +98,41 @@ class Levels:
     def keys(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """(place of the set, 40-bit key) under which sets that may link meet."""
         sizes = np.array([len(s) for s in sets], np.int64)
-        tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(sets)), sizes)
-        spread, band = mix(tokens ^ np.uint64(0x51ED270B)), self.band(sizes)
+        band = self.band(sizes)
         out_set, out_key = [], []
         for step in (0, 1):
             level = band + step
-            d = self.differ(level)
+            d, top = self.differ(level), np.array(self.top, np.int64)[level]
+            # a set that may link has at most sizes * den / num tokens, and at most those of the level
+            apart = np.minimum(d, (sizes + np.minimum(top, sizes * self.den // self.num)) * (self.den - self.num) // (self.den + self.num))
             parts = d + 1 + -(-d // 16)
-            base = np.cumsum(parts) - parts
-            place = base[owner] + ((tokens >> np.uint64(20)) % parts[owner].astype(np.uint64)).astype(np.int64)
-            order = np.argsort(place, kind="stable")
-            place = place[order]
-            first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else np.zeros(0, np.int64)
-            total = np.add.reduceat(spread[order], first) if len(first) else np.zeros(0, np.uint64)
-            who = owner[order][first]
-            part = (place[first] - base[who]).astype(np.uint64)
             salt = level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            out_set.append(who)
-            out_key.append(mix(total + salt[who] + part * np.uint64(0xD1B54A32D192ED03)))
-            full = np.bincount(who, minlength=len(sets))
-            bare = np.flatnonzero((parts - full >= parts - d) & (sizes > 0) & (d > 0))
-            out_set.append(bare)
-            out_key.append(mix(salt[bare] + np.uint64(77)))
+            left = np.flatnonzero(sizes > 0)
+            for deal in range(DEALS):
+                if not len(left):
+                    break
+                tokens, owner = np.concatenate([sets[i] for i in left.tolist()]), np.repeat(left, sizes[left])
+                spread = mix(tokens ^ np.uint64(0x51ED270B))
+                by = tokens if deal == 0 else mix(tokens + np.uint64(deal * 0xA0761D6478BD642F % 2**64))
+                base = np.cumsum(parts) - parts
+                place = base[owner] + ((by >> np.uint64(20)) % parts[owner].astype(np.uint64)).astype(np.int64)
+                order = np.argsort(place, kind="stable")
+                place = place[order]
+                first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+                total = np.add.reduceat(spread[order], first)
+                who = owner[order][first]
+                part = (place[first] - base[who]).astype(np.uint64) + np.uint64(deal << 32)
+                out_set.append(who)
+                out_key.append(mix(total + salt[who] + part * np.uint64(0xD1B54A32D192ED03)))
+                full = np.bincount(who, minlength=len(sets))
+                left = left[full[left] <= apart[left]]
+            for i in left.tolist():
+                n = len(sets[i])
+                prefix = np.sort(mix(sets[i] ^ np.uint64(0x2545F491)))[: n - -(-n * self.num // self.den) + 1]
+                out_set.append(np.full(len(prefix), i))
+                out_key.append(mix(prefix + salt[i]))
+        if not out_set:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         return np.concatenate(out_set), np.concatenate(out_key) >> np.uint64(24)
 
 

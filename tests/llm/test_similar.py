@@ -125,3 +125,18 @@ def test_group_search_finds_all(seed, threshold):
                 true.append((i, j))
     assert set(links) <= {(a, b) for x, y in true for a, b in ((x, y), (y, x))}
     assert connect(links) == connect(true)
+
+
+@pytest.mark.parametrize("num, den", [(80, 100), (85, 100)])
+def test_unlike_sets_share_no_key(num, den):
+    rng = np.random.default_rng(11)
+    sets = [np.unique(rng.integers(0, 2**63, int(n), dtype=np.uint64)) for n in rng.integers(2, 260, 4000)]
+    place, keys = similar.Levels(num, den).keys(sets)
+    pairs = np.unique(np.stack([keys, place.astype(np.uint64)], 1), axis=0)
+    assert np.unique(pairs[:, 0], return_counts=True)[1].max() <= 2  # two by chance in 40 bits
+    assert len(pairs) < 1.1 * sum(len(s) for s in sets)
+
+
+def test_first_tokens_alone_lose_no_link(monkeypatch):
+    monkeypatch.setattr(similar, "DEALS", 0)
+    test_sets_that_link_meet()
