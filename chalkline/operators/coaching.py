@@ -310,15 +310,24 @@ DEFAULT_POLICY = "weakest"
 def focus_indicator(sessions: DataFrame, policy: str | Callable[[Column], Column] = DEFAULT_POLICY) -> DataFrame:
     """The indicator a coaching card targets. ``policy`` is a name or a column builder over the
     indicator array."""
-    pick = policy if callable(policy) else POLICIES.get(policy, POLICIES[DEFAULT_POLICY])
     listed = sessions.withColumn("_items", indicators(F.col("analysis_data")))
     return (
         listed.filter(F.size("_items") > 0)
-        .withColumn("_focus", pick(F.col("_items")))
+        .withColumn("_focus", _pick(policy)(F.col("_items")))
         .select("session_id", "_focus.name", "_focus.score", "_focus.max_score", "_focus.area", "_focus.id")
     )
 
 
+def _pick(policy: str | Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return policy if callable(policy) else POLICIES.get(policy, POLICIES[DEFAULT_POLICY])
+
+
+def focus_names(sessions: DataFrame, policies: dict[str, str | Callable[[Column], Column]]) -> DataFrame:
+    """The name of the indicator each policy picks, a column per policy, in one pass over ``sessions``."""
+    listed = sessions.withColumn("_items", indicators(F.col("analysis_data"))).filter(F.size("_items") > 0)
+    return listed.select("session_id", *[_pick(p)(F.col("_items"))["name"].alias(c) for c, p in policies.items()])
+
+
 # C4 -------------------------------------------------------------------------------------
 
 # Counters of a transcript chunk.

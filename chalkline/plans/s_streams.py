@@ -12,6 +12,7 @@ from chalkline.plans.g_graph import segments
 from chalkline.plans.p_joins import _WORD_VALUES
 from chalkline.plans.registry import query
 from chalkline.plans.standins import AS_OF, ORDER_DAY, Programme, over_programme
+from chalkline.plans.w_quiz import _DOCS, _FOCUS_SQL
 from chalkline.sources import corpora
 from chalkline.sources import sinks as S
 from chalkline.streaming import run
@@ -335,10 +336,22 @@ def n2(spark, folder):
       'I 9' AS last_named FROM orders WHERE o_orderpriority = '1-URGENT'""",
 )
 def n3(spark, folder):
+    return _named_policies(spark, folder).filter("framework = 'hots'").drop("framework")
+
+
+def _named_policies(spark, folder):
     from chalkline.operators import coaching as C
     from chalkline.plans.w_quiz import _framework_docs
 
-    docs = _framework_docs(Programme(spark, folder)).filter("framework = 'hots'")
-    by_name = C.focus_indicator(docs, "weakest").select("session_id", F.col("name").alias("weakest"))
-    by_builder = C.focus_indicator(docs, lambda items: F.element_at(items, -1)).select("session_id", F.col("name").alias("last_named"))
-    return by_name.join(by_builder, "session_id")
+    docs = _framework_docs(Programme(spark, folder))
+    picked = C.focus_names(docs.withColumn("session_id", F.struct("session_id", "framework")), {"weakest": "weakest", "last_named": lambda items: F.element_at(items, -1)})
+    return picked.select("session_id.*", "weakest", "last_named")
+
+
+@query(
+    "N3_policies_all_frameworks",
+    f"""WITH {_DOCS}, i AS ({_FOCUS_SQL}) SELECT session_id, framework, arg_min(name, ROW(score / max_score, at_)) AS weakest, arg_max(name, at_) AS last_named
+    FROM i JOIN d USING (session_id) GROUP BY ALL""",
+)
+def n3_all(spark, folder):
+    return _named_policies(spark, folder)

@@ -37,3 +37,9 @@ def test_entry_has_all_queries():
 
 def test_oracles_belong_to_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_policies_reach_every_document(spark):
+    got = plans.QUERIES["N3_policies_all_frameworks"](spark, FOLDER)
+    assert got.count() == spark.read.parquet(f"{FOLDER}/orders.parquet").count()
+    assert got.select("framework").distinct().count() == 5 and got.where("weakest IS NULL OR last_named IS NULL").isEmpty()
