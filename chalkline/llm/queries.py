@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from chalkline.llm import langid, merkle, privacy, quality
 from chalkline.llm.exact import exact_dedup
+from chalkline.llm.leaks import find_leaks
 from chalkline.llm.mixing import mix_sources
 from chalkline.llm.packing import pack_documents
 from chalkline.llm.repeats import remove_repeats
 from chalkline.llm.similar import similar_documents
+from chalkline.llm.trie import prefix_trie
 from chalkline.llm.warc import read_archives, shared_folder, write_archives
+from chalkline.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -129,3 +132,52 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     trusted = quality.trusted_ids(table(spark, folder, "labels"))
     return quality.judge_quality(table(spark, folder, "documents"), trusted)
+
+
+@query(
+    "op11_prefix_trie",
+    r"""WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+             own AS (SELECT conv_id, list(struct_pack(role := role, text := text)
+                       ORDER BY turn NULLS FIRST, sha256(length(role)::VARCHAR || ':' || role || text)) AS ts FROM t GROUP BY conv_id),
+             h AS (SELECT conv_id, ts, (xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+                       lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))),
+                       4294967295) % 4)::INT AS h FROM own),
+             re AS (SELECT c.conv_id, list_concat(coalesce(p.ts[1:c.h], []), c.ts[c.h + 1:]) AS ts FROM h c LEFT JOIN own p ON p.conv_id = c.conv_id - c.conv_id % 20),
+             m AS (SELECT conv_id, len(ts) AS l, unnest(range(len(ts) + 1)) AS d, ts FROM re),
+             n AS (SELECT ts[1:d] AS k, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(ts[d]['text']) AS last,
+                     coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (l = d), '') AS ends FROM m GROUP BY ALL),
+             kids AS (SELECT k[1:d - 1] AS k, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+             f AS (SELECT n.*, coalesce(n_children, 0) AS n_children,
+                     CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(last, '[^\x20\x09-\x0D]+')) END AS s FROM n LEFT JOIN kids USING (k, d)),
+             up AS (SELECT k, s, n_children, unnest(range(d + 1)) AS a FROM f),
+             sub AS (SELECT k[1:a] AS k, a AS d, sum(s)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM up GROUP BY ALL)
+        SELECT f.conv_id, f.d::BIGINT AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, sub.n_leaves, sub.saved_tokens, sha256(f.ends) AS ends_sha256
+        FROM f JOIN sub ON sub.k = f.k AND sub.d = f.d LEFT JOIN n p ON p.d = f.d - 1 AND p.k = f.k[1:f.d - 1]""",
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie(table(spark, folder, "conversations"))
+
+
+@query("op12_whiten_embeddings")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten(table(spark, folder, "embeddings"))
+
+
+@query(
+    "op13_benchmark_leaks",
+    r"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                     'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+             i AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                     'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+             p AS (SELECT item, ws, least(10, len(ws)) AS k, unnest(range(1, greatest(len(ws) - 8, 2))) AS s FROM i WHERE len(ws) > 0),
+             w AS (SELECT DISTINCT item, k, array_to_string(ws[s:s + k - 1], ' ') AS x FROM p),
+             g AS (SELECT r, ws, k, unnest(range(1, len(ws) - k + 2)) AS s FROM d, (SELECT DISTINCT k FROM w) WHERE len(ws) >= k),
+             o AS (SELECT r, s, k, item FROM (SELECT r, s, k, array_to_string(ws[s:s + k - 1], ' ') AS x FROM g) JOIN w USING (k, x)),
+             hit AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(s, s + k)) AS j FROM o) GROUP BY r),
+             its AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS t FROM (SELECT DISTINCT r, item FROM o) GROUP BY r)
+        SELECT doc_id, len(ws) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(its.n, 0) AS n_items, sha256(coalesce(t, '')) AS items_sha256,
+               hit.n IS NOT NULL AS contaminated
+        FROM d LEFT JOIN hit ON hit.r = d.r LEFT JOIN its ON its.r = d.r""",
+)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
