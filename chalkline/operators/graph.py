@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from chalkline.functions.codes import parse_code, validate_code
 from chalkline.functions.rows import posexplode_into
-from chalkline.operators.ordered import carry_lag, in_order, position_chunk
-from chalkline.session import cut_lineage
+from chalkline.operators.ordered import carry_lag, in_order, position_chunk, top_n
+from chalkline.session import stored
 
 BLOOM = ["remember", "understand", "apply", "analyze", "evaluate", "create"]
 
@@ -260,103 +260,220 @@ def orient_pairs(pairs: DataFrame, meta: DataFrame, max_gap: int = 2) -> DataFra
 
 
 # G7 -----------------------------------------------------------------------------------------
+#
+# Edges under work are (a, b, r): from node a to node b, and the place r of an edge in the order of decisions. An edge
+# may stand for a path; then r is that of its last edge, which alone can close a cycle that goes along the path.
+
+#: edges of one strongly connected part that are decided together: bits of the sets of nodes they reach
+BATCH = 1024
+
+
+def _shrink_once(live: DataFrame) -> tuple[DataFrame, DataFrame | None, bool]:
+    """(edges left, edges found to close a cycle, whether anything changed), all by joins.
+
+    Nodes without in- or out-edge lie on no cycle and go with their edges. Nodes with one of each are
+    middles: paths of them become one edge, by pointers that double in each step, and rings of them lose their last
+    edge. Two spans of a path that start one after the other share no node, so equal smallest nodes
+    (``low``) tell that a ring has closed.
+    """
+    outward = live.select(F.col("a").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o"), F.struct("b", "r").alias("out"))
+    inward = live.select(F.col("b").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o"))
+    ends = outward.unionByName(inward, allowMissingColumns=True).groupBy("node")
+    ends = stored(
+        ends.agg(F.sum("i").alias("ins"), F.sum("o").alias("outs"), F.max("out").alias("out")).filter("ins = 0 OR outs = 0 OR ins = 1 AND outs = 1")
+    )
+    if ends.isEmpty():
+        return live, None, False
+    dead = ends.filter("ins = 0 OR outs = 0").select("node")
+    middles = ends.filter("ins = 1 AND outs = 1").select(
+        "node", F.col("out.b").alias("to"), F.col("out.r").alias("r"), F.col("node").alias("low"), F.lit(False).alias("ring"), F.lit(True).alias("open")
+    )
+    while not middles.filter("open").isEmpty():
+        ahead = middles.select(
+            F.col("node").alias("to"), F.col("to").alias("to2"), F.col("r").alias("r2"), F.col("low").alias("low2"), F.col("ring").alias("ring2")
+        )
+        ring = F.col("ring") | F.coalesce(F.col("ring2") | (F.col("low") == F.col("low2")), F.lit(False))
+        middles = stored(
+            middles.join(ahead, "to", "left").select(
+                "node",
+                F.coalesce("to2", "to").alias("to"),
+                F.greatest("r", F.coalesce("r2", "r")).alias("r"),
+                F.least("low", F.coalesce("low2", "low")).alias("low"),
+                ring.alias("ring"),
+                (F.col("to2").isNotNull() & ~ring).alias("open"),
+            )
+        )
+    path = middles.select(F.col("node").alias("b"), "to", F.col("r").alias("path_r"))
+    gone = ends.select(F.col("node").alias("a"))
+    left = (
+        live.join(gone, "a", "left_anti")
+        .join(path, "b", "left")
+        .select("a", F.coalesce("to", "b").alias("b"), F.greatest("r", F.coalesce("path_r", "r")).alias("r"))
+        .join(dead.select(F.col("node").alias("b")), "b", "left_anti")
+    )
+    left = stored(left.select("a", "b", "r"))
+    closing = middles.filter("ring AND node = low").select("r").unionByName(left.filter("a = b").select("r"))
+    return left.filter("a <> b"), closing, True
 
 
-def _led_from_a_source(edges: DataFrame, doublings: int) -> DataFrame:
-    """Nodes ``(node)`` that no cycle leads to, as far as chains tell: those without in-edge, and those whose only way
-    back, one in-edge at a time, ends in such a node. The way back is doubled in each step."""
-    into = edges.groupBy("dst").agg(F.count("*").alias("n"), F.min("src").alias("src"))
-    sources = edges.select(F.col("src").alias("node")).distinct().join(into, F.col("node") == F.col("dst"), "left_anti")
-    back = cut_lineage(into.filter("n = 1").select(F.col("dst").alias("node"), F.col("src").alias("up")))
-    for _ in range(doublings):
-        further = back.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        back = cut_lineage(back.join(further, "up", "left").select("node", F.coalesce("top", "up").alias("up")))
-    return sources.union(back.join(sources.select(F.col("node").alias("up")), "up", "left_semi").select("node"))
-
-
-def cyclic_core(edges: DataFrame) -> DataFrame:
-    """Edges left after leaving out, until nothing changes, edges that come from nodes no cycle leads to or go to
-    nodes that lead to no cycle. An edge left out lies on no cycle.
-
-    A round settles whole chains, by steps that double, so the number of rounds follows how often
-    chains meet, not how long they are."""
-    core = cut_lineage(edges.filter(F.col("src") != F.col("dst")).distinct())
-    before = core.count()
-    while before:
-        doublings = max(1, before.bit_length())
-        ahead = _led_from_a_source(core.select("src", "dst"), doublings).select(F.col("node").alias("src"))
-        core = cut_lineage(core.join(ahead, "src", "left_anti"))
-        turned = core.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        behind = _led_from_a_source(turned, doublings).select(F.col("node").alias("dst"))
-        core = cut_lineage(core.join(behind, "dst", "left_anti"))
-        after = core.count()
-        if after == before:
-            break
-        before = after
-    return core
+def _shrink(live: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges left when every node lies between others, with at least three edges, and the edges found to close a cycle."""
+    closing = live.select("r").limit(0)
+    while True:
+        live, found, changed = _shrink_once(live)
+        if not changed:
+            return live, closing
+        closing = closing.unionByName(found)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Weak components ``(node, component)`` by spreading the smallest id with shortcuts."""
-    both = edges.select(F.col("src").alias("node"), F.col("dst").alias("other"))
-    both = cut_lineage(both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
-    labels = cut_lineage(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("component")))
+def _least_reaching(edges: DataFrame) -> DataFrame:
+    """(node, least): the smallest node from which edges lead to each node, itself included; labels jump to the label
+    of their label in each round."""
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    labels = stored(nodes.withColumn("least", F.col("node")))
     while True:
-        spread = (
-            both.join(labels.withColumnRenamed("node", "other"), "other")
-            .groupBy("node")
-            .agg(F.min("component").alias("near"))
-        )
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("far"))
-        merged = (
-            labels.join(spread, "node", "left")
-            .withColumn("component", F.least("component", "near"))
-            .drop("near")
-            .join(jump, "component", "left")
-            .select("node", F.least("component", "far").alias("component"))
+        near = edges.join(labels, F.col("a") == F.col("node")).groupBy(F.col("b").alias("node")).agg(F.min("least").alias("near"))
+        hop = labels.select(F.col("node").alias("least"), F.col("least").alias("hop"))
+        moved = F.least("least", F.coalesce("near", "least"), F.coalesce("hop", "least"))
+        labels = stored(
+            labels.join(near, "node", "left").join(hop, "least", "left").select("node", moved.alias("least"), (moved != F.col("least")).alias("moved"))
         )
-        merged = cut_lineage(merged)
-        changed = merged.alias("m").join(labels.alias("l"), "node").filter("m.component <> l.component").limit(1).count()
-        labels = merged
-        if not changed:
-            return labels
+        if labels.filter("moved").isEmpty():
+            return labels.drop("moved")
+
+
+def strong_parts(live: DataFrame) -> DataFrame:
+    """(a, b, r, part): the edges inside strongly connected parts, by colouring.
+
+    A node's colour is the smallest node that leads to it. Nodes of a colour that lead back to
+    that node are its part; edges between colours lie on no cycle; what is left of each colour is coloured again.
+    """
+    settled = None
+    while not live.isEmpty():
+        colour = _least_reaching(live)
+        of = lambda side, name: colour.select(F.col("node").alias(side), F.col("least").alias(name))
+        same = stored(live.join(of("a", "part"), "a").join(of("b", "other"), "b").filter("part = other").select("a", "b", "r", "part"))
+        back = _least_reaching(same.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        home = lambda side, name: back.select(F.col("node").alias(side), F.col("least").alias(name))
+        both = stored(same.join(home("a", "x"), "a").join(home("b", "y"), "b").filter("x = y").select("a", "b", "r", "part", (F.col("x") == F.col("part")).alias("done")))
+        found = both.filter("done").drop("done")
+        settled = found if settled is None else settled.unionByName(found)
+        live = both.filter("NOT done").select("a", "b", "r")
+    return settled if settled is not None else live.withColumn("part", F.col("a"))
+
+
+def _reached(kept: DataFrame, batch: DataFrame, words: int) -> DataFrame:
+    """(node, bits): for each node the batch edges from whose head decided edges lead to it, as ``words`` longs."""
+    bit = [F.when(F.floor(F.col("i") / 64) == w, F.expr("shiftleft(1L, cast(i % 64 AS int))")).otherwise(F.lit(0).cast("long")) for w in range(words)]
+    columns = [f"w{w}" for w in range(words)]
+    merged = lambda df: df.groupBy("node").agg(*[F.bit_or(c).alias(c) for c in columns])
+    state = stored(merged(batch.select(F.col("b").alias("node"), *[x.alias(c) for x, c in zip(bit, columns)])))
+    size = sum(F.bit_count(c) for c in columns)
+    known = -1
+    while (total := state.agg(F.sum(size)).first()[0]) != known:
+        known = total
+        moved = kept.join(state, F.col("a") == F.col("node")).select(F.col("b").alias("node"), *columns)
+        state = stored(merged(state.unionByName(moved)))
+    return state.select("node", F.array(*columns).alias("bits"))
+
+
+def _settle_batches(batches):
+    """Decide batches: rows come by part and place ``i``. ``reach`` of edge j holds the batch edges from whose head its tail
+    can be reached; it closes a cycle if it is one of them, and otherwise hands them on."""
+    import pyarrow as pa
+
+    def settle(rows):
+        reach = [sum((w & (2**64 - 1)) << 64 * k for k, w in enumerate(bits or ())) for bits in (r["bits"] for r in rows)]
+        heads: dict = {}
+        for i, r in enumerate(rows):
+            heads[r["b"]] = heads.get(r["b"], 0) | 1 << i
+        reach = [x | heads.get(r["a"], 0) for x, r in zip(reach, rows)]
+        for j in range(len(rows)):
+            closes = bool(reach[j] >> j & 1)
+            if not closes:
+                mine = reach[j]
+                for k in range(len(rows)):
+                    if reach[k] >> j & 1:
+                        reach[k] |= mine
+            yield closes
+
+    held: list = []
+    out: list = []
+    schema = None
+
+    def flush():
+        closes = list(settle(held))
+        out.extend({"r": row["r"], "closes": c} for row, c in zip(held, closes))
+
+    for batch in batches:
+        schema = batch.schema
+        for row in batch.to_pylist():
+            if held and held[-1]["part"] != row["part"]:
+                flush()
+                held = []
+            held.append(row)
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([schema.field("r"), pa.field("closes", pa.bool_())]))
+            out = []
+    if held:
+        flush()
+        yield pa.RecordBatch.from_pylist(out, schema=pa.schema([schema.field("r"), pa.field("closes", pa.bool_())]))
+
+
+def _decide(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges left, edges that close a cycle): the next ``BATCH`` undecided edges of each part, heaviest first."""
+    kept, rest = parts.filter("r.late = 0"), parts.filter("r.late = 1")
+    batch = stored(top_n(rest, ["part"], [F.col("r").asc()], BATCH).withColumn("i", F.col("rank") - 1).drop("rank"))
+    words = -(-(batch.agg(F.max("i")).first()[0] + 1) // 64)
+    if kept.isEmpty():
+        rows = batch.withColumn("bits", F.lit(None).cast("array<bigint>"))
+    else:
+        rows = batch.join(_reached(kept, batch, words), F.col("a") == F.col("node"), "left")
+    rows = rows.select("part", "i", "a", "b", "r", "bits").repartition("part").sortWithinPartitions("part", "i")
+    kind = parts.schema["r"].dataType.simpleString()
+    told = stored(rows.mapInArrow(_settle_batches, f"r {kind}, closes boolean"))
+    known = parts.join(told, "r", "left")
+    place = F.when(F.col("closes").isNotNull(), F.col("r").withField("late", F.lit(0))).otherwise(F.col("r"))
+    left = stored(known.filter("closes IS NULL OR NOT closes").select("a", "b", place.alias("r")))
+    return left, told.filter("closes").select("r")
+
+
+def _ordered(edges: DataFrame) -> DataFrame:
+    """(a, b, r) of the pairs of two nodes; repeated pairs at their largest weight."""
+    r = F.struct(F.lit(1).alias("late"), F.col("weight").isNull().alias("unknown"), (-F.col("weight")).alias("light"), "src", "dst")
+    pairs = edges.filter("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").groupBy("src", "dst").agg(F.min(r).alias("r"))
+    return stored(pairs.select(F.col("src").alias("a"), F.col("dst").alias("b"), "r"))
 
 
 def acyclic_core(edges: DataFrame) -> DataFrame:
     """``edges(src, dst, weight)`` with ``kept``: heaviest first, an edge that closes a cycle of
-    kept edges is dropped (ties by src, dst; without weight last).
-
-    Edges outside the cyclic core stay and are settled by joins. Core edges that are connected are
-    one group, a task each: for every node it holds the set of nodes from which kept edges lead to
-    it, as one long integer, so an edge is tested by one bit and a kept edge adds the set of its
-    source to all nodes its target leads to. A group of n nodes takes n * n / 8 bytes."""
-    import pandas as pd
-
-    core = cyclic_core(edges.select("src", "dst")).join(edges, ["src", "dst"])
-    labels = components(core)
-    grouped = core.join(labels.withColumnRenamed("node", "src"), "src")
-
-    def settle(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["weight", "src", "dst"], ascending=[False, True, True], ignore_index=True)
-        number, _ = pd.factorize(pd.concat([part["src"], part["dst"]], ignore_index=True))
-        tails, heads = number[: len(part)].tolist(), number[len(part) :].tolist()
-        upstream = [1 << k for k in range(int(number.max()) + 1)]  # a node counts as upstream of itself
-        stays = []
-        for tail, head in zip(tails, heads):
-            ok = not upstream[tail] >> head & 1
-            stays.append(ok)
-            if ok and not upstream[head] >> tail & 1:
-                gained, bit = upstream[tail], 1 << head
-                upstream = [u | gained if u & bit else u for u in upstream]
-        return part.loc[[not x for x in stays], ["src", "dst"]]
-
-    kind = edges.schema["src"].dataType.simpleString()
-    dropped = grouped.groupBy("component").applyInPandas(settle, f"src {kind}, dst {kind}").distinct()
-    dropped = dropped.withColumn("_kept", F.lit(False))
-    loop = F.col("src") == F.col("dst")
+    kept edges is dropped (ties by src, dst; without weight last). Rows that repeat a pair share its fate, at its
+    largest weight; an edge from a node to itself is dropped.
+
+    Edges on no cycle stay. The graph is shrunk by joins (``_shrink``), which decides chains and rings of any
+    length in rounds that double. The rest is cut into strongly connected parts, and in each
+    part the heaviest ``BATCH`` edges are decided together, then the next: sets of bits that spread over the edges kept so far
+    tell which heads of the batch lead to which tails. A task holds the edges of one batch,
+    whatever the size of the part; parts are decided side by side."""
+    live, dropped = _ordered(edges), None
+    while True:
+        live, closing = _shrink(live)
+        dropped = closing if dropped is None else dropped.unionByName(closing)
+        if live.filter("r.late = 1").isEmpty():
+            break
+        live = strong_parts(live)
+        if live.filter("r.late = 1").isEmpty():
+            break
+        live, closing = _decide(live)
+        dropped = dropped.unionByName(closing)
+    dropped = dropped.select("r.src", "r.dst", F.lit(False).alias("_kept"))
+    loop = F.coalesce(F.col("src") == F.col("dst"), F.lit(False))
     return edges.join(dropped, ["src", "dst"], "left").withColumn("kept", F.coalesce("_kept", ~loop)).drop("_kept")
 
 
 def has_cycle(edges: DataFrame) -> bool:
     """Whether any directed cycle exists."""
-    return not edges.filter(F.col("src") == F.col("dst")).isEmpty() or not cyclic_core(edges.select("src", "dst")).isEmpty()
+    if not edges.filter(F.col("src") == F.col("dst")).isEmpty():
+        return True
+    live, closing = _shrink(_ordered(edges.select("src", "dst", F.lit(0).alias("weight"))))
+    return not live.isEmpty() or not closing.isEmpty()

@@ -303,7 +303,16 @@ def g6(spark, folder):
     return G.orient_pairs(pairs, _meta(p)).drop("weight")
 
 
-@query("G7_acyclic_core")
+@query(
+    "G7_acyclic_core",
+    """WITH RECURSIVE f AS (SELECT c_nationkey AS src, s_nationkey AS dst, sum(l_quantity) AS weight FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+        JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL),
+      e AS (SELECT *, row_number() OVER (ORDER BY weight DESC, src, dst) AS i FROM f),
+      g AS (SELECT 0::BIGINT AS i, list_transform(range(25), lambda n: 1::BIGINT << n::INT) AS reach, NULL::BOOLEAN AS kept
+        UNION ALL SELECT e.i, CASE WHEN (g.reach[dst + 1] >> src::INT) & 1 = 1 THEN g.reach ELSE list_transform(g.reach, lambda m: CASE WHEN (m >> src::INT) & 1 = 1 THEN m | g.reach[dst + 1] ELSE m END) END,
+          (g.reach[dst + 1] >> src::INT) & 1 = 0 FROM g JOIN e ON e.i = g.i + 1)
+    SELECT src, dst, weight, kept FROM e JOIN (SELECT i, kept FROM g) USING (i)""",
+)
 def g7(spark, folder):
     """Customers of one nation linked to the supplier's nation: a small dense graph with cycles."""
     p = Programme(spark, folder)
@@ -338,6 +347,28 @@ def g7_rings(spark, folder):
     return G.acyclic_core(rings)
 
 
+@query(
+    "G7_mixed_rings",
+    """WITH e AS (SELECT o_orderkey, o_totalprice::DOUBLE AS weight, o_orderkey % 20 AS p FROM orders),
+      r AS (SELECT *, CASE WHEN p < 2 THEN 2 WHEN p < 5 THEN 3 WHEN p < 9 THEN 4 WHEN p < 14 THEN 5 ELSE 6 END AS n FROM e),
+      h AS (SELECT o_orderkey AS src, weight, n, o_orderkey - p + CASE n WHEN 2 THEN 0 WHEN 3 THEN 2 WHEN 4 THEN 5 WHEN 5 THEN 9 ELSE 14 END AS head FROM r)
+    SELECT src, CASE WHEN src = head + n - 1 THEN head ELSE src + 1 END AS dst, weight,
+      count(*) OVER ring < n OR row_number() OVER (PARTITION BY head ORDER BY weight DESC, src) < n AS kept FROM h WINDOW ring AS (PARTITION BY head)""",
+)
+def g7_mixed(spark, folder):
+    """Orders in rings of two to six by their numbers, weighted by price: a ring loses its lightest edge, one with a gap none."""
+    orders = Programme(spark, folder).table("orders")
+    p = F.pmod(F.col("o_orderkey"), F.lit(20))
+    size = F.when(p < 2, 2).when(p < 5, 3).when(p < 9, 4).when(p < 14, 5).otherwise(6)
+    head = F.col("o_orderkey") - p + F.when(p < 2, 0).when(p < 5, 2).when(p < 9, 5).when(p < 14, 9).otherwise(14)
+    rings = orders.select(
+        F.col("o_orderkey").alias("src"),
+        F.when(F.col("o_orderkey") == head + size - 1, head).otherwise(F.col("o_orderkey") + 1).alias("dst"),
+        F.col("o_totalprice").cast("double").alias("weight"),
+    )
+    return G.acyclic_core(rings)
+
+
 # E, X ------------------------------------------------------------------------------------------
 
 _QUERY = [math.cos(i) for i in range(64)]

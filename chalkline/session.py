@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,13 +28,9 @@ def local_session(app: str = "chalkline", cores: str = "*", **conf: str) -> Spar
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` to the shared folder named by ``spark.checkpoint.dir``.
-
-    Used by loops whose plan would otherwise grow with every round. A local
-    folder is chosen only when nothing is configured and the master is local.
-    """
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``; a local one is chosen only when nothing is
+    configured and the master is local."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -42,4 +39,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
             folder = tempfile.mkdtemp(prefix="chalkline-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` to the shared folder. Used by loops whose plan would otherwise grow with every round."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it again.
+
+    A checkpoint keeps what the optimizer knows about equal columns, which can double in each round of a loop that
+    renames them; a table read anew starts without. It is also computed once, not twice.
+    """
+    spark = df.sparkSession
+    folder = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)

@@ -48,14 +48,34 @@ def test_chain_has_no_core(spark):
 
 def test_long_chain_takes_few_rounds(spark, monkeypatch):
     calls = []
-    plain = G.cut_lineage
-    monkeypatch.setattr(G, "cut_lineage", lambda df: calls.append(1) or plain(df))
+    plain = G.stored
+    monkeypatch.setattr(G, "stored", lambda df: calls.append(1) or plain(df))
     n = 10_000
     chain = spark.range(n).selectExpr("id AS src", "id + 1 AS dst", "1.0D AS weight")
     ring = spark.createDataFrame([(n, n + 1, 3.0), (n + 1, n + 2, 1.0), (n + 2, n, 2.0)], "src long, dst long, weight double")
     out = G.acyclic_core(chain.union(ring))
     assert [(r.src, r.dst) for r in out.filter("NOT kept").collect()] == [(n + 1, n + 2)]
-    assert len(calls) < 120  # doubling steps, not layers
+    assert len(calls) < 25  # doubling steps, not layers
+
+
+@pytest.mark.parametrize("seed, nodes, n, batch", [(5, 9, 60, 30)])
+def test_parts_beyond_one_batch(spark, monkeypatch, seed, nodes, n, batch):
+    monkeypatch.setattr(G, "BATCH", batch)  # several batches a part: kept edges carry reach between them
+    rng = random.Random(seed)
+    edges = {}
+    while len(edges) < n:
+        edges[f"n{rng.randrange(nodes)}", f"n{rng.randrange(nodes)}"] = float(rng.randrange(30))
+    rows = [(s, d, w) for (s, d), w in edges.items()]
+    out = G.acyclic_core(spark.createDataFrame(rows, "src string, dst string, weight double"))
+    assert {(r["src"], r["dst"]): r["kept"] for r in out.collect()} == greedy(rows)
+
+
+def test_odd_edges(spark):
+    rows = [("a", "b", 1.0), ("b", "a", None), ("a", "a", 5.0), (None, "a", 1.0), ("c", "d", 2.0), ("c", "d", 9.0), ("d", "c", 3.0)]
+    out = G.acyclic_core(spark.createDataFrame(rows, "src string, dst string, weight double")).collect()
+    got = {(r["src"], r["dst"], r["weight"]): r["kept"] for r in out}
+    assert got == {r: r not in {("b", "a", None), ("a", "a", 5.0), ("d", "c", 3.0)} for r in rows}
+    assert G.acyclic_core(spark.createDataFrame([], "src string, dst string, weight double")).count() == 0
 
 
 def make_segments(spark):
