@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chalkline.operators.ordered import top_n
 from chalkline.operators.percentiles import exact_percentiles
-from chalkline.session import cut_lineage
+from chalkline.session import stored
 
 # Cosines are compared after rounding, so that equal vectors tie whatever block they fall in.
 DIGITS = 9
@@ -83,146 +84,181 @@ def store_stats(store: DataFrame) -> DataFrame:
 
 # E2, E3 ----------------------------------------------------------------------------
 
+#: vectors of one block of a blocked product, at most
+BLOCK = 32_768
+#: vectors that place the cells; any sample gives the same result
+SAMPLE = 4096
+#: directions in which cells have borders
+AXES = 8
+#: cosines held at a time
+STRIP = 1 << 21
 
-def _unit(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    v = F.transform(vector_col, lambda x: x.cast("double"))
-    norm = F.sqrt(dot(v, v))
-    unit = F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
-    return vectors.select(F.col(id_col).alias("id"), unit.alias("v"))
 
+def unit_rows(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(id, width, v): vectors of length 1 as the bytes of their doubles; those without length stay as they are.
+    Vectors that are null, empty, or hold a null, NaN or infinite entry are left out."""
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.array([np.asarray(x, dtype=np.float64) for x in column])
-
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("v")
+            at = np.asarray(lists.offsets).astype(np.int64)
+            entries = np.array(lists.values.fill_null(math.nan).to_numpy(zero_copy_only=False), np.float64)
+            wrong = np.concatenate([[0], np.cumsum(~np.isfinite(entries))])
+            width = np.diff(at)
+            fine = np.asarray(lists.is_valid()) & (wrong[at[1:]] == wrong[at[:-1]]) & (width > 0)
+            for w in np.unique(width[fine]).tolist():
+                rows = np.flatnonzero(fine & (width == w))
+                m = entries[at[rows][:, None] + np.arange(w)]
+                norm = np.sqrt(np.einsum("ij,ij->i", m, m))
+                m /= np.where(norm > 0, norm, 1)[:, None]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").take(pa.array(rows)), pa.array(np.full(len(rows), w, np.int32)), pa.array([x.tobytes() for x in m + 0.0], pa.binary())],
+                    names=["id", "width", "v"],
+                )
 
-def _angles(cos: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(cos, -1.0, 1.0))
+    kind = vectors.schema[id_col].dataType.simpleString()
+    wide = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    return wide.mapInArrow(run, f"id {kind}, width int, v binary")
+
+
+def _matrix(packed, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(packed), np.float64).reshape(-1, width)
+
+
+def _cells(sample: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rotation, axis, cut) of a tree that halves the sample ``depth`` times, each time along the widest of its main directions."""
+    _, q = np.linalg.eigh(sample.T @ sample)
+    q = np.ascontiguousarray(q[:, ::-1][:, :AXES])
+    axis, cut = np.zeros(1 << depth, np.int64), np.zeros(1 << depth)
+    held = {1: sample @ q}
+    for node in range(1, 1 << depth):
+        x = held.pop(node)
+        if len(x):
+            axis[node] = int(np.ptp(x, axis=0).argmax())
+            cut[node] = float(np.median(x[:, axis[node]]))
+        side = x[:, axis[node]] > cut[node]
+        held[2 * node], held[2 * node + 1] = x[~side], x[side]
+    return q, axis, cut
+
+
+def _near(a: np.ndarray, b: np.ndarray, k: int, threshold: float, same: bool):
+    """(row of a, row of b, cosine) of the up to ``k`` best of each row, ties to the earlier row of b.
+
+    Both sides are turned so that the first directions hold most of ``a``. The product over a quarter of them plus
+    the product of what is left of both lengths bounds the cosine; whole products are made for pairs whose
+    bound reaches the threshold, or, where those are many, for all."""
+    m = max(1, a.shape[1] // 4)
+    _, q = np.linalg.eigh(a.T @ a)
+    ta, tb = a @ q[:, ::-1], b @ q[:, ::-1]
+    rest_a, rest_b = (np.sqrt(np.einsum("ij,ij->i", t[:, m:], t[:, m:])) for t in (ta, tb))
+    head_a, head_b = np.ascontiguousarray(ta[:, :m]), np.ascontiguousarray(tb[:, :m].T)
+    step = max(1, STRIP // len(b))
+    for i in range(0, len(a), step):
+        bound = head_a[i : i + step] @ head_b + np.outer(rest_a[i : i + step], rest_b)
+        row, col = np.nonzero(bound >= threshold - 1e-9)
+        if len(row) * 16 < bound.size:
+            cos = np.round(np.einsum("ij,ij->i", a[i + row], b[col]), DIGITS) + 0.0
+            good = (cos >= threshold) & ~((i + row == col) & same)
+            row, col, cos = row[good], col[good], cos[good]
+            order = np.lexsort((col, -cos, row))
+            row, col, cos = row[order], col[order], cos[order]
+            first = np.arange(len(row)) - np.searchsorted(row, row) < k
+            yield i + row[first], col[first], cos[first]
+            continue
+        cos = np.round(a[i : i + step] @ b.T, DIGITS) + 0.0
+        if same:
+            mine = np.arange(len(cos))
+            cos[mine, i + mine] = -2
+        keep = cos >= threshold
+        if len(b) > k:
+            least = np.partition(cos, len(b) - k, axis=1)[:, len(b) - k][:, None]
+            above, ties = keep & (cos > least), keep & (cos == least)
+            keep = above | ties & (np.cumsum(ties, axis=1) <= k - above.sum(axis=1, keepdims=True))
+        row, col = np.nonzero(keep)
+        yield i + row, col, cos[row, col]
+
+
+def block_routes(unit: DataFrame, count: int, width: int, threshold: float, block: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(placed, routes): ``unit`` with its ``block``, and (block, low, high) for the pairs of blocks that have to meet.
+
+    A tree over the main directions of a sample deals the vectors into about four cells, more if a block would
+    exceed ``BLOCK``; cells of more than two blocks, such as copies of one vector, are dealt on by a hash. Two cells whose
+    boxes lie further apart than vectors at the threshold can, do not meet. The driver sees the sample and a box a
+    cell."""
+    size = block or min(BLOCK, max(1024, -(-count // 4)))
+    depth = max(0, math.ceil(math.log2(count / size)))
+    sample = unit.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()
+    q, axis, cut = _cells(_matrix([r["v"] for r in sample], width), depth)
+    kind = unit.schema["id"].dataType.simpleString()
+
+    def place(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _matrix(batch.column("v").to_pylist(), width) @ q
+            node = np.ones(len(x), np.int64)
+            for _ in range(depth):
+                node = 2 * node + (x[np.arange(len(x)), axis[node]] > cut[node])
+            box = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array((node - (1 << depth)).astype(np.int32)), box], names=["id", "v", "cell", "x"])
+
+    celled = stored(unit.mapInArrow(place, f"id {kind}, v binary, cell int, x array<double>"))
+    axes = q.shape[1]
+    edges = [f(F.col("x")[d]).alias(f"{name}{d}") for d in range(axes) for name, f in (("lo", F.min), ("hi", F.max))]
+    boxes = celled.groupBy("cell").agg(F.count("*").alias("n"), *edges).orderBy("cell").toPandas()
+    parts = np.ceil(boxes["n"].to_numpy() / (2 * size)).astype(int)
+    first = np.concatenate([[0], np.cumsum(parts)])
+    low, high = (boxes[[f"{name}{d}" for d in range(axes)]].to_numpy() for name in ("lo", "hi"))
+    found = []
+    for i in range(len(boxes)):
+        gap = np.maximum(0, np.maximum(low[i:] - high[i], low[i] - high[i:]))
+        for j in (i + np.flatnonzero((gap**2).sum(axis=1) <= 2 - 2 * threshold + 1e-9)).tolist():
+            mine, theirs = np.arange(first[i], first[i + 1]), np.arange(first[j], first[j + 1])
+            found += [(x, y) for x in mine.tolist() for y in theirs.tolist() if x <= y]
+    routes = pd.DataFrame([(b, x, y) for x, y in found for b in {x, y}], columns=["block", "low", "high"], dtype="int64")
+    spark = unit.sparkSession
+    where = pd.DataFrame({"cell": boxes["cell"], "first": first[:-1], "parts": parts}).astype("int64")
+    lane = F.pmod(F.xxhash64("id"), F.col("parts"))
+    placed = celled.join(spark.createDataFrame(where), "cell").select("id", "v", (F.col("first") + lane).alias("block"))
+    return placed, spark.createDataFrame(routes)
+
+
+def _best(width: int, k: int, threshold: float):
+    """What the task of a pair of blocks, or of a block with itself, does."""
+
+    def best(pair: pd.DataFrame) -> pd.DataFrame:
+        pair = pair.sort_values("block")
+        ids = [np.asarray(x) for x in pair["ids"]]
+        vs = [_matrix(x, width) for x in pair["vs"]]
+        found = [(ids[0], ids[-1], *x) for x in _near(vs[0], vs[-1], k, threshold, len(vs) == 1)]
+        if len(vs) == 2:
+            found += [(ids[1], ids[0], *x) for x in _near(vs[1], vs[0], k, threshold, False)]
+        parts = [pd.DataFrame({"id": a[r], "other": b[c], "cosine": v}) for a, b, r, c, v in found if len(r)]
+        return pd.concat(parts) if parts else pd.DataFrame({"id": [], "other": [], "cosine": []})
+
+    return best
 
 
 def neighbours(
-    vectors: DataFrame,
-    k: int,
-    threshold: float,
-    id_col: str = "id",
-    vector_col: str = "embedding",
-    pivots: int | None = None,
-    rings: int = 32,
-    block: int = 2048,
+    vectors: DataFrame, k: int, threshold: float, id_col: str = "id", vector_col: str = "embedding", block: int | None = None
 ) -> DataFrame:
     """The up to ``k`` nearest others of each vector with cosine at least ``threshold`` (ties by id),
-    as (id, other, cosine, rank). Exact.
-
-    Copies: only the ``k + 1`` smallest ids of equal vectors can be anyone's neighbour in a mutual
-    pair, the others are dropped before the comparison (their own lists are not needed for E2, E3).
-    Pruning: every vector is filed under its closest pivot and the ring of its angle to it. A vector
-    within the threshold angle of ``x`` can only lie in rings whose angle differs from ``x``'s angle to
-    that pivot by at most that angle (triangle inequality), so ``x`` visits only those. Cells with many
-    rows are split on both sides, so no task holds more than ``block`` x ``block`` vectors.
-    The pivots (one per ``block`` vectors, at most 256) and the ring sizes are the only data the
-    driver sees.
-    """
-    unit = _unit(vectors, id_col, vector_col)
-    distinct = cut_lineage(top_n(unit, ["v"], [F.col("id").asc()], k + 1).drop("rank"))  # read four times below
-    if pivots is None:
-        pivots = max(1, min(256, distinct.count() // block))
-    chosen = distinct.orderBy(F.xxhash64("id"), "id").limit(pivots).select("v").collect()
-    if not chosen:
-        return distinct.select("id", F.col("id").alias("other"), F.lit(0.0).alias("cosine"), F.lit(1).alias("rank")).limit(0)
-    centres = np.array([row["v"] for row in chosen])
-    reach = math.acos(max(min(threshold, 1.0), -1.0)) + 1e-6
-    width = math.pi / rings
-
-    def home_of(vs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        angles = _angles(vs @ centres.T)
-        pivot = angles.argmin(axis=1)
-        ring = np.minimum((angles[np.arange(len(vs)), pivot] / width).astype(int), rings - 1)
-        return angles, pivot, ring
-
-    def file_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                _, pivot, ring = home_of(_matrix(batch["v"]))
-                yield pd.DataFrame({"pivot": pivot, "ring": ring})
-
-    sizes = {
-        (r["pivot"], r["ring"]): r["n"]
-        for r in distinct.select("v")
-        .mapInPandas(file_rows, "pivot int, ring int")
-        .groupBy("pivot", "ring")
-        .agg(F.count("*").alias("n"))
-        .collect()
-    }
-    split = {cell: -(-n // block) for cell, n in sizes.items()}
-    id_type = distinct.schema["id"].dataType.simpleString()
-
-    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            vs = _matrix(batch["v"])
-            angles, pivot, ring = home_of(vs)
-            part = batch["part"].to_numpy()
-            pieces = np.array([split[(int(p), int(r))] for p, r in zip(pivot, ring)])
-            who = [np.arange(len(batch))]
-            cell = [np.column_stack([pivot, ring, part % pieces, np.ones(len(batch), dtype=int)])]
-            for (p, r), parts in split.items():
-                near = np.flatnonzero(
-                    (angles[:, p] >= r * width - reach) & (angles[:, p] <= (r + 1) * width + reach)
-                )
-                for piece in range(parts if len(near) else 0):
-                    who.append(near)
-                    cell.append(np.tile([p, r, piece, 0], (len(near), 1)))
-            rows = np.concatenate(who)
-            where = np.concatenate(cell)
-            yield pd.DataFrame(
-                {
-                    "pivot": where[:, 0].astype("int32"),
-                    "ring": where[:, 1].astype("int32"),
-                    "piece": where[:, 2].astype("int32"),
-                    "home": where[:, 3] == 1,
-                    "id": batch["id"].to_numpy()[rows],
-                    "v": list(vs[rows]),
-                    "part": part[rows],
-                }
-            )
-
-    placed = distinct.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).cast("int")).mapInPandas(
-        visits, f"pivot int, ring int, piece int, home boolean, id {id_type}, v array<double>, part int"
-    )
-    # visitors of a busy cell are split as well; its home rows are copied to each split
-    busy = placed.filter(~F.col("home")).groupBy("pivot", "ring", "piece").agg(
-        F.ceil(F.count("*") / block).cast("int").alias("splits")
-    )
-    cells = placed.join(busy, ["pivot", "ring", "piece"])
-    spread = cells.withColumn(
-        "lane",
-        F.explode(
-            F.when(F.col("home"), F.sequence(F.lit(0), F.col("splits") - 1)).otherwise(
-                F.array(F.pmod(F.xxhash64("id", F.lit(7)), F.col("splits")).cast("int"))
-            )
-        ),
-    )
-
-    def best(cell: pd.DataFrame) -> pd.DataFrame:
-        home, guest = cell[cell["home"]], cell[~cell["home"]]
-        empty = pd.DataFrame({"id": [], "other": [], "cosine": []})
-        if not len(home) or not len(guest):
-            return empty
-        home = home.sort_values("id")
-        ids, guests = home["id"].to_numpy(), guest["id"].to_numpy()
-        cos = np.round(_matrix(guest["v"]) @ _matrix(home["v"]).T, DIGITS)
-        row, col = np.nonzero((cos >= threshold) & (ids[None, :] != guests[:, None]))
-        value = cos[row, col]
-        # home rows are in id order, so their place breaks ties by id
-        order = np.lexsort((col, -value, row))
-        row, col, value = row[order], col[order], value[order]
-        nth = np.arange(len(row)) - np.searchsorted(row, row)
-        keep = nth < k
-        return pd.DataFrame({"id": guests[row[keep]], "other": ids[col[keep]], "cosine": value[keep]})
-
-    near = spread.groupBy("pivot", "ring", "piece", "lane").applyInPandas(
-        best, f"id {id_type}, other {id_type}, cosine double"
-    )
+    as (id, other, cosine, rank). Exact, copies included. Vectors of different sizes are no neighbours.
+
+    Vectors meet as blocks: one row a block holds its ids and the bytes of its vectors, and goes to each pair of blocks
+    it is part of (``block_routes``). A task multiplies one pair of blocks in strips (``_near``), so it
+    holds two blocks and a strip, and returns at most ``k`` rows for each vector of either."""
+    unit = stored(unit_rows(vectors, id_col, vector_col))
+    kind = unit.schema["id"].dataType.simpleString()
+    out = f"id {kind}, other {kind}, cosine double"
+    near = vectors.sparkSession.createDataFrame([], out)
+    for group in unit.groupBy("width").agg(F.count("*").alias("n")).orderBy("width").collect():
+        width = group["width"]
+        placed, routes = block_routes(unit.filter(F.col("width") == width), group["n"], width, threshold, block)
+        packed = placed.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("s"))
+        sent = packed.select("block", F.col("s.id").alias("ids"), F.col("s.v").alias("vs")).join(routes, "block")
+
+        near = near.unionByName(sent.groupBy("low", "high").applyInPandas(_best(width, k, threshold), out))
     return top_n(near, ["id"], [F.col("cosine").desc(), F.col("other").asc()], k)
 
 
@@ -251,41 +287,53 @@ def reciprocal_best(vectors: DataFrame, threshold: float = 0.92, scripts: DataFr
 def cosine_profile(
     vectors: DataFrame, id_col: str = "id", vector_col: str = "embedding", blocks: int | None = None, digits: int = 6
 ) -> DataFrame:
-    """Min, median, p95 and max cosine over all pairs, to ``digits`` decimals.
-
-    Equal vectors are merged with their number, so copies cost nothing. The rest is compared block by
-    block; a task returns counts per rounded cosine, not pairs, and the percentiles come from the
-    added-up counts. By default a block has about 2048 vectors; a task holds two blocks."""
-    if blocks is None:
-        blocks = max(4, vectors.count() // 2048)
-    merged = _unit(vectors, id_col, vector_col).groupBy("v").agg(F.count("*").alias("times"), F.min("id").alias("id"))
-    filed = merged.withColumn("mine", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    spread = filed.select(
-        "mine", "times", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
-    ).select("mine", "times", "v", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
-
-    def counts(cell: pd.DataFrame) -> pd.DataFrame:
-        low, high = int(cell["low"].iloc[0]), int(cell["high"].iloc[0])
-        left = cell[cell["mine"] == low]
-        right = cell[cell["mine"] == high]
-        if not len(left) or not len(right):
+    """Min, median, p95 and max cosine over all pairs, to ``digits`` decimals; 0 for vectors of different sizes.
+
+    Equal vectors are merged with their number, so copies cost nothing. The rest is packed, one row a block, and
+    compared block by block, so the shuffle has a row for each pair of blocks; a task returns counts per rounded cosine, not
+    pairs, and the percentiles come from the added-up counts. By default there are four blocks, more
+    if one would exceed a quarter of ``BLOCK``."""
+    unit = unit_rows(vectors, id_col, vector_col)
+    merged = stored(unit.groupBy("width", "v").agg(F.count("*").alias("times")))
+    groups = merged.groupBy("width").agg(F.count("*").alias("different"), F.sum("times").alias("n")).collect()
+    count = blocks or max(4, -(-sum(g["different"] for g in groups) // (BLOCK // 4)))
+    packed = merged.groupBy("width", F.pmod(F.xxhash64("v", F.lit(3)), F.lit(count)).cast("int").alias("mine")).agg(
+        F.sort_array(F.collect_list(F.struct("v", "times"))).alias("s")
+    )
+    spread = packed.select(
+        "width", "mine", F.col("s.v").alias("vs"), F.col("s.times").alias("times"), F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("other")
+    ).withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")})
+    scale = 10**digits
+
+    def counts(pair: pd.DataFrame) -> pd.DataFrame:
+        low, high = int(pair["low"].iloc[0]), int(pair["high"].iloc[0])
+        pair = pair.sort_values("mine")
+        if low != high and len(pair) < 2:
             return pd.DataFrame({"cosine": [], "n": []})
-        cos = np.round(_matrix(left["v"]) @ _matrix(right["v"]).T, digits) + 0.0
-        n = np.outer(left["times"].to_numpy(), right["times"].to_numpy())
-        if low == high:
-            keep = np.triu_indices(len(left), 1)
-            values, weights = cos[keep], n[keep]
-            times = left["times"].to_numpy()
-            values = np.append(values, np.diag(cos))
-            weights = np.append(weights, times * (times - 1) // 2)
-        else:
-            values, weights = cos.ravel(), n.ravel()
-        some = weights > 0
-        found = pd.DataFrame({"cosine": values[some], "n": weights[some]})
-        return found.groupby("cosine", as_index=False)["n"].sum()
-
-    tallied = spread.groupBy("low", "high").applyInPandas(counts, "cosine double, n bigint")
-    total = cut_lineage(tallied.groupBy("cosine").agg(F.sum("n").alias("n")))  # the product runs once
+        vs = [_matrix(x, int(pair["width"].iloc[0])) for x in pair["vs"]]
+        times = [np.asarray(x, np.int64) for x in pair["times"]]
+        total = np.zeros(2 * scale + 3, np.int64)
+        step = max(1, STRIP // len(vs[-1]))
+        for i in range(0, len(vs[0]), step):
+            at = np.rint((vs[0][i : i + step] @ vs[-1].T) * scale).astype(np.int64) + scale + 1
+            n = np.outer(times[0][i : i + step], times[-1])
+            if low == high:  # each two once, and the copies of one with each other
+                mine = np.arange(len(at))
+                n[mine, i + mine] = times[0][i + mine] * (times[0][i + mine] - 1) // 2
+                n[np.arange(n.shape[1])[None, :] < (i + mine)[:, None]] = 0
+            if n.max(initial=0) == 1:
+                total += np.bincount(at[n > 0], minlength=len(total))
+            else:
+                np.add.at(total, at.ravel(), n.ravel())
+        some = np.flatnonzero(total)
+        return pd.DataFrame({"cosine": (some - scale - 1) / scale, "n": total[some]})
+
+    tallied = spread.groupBy("width", "low", "high").applyInPandas(counts, "cosine double, n bigint")
+    n = sum(g["n"] for g in groups)
+    apart = n * (n - 1) // 2 - sum(g["n"] * (g["n"] - 1) // 2 for g in groups)
+    if apart:
+        tallied = tallied.unionByName(vectors.sparkSession.createDataFrame([(0.0, apart)], "cosine double, n bigint"))
+    total = stored(tallied.groupBy("cosine").agg(F.sum("n").alias("n")))  # the product runs once
     wanted = {"min": (0.0, "disc"), "median": (0.5, "cont"), "p95": (0.95, "cont"), "max": (1.0, "disc")}
     return exact_percentiles(total, [], "cosine", wanted, weight="n").withColumnRenamed("n", "pairs")
 

@@ -419,6 +419,12 @@ def e2(spark, folder):
     return E.mutual_knn(_vectors(Programme(spark, folder)), 15, 0.5).withColumn("cosine", F.round("cosine", 6))
 
 
+@query("E2_mutual_knn_wide", f"WITH {_PAIRS}, {_mutual(15, 0.3)} SELECT a, b, round(cosine, 6) AS cosine FROM m")
+def e2_wide(spark, folder):
+    """Many vectors with more than 15 neighbours above the threshold."""
+    return E.mutual_knn(_vectors(Programme(spark, folder)), 15, 0.3).withColumn("cosine", F.round("cosine", 6))
+
+
 @query(
     "E3_reciprocal_best",
     f"WITH {_PAIRS}, {_mutual(1, 0.4)} SELECT a, b, round(cosine, 6) AS cosine, x.label <> y.label AS cross_script FROM m JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = b",

@@ -161,18 +161,51 @@ def brute_mutual(ids, v, k, thr):
     return {(min(ids[i], ids[j]), max(ids[i], ids[j])) for i in range(len(ids)) for j in top[i] if i in top[j] and cos[i, j] >= thr}
 
 
-@pytest.mark.parametrize("k,thr,pivots,block", [(3, 0.86, 5, 8), (1, 0.92, 2, 16), (15, 0.5, 1, 7), (4, 0.9, None, 2048)])
-def test_mutual_knn(spark, k, thr, pivots, block):
+@pytest.mark.parametrize("k,thr,block", [(3, 0.86, 8), (1, 0.92, 16), (15, 0.5, 7), (4, 0.9, None)])
+def test_mutual_knn(spark, k, thr, block):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(6, 8))
     v = np.concatenate([centres[rng.integers(6, size=90)] + rng.normal(scale=0.35, size=(90, 8)), np.tile(centres[0], (40, 1))])
     ids = list(range(100, 100 + len(v)))
     df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in zip(ids, v)], "id int, embedding array<float>")
     exact = np.array([r["embedding"] for r in df.orderBy("id").collect()])
-    got = {(r["a"], r["b"]) for r in E.mutual_knn(df, k, thr, pivots=pivots, rings=12, block=block).collect()}
+    got = {(r["a"], r["b"]) for r in E.mutual_knn(df, k, thr, block=block).collect()}
     assert got == brute_mutual(ids, exact, k, thr)
 
 
+def test_neighbours_keep_copies_and_leave_odd_vectors_out(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(50)] + [(50, [0.0, 0.0]), (51, None), (52, []), (53, [1.0, None]), (54, [float("nan"), 1.0]), (55, [1.0, 0.0, 0.0]), (56, [2.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id int, embedding array<double>")
+    got = {}
+    for r in E.neighbours(df, 3, 0.9, block=10).collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["other"], r["cosine"]))
+    want = {i: [(n + 1, o, 1.0) for n, o in enumerate([x for x in range(5) if x != i][:3])] for i in range(50)}
+    assert {i: sorted(x) for i, x in got.items()} == want | {55: [(1, 56, 1.0)], 56: [(1, 55, 1.0)]}
+    assert E.neighbours(df.filter("id = 51"), 3, 0.9).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["random", "clustered", "copies"])
+def test_blocks_are_sent_to_few_pairs(spark, kind):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(12_000, 16))
+    if kind == "clustered":
+        v = rng.normal(size=(40, 16))[rng.integers(40, size=len(v))] + 0.1 * v
+    if kind == "copies":
+        v[:4000] = v[0]
+    import pandas as pd
+
+    df = spark.createDataFrame(pd.DataFrame({"id": range(len(v)), "embedding": list(v)}), "id long, embedding array<double>")
+    unit = E.unit_rows(df, "id", "embedding")
+    placed, routes = E.block_routes(unit, len(v), 16, 0.86)
+    assert placed.join(routes, "block").count() < 5 * len(v)
+    sizes = [r["count"] for r in placed.groupBy("block").count().collect()]
+    assert sum(sizes) == len(v) and max(sizes) <= 2 * len(v) / 4 + 500
+    if kind == "clustered":  # cells too far apart for the threshold do not meet
+        _, fine = E.block_routes(unit, len(v), 16, 0.86, block=300)
+        blocks = fine.select("block").distinct().count()
+        assert fine.select("low", "high").distinct().count() < 0.7 * blocks * (blocks + 1) / 2
+
+
 @pytest.mark.parametrize("blocks", [1, 5])
 def test_cosine_profile(spark, blocks):
     rng = np.random.default_rng(8)
