@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chalkline.operators.ordered import top_n
-from chalkline.operators.percentiles import exact_percentiles
 from chalkline.session import stored
 
 # Cosines are compared after rounding, so that equal vectors tie whatever block they fall in.
@@ -290,52 +289,86 @@ def cosine_profile(
     """Min, median, p95 and max cosine over all pairs, to ``digits`` decimals; 0 for vectors of different sizes.
 
     Equal vectors are merged with their number, so copies cost nothing. The rest is packed, one row a block, and
-    compared block by block, so the shuffle has a row for each pair of blocks; a task returns counts per rounded cosine, not
-    pairs, and the percentiles come from the added-up counts. By default there are four blocks, more
-    if one would exceed a quarter of ``BLOCK``."""
-    unit = unit_rows(vectors, id_col, vector_col)
-    merged = stored(unit.groupBy("width", "v").agg(F.count("*").alias("times")))
-    groups = merged.groupBy("width").agg(F.count("*").alias("different"), F.sum("times").alias("n")).collect()
-    count = blocks or max(4, -(-sum(g["different"] for g in groups) // (BLOCK // 4)))
-    packed = merged.groupBy("width", F.pmod(F.xxhash64("v", F.lit(3)), F.lit(count)).cast("int").alias("mine")).agg(
-        F.sort_array(F.collect_list(F.struct("v", "times"))).alias("s")
+    compared block by block, so the shuffle has a row for each pair of blocks. The product runs twice: first tasks return
+    counts per thousandth, then counts per value of the few thousandths that hold a wanted rank; what the
+    driver adds up is bounded by the number of decimals. By default there are four blocks, more if
+    one would exceed a quarter of ``BLOCK``."""
+    count = blocks or max(4, -(-vectors.count() // (BLOCK // 4)))
+    merged = unit_rows(vectors, id_col, vector_col).groupBy("width", "v").agg(F.count("*").alias("times"))
+    packed = stored(
+        merged.groupBy("width", F.pmod(F.xxhash64("v", F.lit(3)), F.lit(count)).cast("int").alias("mine"))
+        .agg(F.sort_array(F.collect_list(F.struct("v", "times"))).alias("s"), F.sum("times").alias("n"))
+        .select("width", "mine", F.col("s.v").alias("vs"), F.col("s.times").alias("times"), "n")
     )
-    spread = packed.select(
-        "width", "mine", F.col("s.v").alias("vs"), F.col("s.times").alias("times"), F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("other")
-    ).withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")})
-    scale = 10**digits
+    sizes = [r["n"] for r in packed.groupBy("width").agg(F.sum("n").alias("n")).collect()]
+    pairs = sum(sizes) * (sum(sizes) - 1) // 2
+    apart = pairs - sum(n * (n - 1) // 2 for n in sizes)
+    schema = "pairs bigint, min double, median double, p95 double, max double"
+    if not pairs:
+        return vectors.sparkSession.createDataFrame([(None,) * 5], schema)
+    spread = packed.select("*", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("other")).drop("n")
+    met = spread.withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")}).groupBy("width", "low", "high")
+    scale, step = 10**digits, max(1, 10**digits // 1000)
+
+    def tally(wanted: list[int] | None) -> list[tuple[int, int]]:
+        found = met.applyInPandas(_pair_counts(scale, step, wanted), "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n"))
+        told = {r["at"]: r["n"] for r in found.collect()}
+        if apart and (wanted is None or 0 in wanted):
+            told[0] = told.get(0, 0) + apart
+        return sorted(told.items())
+
+    places = [0.0, 0.5 * (pairs - 1), 0.95 * (pairs - 1), float(pairs - 1)]
+    ranks = sorted({f(x) for x in places for f in (math.floor, math.ceil)})
+    coarse = tally(None)
+    ends = np.cumsum([n for _, n in coarse])
+    holds = {r: int(np.searchsorted(ends, r, "right")) for r in ranks}
+    exact = tally(sorted({coarse[h][0] for h in holds.values()}))
+    value = {}
+    for r, h in holds.items():
+        inside = [(at, n) for at, n in exact if at // step == coarse[h][0]]
+        upto = int(ends[h]) - coarse[h][1] + np.cumsum([n for _, n in inside])
+        value[r] = inside[int(np.searchsorted(upto, r, "right"))][0] / scale
+    cut = [value[math.floor(x)] + (value[math.ceil(x)] - value[math.floor(x)]) * (x - math.floor(x)) for x in places]
+    return vectors.sparkSession.createDataFrame([(pairs, *cut)], schema)
+
+
+def _pair_counts(scale: int, step: int, wanted: list[int] | None):
+    """Counts of the cosines of a pair of blocks, in units of ``step`` / ``scale``, or in single units inside the wanted ones."""
 
     def counts(pair: pd.DataFrame) -> pd.DataFrame:
         low, high = int(pair["low"].iloc[0]), int(pair["high"].iloc[0])
         pair = pair.sort_values("mine")
         if low != high and len(pair) < 2:
-            return pd.DataFrame({"cosine": [], "n": []})
+            return pd.DataFrame({"at": [], "n": []})
         vs = [_matrix(x, int(pair["width"].iloc[0])) for x in pair["vs"]]
         times = [np.asarray(x, np.int64) for x in pair["times"]]
-        total = np.zeros(2 * scale + 3, np.int64)
-        step = max(1, STRIP // len(vs[-1]))
-        for i in range(0, len(vs[0]), step):
-            at = np.rint((vs[0][i : i + step] @ vs[-1].T) * scale).astype(np.int64) + scale + 1
-            n = np.outer(times[0][i : i + step], times[-1])
+        far = scale // step + 2
+        total: dict[int, int] = {}
+        rows = max(1, STRIP // len(vs[-1]))
+        for i in range(0, len(vs[0]), rows):
+            at = np.rint((vs[0][i : i + rows] @ vs[-1].T) * scale).astype(np.int64)
+            n = np.outer(times[0][i : i + rows], times[-1])
             if low == high:  # each two once, and the copies of one with each other
                 mine = np.arange(len(at))
                 n[mine, i + mine] = times[0][i + mine] * (times[0][i + mine] - 1) // 2
                 n[np.arange(n.shape[1])[None, :] < (i + mine)[:, None]] = 0
-            if n.max(initial=0) == 1:
-                total += np.bincount(at[n > 0], minlength=len(total))
+            unit = at // step
+            if wanted is None:
+                some = n > 0
+                sums = np.zeros(2 * far + 1, np.int64)
+                np.add.at(sums, unit[some] + far, n[some])
+                for u in np.flatnonzero(sums).tolist():
+                    total[u - far] = total.get(u - far, 0) + int(sums[u])
             else:
-                np.add.at(total, at.ravel(), n.ravel())
-        some = np.flatnonzero(total)
-        return pd.DataFrame({"cosine": (some - scale - 1) / scale, "n": total[some]})
-
-    tallied = spread.groupBy("width", "low", "high").applyInPandas(counts, "cosine double, n bigint")
-    n = sum(g["n"] for g in groups)
-    apart = n * (n - 1) // 2 - sum(g["n"] * (g["n"] - 1) // 2 for g in groups)
-    if apart:
-        tallied = tallied.unionByName(vectors.sparkSession.createDataFrame([(0.0, apart)], "cosine double, n bigint"))
-    total = stored(tallied.groupBy("cosine").agg(F.sum("n").alias("n")))  # the product runs once
-    wanted = {"min": (0.0, "disc"), "median": (0.5, "cont"), "p95": (0.95, "cont"), "max": (1.0, "disc")}
-    return exact_percentiles(total, [], "cosine", wanted, weight="n").withColumnRenamed("n", "pairs")
+                some = np.isin(unit, wanted) & (n > 0)
+                values, place = np.unique(at[some], return_inverse=True)
+                sums = np.zeros(len(values), np.int64)
+                np.add.at(sums, place, n[some])
+                for v, m in zip(values.tolist(), sums.tolist()):
+                    total[v] = total.get(v, 0) + m
+        return pd.DataFrame({"at": list(total), "n": list(total.values())}, dtype="int64")
+
+    return counts
 
 
 # X1 ---------------------------------------------------------------------------------------
