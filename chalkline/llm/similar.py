@@ -26,8 +26,13 @@ GROUP = 256
 WHOLE = 4_000_000
 #: central sets that are tried against all others of a group before the search
 PIVOTS = 8
-#: sets with too many empty parts are dealt again this often before they meet under single tokens
-DEALS = 8
+#: sets with too many empty parts are dealt again this often before they meet under single tokens: first without their
+#: common tokens, then whole
+RARE_DEALS, DEALS = 4, 8
+#: tokens that count as common, at most; which ones they are changes how many unlike sets meet, never the result
+COMMON = 1 << 18
+#: a token is counted where it is in this many of the sets of about ``CHUNK`` tokens that are read together
+OFTEN, CHUNK = 8, 1 << 21
 
 
 # ---------------------------------------------------------------- sets
@@ -70,18 +75,27 @@ class Levels:
     v. If the tokens are dealt to more than d parts by a hash, one part at least is the same in
     both. If more parts of a set hold tokens than can differ, one of the equal ones is not empty. A
     set without so many is bare. Two sets whose equal parts are all empty are both bare, so bare
-    sets are dealt again by another hash, and those that are bare in all ``DEALS`` meet under their first
-    tokens by hash: of n tokens any n - ceil(n num / den) + 1 hold one that is shared. Only
-    such a token can be common to unlike sets.
+    sets are dealt again by another hash, and those that are bare in all deals meet under their first
+    tokens, ``common`` ones last and then by hash: of n tokens any n - ceil(n num / den) + 1 hold one that is shared.
+
+    What holds for the sets holds for what is left of them without the ``common`` tokens, since these differ in
+    no more tokens. So the first deals leave them out: unlike sets that share a passage with many others would
+    meet under parts that hold nothing else. Only sets that are bare without them are dealt whole.
     """
 
-    def __init__(self, num: int, den: int):
+    def __init__(self, num: int, den: int, common: np.ndarray | None = None):
         if not 0 < num <= den:
             raise ValueError("the likeness must be above 0 and at most 1")
         self.num, self.den = num, den
+        self.common = np.zeros(0, np.uint64) if common is None else common
         self.top: list[int] = []  # largest size of each band
         self.grow(1)
 
+    def is_common(self, tokens: np.ndarray) -> np.ndarray:
+        if not len(self.common):
+            return np.zeros(len(tokens), bool)
+        return self.common[np.minimum(np.searchsorted(self.common, tokens), len(self.common) - 1)] == tokens
+
     def grow(self, size: int) -> None:
         while not self.top or self.top[-1] < size:
             low = self.top[-1] + 1 if self.top else 1
@@ -100,6 +114,8 @@ class Levels:
         sizes = np.array([len(s) for s in sets], np.int64)
         band = self.band(sizes)
         out_set, out_key = [], []
+        rare = [s[~self.is_common(s)] for s in sets]
+        rare_sizes = np.array([len(s) for s in rare], np.int64)
         for step in (0, 1):
             level = band + step
             d, top = self.differ(level), np.array(self.top, np.int64)[level]
@@ -108,10 +124,13 @@ class Levels:
             parts = d + 1 + -(-d // 16)
             salt = level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             left = np.flatnonzero(sizes > 0)
-            for deal in range(DEALS):
+            for deal in range(RARE_DEALS + DEALS):
                 if not len(left):
                     break
-                tokens, owner = np.concatenate([sets[i] for i in left.tolist()]), np.repeat(left, sizes[left])
+                held, held_sizes = (rare, rare_sizes) if deal < RARE_DEALS else (sets, sizes)
+                tokens, owner = np.concatenate([held[i] for i in left.tolist()]), np.repeat(left, held_sizes[left])
+                if not len(tokens):
+                    continue
                 spread = mix(tokens ^ np.uint64(0x51ED270B))
                 by = tokens if deal == 0 else mix(tokens + np.uint64(deal * 0xA0761D6478BD642F % 2**64))
                 base = np.cumsum(parts) - parts
@@ -128,7 +147,8 @@ class Levels:
                 left = left[full[left] <= apart[left]]
             for i in left.tolist():
                 n = len(sets[i])
-                prefix = np.sort(mix(sets[i] ^ np.uint64(0x2545F491)))[: n - -(-n * self.num // self.den) + 1]
+                order = np.lexsort((mix(sets[i] ^ np.uint64(0x2545F491)), self.is_common(sets[i])))
+                prefix = mix(sets[i] ^ np.uint64(0x2545F491))[order][: n - -(-n * self.num // self.den) + 1]
                 out_set.append(np.full(len(prefix), i))
                 out_key.append(mix(prefix + salt[i]))
         if not out_set:
@@ -401,7 +421,7 @@ def _search_large(rows: DataFrame, reps: DataFrame, sizes: DataFrame, entries: D
 def _connected(docs: DataFrame, id: str, text: str, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(id, n, node, block, row_key) of every row, and (node, least, root) of every set: see ``similar_documents``."""
     spark = docs.sparkSession
-    count, levels = blocks.shards(spark), Levels(num, den)
+    count, folder = blocks.shards(spark), blocks.shared_folder(spark, "common")
     rows = docs.select(
         F.coalesce(F.col(id).cast("long"), F.lit(NULL_ID)).alias("id"),
         F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"),
@@ -412,20 +432,45 @@ def _connected(docs: DataFrame, id: str, text: str, words: int, num: int, den: i
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId()
+        nodes, held, size = set(), [], 0
+
+        def often():
+            token, n = np.unique(np.concatenate(held), return_counts=True)
+            token, n = token[n >= OFTEN], n[n >= OFTEN]
+            empty = [pa.nulls(len(token), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())]
+            return pa.RecordBatch.from_arrays([*empty, pa.array(token.view(np.int64)), pa.array(n)], names=["id", "n", "node", "block", "row_key", "token", "seen"])
+
         for part in (p for b in batches for p in slices(b, "text", 2 << 20)):
             ids, sets = part.column("id").to_numpy(), shingle_sets(part.column("text"), words)
+            names = [node_of(s) if len(s) else None for s in sets]
+            for s, x in zip(sets, names):  # equal sets count once
+                if x is not None and x not in nodes:
+                    nodes.add(x)
+                    held.append(s)
+                    size += len(s)
+            if size > CHUNK:
+                yield often()
+                nodes, held, size = set(), [], 0
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([None if i == NULL_ID else i for i in ids.tolist()], pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
+                    pa.array(names, pa.int64()),
                     pa.array(np.full(len(sets), block, np.int32)),
                     part.column("row_key"),
+                    pa.nulls(len(sets), pa.int64()),
+                    pa.nulls(len(sets), pa.int64()),
                 ],
-                names=["id", "n", "node", "block", "row_key"],
+                names=["id", "n", "node", "block", "row_key", "token", "seen"],
             )
-
-    described = cut_lineage(rows.mapInArrow(describe, "id long, n long, node long, block int, row_key long"))
+        if held:
+            yield often()
+
+    read = cut_lineage(rows.mapInArrow(describe, "id long, n long, node long, block int, row_key long, token long, seen long"))
+    described = read.where("token IS NULL").drop("token", "seen")
+    seen = read.where("token IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("seen"))
+    frequent = seen.orderBy(F.desc("seen"), "token").limit(COMMON).select("token").toPandas()["token"].to_numpy(np.int64)
+    blocks.save(folder, "common", token=np.sort(frequent.view(np.uint64)))
     classes = described.where("node IS NOT NULL").groupBy("node").agg(
         F.min("id").alias("least"), F.max("n").alias("n"), F.min(F.struct("block", F.coalesce("id", F.lit(NULL_ID)).alias("id"))).alias("rep")
     )
@@ -435,6 +480,7 @@ def _connected(docs: DataFrame, id: str, text: str, words: int, num: int, den: i
         from pyspark import TaskContext
 
         block, seen = TaskContext.get().partitionId(), set()
+        levels = Levels(num, den, blocks.load(folder, "common")["token"])
         for _, texts in _ids(batches):
             sets = [s for s in shingle_sets(texts, words) if len(s)]
             fresh = []
@@ -514,7 +560,7 @@ def similar_documents(
     any other; repeated rows are rows with the same set. An empty table gives an empty table, other
     columns are not looked at.
 
-    1. Equal sets become one node, however many rows have them.
+    1. Equal sets become one node, however many rows have them. The up to ``COMMON`` shingles found most often are common.
     2. Nodes that may link meet under a key of an equal part (see ``Levels``); this loses no link.
     3. Nodes that met, directly or through others, are a part. A part of up to ``WHOLE`` shingles
        is searched as one group (see ``Group``).

@@ -88,9 +88,11 @@ def test_sets_that_link_meet(seed, threshold):
     common = len(np.intersect1d(a, b))
     if not len(b) or den * common < num * (len(a) + len(b) - common):
         return
-    levels = similar.Levels(num, den)
-    place, keys = levels.keys([a, b])
-    assert set(keys[place == 0].tolist()) & set(keys[place == 1].tolist())
+    either = np.union1d(a, b)
+    for share in (0.0, 0.3, 0.9, 1.0):  # whatever tokens count as common
+        levels = similar.Levels(num, den, either[rng.random(len(either)) < share])
+        place, keys = levels.keys([a, b])
+        assert set(keys[place == 0].tolist()) & set(keys[place == 1].tolist())
 
 
 @settings(max_examples=100, deadline=None)
@@ -139,4 +141,18 @@ def test_unlike_sets_share_no_key(num, den):
 
 def test_first_tokens_alone_lose_no_link(monkeypatch):
     monkeypatch.setattr(similar, "DEALS", 0)
+    monkeypatch.setattr(similar, "RARE_DEALS", 0)
     test_sets_that_link_meet()
+
+
+def test_unlike_sets_that_share_a_passage_do_not_meet():
+    rng = np.random.default_rng(12)
+    passages = [rng.integers(0, 2**63, 25, dtype=np.uint64) for _ in range(3)]
+    sets = [np.unique(np.concatenate([rng.integers(0, 2**63, int(n), dtype=np.uint64), passages[i % 3]])) for i, n in enumerate(rng.integers(80, 260, 2000))]
+
+    def longest(common):
+        place, keys = similar.Levels(80, 100, common).keys(sets)
+        pairs = np.unique(np.stack([keys, place.astype(np.uint64)], 1), axis=0)
+        return np.unique(pairs[:, 0], return_counts=True)[1].max()
+
+    assert longest(np.sort(np.concatenate(passages))) <= 5 < 50 < longest(None)
