@@ -155,4 +155,4 @@ def test_unlike_sets_that_share_a_passage_do_not_meet():
         pairs = np.unique(np.stack([keys, place.astype(np.uint64)], 1), axis=0)
         return np.unique(pairs[:, 0], return_counts=True)[1].max()
 
-    assert longest(np.sort(np.concatenate(passages))) <= 5 < 50 < longest(None)
+    assert longest(np.sort(np.concatenate(passages))) <= 5 < 20 < longest(None)
