@@ -8,6 +8,7 @@ rows and a checksum of the ids of its split; a scan that finds other rows fails.
 
 from __future__ import annotations
 
+import ctypes
 import io
 import uuid
 
@@ -61,6 +62,15 @@ def load(folder: str, name: str) -> dict[str, np.ndarray]:
         return {}
 
 
+def release() -> None:
+    """Give memory that arrays have left back to the system: a Python worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint a reduced table (counts, edges, models) in as many files as the cluster has cores, not one a partition.
 

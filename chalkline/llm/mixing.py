@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,8 +98,53 @@ def solve_tilts(cells: DataFrame, goals: DataFrame, cap: float, tolerance: float
     return state.select("key", "target", "mean", F.when(~F.col("full"), F.col("tilt")).alias("tilt"))
 
 
+def exchange(size: np.ndarray, k: np.ndarray, top: np.ndarray, error: float, moves: int = 200, steps: int = 8) -> np.ndarray:
+    """``k`` with a few copies more or less, so that less of ``error`` (words still missing) is left.
+
+    A move is one copy more or less of a cell, within 0 and ``top``. Each step applies the up to four moves that
+    come closest: sums of two meet sums of two in a sorted list. Of more than ``moves`` moves, as many
+    are tried, evenly over the sizes. At the end no move, and no two of those tried, bring it closer.
+    """
+    k = k.copy()
+    for _ in range(steps):
+        if abs(error) <= 0.5:
+            break
+        more, less = np.flatnonzero((k < top) & (size > 0)), np.flatnonzero((k > 0) & (size > 0))
+        some = lambda cells: cells[np.unique(np.linspace(0, len(cells) - 1, min(len(cells), moves // 2)).astype(int))] if len(cells) else cells
+        more, less = some(more), some(less)
+        cell = np.concatenate([more, less])
+        sign = np.concatenate([np.ones(len(more), int), -np.ones(len(less), int)])
+        if not len(cell):
+            break
+        value = sign * size[cell]
+        i, j = np.triu_indices(len(cell))
+        none = np.full(len(cell), -1)
+        a, b = np.concatenate([[-1], np.arange(len(cell)), i]), np.concatenate([[-1], none, j])
+        total = np.where(a >= 0, value[a], 0) + np.where(b >= 0, value[b], 0)
+        order = np.argsort(total, kind="stable")
+        a, b, total = a[order], b[order], total[order]
+        at = np.searchsorted(total, error - total)
+        tries = np.concatenate([np.maximum(at - 1, 0), np.minimum(at, len(total) - 1)])
+        own = np.tile(np.arange(len(total)), 2)
+        gap = np.abs(error - total[own] - total[tries])
+        for t in np.argsort(gap, kind="stable")[:2000].tolist():
+            if gap[t] >= abs(error) - 1e-9:
+                break
+            made = k.copy()
+            for m in (a[own[t]], b[own[t]], a[tries[t]], b[tries[t]]):
+                if m >= 0:
+                    made[cell[m]] += sign[m]
+            if ((made >= 0) & (made <= top)).all():
+                error -= float(((made - k) * size).sum())
+                k = made
+                break
+        else:
+            break
+    return k
+
+
 def _whole_copies(cap: float):
-    """Copies for each cell, the rounding error of the larger sizes carried to the smaller ones."""
+    """Copies for each cell, the rounding error of the larger sizes carried to the smaller ones, then exchanges."""
 
     def assign(cells: pd.DataFrame) -> pd.DataFrame:
         cells = cells.sort_values(["size", "part"], ascending=[False, True], ignore_index=True)
@@ -111,7 +157,9 @@ def _whole_copies(cap: float):
             else:
                 k = n
             taken.append(k)
-        k = pd.Series(taken, dtype="int64")
+        n, size = (cells[c].to_numpy(np.int64) for c in ("n", "size"))
+        k = np.array(taken, np.int64)
+        k = pd.Series(exchange(size, k, int(cap) * n, float(cells["target"].iloc[0]) - float((k * size).sum())), dtype="int64") if len(k) else pd.Series(k)
         return pd.DataFrame(
             {"key": cells["key"], "size": cells["size"], "part": cells["part"], "base": k // cells["n"], "extra": k % cells["n"]}
         )
@@ -190,9 +238,9 @@ def mix_sources(
     """One row per row of ``docs``: id, size, source_size, target, taken, rate, copies.
 
     ``rate`` is the tilted rate, ``copies`` a whole number from 0 to ``cap``, ``taken`` = copies x
-    size. Per source the taken words differ from the target by less than about half the smallest
-    size that can still correct it, since the rounding error runs from the largest to the smallest
-    cells. Which documents of a cell get the extra copy follows from a hash of the id, so reruns
+    size. Per source the rounding error runs from the largest to the smallest cells, and what is left is made
+    smaller by exchanges: in the end one copy more or less of any document, or of two, brings the
+    taken words no closer to the target (of two among 200 sizes, see ``exchange``). Which documents of a cell get the extra copy follows from a hash of the id, so reruns
     agree. Texts without words and null texts have size 0 and one copy; a null source is a source.
     One task sees the cells of one source: one row per different size, and one more per ``CELL``
     documents of a size; a cell of many documents is ranked in parts of about ``CELL`` rows.

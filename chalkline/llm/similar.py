@@ -32,7 +32,7 @@ RARE_DEALS, DEALS = 4, 8
 #: tokens that count as common, at most; which ones they are changes how many unlike sets meet, never the result
 COMMON = 1 << 18
 #: a token is counted where it is in this many of the sets of about ``CHUNK`` tokens that are read together
-OFTEN, CHUNK = 8, 1 << 21
+OFTEN, CHUNK = 8, 1 << 19
 
 
 # ---------------------------------------------------------------- sets
@@ -465,6 +465,7 @@ def _connected(docs: DataFrame, id: str, text: str, words: int, num: int, den: i
             )
         if held:
             yield often()
+        blocks.release()
 
     read = cut_lineage(rows.mapInArrow(describe, "id long, n long, node long, block int, row_key long, token long, seen long"))
     described = read.where("token IS NULL").drop("token", "seen")
@@ -498,6 +499,7 @@ def _connected(docs: DataFrame, id: str, text: str, words: int, num: int, den: i
             out = [(s, block, _pack40(keys[at]), nodes[at].astype("<i8").tobytes()) for s, at in _by(shard[order], order)]
             columns = [pa.array(c, t) for c, t in zip(zip(*out), [pa.int32(), pa.int32(), pa.binary(), pa.binary()])]
             yield pa.RecordBatch.from_arrays(columns, names=["shard", "block", "keys", "nodes"])
+        blocks.release()
 
     def meet(batches):
         keys, nodes = [], []

@@ -65,3 +65,24 @@ def test_empty_and_wordless(docs):
     assert mixing.mix_sources(docs([])).count() == 0
     got = mixing.mix_sources(docs([(1, None, None, None), (1, "", None, "a"), (None, " ", None, "a")])).collect()
     assert len(got) == 3 and all(r.taken == 0 and r.target == 0 for r in got)
+
+
+def test_exchange_reaches_what_few_moves_can():
+    # five documents, each none to two times
+    size, top = np.array([785, 377, 342, 252, 235]), np.full(5, 2)
+    for k in ([2, 0, 2, 2, 1], [0, 2, 2, 2, 2], [2, 1, 1, 1, 1]):
+        left = 3191.26 - float((mixing.exchange(size, np.array(k), top, 3191.26 - float((np.array(k) * size).sum())) * size).sum())
+        assert abs(left) <= 6
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        size = np.sort(rng.integers(1, 900, 12))[::-1]
+        n = rng.integers(1, 4, 12)
+        k, target = rng.integers(0, 2 * n + 1), float(rng.integers(0, int(2 * (n * size).sum())))
+        out = mixing.exchange(size, k, 2 * n, target - float((k * size).sum()))
+        left = target - float((out * size).sum())
+        assert ((out >= 0) & (out <= 2 * n)).all() and abs(left) <= abs(target - float((k * size).sum()))
+        moves = [(i, d) for i in range(12) for d in (1, -1) if 0 <= out[i] + d <= 2 * n[i]]
+        for i, d in moves:
+            assert abs(left) <= abs(left - d * size[i]) + 1e-9 or abs(left) <= 0.5
+            for j, e in moves:
+                assert i == j or abs(left) <= abs(left - d * size[i] - e * size[j]) + 1e-9 or abs(left) <= 0.5
