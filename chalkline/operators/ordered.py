@@ -17,26 +17,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chalkline.session import stored
+
+#: runs into which rows are dealt by range, at most
+MOST_RUNS = 20_000
+
 
 def _chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column | int) -> DataFrame:
     """Add ``_g``, the key and the chunk of a row as one value.
 
     A struct is never NULL itself and equal to another one with NULL in the same place. So window
-    and join partition by the same plain column, and one shuffle serves both. A number as ``chunk``
-    cuts each key into runs of about that many rows, by rank: the counts of the first order column
-    say where, and only keys of more rows have borders, so what is joined to the rows is small.
+    and join partition by the same plain column, and one shuffle serves both.
+
+    A number as ``chunk`` deals the rows by range of (keys, order) into runs of about that many rows (more, beyond
+    ``MOST_RUNS`` runs). The run is the chunk, so a key is cut anywhere, between equal values of its first order column
+    too, and a run holds many small keys. The borders come from a sample that a second plan would draw anew, so
+    the rows are written once with their run.
     """
     if isinstance(chunk, int):
-        first = order[0]
-        counts = df.groupBy(F.struct(*keys).alias("_k"), F.col(first).alias("_o")).agg(F.count("*").alias("_n"))
-        across = Window.partitionBy("_k").orderBy("_o")
-        start = F.sum("_n").over(across.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
-        placed = counts.withColumn("_c", F.floor(start / chunk))
-        borders = placed.withColumn("_b", F.coalesce(F.lag("_c").over(across), F.lit(0)) != F.col("_c")).filter("_b")
-        cuts = borders.groupBy("_k").agg(F.collect_list("_o").alias("_cuts"))
-        reached = F.size(F.filter("_cuts", lambda cut: cut <= F.col(first)))
-        rows = df.withColumn("_k", F.struct(*keys)).join(cuts, "_k", "left")
-        return rows.withColumn("_g", F.struct(*keys, F.coalesce(reached, F.lit(0)).alias("_chunk"))).drop("_k", "_cuts")
+        runs = max(1, min(MOST_RUNS, -(-df.count() // chunk)))
+        dealt = df.repartitionByRange(runs, *keys, *order)
+        return stored(dealt.withColumn("_g", F.struct(*keys, F.spark_partition_id().alias("_chunk"))))
     return df.withColumn("_g", F.struct(*keys, chunk.alias("_chunk")))
 
 

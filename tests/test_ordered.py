@@ -130,6 +130,18 @@ def test_chunks_by_rank(rows, spark):
     assert O.number_rows(hot, ["k"], ["at", "id"], "n", 10_000).agg(F.count_distinct("n"), F.max("n")).first()[:] == (100_000, 100_000)
 
 
+@pytest.mark.parametrize("at", ["1", "CAST(id AS INT)", "CAST(id % 7 AS INT)"])
+def test_runs_cut_one_key_whatever_its_order_values(spark, at):
+    # one key of a million rows: with one order value, with as many as rows, with a few; and many small keys
+    hot = spark.range(1_000_000).selectExpr("1 AS k", f"{at} AS at", "id").union(spark.range(500).selectExpr("CAST(id % 100 AS INT) + 2", "3", "id"))
+    sizes = [r["count"] for r in O._chunked(hot, ["k"], ["at", "id"], 50_000).groupBy("_g._chunk").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) <= 150_000
+    got = O.in_order(hot, ["k"], ["at", "id"], 50_000, lag=["id"], number="n")
+    most = got.filter("k = 1").agg(F.count_distinct("n"), F.max("n"), F.count("prev_id")).first()
+    assert most[:] == (1_000_000, 1_000_000, 999_999)
+    assert got.filter("k > 1").agg(F.max("n"), F.count("prev_id")).first()[:] == (5, 400)
+
+
 def test_one_shuffle_for_window_and_join(rows, spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
