@@ -81,7 +81,10 @@ def stream_stale(
     """ST4: ``activity(session_id, ts, kind)`` with kind ``session`` for interactions of an open
     session and ``chat`` for anything else its user does. One reminder after two idle hours, completion
     after twelve; both wait until the user has been quiet for five minutes. State per session is three
-    numbers and the order of rows does not matter."""
+    numbers and the order of rows does not matter.
+
+    State leaves at completion, and for keys without an open session once the watermark is ``busy_for`` past their
+    last chat: a session row that still counts is later than that, so the chat can delay nothing any more."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, chat, reminded = state.get if state.exists else (0, 0, False)
@@ -102,7 +105,7 @@ def stream_stale(
                     last = max(last, int(us[mine].max()))
                 if (~mine).any():
                     chat = max(chat, int(us[~mine].max()))
-        if out and out[0][1] == "auto_complete":
+        if state.hasTimedOut and (not last or out and out[0][1] == "auto_complete"):
             state.remove()
         else:
             state.update((last, chat, reminded))
@@ -128,34 +131,49 @@ def stream_expiry(
     delay: str = "1 hour",
     remind_after: int = 30 * MINUTE,
     expire_after: int = 24 * HOUR,
+    forget_after: int = 7 * 24 * HOUR,
 ) -> DataFrame:
     """ST5: ``answers(session_id, ts, is_correct)``: one reminder after 30 idle minutes, expiry 24
-    hours after the start with the rounded share of correct answers."""
+    hours after the start with the rounded share of correct answers.
+
+    An expired session keeps its state, without a second reminder or expiry, until ``forget_after`` past its last
+    answer and its expiry; answers that come meanwhile change nothing. An id that is used again after that
+    is a new session, so the state is bounded by the sessions of that time."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, last, answered, correct, reminded = state.get if state.exists else (0, 0, 0, 0, False)
+        start, last, answered, correct, reminded, expired = state.get if state.exists else (0, 0, 0, 0, False, False)
         now = state.getCurrentWatermarkMs() * 1000
         out = []
-        if state.hasTimedOut:
+        forget = False
+        if state.hasTimedOut and expired:
+            forget = now >= max(last, start + expire_after) + forget_after
+        elif state.hasTimedOut:
             if not reminded and last + remind_after < start + expire_after and now >= last + remind_after:
                 out.append((key[0], "reminder", last + remind_after, None))
             reminded = reminded or now >= last + remind_after
             if now >= start + expire_after:
                 share = int((100 * correct / answered) + 0.5) if answered else 0
                 out.append((key[0], "expired", start + expire_after, share))
+                expired = True
         else:
             for pdf in batches:
                 us = _micros(pdf["ts"])
+                if expired:
+                    last = max(last, int(us.max()))
+                    continue
                 first = int(us.min())
                 start = first if not start else min(start, first)
                 last = max(last, int(us.max()))
                 answered += int(pdf["is_correct"].notna().sum())
                 correct += int(pdf["is_correct"].fillna(False).astype(bool).sum())
-        if any(action == "expired" for _, action, _, _ in out):
+        if forget:
             state.remove()
         else:
-            state.update((start, last, answered, correct, reminded))
-            due = start + expire_after if reminded else min(last + remind_after, start + expire_after)
+            state.update((start, last, answered, correct, reminded, expired))
+            if expired:
+                due = max(last, start + expire_after) + forget_after
+            else:
+                due = start + expire_after if reminded else min(last + remind_after, start + expire_after)
             state.setTimeoutTimestamp(_timer(due, now))
         frame = pd.DataFrame(out, columns=["session_id", "action", "due_us", "mastery"])
         yield frame.astype({"session_id": "str", "action": "str", "due_us": "int64", "mastery": "Int64"})
@@ -164,7 +182,7 @@ def stream_expiry(
     acted = rows.withWatermark("ts", delay).groupBy("session_id").applyInPandasWithState(
         step,
         "session_id string, action string, due_us bigint, mastery bigint",
-        "start bigint, last bigint, answered bigint, correct bigint, reminded boolean",
+        "start bigint, last bigint, answered bigint, correct bigint, reminded boolean, expired boolean",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )

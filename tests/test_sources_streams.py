@@ -236,6 +236,48 @@ def test_expiry_over_batches(spark, tmp_path):
     assert sum(x[:2] == ("q", "reminder") for x in out) == 1
 
 
+def state_keys(spark, stream, folder):
+    """Run to the end and return the keys that are still in the state store."""
+    started = (
+        stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).start()
+    )
+    started.awaitTermination()
+    keys = spark.read.format("statestore").load(f"{folder}/check").select("key.*").collect()
+    return sorted(r[0] for r in keys), pairs(spark.read.schema(stream.schema).parquet(f"{folder}/rows"), "session_id", "action")
+
+
+def test_chat_only_keys_leave_the_state(spark, tmp_path):
+    h = 60
+    batches = [
+        [("a", at(0), "session"), *[(f"x{i}", at(i), "chat") for i in range(30)]],
+        [("late", at(5 * h), "session")],
+        [("tick", at(6 * h), "chat")],
+        [("tick", at(7 * h), "chat")],
+    ]
+    stream = write_batches(spark, tmp_path, "session_id string, ts timestamp, kind string", batches)
+    keys, out = state_keys(spark, ST.stream_stale(stream, delay="0 seconds"), str(tmp_path / "state"))
+    assert keys == ["a", "late", "tick"] and ("a", "reminder") in out
+
+
+def test_a_session_expires_once(spark, tmp_path):
+    h, d = 60, 24 * 60
+    batches = [
+        [("q", at(0), True), ("r", at(0), True)],
+        [("tick", at(25 * h), None)],
+        [("tick1", at(25 * h + 30), None)],  # with this batch the watermark is past both expiries
+        [("q", at(26 * h), True)],
+        [("tick2", at(3 * d), None)],
+        [("q", at(3 * d + h), False)],
+        [("tick3", at(9 * d), None)],
+        [("tick4", at(11 * d + 2 * h), None)],
+        [("tick5", at(11 * d + 3 * h), None)],
+    ]
+    stream = write_batches(spark, tmp_path, "session_id string, ts timestamp, is_correct boolean", batches)
+    keys, out = state_keys(spark, ST.stream_expiry(stream, delay="0 seconds"), str(tmp_path / "state"))
+    assert out.count(("q", "expired")) == 1 and out.count(("r", "expired")) == 1 and out.count(("q", "reminder")) == 1
+    assert "r" not in keys and "q" not in keys and "tick5" in keys
+
+
 def test_nudge(spark, tmp_path):
     plans = tmp_path / "p"
     coached = tmp_path / "c"
