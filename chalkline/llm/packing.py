@@ -35,14 +35,14 @@ class Encoder:
 
     If the id of each merged token follows the order of the merges, then the merges are ranks, and
     ``tiktoken`` over the same vocabulary and cuts yields the same ids. Files that are not of this
-    kind, and texts that it cannot take, go to ``tokenizers``.
+    kind, texts that hold the string of an added token, and texts that it cannot take go to ``tokenizers``.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.slow.get_added_tokens_decoder().values() if t.content]
         self.fast = self._ranked(path)
 
     @staticmethod
@@ -63,11 +63,11 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
         ids = None
-        if self.fast is not None:
+        if self.fast is not None and not any(t in text for t in self.added):
             try:
                 ids = self.fast.encode_ordinary(text)
             except BaseException as error:  # the pattern engine gives up on some very long runs by a panic
-                if isinstance(error, (KeyboardInterrupt, SystemExit, MemoryError)):
+                if type(error).__name__ != "PanicException":
                     raise
         if ids is None:
             ids = self.slow.encode(text, add_special_tokens=False).ids

@@ -15,9 +15,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 def plain():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def brute_pieces(rows, capacity):
@@ -33,7 +31,7 @@ def brute_pieces(rows, capacity):
 
 def test_pieces_and_layout(docs):
     rng = random.Random(4)
-    words = ["the", "straße", "x1", "foo  bar", " \n", "<|endoftext|>", "日本", "a b", "can't", "...", "\x1c y"]
+    words = ["the", "straße", "x1", "foo  bar", " \n", "<|endoftext|>", "<|endoftext", "日本", "a b", "can't", "...", "\x1c y"]
     rows = [(i, " ".join(rng.choices(words, k=rng.choice([0, 1, 3, 9, 40, 200])))) for i in range(200)]
     rows += [(500, None), (501, ""), (502, "word " * 900), (3, rows[3][1]), (None, "null id")]
     got = packing.pack_documents(docs(rows), PATH, capacity=64, shard_items=40).collect()
@@ -51,6 +49,12 @@ def test_pieces_and_layout(docs):
     assert len(bins) <= 1.05 * total / 64 + 6
 
 
+def test_strings_of_added_tokens_are_those_tokens():
+    encoder = packing.Encoder(PATH)
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> x", "a<|endoftext|", "<|ENDOFTEXT|>"):
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == plain().encode(text, add_special_tokens=False).ids
+
+
 def test_empty_table(docs):
     assert packing.pack_documents(docs([]), PATH).count() == 0
 
