@@ -136,6 +136,8 @@ class Scorer:
     """A model of the trusted rows of one stored table, ready to score that table split by split."""
 
     def __init__(self, docs: DataFrame, trusted: DataFrame, id: str, text: str, order: int, held_out: int):
+        if not 1 <= order <= 5:
+            raise ValueError("an n-gram and the number of its piece share 64 bits: order must be 1 to 5")
         self.docs, self.id, self.text, self.order = docs, id, text, order
         spark = docs.sparkSession
         self.folder, self.count = blocks.shared_folder(spark, "quality"), blocks.shards(spark)
@@ -144,13 +146,14 @@ class Scorer:
         folder, count = self.folder, self.count
 
         def learn(batches):
-            side, held, size = Scorer._side(folder), [], 0
+            side, held, size, seen_rows = Scorer._side(folder), [], 0, (0, 0)
 
             def flush():
                 g, n = np.unique(np.concatenate(held), return_counts=True)
                 return _rows([g.astype(np.int64), n], ["g", "raw"], [pa.int64(), pa.int64()])
 
             for ids, texts in Scorer._slices(batches):
+                seen_rows = blocks.checksum(ids, seen_rows)
                 chosen = np.flatnonzero(Scorer._has(side, ids, 0))
                 if len(chosen):
                     held.append(grams(texts.take(pa.array(chosen)), order)[0])
@@ -158,6 +161,7 @@ class Scorer:
                     if size > 8 << 20:
                         yield flush()
                         held, size = [], 0
+            Scorer._same(side, seen_rows)
             if size:
                 yield flush()
 
@@ -167,12 +171,14 @@ class Scorer:
         def ask(batches):
             from pyspark import TaskContext
 
-            block, known, fresh, size = TaskContext.get().partitionId(), np.zeros(0, np.uint64), [], 0
-            for _, texts in Scorer._slices(batches):
+            block, known, fresh, size, seen_rows = TaskContext.get().partitionId(), np.zeros(0, np.uint64), [], 0, (0, 0)
+            for ids, texts in Scorer._slices(batches):
+                seen_rows = blocks.checksum(ids, seen_rows)
                 fresh.append(np.unique(grams(texts, order)[0]))
                 size += len(fresh[-1])
                 if size > 4 << 20:
                     known, fresh, size = np.unique(np.concatenate([known, *fresh])), [], 0
+            Scorer._same(Scorer._side(folder), seen_rows)
             known = np.unique(np.concatenate([known, *fresh]))
             out = [(s, block, g.astype("<i8").tobytes()) for s, g in _by((known % np.uint64(count)).astype(np.int64), known)]
             if out:
@@ -231,13 +237,25 @@ class Scorer:
     def _has(side: dict, ids: np.ndarray, fold: int) -> np.ndarray:
         return np.isin(ids, side["ids"][side["fold"] == fold]) if side else np.zeros(len(ids), bool)
 
+    @staticmethod
+    def _same(side: dict, rows: tuple[int, int]) -> None:
+        """A pass over a split must see the rows that it had when the trusted ones were marked."""
+        expected = (int(side["rows"][0]), int(side["rows"][1])) if side else (0, 0)
+        if rows != expected:
+            raise RuntimeError("a split holds other rows than before; store the table first")
+
     def _mark(self, trusted: DataFrame, held_out: int) -> None:
-        """Write for each split which of its ids are trusted, and which of those set the limits instead of training."""
+        """Write for each split which of its ids are trusted, which of those set the limits instead of training, and
+        the number and checksum of all its rows, by which every later pass knows that it sees the same split."""
         folder = self.folder
         places = self.docs.select(F.col(self.id).cast("long").alias("id"), F.spark_partition_id().alias("block"))
         fold = (F.pmod(F.xxhash64("id"), F.lit(held_out)) == 0).cast("int")
-        found = places.join(trusted.select(F.col(trusted.columns[0]).cast("long").alias("id")).distinct(), "id")
-        found = found.select("block", "id", fold.alias("fold")).distinct().repartition(self.count, "block")
+        known = trusted.select(F.col(trusted.columns[0]).cast("long").alias("id")).distinct().withColumn("known", F.lit(1))
+        # 0 or 1 is the fold of a trusted id, -1 any other id
+        found = places.join(known, "id", "left").select(
+            "block", F.coalesce("id", F.lit(NULL_ID)).alias("id"), F.when(F.col("known") == 1, fold).otherwise(-1).alias("fold")
+        )
+        found = found.repartition(self.count, "block")
 
         def keep(batches):
             parts: dict[int, list] = {}
@@ -247,8 +265,9 @@ class Scorer:
                     parts.setdefault(at_block, []).append((i[at], f[at]))
             for block, found in parts.items():
                 i, f = (np.concatenate(x) for x in zip(*found))
-                order = np.argsort(i, kind="stable")
-                blocks.save(folder, f"trusted-{block}", ids=i[order], fold=f[order])
+                rows = np.array(blocks.checksum(i), np.uint64)
+                i, at = np.unique(np.where(f < 0, NULL_ID, i), return_index=True)
+                blocks.save(folder, f"trusted-{block}", ids=i, fold=f[at], rows=rows)
             yield _rows([list(parts)], ["block"], [pa.int32()])
 
         found.mapInArrow(keep, "block int").agg(F.count("*")).collect()
@@ -263,9 +282,10 @@ class Scorer:
             from pyspark import TaskContext
 
             block = TaskContext.get().partitionId()
-            side, logs = Scorer._side(folder), blocks.load(folder, f"logs-{block}")
+            side, logs, seen_rows = Scorer._side(folder), blocks.load(folder, f"logs-{block}"), (0, 0)
             for batch in batches:
                 for part in slices(batch, "__text", 2 << 20):
+                    seen_rows = blocks.checksum(part.column("__id").to_numpy(), seen_rows)
                     g, row = grams(part.column("__text"), order)
                     place = np.minimum(np.searchsorted(logs["g"], g), len(logs["g"]) - 1)
                     if not (logs["g"][place] == g).all():
@@ -280,6 +300,7 @@ class Scorer:
                         pa.array(Scorer._has(side, part.column("__id").to_numpy().astype(np.int64), 1)),
                     ]
                     yield pa.RecordBatch.from_arrays(part.columns[:3] + more, names=[*names, "__block", "__tokens", "__logp", "__worst", "__fresh", "__limits"])
+            Scorer._same(side, seen_rows)
 
         chosen = self.docs.select(self.id, lang, blocks.row_key(self.id, self.text).alias("__row_key"), F.coalesce(F.col(self.id).cast("long"), F.lit(NULL_ID)).alias("__id"), F.coalesce(F.col(self.text), F.lit("")).cast("binary").alias("__text"))
         fields = [T.StructField("__block", T.IntegerType()), T.StructField("__tokens", T.LongType()), T.StructField("__logp", T.DoubleType()), T.StructField("__worst", T.DoubleType()), T.StructField("__fresh", T.DoubleType()), T.StructField("__limits", T.BooleanType())]

@@ -163,3 +163,26 @@ def test_stretch_and_fresh_by_hand():
         k = -(-n // 256)
         pieces = [x[np.arange(n) * k // n == j] for j in range(k)]
         assert fresh[i] == pytest.approx(min(len(set(q.tolist())) / len(q) for q in pieces))
+
+
+def test_other_splits_between_passes_fail(docs, spark, monkeypatch):
+    table = docs(rows_of(5), parts=6)
+    trusted = spark.createDataFrame([(i,) for i in range(0, 140, 2)], "doc_id long")
+    fit = quality.fit
+
+    def fit_then_change(counts, order):
+        out = fit(counts, order)
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        return out
+
+    monkeypatch.setattr(quality, "fit", fit_then_change)
+    try:
+        with pytest.raises(Exception, match="other rows than before"):
+            quality.judge_quality(table, trusted).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
+def test_orders_that_do_not_fit_are_refused(docs, spark):
+    with pytest.raises(ValueError, match="order"):
+        quality.judge_quality(docs(rows_of(5)), spark.createDataFrame([(1,)], "doc_id long"), order=6)
