@@ -157,27 +157,16 @@ def wilson_stats(variants: DataFrame, z: float = 1.96) -> DataFrame:
     )
 
 
+DRAW_BLOCK = 1000
+
+
 def win_probabilities(variants: DataFrame, draws: int = 10_000) -> DataFrame:
     """Share of draws in which a variant has the highest Beta sample of its test.
 
-    Each variant draws on its own, seeded by test and variant name, so a retried task repeats the
-    same numbers; the best of each draw is then a partial aggregation over (test, draw). A single
-    variant wins always; ties go to the smaller name."""
-
-    def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                digest = hashlib.sha256(f"{row.test_id}|{row.variant_name}".encode()).digest()
-                rng = np.random.default_rng(int.from_bytes(digest[:8], "big"))
-                values = rng.beta(row.alpha, row.beta, draws)
-                yield pd.DataFrame(
-                    {
-                        "test_id": row.test_id,
-                        "variant_name": row.variant_name,
-                        "draw": np.arange(draws, dtype="int32"),
-                        "value": values,
-                    }
-                )
+    A variant is sent once per block of DRAW_BLOCK draws, as its two parameters; the draws are made where the
+    variants of a test and block meet, seeded by test, variant and block, so a retried task repeats the
+    same numbers. They come in order of their names, and one running best per draw is all that a task holds, however
+    many variants a test has. A single variant wins always; ties go to the smaller name."""
 
     def prior(column: str) -> Column:
         return F.when(F.coalesce(column, F.lit(0)) == 0, 1).otherwise(F.col(column)).cast("double")
@@ -185,11 +174,33 @@ def win_probabilities(variants: DataFrame, draws: int = 10_000) -> DataFrame:
     params = variants.select(
         F.col("test_id").cast("string"), "variant_name", prior("successes").alias("alpha"), prior("failures").alias("beta")
     )
-    drawn = params.mapInPandas(sample, "test_id string, variant_name string, draw int, value double")
-    best = drawn.groupBy("test_id", "draw").agg(
-        F.min_by("variant_name", F.struct((-F.col("value")).alias("v"), "variant_name")).alias("variant_name")
-    )
-    wins = best.groupBy("test_id", "variant_name").agg(F.count("*").alias("_wins"))
+
+    def play(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group = best = names = None
+
+        def wins() -> pd.DataFrame:
+            won = pd.Series(names).value_counts(dropna=False)
+            return pd.DataFrame({"test_id": group[0], "variant_name": won.index, "wins": won.to_numpy()})
+
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                size = min(DRAW_BLOCK, draws - row.block * DRAW_BLOCK)
+                if group != (row.test_id, row.block):
+                    if group is not None:
+                        yield wins()
+                    group, best, names = (row.test_id, row.block), np.full(size, -1.0), np.empty(size, object)
+                digest = hashlib.sha256(f"{row.test_id}|{row.variant_name}|{row.block}".encode()).digest()
+                values = np.random.default_rng(int.from_bytes(digest[:8], "big")).beta(row.alpha, row.beta, size)
+                ahead = values > best
+                best[ahead], names[ahead] = values[ahead], row.variant_name
+        if group is not None:
+            yield wins()
+
+    blocks = F.sequence(F.lit(0), F.lit((draws - 1) // DRAW_BLOCK))
+    entered = params.withColumn("block", F.explode(blocks)).repartition("test_id", "block")
+    entered = entered.sortWithinPartitions("test_id", "block", "variant_name")
+    won = entered.mapInPandas(play, "test_id string, variant_name string, wins long")
+    wins = won.groupBy("test_id", "variant_name").agg(F.sum("wins").alias("_wins"))
     return (
         params.select("test_id", "variant_name")
         .join(wins, ["test_id", "variant_name"], "left")

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chalkline.functions.rows import explode_into
-from chalkline.functions.spaces import SPACE, SPACE_CHARS
 from chalkline.operators.ordered import carry_lag, time_chunk
 
 # English words left out of word counts (three letters and more; shorter words
@@ -48,10 +47,10 @@ def word_counts(
     df: DataFrame, text: str = "text", keys: Sequence[str] = (), stop: Sequence[str] = (*ENGLISH_STOP, *URDU_STOP)
 ) -> DataFrame:
     """Countable words per key: ASCII word characters, 3 to 19 long, no stop words, not only digits."""
-    blank = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), rf"[^\w{SPACE_CHARS}]", " ")
+    lower = F.lower(F.coalesce(F.col(text), F.lit("")))
     word = F.col("word")
     digits = F.left("word", F.lit(1)).between("0", "9") & word.rlike(r"^\d+$")
-    words = explode_into(df, list(keys), F.split(blank, f"{SPACE}+"), "word")
+    words = explode_into(df, list(keys), F.split(lower, r"\W+"), "word")
     kept = words.filter(F.length("word").between(3, 19) & ~word.isin(sorted(set(stop))) & ~digits)
     return kept.groupBy(*keys, "word").agg(F.count("*").alias("count"))
 

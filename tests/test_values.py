@@ -1,6 +1,7 @@
 """Value tables of the rules."""
 
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -327,6 +328,29 @@ def test_wilson_and_wins(spark):
     assert again["t", "B"] == got["t", "B"]["win_probability"]
 
 
+def test_win_probability_of_two_equals_the_finite_sum(spark):
+    """P(B > A) of two Beta variables with whole parameters is a sum of as many terms as B has successes."""
+    beta = lambda a, b: math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
+
+    def second_wins(a, b, c, d):
+        return sum(math.exp(beta(a + i, b + d) - math.log(d + i) - beta(1 + i, d) - beta(a, b)) for i in range(c))
+
+    pairs = [(30, 70, 35, 65), (5, 5, 5, 5), (120, 880, 100, 900), (1, 9, 3, 7), (400, 600, 410, 590)]
+    rows = [(f"t{k}", v, s, f) for k, (a, b, c, d) in enumerate(pairs) for v, s, f in (("A", a, b), ("B", c, d))]
+    df = spark.createDataFrame(rows, "test_id string, variant_name string, successes bigint, failures bigint")
+    got = {(r["test_id"], r["variant_name"]): r["win_probability"] for r in scoring.win_probabilities(df, 10_500).collect()}
+    for k, p in enumerate(pairs):
+        assert got[f"t{k}", "B"] == pytest.approx(second_wins(*p), abs=0.02)
+        assert got[f"t{k}", "A"] + got[f"t{k}", "B"] == pytest.approx(1.0)
+
+
+def test_win_probability_of_many_variants(spark):
+    rows = [("t", f"v{i:05d}", 50, 50) for i in range(3000)] + [("t", "top", 9000, 1000)]
+    df = spark.createDataFrame(rows, "test_id string, variant_name string, successes bigint, failures bigint")
+    got = {r["variant_name"]: r["win_probability"] for r in scoring.win_probabilities(df, 1000).collect()}
+    assert len(got) == 3001 and got["top"] == 1.0 and sum(got.values()) == 1.0
+
+
 def test_two_discovery_definitions(spark):
     def users_of(ids):
         return spark.createDataFrame([(i, "completed", "lesson_plan", None, dt.datetime(2024, 1, 1)) for i in ids], "user_id int, status string, type string, gamma_url string, created_at timestamp")
