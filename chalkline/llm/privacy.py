@@ -181,7 +181,7 @@ def find_seeds(docs: DataFrame, id: str = "doc_id", text: str = "text", width: i
 
 
 def bootstrap(spans: DataFrame, rounds: int = 3, support: int = 4, confident: float = 0.8) -> DataFrame:
-    """(value, kind) of identifiers without a seed pattern that confident patterns vouch for.
+    """(value, kind, shaped) of identifiers without a seed pattern that confident patterns vouch for, a shape among them or not.
 
     ``spans``: value, kind (null if no seed), whole, contexts. The graph has an edge for each value and
     pattern (context or shape) that occur together. A seed is certain of its kind. In each round the
@@ -210,18 +210,29 @@ def bootstrap(spans: DataFrame, rounds: int = 3, support: int = 4, confident: fl
             .where(F.col("score") >= confident)
         )
         votes = unseen.join(scores.select("context", "kind", "score"), "context")
-        best = votes.groupBy("value").agg(F.max(F.struct("score", -F.col("kind"))).alias("b"))
+        best = votes.groupBy("value").agg(
+            F.max(F.struct("score", -F.col("kind"))).alias("b"), F.max(F.startswith("context", F.lit("s "))).alias("shaped")
+        )
         # the second field is the kind with its sign turned: of equal scores the first kind wins
-        learnt = cut_lineage(best.select("value", (-F.col("b")["col2"]).alias("kind"), F.col("b")["score"].alias("conf")))
-    return learnt.select("value", "kind")
+        learnt = cut_lineage(best.select("value", (-F.col("b")["col2"]).alias("kind"), F.col("b")["score"].alias("conf"), "shaped"))
+    return learnt.select("value", "kind", "shaped")
 
 
-def _apart(spans) -> Column:
-    """Of spans ordered by start, the longest first, those that do not begin inside the one kept before."""
-    none = F.expr("cast(array() AS array<struct<kind:int,s:int,e:int>>)")
-    ordered = F.transform(F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("back"), x["kind"].alias("kind")))),
-                          lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), (-x["back"]).alias("e")))
-    return F.aggregate(ordered, none, lambda acc, x: F.when(F.coalesce(F.try_element_at(acc, F.lit(-1))["e"], F.lit(0)) <= x["s"], F.concat(acc, F.array(x))).otherwise(acc))
+def _leftmost(spans) -> Column:
+    """Of spans by start, the longest first, those that do not begin inside the one kept before."""
+    none = F.expr("cast(array() AS array<struct<s:int,back:int,kind:int>>)")
+    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("back"), x["kind"].alias("kind"))))
+    kept = F.aggregate(
+        ordered, none, lambda acc, x: F.when(F.coalesce(-F.try_element_at(acc, F.lit(-1))["back"], F.lit(0)) <= x["s"], F.concat(acc, F.array(x))).otherwise(acc)
+    )
+    return F.transform(kept, lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), (-x["back"]).alias("e")))
+
+
+def _apart(rows: DataFrame, spans: str) -> DataFrame:
+    """Spans that do not overlap: those whose own shape is known first, then the others where there is room."""
+    rows = rows.withColumn("__sure", _leftmost(F.filter(spans, lambda x: x["shaped"])))
+    free = F.filter(spans, lambda x: ~x["shaped"] & ~F.exists("__sure", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    return rows.withColumn(spans, F.concat("__sure", _leftmost(free))).drop("__sure")
 
 
 def find_private(
@@ -230,8 +241,8 @@ def find_private(
     """One row per row of ``docs``: id, and ``base``, ``added`` and ``secrets``, arrays of (kind, s, e) in code points.
 
     ``base`` holds what the fixed patterns match. ``added`` is what bootstrapping found beside it: a run of one to
-    RUN tokens with a digit or an @ that the learnt values name, the leftmost and longest where several
-    overlap. A run of fewer than SHORT or more than LONG characters is no identifier. ``secrets`` are the
+    RUN tokens with a digit or an @ that the learnt values name; where several overlap, those of a known
+    shape come first, then the leftmost and longest. A run of fewer than SHORT or more than LONG characters is no identifier. ``secrets`` are the
     passwords and keys of kind SECRET, seeds and learnt ones.
     Null texts count as empty, repeated and null ids keep their rows, an empty table gives an empty
     table, other columns are not looked at.
@@ -244,9 +255,9 @@ def find_private(
         .select("row", "value", "s", "e")
         .join(learnt, "value")
         .groupBy("row")
-        .agg(F.collect_list(F.struct("kind", "s", "e")).alias("more"))
-        .select("row", _apart(F.col("more")).alias("more"))
+        .agg(F.collect_list(F.struct("kind", "s", "e", "shaped")).alias("more"))
     )
+    added = _apart(added, "more")
 
     def part(kept) -> Column:
         return F.transform(

@@ -106,7 +106,13 @@ def test_planted_identifiers_beside_labels_are_found(spark):
     number = lambda n: "".join(rng.choices("0123456789", k=n))
     phone = lambda: f"+1 ({number(3)}) 555-{number(4)}"
     texts, planted = [], {}
+
+    def card():
+        d = "4" + number(14)
+        return next(d + c for c in "0123456789" if luhn(d + c))
+
     for _ in range(300):
+        texts.append(f"{say()} {card()} {say()}")
         texts.append(f"{say()} phone no: {phone()} {say()}")
         texts.append(f"{say()} order no: {number(8)} {say()}")
         texts.append(f"{say()} write to user{number(2)}@mail{number(1)}.example.com {say()}")
@@ -115,9 +121,9 @@ def test_planted_identifiers_beside_labels_are_found(spark):
         value = [f"0{number(3)} {number(7)}", f"{number(3)}/{number(7)}", f"{number(3)}-{number(3)}-{number(4)}"][k % 3]
         planted[len(texts)] = [(3, len(head), len(head) + len(value))]
         texts.append(f"{head}{value} {say()}")
-        head, one, two = f"{say()} ", phone(), phone()  # more digits than a phone has: the base pattern drops the whole run
+        head, one, two = f"{say()} ", phone(), card()  # more digits than a phone or a card has: the base patterns drop the whole run
         at = len(head) + len(one) + 1
-        planted[len(texts)] = [(3, len(head), at - 1), (3, at, at + len(two))]
+        planted[len(texts)] = [(3, len(head), at - 1), (2, at, at + len(two))]
         texts.append(f"{head}{one} {two} {say()}")
     got = rows_of(spark, texts)
     found = {(i, *x) for i in range(len(texts)) for x in map(tuple, got[i].added)}
