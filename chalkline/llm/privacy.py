@@ -41,7 +41,7 @@ def _valid(kind: str):
     return lambda hit: F.lit(True)
 
 
-#: hits are placed in blocks of so many, and contexts read from chunks of so many code points, so long texts take linear time
+#: hits are placed in blocks of so many, and contexts read from chunks of so many code points, so that neither reads the whole text for each hit
 BLOCK, CHUNK = 256, 128
 NO_MATCH = "cast(array() AS array<struct<s:int,e:int,hit:string>>)"
 
