@@ -15,6 +15,7 @@ from chalkline.plans.standins import AS_OF, ORDER_DAY, Programme, over_programme
 from chalkline.plans.w_quiz import _DOCS, _FOCUS_SQL
 from chalkline.sources import corpora
 from chalkline.sources import sinks as S
+from chalkline.sources.parts import pointer, read_parts
 from chalkline.streaming import run
 from chalkline.streaming import streams as ST
 
@@ -151,7 +152,9 @@ _JOBS = "SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'completed' W
 
 @query("S9_purge", f"SELECT id FROM ({_JOBS}) WHERE NOT (status IN ('completed', 'failed') AND completed_at < TIMESTAMP '2001-01-01' - INTERVAL 30 DAY)")
 def s9(spark, folder):
-    return S.purge(_jobs(spark, folder), "2001-01-01 00:00:00", 30).select("id")
+    """The jobs stored by month, purged, and read back."""
+    stored, _ = _purged(spark, folder)
+    return read_parts(spark, stored).select("id")
 
 
 @query("S9_purged_count", f"SELECT count(*) AS deleted FROM ({_JOBS}) WHERE status IN ('completed', 'failed') AND completed_at < TIMESTAMP '2001-01-01' - INTERVAL 30 DAY")
@@ -159,6 +162,21 @@ def s9_count(spark, folder):
     return S.purged_count(_jobs(spark, folder), "2001-01-01 00:00:00", 30)
 
 
+@query("S9_purge_report", f"""SELECT count(*) FILTER (gone) AS deleted, count(*) FILTER (NOT gone) AS remaining, count(DISTINCT strftime(completed_at, '%Y-%m')) FILTER (NOT gone) AS months
+    FROM (SELECT *, status IN ('completed', 'failed') AND completed_at < TIMESTAMP '2001-01-01' - INTERVAL 30 DAY AS gone FROM ({_JOBS}))""")
+def s9_report(spark, folder):
+    """What the purge says it deleted, and the rows and parts that the table has left."""
+    stored, deleted = _purged(spark, folder)
+    left = read_parts(spark, stored).agg(F.count("*").alias("remaining"))
+    return left.select(F.lit(deleted).cast("bigint").alias("deleted"), "remaining", F.lit(len(pointer(spark, stored)["parts"])).cast("bigint").alias("months"))
+
+
+def _purged(spark, folder):
+    stored = run.work_folder(spark, "jobs")
+    S.store_jobs(_jobs(spark, folder), stored)
+    return stored, S.purge_table(spark, stored, "2001-01-01 00:00:00", 30)
+
+
 def _jobs(spark, folder):
     status = F.when(F.col("o_orderstatus") == "O", "completed").when(F.col("o_orderstatus") == "F", "failed").otherwise("queued")
     return Programme(spark, folder).table("orders").select(
@@ -187,7 +205,14 @@ def st1(spark, folder):
 def st2(spark, folder):
     events = ST.read_stream(spark, "events", folder)
     rows = events.select(F.col("user_id").alias("session_id"), F.when(F.col("event_type") == "view", "assistant").otherwise("user").alias("role"))
-    return run.drain_updates(ST.stream_counters(rows), "st2", ["session_id"])
+    return _merged(rows, ST.stream_counters, "session_id")
+
+
+def _merged(rows, counts, key):
+    """The counters kept in a table by a stream that is drained."""
+    base = run.work_folder(rows.sparkSession, "st2")
+    ST.stream_merge(rows, counts, [key], f"{base}/counts", f"{base}/checkpoint", every=None).awaitTermination()
+    return ST.read_counts(rows.sparkSession, f"{base}/counts", [key])
 
 
 _DELIVERY = "CASE event_type WHEN 'click' THEN 'sent' WHEN 'view' THEN 'delivered' WHEN 'purchase' THEN 'read' WHEN 'error' THEN 'failed' ELSE 'queued' END"
@@ -204,7 +229,7 @@ def st2_delivery(spark, folder):
     rows = events.select(
         F.col("user_id").alias("broadcast_id"), F.expr(_DELIVERY).alias("status"), F.when(F.col("value") > 100, F.col("ts")).alias("replied_at")
     )
-    return run.drain_updates(ST.stream_delivery_counters(rows), "st2d", ["broadcast_id"])
+    return _merged(rows, ST.stream_delivery_counters, "broadcast_id")
 
 
 @query("ST3_stream_visits", "SELECT user_id AS session_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY ALL")
@@ -276,6 +301,26 @@ def st7(spark, folder):
     return S.read_snapshot(spark, f"{base}/snapshots", "videos")
 
 
+@query(
+    "ST7_stream_daily",
+    over_programme(f"""SELECT CAST(created_at AS DATE) AS day, count(*) AS total, count(*) FILTER (WHERE status = 'completed') AS completed
+    FROM videos WHERE CAST(created_at AS DATE) IN (SELECT DISTINCT CAST(ts AS DATE) FROM events) GROUP BY 1"""),
+)
+def st7_daily(spark, folder):
+    """Videos a day, refreshed for the days on which events arrive."""
+    _, t = tables(spark, folder)
+    base = run.work_folder(spark, "st7d")
+
+    def videos(days):
+        day = F.to_date("created_at")
+        listed = t.videos.filter(day.isin([F.lit(d).cast("date") for d in days]))
+        return listed.groupBy(day.alias("day")).agg(F.count("*").alias("total"), F.count_if(F.col("status") == "completed").alias("completed"))
+
+    changes = ST.read_stream(spark, "events", folder)
+    ST.stream_daily(changes, {"videos": ("day", videos)}, f"{base}/views", f"{base}/checkpoint", lambda: AS_OF, every=None).awaitTermination()
+    return S.read_snapshot(spark, f"{base}/views", "videos")
+
+
 @query(
     "ST8_stream_rate",
     f"SELECT CAST(ts AS DATE) AS date, count(*) AS count FROM events GROUP BY 1 HAVING CAST(CAST(ts AS DATE) + 1 AS TIMESTAMP) <= {_MARK} - INTERVAL 1 DAY",

@@ -9,6 +9,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chalkline.sources.parts import delete_rows, key_of, read_parts, replace_parts
+
 # S5 ----------------------------------------------------------------------------
 
 
@@ -158,24 +160,27 @@ STALE_MINUTES = 5
 
 
 def snapshot(df: DataFrame, folder: str, name: str, as_of: str) -> None:
-    """Store a result table under its refresh time. A reader sees a refresh only when its job has
-    committed, and a repeated refresh replaces its own files."""
-    stamped = df.withColumn("last_refreshed", F.lit(as_of))
-    (
-        stamped.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("last_refreshed")
-        .parquet(f"{folder}/{name}")
-    )
+    """Store a result table as of its refresh time. A reader sees a refresh only when it is committed;
+    the one before stays for readers that have begun, older ones are deleted."""
+    stamped = df.withColumn("last_refreshed", F.lit(as_of).cast("timestamp"))
+    replace_parts(stamped, f"{folder}/{name}", F.lit("all"), gone=None, tag=as_of)
 
 
 def read_snapshot(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The newest refresh; only its folder is scanned."""
-    stored = spark.read.option("inferSchema", "false").parquet(f"{folder}/{name}").withColumn(
-        "last_refreshed", F.col("last_refreshed").cast("timestamp")
-    )
-    newest = stored.agg(F.max("last_refreshed")).first()[0]
-    return stored.filter(F.col("last_refreshed") == F.lit(newest))
+    """The newest refresh, found through the pointer of the table."""
+    return read_parts(spark, f"{folder}/{name}")
+
+
+def refresh_days(
+    folder: str, name: str, daily: Callable[[Sequence[str]], DataFrame], day: str, days: Sequence[str], as_of: str
+) -> None:
+    """Replace the rows of ``days`` (ISO dates) in a table of one part a day by what ``daily(days)`` computes.
+
+    ``daily`` gets the days so that it reads no other; ``day`` names its date column. Days for which it gives
+    no row go from the table, days not listed stay. Mergeable daily sums make a view that is added up when read.
+    """
+    fresh = daily(days).filter(F.col(day).cast("string").isin(*days))
+    replace_parts(fresh, f"{folder}/{name}", F.col(day), gone=[key_of(d) for d in days], tag=as_of)
 
 
 def snapshot_status(snapshots: Mapping[str, DataFrame], as_of: str) -> DataFrame:
@@ -251,3 +256,19 @@ def purge(jobs: DataFrame, as_of: str, days_old: int = 30) -> DataFrame:
 def purged_count(jobs: DataFrame, as_of: str, days_old: int = 30) -> DataFrame:
     """Number of jobs a purge removes."""
     return jobs.agg(F.count_if(_expired(as_of, days_old)).alias("deleted"))
+
+
+def store_jobs(jobs: DataFrame, folder: str) -> None:
+    """A job table with one part a month of completion, in place of what ``folder`` held."""
+    replace_parts(jobs, folder, _month(), gone=None)
+
+
+def purge_table(spark: SparkSession, folder: str, as_of: str, days_old: int = 30) -> int:
+    """Delete completed and failed jobs of more than ``days_old`` days from a stored table and return how
+    many. Months without such jobs are not written; a purge that dies leaves the table as it was; a second
+    one finds nothing."""
+    return delete_rows(spark, folder, _expired(as_of, days_old), tag=as_of)
+
+
+def _month() -> Column:
+    return F.date_format("completed_at", "yyyy-MM")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from chalkline.sources.sinks import refresh_all
+from chalkline.sources.parts import pointer, read_parts, replace_parts
+from chalkline.sources.sinks import refresh_all, refresh_days
 from chalkline.sources.tables import declared
 
 MINUTE = 60_000_000
@@ -35,14 +36,14 @@ def stream_sessions(events: DataFrame, user: str, ts: str, gap: str = "30 minute
 
 
 def stream_counters(messages: DataFrame, key: str = "session_id") -> DataFrame:
-    """ST2: messages and completed turns per session (update mode)."""
+    """ST2: messages and completed turns per session, of a batch or (update mode) of a stream."""
     return messages.groupBy(key).agg(
         F.count("*").alias("message_count"), F.count_if(F.col("role") == "assistant").alias("turn_count")
     )
 
 
 def stream_delivery_counters(updates: DataFrame, key: str = "broadcast_id") -> DataFrame:
-    """ST2: delivery counters of each broadcast (update mode)."""
+    """ST2: delivery counters of each broadcast, of a batch or (update mode) of a stream."""
     status = F.col("status")
     return updates.groupBy(key).agg(
         F.count_if(status == "sent").alias("sent_count"),
@@ -53,6 +54,59 @@ def stream_delivery_counters(updates: DataFrame, key: str = "broadcast_id") -> D
     )
 
 
+def _added(partials: DataFrame, keys: Sequence[str]) -> DataFrame:
+    sums = [F.sum(c).alias(c) for c in partials.columns if c not in keys]
+    return partials.groupBy(*keys).agg(*sums)
+
+
+def merge_counts(counts: DataFrame, batch_id: int, folder: str, keys: Sequence[str], fold_after: int = 16) -> bool:
+    """ST2: add the counts of one micro-batch to a stored table, once; whether they were new.
+
+    ``counts`` holds one row a key; its other columns are added up. Each batch is a part of its own, so a
+    trigger writes what it got and reads nothing; after ``fold_after`` batches all parts become one, with
+    one row a key. The commit carries the batch id, so a batch that is replayed after a crash is known and
+    left out, and one that died before its commit is written again.
+    """
+    spark = counts.sparkSession
+    now = pointer(spark, folder)
+    if now is not None and now["tag"] >= batch_id:
+        return False
+    if now is not None and len(now["parts"]) >= fold_after:
+        # by name: a stored table and a batch may differ in the order of their columns
+        counts = _added(read_parts(spark, folder).unionByName(counts), keys)
+        replace_parts(counts, folder, F.lit("all"), gone=None, tag=batch_id)
+    else:
+        replace_parts(counts, folder, F.lit(batch_id), tag=batch_id)
+    return True
+
+
+def read_counts(spark: SparkSession, folder: str, keys: Sequence[str]) -> DataFrame:
+    """ST2: the counters as of the newest batch: what the parts of ``merge_counts`` add up to."""
+    return _added(read_parts(spark, folder), keys)
+
+
+def stream_merge(
+    rows: DataFrame,
+    counts: Callable[[DataFrame], DataFrame],
+    keys: Sequence[str],
+    folder: str,
+    checkpoint: str,
+    every: str | None = "1 minute",
+    fold_after: int = 16,
+):
+    """ST2: keep ``counts`` (``stream_counters``, ``stream_delivery_counters``) of a stream in a table.
+
+    Each trigger (``every``, or what is there when None) groups its own rows only and merges them by batch
+    id, so the stream holds no state, whatever the number of keys.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        merge_counts(counts(batch), batch_id, folder, keys, fold_after)
+
+    writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
 def stream_visits(visits: DataFrame, key: str = "session_id", ts: str = "created_at", delay: str = "1 day") -> DataFrame:
     """ST3: first visit seen per session id; keys are forgotten ``delay`` after their last sighting."""
     return visits.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
@@ -228,6 +282,33 @@ def stream_snapshot(
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def stream_daily(
+    changes: DataFrame,
+    views: Mapping[str, tuple[str, Callable[[Sequence[str]], DataFrame]]],
+    folder: str,
+    checkpoint: str,
+    now: Callable[[], str],
+    every: str | None = "5 minutes",
+    ts: str = "ts",
+):
+    """ST7: refresh only the days that new rows fall on, every ``every`` while rows arrive (once when None).
+
+    ``views`` names for each view its date column and a function that computes daily sums of the days it is
+    given (``refresh_days``). A trigger lists the days of its rows, at most one short text a day of the data,
+    and each view replaces these days together; a batch that is replayed replaces them by the same. What a
+    reader adds up is a table of one part a day. Rows without a time change no day.
+    """
+
+    def refresh(batch: DataFrame, batch_id: int) -> None:
+        day = F.to_date(ts).cast("string").alias("day")
+        days = sorted(r["day"] for r in batch.filter(F.col(ts).isNotNull()).select(day).distinct().collect())
+        for name, (column, daily) in views.items() if days else ():
+            refresh_days(folder, name, daily, column, days, now())
+
+    writer = changes.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
 def stream_rate(events: DataFrame, ts: str, delay: str = "1 day") -> DataFrame:
     """ST8: events per calendar day."""
     return (

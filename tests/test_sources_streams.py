@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from chalkline.operators import gates
 from chalkline.operators.windows import sessionize, sessions
-from chalkline.sources import corpora, sinks
+from chalkline.sources import corpora, parts, sinks
 from chalkline.sources.features import catalog_features, detect_features
 from chalkline.sources.tables import load
 from chalkline.streaming import run
@@ -303,3 +303,119 @@ def test_time_filters_reach_the_scan(spark):
     events = load(spark, "events", "/root/testdata/sf0.001/events.parquet")
     plan = in_days(events, "ts", "2024-01-05", "2024-01-06", "Asia/Karachi").select("event_id", "d")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(ts" in plan and "LessThan(ts" in plan and "props" not in plan
+
+
+def _files(folder):
+    return {str(p.relative_to(folder)) for p in folder.rglob("*.parquet")}
+
+
+def _table(spark, folder):
+    return sorted((tuple(r) for r in parts.read_parts(spark, str(folder)).collect()), key=str)
+
+
+def test_parts_are_replaced_together(spark, tmp_path):
+    one = spark.createDataFrame([("a", 1), ("b", 2), (None, 3), ("a/b:c", 4)], "k string, v int")
+    parts.replace_parts(one, str(tmp_path), F.col("k"), tag=1)
+    assert sorted(_table(spark, tmp_path), key=lambda r: r[1]) == [("a", 1), ("b", 2), (None, 3), ("a/b:c", 4)]
+    two = spark.createDataFrame([("a", 10), ("a", 11)], "k string, v int")
+    before = _files(tmp_path)
+    parts.replace_parts(two, str(tmp_path), F.col("k"), gone=["2D", "-"], tag=2)
+    assert {r[1] for r in _table(spark, tmp_path)} == {10, 11, 2, 4}
+    assert before <= _files(tmp_path)  # the commit before stays for its readers
+    assert parts.pointer(spark, str(tmp_path))["tag"] == 2
+    parts.replace_parts(two.limit(0), str(tmp_path), F.col("k"), gone=None, keep=1)
+    assert _table(spark, tmp_path) == [] and _files(tmp_path) == set()
+
+
+def test_writer_that_dies_changes_nothing(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    parts.replace_parts(rows, str(tmp_path), F.col("k"), keep=1)
+    held = _files(tmp_path)
+
+    def dies(line):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:  # after the data, before the pointer
+        m.setattr(parts.json, "dumps", dies)
+        with pytest.raises(RuntimeError, match="lost"):
+            parts.replace_parts(rows.withColumn("v", F.lit(9)), str(tmp_path), F.col("k"))
+    assert _table(spark, tmp_path) == [("a", 1), ("b", 2)] and held < _files(tmp_path)
+    (tmp_path / "pointer" / "n=2" / "_temporary").mkdir(parents=True)  # a pointer that was not finished
+    assert _table(spark, tmp_path) == [("a", 1), ("b", 2)]
+    parts.replace_parts(rows.withColumn("v", F.lit(5)), str(tmp_path), F.col("k"), gone=None, keep=1)
+    assert _table(spark, tmp_path) == [("a", 5), ("b", 5)] and not held & _files(tmp_path)
+    with pytest.raises(FileNotFoundError):
+        parts.read_parts(spark, str(tmp_path / "none"))
+
+
+def test_purge_deletes_from_touched_months_only(spark, tmp_path):
+    rows = [
+        (1, "completed", "2024-01-10"), (2, "queued", "2024-01-11"), (3, "failed", "2024-02-01"),
+        (4, "completed", "2024-03-20"), (5, "completed", None), (6, None, "2024-01-01"),
+    ]
+    jobs = spark.createDataFrame(rows, "id int, status string, completed_at string").withColumn("completed_at", F.col("completed_at").cast("timestamp"))
+    sinks.store_jobs(jobs, str(tmp_path))
+    march = {p for p in _files(tmp_path) if f"_part={'2024-03'.encode().hex().upper()}" in p}
+    assert sinks.purge_table(spark, str(tmp_path), "2024-04-01 00:00:00") == 2
+    assert [r[0] for r in _table(spark, tmp_path)] == [2, 4, 5, 6]
+    # the deleted rows are in no file, and the untouched month was not written again
+    on_disk = {r["id"] for f in _files(tmp_path) for r in spark.read.parquet(str(tmp_path / f)).collect()}
+    assert on_disk == {2, 4, 5, 6} and march and march <= _files(tmp_path)
+    held = _files(tmp_path)
+    assert sinks.purge_table(spark, str(tmp_path), "2024-04-01 00:00:00") == 0 and _files(tmp_path) == held
+
+
+def test_refresh_replaces_listed_days(spark, tmp_path):
+    asked = []
+
+    def daily(table):
+        def build(days):
+            asked.append(list(days))
+            return spark.createDataFrame(table, "d string, n int").groupBy(F.to_date("d").alias("d")).agg(F.sum("n").alias("n"))
+
+        return build
+
+    rows = [("2024-01-01", 1), ("2024-01-02", 2), ("2024-01-03", 3)]
+    sinks.refresh_days(str(tmp_path), "v", daily(rows), "d", ["2024-01-01", "2024-01-02", "2024-01-03"], "2024-01-04 00:00:00")
+    changed = [("2024-01-01", 100), ("2024-01-02", 20), ("2024-01-02", 5)]
+    sinks.refresh_days(str(tmp_path), "v", daily(changed), "d", ["2024-01-02", "2024-01-03"], "2024-01-05 00:00:00")
+    got = sorted((str(r["d"]), r["n"]) for r in sinks.read_snapshot(spark, str(tmp_path), "v").collect())
+    assert got == [("2024-01-01", 1), ("2024-01-02", 25)] and asked[1] == ["2024-01-02", "2024-01-03"]
+
+
+def test_counts_are_merged_once(spark, event_files, tmp_path):
+    folder, batch = event_files
+    roles = lambda df: df.select(F.col("user_id").alias("session_id"), F.when(F.col("event_type") == "view", "assistant").otherwise("user").alias("role"))
+    rows, table = roles(ST.read_stream(spark, "events", folder, 1)), str(tmp_path / "t")
+    started = ST.stream_merge(rows, ST.stream_counters, ["session_id"], table, str(tmp_path / "c"), every=None, fold_after=2)
+    started.awaitTermination()
+    columns = ("session_id", "message_count", "turn_count")
+    whole = pairs(ST.stream_counters(roles(batch)), *columns)
+    assert pairs(ST.read_counts(spark, table, ["session_id"]), *columns) == whole
+    now = parts.pointer(spark, table)
+    assert len(started.recentProgress) > 2 and len(now["parts"]) <= 2
+    assert all(not p.get("stateOperators") for p in started.recentProgress)  # the stream itself holds nothing
+    # a batch that is replayed changes nothing, the next one is added
+    again = ST.stream_counters(roles(batch))
+    assert not ST.merge_counts(again, now["tag"], table, ["session_id"]) and parts.pointer(spark, table) == now
+    assert ST.merge_counts(again, now["tag"] + 1, table, ["session_id"])
+    twice = pairs(ST.read_counts(spark, table, ["session_id"]), *columns)
+    assert [(k, 2 * m, 2 * t) for k, m, t in whole] == twice
+
+
+def test_daily_stream_reads_touched_days(spark, event_files, tmp_path):
+    folder, batch = event_files
+    asked = []
+
+    def daily(days):
+        asked.append(days)
+        return batch.filter(F.to_date("ts").cast("string").isin(days)).groupBy(F.to_date("ts").alias("d")).agg(F.count("*").alias("n"))
+
+    changes = ST.read_stream(spark, "events", folder)
+    args = ({"v": ("d", daily)}, str(tmp_path / "s"))
+    ST.stream_daily(changes, *args, str(tmp_path / "c"), lambda: "2024-02-01 00:00:00", every=None).awaitTermination()
+    whole = pairs(batch.groupBy(F.to_date("ts").alias("d")).agg(F.count("*").alias("n")), "d", "n")
+    assert pairs(sinks.read_snapshot(spark, str(tmp_path / "s"), "v"), "d", "n") == whole
+    one = changes.filter(F.to_date("ts") == F.lit(whole[0][0]).cast("date"))
+    ST.stream_daily(one, *args, str(tmp_path / "c2"), lambda: "2024-02-01 00:00:00", every=None).awaitTermination()
+    assert asked[-1] == [str(whole[0][0])] and pairs(sinks.read_snapshot(spark, str(tmp_path / "s"), "v"), "d", "n") == whole
