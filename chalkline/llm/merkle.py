@@ -1,4 +1,4 @@
-"""Document fingerprints: a hash tree over sections, paragraphs and sentences, with DataFrame functions only."""
+"""Document fingerprints: a hash tree over sections, paragraphs and runs of sentences, with DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -7,8 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: sentences end here: the single space after one of these characters is where a paragraph is cut
-SENTENCE = r"(?<=[.!?|;:]) "
+#: sentences end here: after a space that follows one of these characters a paragraph is cut
+SENTENCE = r"(?<=[.!?|;:] )"
+#: a sentence is cut into runs of 16 to 40 characters that end at a space after one of these letters, so that
+#: an edit moves only the cuts near it; without such a space a run has 40 characters
+RUN = r"(?s).{15,39}?(?<=[dnsty\p{Lo}]) |.{1,40}"
 LEAF = r"(?<![0-9a-f])[0-9a-f]{12}\.[0-9]+"
 
 
@@ -16,11 +19,18 @@ def _sha(c: Column) -> Column:
     return F.sha2(c.cast("binary"), 256)
 
 
+def _runs(paragraph: Column) -> Column:
+    """The leaves of a paragraph, which joined are the paragraph again; an empty one has one empty leaf."""
+    runs = F.flatten(F.transform(F.split(paragraph, SENTENCE, -1), lambda s: F.regexp_extract_all(s, F.lit(RUN), F.lit(0))))
+    return F.when(paragraph == "", F.array(F.lit(""))).otherwise(runs)
+
+
 def fingerprint(text: Column) -> Column:
     """The tree of a text as one string; equal for equal texts, and different for different ones.
 
     ``root|section|section...``; a section is ``hash=paragraph;paragraph...``, a paragraph
-    ``hash:leaf,leaf...``, a leaf ``hash.length`` for a sentence. Paragraphs are lines. A section
+    ``hash:leaf,leaf...``, a leaf ``hash.length`` for a run of at most 40 characters of a sentence, so the
+    first 40 characters of a text hold a whole leaf whatever follows them. Paragraphs are lines. A section
     ends with a blank paragraph, or with one whose hash says so (a quarter of them), so that an
     edit moves no border but its own. Each node hashes its children; the root keeps 64 hex digits,
     the other nodes are shown by their first 16 or 12. Null counts as empty.
@@ -28,7 +38,7 @@ def fingerprint(text: Column) -> Column:
     whole = F.coalesce(text, F.lit(""))
     leaves = F.transform(
         F.split(whole, "\n", -1),
-        lambda p: F.transform(F.split(p, SENTENCE, -1), lambda s: F.concat(_sha(s), F.lit("."), F.length(s).cast("string"))),
+        lambda p: F.transform(_runs(p), lambda s: F.concat(_sha(s), F.lit("."), F.length(s).cast("string"))),
     )
     short = lambda leaf: F.concat(F.substring(leaf, 1, 12), F.lit("."), F.substring_index(leaf, ".", -1))
     paragraphs = F.transform(
@@ -83,7 +93,7 @@ def _weight(leaves: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Characters of the sentences that both trees hold, against the mean of both; 1 for equal roots."""
+    """Characters of the leaves that both trees hold, against the mean of both; 1 for equal roots."""
     return F.when(same_text(a, b), F.lit(1.0)).otherwise(
         F.coalesce(F.try_divide(2.0 * _weight(F.array_intersect(_leaves(a), _leaves(b))), _weight(_leaves(a)) + _weight(_leaves(b))), F.lit(0.0))
     )
