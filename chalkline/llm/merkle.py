@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 SENTENCE = r"(?<=[.!?|;:] )"
 #: a sentence is cut into runs of 16 to 40 characters that end at a space after one of these letters, so that
 #: an edit moves only the cuts near it; without such a space a run has 40 characters
-RUN = r"(?s).{15,39}?(?<=[dnsty\p{Lo}]) |.{1,40}"
+RUN = r"(?s).{15,39}? (?<=[dnsty\p{Lo}] )|.{1,40}"
 LEAF = r"(?<![0-9a-f])[0-9a-f]{12}\.[0-9]+"
 
 
@@ -92,11 +92,15 @@ def _weight(leaves: Column) -> Column:
     return F.aggregate(leaves, F.lit(0).cast("long"), lambda n, leaf: n + F.substring_index(leaf, ".", -1).cast("long"))
 
 
+def _near(same: Column, a: Column, b: Column, weight_a: Column, weight_b: Column) -> Column:
+    shared = _weight(F.array_intersect(a, b))
+    return F.when(same, F.lit(1.0)).otherwise(F.coalesce(F.try_divide(2.0 * shared, weight_a + weight_b), F.lit(0.0)))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Characters of the leaves that both trees hold, against the mean of both; 1 for equal roots."""
-    return F.when(same_text(a, b), F.lit(1.0)).otherwise(
-        F.coalesce(F.try_divide(2.0 * _weight(F.array_intersect(_leaves(a), _leaves(b))), _weight(_leaves(a)) + _weight(_leaves(b))), F.lit(0.0))
-    )
+    left, right = _leaves(a), _leaves(b)
+    return _near(same_text(a, b), left, right, _weight(left), _weight(right))
 
 
 def edited_paragraphs(a: Column, b: Column) -> Column:
@@ -190,13 +194,21 @@ def fingerprint_edits(docs: DataFrame, id: str = "doc_id", text: str = "text", *
         fingerprint(F.col("edited")).alias("edited_fingerprint"),
         fingerprint(F.col("next_text")).alias("next_fingerprint"),
     )
-    own = F.col("fingerprint")
+    # the leaves of each tree are taken from it once, since both figures need those of the text
+    trees = {"own": "fingerprint", "edited": "edited_fingerprint", "next": "next_fingerprint"}
+    rows = rows.withColumns({f"{k}_leaves": _leaves(F.col(c)) for k, c in trees.items()})
+    rows = rows.withColumns({f"{k}_weight": _weight(F.col(f"{k}_leaves")) for k in trees})
+
+    def near(other: str) -> Column:
+        same = same_text(F.col("fingerprint"), F.col(trees[other]))
+        return _near(same, F.col("own_leaves"), F.col(f"{other}_leaves"), F.col("own_weight"), F.col(f"{other}_weight"))
+
     return rows.select(
         F.col("id").alias(id),
         "n_chars",
         "edited_sha256",
         "fingerprint",
         "edited_fingerprint",
-        likeness(own, F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(own, F.col("next_fingerprint")).alias("near_next"),
+        near("edited").alias("near_edited"),
+        near("next").alias("near_next"),
     )
