@@ -428,3 +428,24 @@ def test_wide_spaces_and_urdu_search(spark):
     catalog = spark.createDataFrame([(1, "3", "کتاب ریاضی"), (2, "4", "maths")], "id int, grade string, topic string")
     index = weighted_index(catalog, {"grade": "A", "topic": "B"})
     assert [r.id for r in weighted_search(index, "ریاضی").collect()] == [1]
+
+
+def test_benchmark_table_function_is_sql(spark):
+    from chalkline.functions import norms
+    from chalkline.functions.named import register_functions
+
+    register_functions(spark)
+    grade, lang, season = 1, "en", "spring"
+    cuts = norms.WORD_NORMS[grade, lang, season]
+    rates = [(0, 0.2), (1, float(cuts[0])), (2, cuts[2] - 0.5), (3, cuts[4] + 100.0), (4, cuts[1] - 0.51), (5, None)]
+    df = spark.createDataFrame([(i, r, grade) for i, r in rates], "i int, r double, g int")
+    call = f"SELECT i, b.* FROM {{df}} d, LATERAL check_benchmark_status(d.r, d.g, '{lang}', true, '{season}') b"
+    got = spark.sql(call, df=df)
+    low, high = cuts[1], cuts[3]
+    assert sorted(tuple(r) for r in got.collect()) == [
+        (0, low, high, False, 1), (1, low, high, False, 10), (2, low, high, True, 50), (3, low, high, True, 90), (4, low, high, False, 10), (5, low, high, None, None),
+    ]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Join" not in plan and "UDTF" not in plan
+    other = spark.sql("SELECT * FROM check_benchmark_status(40D, 99, 'ur', true, 'none') UNION ALL SELECT * FROM check_benchmark_status(40D, 99, 'ur', false, NULL)")
+    assert [tuple(r) for r in other.collect()] == [(35, 70, True, 10), (50, 100, False, 10)]
