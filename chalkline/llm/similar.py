@@ -33,6 +33,8 @@ RARE_DEALS, DEALS = 4, 8
 COMMON = 1 << 18
 #: a token is counted where it is in this many of the sets of about ``CHUNK`` tokens that are read together
 OFTEN, CHUNK = 8, 1 << 21
+#: bytes of text whose words and shingles are held at a time
+SLICE = 1 << 19
 
 
 # ---------------------------------------------------------------- sets
@@ -106,7 +108,8 @@ class Levels:
         return np.searchsorted(self.top, sizes)
 
     def differ(self, level: np.ndarray) -> np.ndarray:
-        self.grow(self.top[-1] + 1)
+        while len(self.top) <= level.max(initial=0):
+            self.grow(self.top[-1] + 1)
         return 2 * np.array(self.top, np.int64)[level] * (self.den - self.num) // (self.den + self.num)
 
     def keys(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -278,7 +281,7 @@ class Group:
 # ---------------------------------------------------------------- Spark
 
 
-def _ids(batches, limit: int = 2 << 20):
+def _ids(batches, limit: int = SLICE):
     for batch in batches:
         for part in slices(batch, "text", limit):
             yield part.column("id").to_numpy().astype(np.int64), part.column("text")
@@ -312,6 +315,7 @@ def _search_groups(rows: DataFrame, reps: DataFrame, wanted: DataFrame, k: int,
             out.append((block, len(order)))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _NEED.types)], schema=_NEED)
+        blocks.release()
 
     needed = wanted.join(reps, "node").repartition(count, "block")
     asked = needed.mapInArrow(keep, "block int, rows long").agg(F.sum("rows")).first()[0] or 0
@@ -345,6 +349,7 @@ def _search_groups(rows: DataFrame, reps: DataFrame, wanted: DataFrame, k: int,
                 )
         if left:
             raise RuntimeError("a split holds other rows than before; store the table first")
+        blocks.release()
 
     def search(batches):
         def groups():
@@ -366,6 +371,7 @@ def _search_groups(rows: DataFrame, reps: DataFrame, wanted: DataFrame, k: int,
                     a.append(g[i][1])
                     b.append(g[j][1])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        blocks.release()
 
     if not asked:
         return spark.createDataFrame([], "a long, b long")
@@ -440,7 +446,7 @@ def _connected(docs: DataFrame, id: str, text: str, words: int, num: int, den: i
             empty = [pa.nulls(len(token), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())]
             return pa.RecordBatch.from_arrays([*empty, pa.array(token.view(np.int64)), pa.array(n)], names=["id", "n", "node", "block", "row_key", "token", "seen"])
 
-        for part in (p for b in batches for p in slices(b, "text", 2 << 20)):
+        for part in (p for b in batches for p in slices(b, "text", SLICE)):
             ids, sets = part.column("id").to_numpy(), shingle_sets(part.column("text"), words)
             names = [node_of(s) if len(s) else None for s in sets]
             for s, x in zip(sets, names):  # equal sets count once
@@ -531,6 +537,8 @@ def _connected(docs: DataFrame, id: str, text: str, words: int, num: int, den: i
                 names, lists, size = [], [], 0
         if names:
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["list", "members"])
+        del key, node, keys, nodes, order, new, names, lists
+        blocks.release()
 
     posted = blocks.by_shard(rows.mapInArrow(post, _POSTINGS), count)
     met = blocks.cut(posted.mapInArrow(meet, _LIST))

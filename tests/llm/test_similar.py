@@ -156,3 +156,15 @@ def test_unlike_sets_that_share_a_passage_do_not_meet():
         return np.unique(pairs[:, 0], return_counts=True)[1].max()
 
     assert longest(np.sort(np.concatenate(passages))) <= 5 < 20 < longest(None)
+
+
+def test_levels_do_not_grow_with_calls():
+    """A split of many slices asks for keys hundreds of times; the bands follow the sizes of the sets only."""
+    levels = similar.Levels(85, 100)
+    sets = [np.arange(n, dtype=np.uint64) for n in (1, 30, 400)]
+    first = levels.keys(sets)
+    bands = len(levels.top)
+    for _ in range(400):
+        again = levels.keys(sets)
+    assert len(levels.top) == bands
+    assert all((a == b).all() for a, b in zip(first, again))
