@@ -366,14 +366,18 @@ def fuzzy_match(names: DataFrame, roster: DataFrame, threshold: float = 0.4) ->
         .withColumn("score", dice_of(F.col("heard"), F.col("known"), F.col("_a"), F.col("_b")))
         .drop("_a", "_b")
     )
+    # only the first of equal roster texts can win
+    first = members.groupBy("class_id", F.col("text").alias("known")).agg(
+        F.max(F.struct((-F.col("position")).alias("early"), "student_id")).alias("first")
+    ).select("class_id", "known", "first.*")
     # the threshold is applied to the best score, not to each pair: a filter on the pair would be
     # pushed below the score and compute it twice
     best = (
-        scored.join(members.withColumnRenamed("text", "known"), ["class_id", "known"])
+        scored.join(first, ["class_id", "known"])
         .groupBy("class_id", "heard")
         .agg(
             F.max_by(
-                F.struct("student_id", "score"), F.struct("score", (-F.col("position")).alias("early"))
+                F.struct("student_id", "score"), F.struct("score", "early")
             ).alias("best")
         )
         .filter(F.col("best.score") > threshold)

@@ -270,3 +270,18 @@ def test_segment_schema_parses():
     from pyspark.sql import types as T
 
     assert len(T.StructType.fromDDL(SEGMENT).fields) == 18
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_fuzzy_match_meets_equal_roster_texts_once(spark):
+    """Copies of a roster name give one row a text, not one a copy, before they meet the scores; the first place wins."""
+    n = spark.createDataFrame([(1, "c", "amina bibi")], "name_id int, class_id string, name string")
+    r = spark.createDataFrame(
+        [(i, "c", "amina bibi", None, 100 - i) for i in range(90)], "student_id int, class_id string, student_name string, father_name string, position int"
+    )
+    out = J.fuzzy_match(n, r)
+    assert [(x["student_id"], x["confidence"]) for x in out.collect()] == [(89, 1.0)]
+    assert "max(struct(early" in plan_of(out)
