@@ -427,11 +427,14 @@ def topic_to_chapter(topics: DataFrame, toc: DataFrame) -> DataFrame:
             )
         )
     )
+    # equal titles are searched once, for their smallest chapter
+    by_title = toc.groupBy("curriculum", "chapter_title").agg(F.min(chapter).alias("chapter"))
     titles = explode_into(
-        toc, ["curriculum", title.alias("_title"), chapter.alias("chapter")], F.array_append(stems, F.lit("")), "_stem"
+        by_title, ["curriculum", title.alias("_title"), "chapter"], F.array_append(stems, F.lit("")), "_stem"
     )
+    # the optimizer sizes the exploded titles as if each had one stem, and would broadcast them
     inside = (
-        rest.join(titles, ["curriculum", "_stem"])
+        rest.join(titles.hint("merge"), ["curriculum", "_stem"])
         .filter(F.contains("_title", "_t"))
         .groupBy("curriculum", "_t")
         .agg(F.min("chapter").alias("chapter"))

@@ -285,3 +285,18 @@ def test_fuzzy_match_meets_equal_roster_texts_once(spark):
     out = J.fuzzy_match(n, r)
     assert [(x["student_id"], x["confidence"]) for x in out.collect()] == [(89, 1.0)]
     assert "max(struct(early" in plan_of(out)
+
+
+def test_topic_search_does_not_broadcast_stems(spark, tmp_path):
+    """The stems of all titles are many times what the optimizer takes them for."""
+    topics = spark.createDataFrame([(1, "m", "Fractions"), (2, "m", "zz")], "topic_id int, curriculum string, topic string")
+    toc = spark.createDataFrame(
+        [("m", g, c, "All about fractions", ["numbers"]) for g in (3, 2) for c in (9, 4)],
+        "curriculum string, grade int, chapter_number int, chapter_title string, keywords array<string>",
+    )
+    for name, df in (("topics", topics), ("toc", toc)):  # files have a size, which a broadcast goes by
+        df.write.parquet(f"{tmp_path}/{name}")
+    out = J.topic_to_chapter(*[spark.read.parquet(f"{tmp_path}/{name}") for name in ("topics", "toc")])
+    assert [(x["topic_id"], x["grade"], x["chapter_number"]) for x in out.collect()] == [(1, 2, 4)]
+    joins = [line for line in plan_of(out).splitlines() if "_stem" in line and "Join" in line and "curriculum" in line]
+    assert joins and not any("BroadcastHashJoin" in line for line in joins)
