@@ -7,6 +7,8 @@ outer forms plus a filter on the result say the same without that.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,3 +26,9 @@ def posexplode_into(df: DataFrame, keep: list[str | Column], array: Column, posi
 def inline_into(df: DataFrame, keep: list[str | Column], array: Column, first: str) -> DataFrame:
     """``keep`` columns plus the fields of each element; ``first`` is a field that is never null."""
     return df.select(*keep, F.inline_outer(array)).filter(F.col(first).isNotNull())
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is computed once a row. Written out, every mention of a column expression is
+    another computation of it, and those multiply from step to step."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -449,3 +449,15 @@ def test_benchmark_table_function_is_sql(spark):
     assert "Python" not in plan and "Join" not in plan and "UDTF" not in plan
     other = spark.sql("SELECT * FROM check_benchmark_status(40D, 99, 'ur', true, 'none') UNION ALL SELECT * FROM check_benchmark_status(40D, 99, 'ur', false, NULL)")
     assert [tuple(r) for r in other.collect()] == [(35, 70, True, 10), (50, 100, False, 10)]
+
+
+def repeats(df, name: str) -> int:
+    """How often the optimized plan calls a function."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count(f"{name}(")
+
+
+def test_phone_steps_run_once(spark):
+    rows = spark.createDataFrame([("0300 1234567",), (None,)], "raw string")
+    out = rows.select(names.normalize_phone(F.col("raw"), "+44").alias("p")).select("p.*")
+    assert [tuple(r) for r in out.collect()] == [(True, "+443001234567", None), (False, None, "required")]
+    assert repeats(out, "regexp_replace") == 2
