@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chalkline.functions.maths import half_up
-from chalkline.functions.rows import inline_into, posexplode_into
+from chalkline.functions.rows import explode_into, inline_into, once, posexplode_into
 from chalkline.operators.ordered import running_total
 
 # Rubric areas as (key, display name, number of indicators) per framework.
@@ -269,9 +269,17 @@ def indicators(json: Column) -> Column:
         )
         return F.coalesce(F.flatten(listed), F.array().cast(shape))
 
-    areas, domains = _areas(json, "$.areas"), _areas(json, "$.domains")
-    tops = F.map_entries(F.from_json(json, "map<string,string>"))
-    goals = F.transform(
+    def listed(j: Column) -> Column:
+        return F.concat(
+            once(
+                _areas(j, "$.areas"),
+                lambda areas: F.concat(of(areas, "indicators", "score", 3.0), of(areas, "elements", "holistic_score", 5.0, "E")),
+            ),
+            of(_areas(j, "$.domains"), "indicators", "score", 4.0),
+            F.coalesce(F.flatten(goals(F.map_entries(F.from_json(j, "map<string,string>")))), F.array().cast(shape)),
+        )
+
+    goals = lambda tops: F.transform(
         F.filter(tops, lambda e: e["key"].startswith("goal") & e["value"].startswith("{")),
         lambda e: F.transform(
             F.filter(F.map_entries(F.from_json(e["value"], _GOAL)), lambda c: c["value"]["computed_marks"].isNotNull()),
@@ -284,12 +292,7 @@ def indicators(json: Column) -> Column:
             ),
         ),
     )
-    return F.concat(
-        of(areas, "indicators", "score", 3.0),
-        of(areas, "elements", "holistic_score", 5.0, "E"),
-        of(domains, "indicators", "score", 4.0),
-        F.coalesce(F.flatten(goals), F.array().cast(shape)),
-    )
+    return once(json, listed)
 
 
 def weakest(items: Column) -> Column:
@@ -297,9 +300,12 @@ def weakest(items: Column) -> Column:
     ranked = F.transform(
         items, lambda x, i: F.struct((x["score"] / x["max_score"]).alias("ratio"), i.alias("at"), x.alias("item"))
     )
-    scored = F.filter(ranked, lambda r: r["ratio"].isNotNull())
-    first = F.get(ranked, F.lit(0))
-    return F.when(first["ratio"].isNull(), first["item"]).otherwise(F.array_min(scored)["item"])
+
+    def lowest(ranked: Column) -> Column:
+        scored = F.filter(ranked, lambda r: r["ratio"].isNotNull())
+        return once(F.get(ranked, F.lit(0)), lambda first: F.when(first["ratio"].isNull(), first["item"]).otherwise(F.array_min(scored)["item"]))
+
+    return once(ranked, lowest)
 
 
 # Selection policies by name; an unknown name falls back to the default.
@@ -310,22 +316,27 @@ DEFAULT_POLICY = "weakest"
 def focus_indicator(sessions: DataFrame, policy: str | Callable[[Column], Column] = DEFAULT_POLICY) -> DataFrame:
     """The indicator a coaching card targets. ``policy`` is a name or a column builder over the
     indicator array."""
-    listed = sessions.withColumn("_items", indicators(F.col("analysis_data")))
-    return (
-        listed.filter(F.size("_items") > 0)
-        .withColumn("_focus", _pick(policy)(F.col("_items")))
-        .select("session_id", "_focus.name", "_focus.score", "_focus.max_score", "_focus.area", "_focus.id")
+    focus = _pick(policy)
+    return _of_listed(sessions, lambda items: F.struct(focus(items).alias("focus"))).select(
+        "session_id", *[F.col("_of.focus")[c].alias(c) for c in ("name", "score", "max_score", "area", "id")]
     )
 
 
+def _of_listed(sessions: DataFrame, use: Callable[[Column], Column]) -> DataFrame:
+    """(session_id, _of): ``use`` of the indicators of each session that has some. The document is built and parsed once:
+    it is an array of one that is exploded, so neither the filter nor the fields taken from it repeat it."""
+    some = once(indicators(F.col("analysis_data")), lambda items: F.when(F.size(items) > 0, F.array(use(items))))
+    return explode_into(sessions, ["session_id"], some, "_of")
+
+
 def _pick(policy: str | Callable[[Column], Column]) -> Callable[[Column], Column]:
     return policy if callable(policy) else POLICIES.get(policy, POLICIES[DEFAULT_POLICY])
 
 
 def focus_names(sessions: DataFrame, policies: dict[str, str | Callable[[Column], Column]]) -> DataFrame:
     """The name of the indicator each policy picks, a column per policy, in one pass over ``sessions``."""
-    listed = sessions.withColumn("_items", indicators(F.col("analysis_data"))).filter(F.size("_items") > 0)
-    return listed.select("session_id", *[_pick(p)(F.col("_items"))["name"].alias(c) for c, p in policies.items()])
+    listed = _of_listed(sessions, lambda items: F.struct(*[_pick(p)(items)["name"].alias(c) for c, p in policies.items()]))
+    return listed.select("session_id", *[F.col("_of")[c].alias(c) for c in policies])
 
 
 # C4 -------------------------------------------------------------------------------------

@@ -461,3 +461,17 @@ def test_phone_steps_run_once(spark):
     out = rows.select(names.normalize_phone(F.col("raw"), "+44").alias("p")).select("p.*")
     assert [tuple(r) for r in out.collect()] == [(True, "+443001234567", None), (False, None, "required")]
     assert repeats(out, "regexp_replace") == 2
+
+
+def test_indicators_are_parsed_once(spark):
+    from chalkline.operators import coaching
+
+    doc = '{"areas": {"x": {"indicators": [{"id": "1", "name": "I 1", "score": 2}, {"id": "2", "name": "I 2", "score": 1}]}}}'
+    rows = spark.createDataFrame([("a", doc), ("b", "{}"), ("c", None)], "session_id string, analysis_data string")
+    built = rows.withColumn("analysis_data", F.reverse(F.reverse("analysis_data")))
+    focus = coaching.focus_indicator(built)
+    assert [tuple(r) for r in focus.collect()] == [("a", "I 2", 1.0, 3.0, "x", "2")]
+    named = coaching.focus_names(built, {"weakest": "weakest", "last": lambda items: F.element_at(items, -1)})
+    assert [tuple(r) for r in named.collect()] == [("a", "I 2", "I 2")]
+    for df in (focus, named):
+        assert repeats(df, "reverse") == 2
