@@ -113,7 +113,10 @@ def register_day_totals(records: DataFrame, year: int, month: int) -> DataFrame:
 def video_quiz_popularity(deliveries: DataFrame, sessions: DataFrame) -> DataFrame:
     """Per day, grade and subject what happened to the quizzes sent with videos."""
     status = sessions.select(F.col("session_id").alias("quiz_session_id"), F.col("status").alias("_status"))
-    joined = deliveries.join(status, "quiz_session_id", "left")
+    # deliveries without a session match none, and as equal keys would all go to one task
+    has = F.col("quiz_session_id").isNotNull()
+    joined = deliveries.filter(has).join(status, "quiz_session_id", "left")
+    joined = joined.unionByName(deliveries.filter(~has).withColumn("_status", F.lit(None).cast(status.schema["_status"].dataType)))
     answer = F.col("quiz_response")
     return (
         joined.groupBy(F.to_date("delivered_at").alias("day"), "grade", "subject")

@@ -475,3 +475,16 @@ def test_indicators_are_parsed_once(spark):
     assert [tuple(r) for r in named.collect()] == [("a", "I 2", "I 2")]
     for df in (focus, named):
         assert repeats(df, "reverse") == 2
+
+
+def test_deliveries_without_a_session_do_not_meet_as_one_key(spark):
+    day = dt.datetime(2024, 5, 1)
+    rows = [(day, 1, "m", day, "accepted", "s1"), (day, 1, "m", None, "ignored", None), (day, 1, "m", day, "declined", "s9")]
+    sent = spark.createDataFrame(rows, "delivered_at timestamp, grade int, subject string, quiz_offered_at timestamp, quiz_response string, quiz_session_id string")
+    sessions = spark.createDataFrame([("s1", "completed"), (None, "completed")], "session_id string, status string")
+    out = scoring.video_quiz_popularity(sent, sessions)
+    assert [tuple(r)[3:] for r in out.collect()] == [(3, 2, 1, 1, 1, 1, 50.0)]
+    plan = out._jdf.queryExecution().optimizedPlan()
+    join = next(line for line in plan.toString().splitlines() if "Join LeftOuter" in line)
+    below = plan.toString().split(join)[1]
+    assert "isnotnull(quiz_session_id" in below
