@@ -83,14 +83,18 @@ def store_stats(store: DataFrame) -> DataFrame:
 
 # E2, E3 ----------------------------------------------------------------------------
 
-#: vectors of one block of a blocked product, at most
-BLOCK = 32_768
+#: vectors of one block of the neighbours, about; the products of two such blocks are the work of one task
+BLOCK = 20_000
+#: vectors of one block of the profile, at most
+PROFILE_BLOCK = 8192
 #: vectors that place the cells; any sample gives the same result
 SAMPLE = 4096
 #: directions in which cells have borders
 AXES = 8
 #: cosines held at a time
 STRIP = 1 << 21
+#: tasks over which pairs of blocks are dealt, at most
+MOST_TASKS = 4000
 
 
 def unit_rows(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -140,24 +144,46 @@ def _cells(sample: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.n
     return q, axis, cut
 
 
+def _cosines(a: np.ndarray, b: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Cosines of single pairs, taken so many at a time that their vectors stay within a strip."""
+    step = max(1, STRIP // a.shape[1])
+    parts = [np.einsum("ij,ij->i", a[row[i : i + step]], b[col[i : i + step]]) for i in range(0, len(row), step)]
+    return np.round(np.concatenate(parts), DIGITS) + 0.0 if parts else np.zeros(0)
+
+
+def _top(row: np.ndarray, value: np.ndarray, k: int, within: float) -> np.ndarray:
+    """Which values are at most ``within`` below the ``k``-th best of their row; ``row`` ascends."""
+    if not len(row):
+        return np.zeros(0, bool)
+    at = np.minimum(np.searchsorted(row, row) + k - 1, len(row) - 1)
+    least = np.where(row[at] == row, value[np.lexsort((-value, row))][at], -np.inf)
+    return value >= least - within
+
+
 def _near(a: np.ndarray, b: np.ndarray, k: int, threshold: float, same: bool):
     """(row of a, row of b, cosine) of the up to ``k`` best of each row, ties to the earlier row of b.
 
-    Both sides are turned so that the first directions hold most of ``a``. The product over a quarter of them plus
-    the product of what is left of both lengths bounds the cosine; whole products are made for pairs whose
-    bound reaches the threshold, or, where those are many, for all."""
-    m = max(1, a.shape[1] // 4)
-    _, q = np.linalg.eigh(a.T @ a)
-    ta, tb = a @ q[:, ::-1], b @ q[:, ::-1]
-    rest_a, rest_b = (np.sqrt(np.einsum("ij,ij->i", t[:, m:], t[:, m:])) for t in (ta, tb))
-    head_a, head_b = np.ascontiguousarray(ta[:, :m]), np.ascontiguousarray(tb[:, :m].T)
+    A product in single precision is within ``slack`` of the cosine (twice the usual bound of rounding). Pairs that it
+    leaves above the threshold and near the row's ``k``-th best are multiplied again in double precision; strips
+    that stay crowded, such as those of copies, are multiplied whole."""
+    slack = (a.shape[1] + 8) * 2.0**-23
+    rough_a, rough_b = a.astype(np.float32), np.ascontiguousarray(b.astype(np.float32).T)
     step = max(1, STRIP // len(b))
     for i in range(0, len(a), step):
-        bound = head_a[i : i + step] @ head_b + np.outer(rest_a[i : i + step], rest_b)
-        row, col = np.nonzero(bound >= threshold - 1e-9)
-        if len(row) * 16 < bound.size:
-            cos = np.round(np.einsum("ij,ij->i", a[i + row], b[col]), DIGITS) + 0.0
-            good = (cos >= threshold) & ~((i + row == col) & same)
+        rough = rough_a[i : i + step] @ rough_b
+        mine = np.arange(len(rough))
+        if same:
+            rough[mine, i + mine] = -2
+        hit = np.flatnonzero(rough >= threshold - slack)
+        if len(hit) * 16 >= rough.size and len(b) > k:
+            least = np.partition(rough, len(b) - k, axis=1)[:, len(b) - k][:, None] - 3 * slack
+            hit = np.flatnonzero(rough >= np.maximum(least, threshold - slack))
+        if len(hit) * 16 < rough.size:
+            row, col = np.divmod(hit, len(b))
+            few = _top(row, rough.ravel()[hit], k, 3 * slack)
+            row, col = row[few], col[few]
+            cos = _cosines(a, b, i + row, col)
+            good = cos >= threshold
             row, col, cos = row[good], col[good], cos[good]
             order = np.lexsort((col, -cos, row))
             row, col, cos = row[order], col[order], cos[order]
@@ -166,7 +192,6 @@ def _near(a: np.ndarray, b: np.ndarray, k: int, threshold: float, same: bool):
             continue
         cos = np.round(a[i : i + step] @ b.T, DIGITS) + 0.0
         if same:
-            mine = np.arange(len(cos))
             cos[mine, i + mine] = -2
         keep = cos >= threshold
         if len(b) > k:
@@ -245,7 +270,7 @@ def neighbours(
     as (id, other, cosine, rank). Exact, copies included. Vectors of different sizes are no neighbours.
 
     Vectors meet as blocks: one row a block holds its ids and the bytes of its vectors, and goes to each pair of blocks
-    it is part of (``block_routes``). A task multiplies one pair of blocks in strips (``_near``), so it
+    it is part of (``block_routes``). Pairs of blocks are multiplied one by one in strips (``_near``), so a task
     holds two blocks and a strip, and returns at most ``k`` rows for each vector of either."""
     unit = stored(unit_rows(vectors, id_col, vector_col))
     kind = unit.schema["id"].dataType.simpleString()
@@ -256,7 +281,8 @@ def neighbours(
         placed, routes = block_routes(unit.filter(F.col("width") == width), group["n"], width, threshold, block)
         packed = placed.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("s"))
         sent = packed.select("block", F.col("s.id").alias("ids"), F.col("s.v").alias("vs")).join(routes, "block")
-
+        # a pair of blocks is a task's worth of work; with several tasks for each, few get two
+        sent = sent.repartition(min(MOST_TASKS, 2 * routes.count()), "low", "high")
         near = near.unionByName(sent.groupBy("low", "high").applyInPandas(_best(width, k, threshold), out))
     return top_n(near, ["id"], [F.col("cosine").desc(), F.col("other").asc()], k)
 
@@ -292,8 +318,8 @@ def cosine_profile(
     compared block by block, so the shuffle has a row for each pair of blocks. The product runs twice: first tasks return
     counts per thousandth, then counts per value of the few thousandths that hold a wanted rank; what the
     driver adds up is bounded by the number of decimals. By default there are four blocks, more if
-    one would exceed a quarter of ``BLOCK``."""
-    count = blocks or max(4, -(-vectors.count() // (BLOCK // 4)))
+    one would exceed ``PROFILE_BLOCK``."""
+    count = blocks or max(4, -(-vectors.count() // PROFILE_BLOCK))
     merged = unit_rows(vectors, id_col, vector_col).groupBy("width", "v").agg(F.count("*").alias("times"))
     packed = stored(
         merged.groupBy("width", F.pmod(F.xxhash64("v", F.lit(3)), F.lit(count)).cast("int").alias("mine"))

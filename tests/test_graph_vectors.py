@@ -173,6 +173,33 @@ def test_mutual_knn(spark, k, thr, block):
     assert got == brute_mutual(ids, exact, k, thr)
 
 
+@pytest.mark.parametrize("kind", ["random", "clustered", "copies"])
+def test_few_pairs_are_multiplied_twice(kind, monkeypatch):
+    """In 64 directions that matter alike, a bound from some of them excludes no pair; a rough product does."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(3000, 64))
+    if kind == "clustered":
+        v[:1500] = v[0] + 0.05 * v[:1500]
+    if kind == "copies":
+        v[:1500] = v[0]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    twice, cosines = [], E._cosines
+    monkeypatch.setattr(E, "_cosines", lambda a, b, row, col: twice.append(len(row)) or cosines(a, b, row, col))
+    for a, b, same in ((v, v, True), (v[:1000], v[1000:], False)):
+        cos = np.round(a @ b.T, E.DIGITS) + 0.0
+        if same:
+            np.fill_diagonal(cos, -2)
+        want = {i: [(j, cos[i, j]) for j in np.lexsort((np.arange(len(b)), -cos[i]))[:15].tolist() if cos[i, j] >= 0.3] for i in range(len(a))}
+        got = {i: [] for i in range(len(a))}
+        for row, col, value in E._near(a, b, 15, 0.3, same):
+            for i, j, c in zip(row.tolist(), col.tolist(), value.tolist()):
+                got[i].append((j, c))
+        assert {i: [j for j, _ in sorted(x, key=lambda y: (-y[1], y[0]))] for i, x in got.items()} == {i: [j for j, _ in x] for i, x in want.items()}
+    assert sum(twice) < 0.03 * (len(v) ** 2 + 1000 * 2000)
+    if kind == "random":
+        assert sum(twice) > 0
+
+
 def test_neighbours_keep_copies_and_leave_odd_vectors_out(spark):
     rows = [(i, [1.0, 0.0]) for i in range(50)] + [(50, [0.0, 0.0]), (51, None), (52, []), (53, [1.0, None]), (54, [float("nan"), 1.0]), (55, [1.0, 0.0, 0.0]), (56, [2.0, 0.0, 0.0])]
     df = spark.createDataFrame(rows, "id int, embedding array<double>")
