@@ -57,15 +57,18 @@ def in_order(
     rows = _chunked(df, keys, order, chunk)
     within = Window.partitionBy("_g").orderBy(*order)
     across = Window.partitionBy(*[F.col("_g")[k] for k in keys]).orderBy(F.col("_g")["_chunk"])
-    sums, carried = [], []
+    sums, carried, carries = [], [], F.lit(False)
     if lag:
         sums.append(F.max_by(F.struct(*lag), F.struct(*order)).alias("_last"))
         carried.append(F.lag("_last").over(across).alias("_carry"))
+        carries = carries | F.col("_carry").isNotNull()
     if number:
         sums.append(F.count("*").alias("_n"))
         before = across.rowsBetween(Window.unboundedPreceding, -1)
-        carried.append(F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    chunks = rows.groupBy("_g").agg(*sums).select("_g", *carried)
+        carried.append(F.sum("_n").over(before).alias("_before"))
+        carries = carries | F.col("_before").isNotNull()
+    # a key's first chunk gets nothing; where keys have one chunk, no row is left to join
+    chunks = rows.groupBy("_g").agg(*sums).select("_g", *carried).filter(carries)
     placed = rows.withColumn("_nth", F.row_number().over(within))
     for value in lag:
         placed = placed.withColumn(f"prev_{value}", F.lag(value).over(within))
@@ -74,7 +77,7 @@ def in_order(
         first = F.col("_nth") == 1
         out.append(F.when(first, F.col(f"_carry.{value}")).otherwise(F.col(f"prev_{value}")).alias(f"prev_{value}"))
     if number:
-        out.append((F.col("_nth") + F.col("_before")).alias(number))
+        out.append((F.col("_nth") + F.coalesce(F.col("_before"), F.lit(0))).alias(number))
     return placed.join(chunks, "_g", "left").select(*out)
 
 
@@ -121,9 +124,9 @@ def with_neighbours(
 ) -> DataFrame:
     """Copy rows near a block border into the next block.
 
-    ``position`` is dense within the key. Adds ``_block`` and ``_home``: a frame of
-    up to ``before``/``after`` rows over ``(key, _block)`` is then right for every
-    row with ``_home``; the caller drops the others.
+    ``position`` is dense within the key, from 0 or 1 on, so there is no block before block 0 to copy
+    into. Adds ``_block`` and ``_home``: a frame of up to ``before``/``after`` rows over ``(key, _block)``
+    is then right for every row with ``_home``; the caller drops the others.
     """
     if before > size or after > size:
         raise ValueError("a block must be at least as long as the frame")
@@ -134,7 +137,7 @@ def with_neighbours(
         F.array(
             home,
             F.when(offset >= size - before, home + 1),
-            F.when(offset < after, home - 1),
+            F.when((offset < after) & (home != 0), home - 1),
         )
     )
     return df.withColumn("_block", F.explode(blocks)).withColumn("_home", F.col("_block") == home)

@@ -51,6 +51,19 @@ def test_with_neighbours(rows, before, after):
     same(plain, cut)
 
 
+def test_short_keys_are_not_copied_or_joined(spark):
+    """A key of one block has no neighbours before it, and one of one chunk nothing to carry."""
+    lines = spark.range(4000).select(F.floor(F.col("id") / 4).alias("key"), (F.col("id") % 4 + 1).alias("at"))
+    placed = O.number_rows(lines, ["key"], ["at"], "n", O.position_chunk("at"))
+    assert placed.count() == 4000 and placed.filter("n <> at").count() == 0
+    blocks = O.with_neighbours(placed, ["key"], "n", 5, 4, size=10_000)
+    assert blocks.count() == 4000 and blocks.filter("_home").count() == 4000
+    numbered = O.number_rows(lines, ["key"], ["at"], "n", O.position_chunk("at"))
+    numbered.collect()
+    # the joined side has no row, so the adaptive plan ends without a join
+    assert "Join" not in numbered._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
 def test_top_n_limits_before_the_shuffle(rows):
     top = O.top_n(rows, ["key"], [F.col("at").desc(), F.col("id").asc()], 3)
     plan = top._jdf.queryExecution().executedPlan().toString()
