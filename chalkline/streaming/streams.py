@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,8 +116,17 @@ def stream_visits(visits: DataFrame, key: str = "session_id", ts: str = "created
 # ST4, ST5 ------------------------------------------------------------------------------
 
 
-def _micros(column: pd.Series) -> pd.Series:
-    return column.astype("datetime64[us]").astype("int64")
+# A step runs once a key and trigger, so it takes what it needs as plain arrays and makes no frame without rows.
+
+
+def _micros(column: pd.Series) -> np.ndarray:
+    return column.to_numpy().astype("datetime64[us]").astype(np.int64)
+
+
+def _frames(out: list[tuple], names: Sequence[str]) -> Iterator[pd.DataFrame]:
+    """The rows of a step as a frame; none for no rows."""
+    if out:
+        yield pd.DataFrame(out, columns=list(names), dtype=object)
 
 
 def _timer(due: int, now: int) -> int:
@@ -165,8 +175,7 @@ def stream_stale(
             state.update((last, chat, reminded))
             idle = complete_after if reminded else remind_after
             state.setTimeoutTimestamp(_timer(max(last + idle, chat + busy_for), now))
-        frame = pd.DataFrame(out, columns=["session_id", "action", "due_us"])
-        yield frame.astype({"session_id": "str", "action": "str", "due_us": "int64"})
+        yield from _frames(out, ["session_id", "action", "due_us"])
 
     rows = activity.select(F.col("session_id").cast("string").alias("session_id"), F.col(ts).alias("ts"), "kind")
     acted = rows.withWatermark("ts", delay).groupBy("session_id").applyInPandasWithState(
@@ -218,8 +227,10 @@ def stream_expiry(
                 first = int(us.min())
                 start = first if not start else min(start, first)
                 last = max(last, int(us.max()))
-                answered += int(pdf["is_correct"].notna().sum())
-                correct += int(pdf["is_correct"].fillna(False).astype(bool).sum())
+                marks = pdf["is_correct"].to_numpy()
+                marks = marks[pd.notna(marks)].astype(bool)
+                answered += len(marks)
+                correct += int(marks.sum())
         if forget:
             state.remove()
         else:
@@ -229,8 +240,7 @@ def stream_expiry(
             else:
                 due = start + expire_after if reminded else min(last + remind_after, start + expire_after)
             state.setTimeoutTimestamp(_timer(due, now))
-        frame = pd.DataFrame(out, columns=["session_id", "action", "due_us", "mastery"])
-        yield frame.astype({"session_id": "str", "action": "str", "due_us": "int64", "mastery": "Int64"})
+        yield from _frames(out, ["session_id", "action", "due_us", "mastery"])
 
     rows = answers.select(F.col("session_id").cast("string").alias("session_id"), F.col(ts).alias("ts"), "is_correct")
     acted = rows.withWatermark("ts", delay).groupBy("session_id").applyInPandasWithState(

@@ -236,6 +236,14 @@ def test_expiry_over_batches(spark, tmp_path):
     assert sum(x[:2] == ("q", "reminder") for x in out) == 1
 
 
+def test_steps_make_no_frame_without_rows():
+    """Most steps have nothing to say; an empty typed frame cost more than all else that they do."""
+    names = ["session_id", "action", "due_us", "mastery"]
+    assert list(ST._frames([], names)) == []
+    (frame,) = ST._frames([("q", "reminder", 5, None), ("q", "expired", 9, 67)], names)
+    assert frame.to_numpy().tolist() == [["q", "reminder", 5, None], ["q", "expired", 9, 67]]
+
+
 def state_keys(spark, stream, folder):
     """Run to the end and return the keys that are still in the state store."""
     started = (
