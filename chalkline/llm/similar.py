@@ -4,26 +4,27 @@ from __future__ import annotations
 
 import hashlib
 import math
-from bisect import bisect_left
-from heapq import merge
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chalkline.llm import blocks
 from chalkline.llm.components import components
 from chalkline.llm.repeats import _by, _pack40, _unpack40
-from chalkline.llm.words import Words, mix, slices
+from chalkline.llm.words import Words, column_bytes, mix, slices
 from chalkline.session import cut_lineage
 
 NULL_ID = 2**63 - 1
-#: a group that is searched holds about this many sets on either side
+#: a set weighs as much as its shingles and this
 GROUP = 256
-#: nodes that met each other, directly or not, are searched as one group up to this many shingles in all
+#: nodes that may link, directly or not, are searched as one group up to this weight in all, else in blocks of half of it
 WHOLE = 4_000_000
+#: of up to this many sets under a key each pair is looked at, of more the pairs with the first
+SHORT = 8
+#: bits of a sketch, at most
+SKETCH = 1 << 13
 #: central sets that are tried against all others of a group before the search
 PIVOTS = 8
 #: sets with too many empty parts are dealt again this often before they meet under single tokens: first without their
@@ -113,7 +114,7 @@ class Levels:
         return 2 * np.array(self.top, np.int64)[level] * (self.den - self.num) // (self.den + self.num)
 
     def keys(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(place of the set, 40-bit key) under which sets that may link meet."""
+        """(place of the set, key) under which sets that may link meet."""
         sizes = np.array([len(s) for s in sets], np.int64)
         band = self.band(sizes)
         out_set, out_key = [], []
@@ -156,92 +157,161 @@ class Levels:
                 out_key.append(mix(prefix + salt[i]))
         if not out_set:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        return np.concatenate(out_set), np.concatenate(out_key) >> np.uint64(24)
+        return np.concatenate(out_set), np.concatenate(out_key)
 
 
-# ---------------------------------------------------------------- search in a group
+# ---------------------------------------------------------------- sketches
 
 
-class Group:
-    """Sets, their inverted lists, and which of them are known to be connected."""
+def sketches(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all sketches, bytes of each) of sets that lie one after the other.
+
+    A bit is the parity of the tokens that a hash deals to it, so two sketches of one width differ in no more bits than
+    the sets in tokens. A wide sketch folds by exclusive or into one of half the width.
+    """
+    bits = np.minimum(64 << np.ceil(np.log2(np.maximum(sizes, 32) / 32)).astype(np.int64), SKETCH)
+    base = np.cumsum(bits) - bits
+    place = (mix(tokens ^ np.uint64(0x7F4A7C15)) & np.repeat(bits - 1, sizes).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(place + np.repeat(base, sizes), minlength=int(bits.sum())) & 1
+    return np.packbits(odd.astype(bool), bitorder="little"), bits // 8
 
-    def __init__(self, sets: list[np.ndarray], known: list[int], num: int, den: int):
-        self.sets, self.num, self.den = sets, num, den
-        first: dict[int, int] = {}
-        self.parent = [first.setdefault(c, i) for i, c in enumerate(known)]
-        self.links: list[tuple[int, int]] = []
 
-    def root(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return i
+def fold(rows: np.ndarray, words: int) -> np.ndarray:
+    """Sketches, a row each, in the width of so many words."""
+    while rows.shape[1] > words:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return rows
 
-    def join(self, i: int, j: int) -> None:
-        a, b = self.root(i), self.root(j)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
-            self.links.append((i, j))
 
-    def alike(self, common: int, n: int, m: int) -> bool:
-        return self.den * common >= self.num * (n + m - common)
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits the rows of two tables of sketches differ, in the smaller width of both."""
+    words = min(x.shape[1], y.shape[1])
+    return np.bitwise_count(fold(x, words) ^ fold(y, words)).sum(1, dtype=np.int64)
 
-    def possible(self, n: int, m: int) -> bool:
-        return self.den * min(n, m) >= self.num * max(n, m)
+
+def may_link(differ: np.ndarray, both: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets of ``both`` tokens together may link if they differ in ``differ`` tokens or more."""
+    return differ * (num + den) <= both * (den - num)
+
+
+# ---------------------------------------------------------------- search in a group
+
+
+class Group:
+    """Sets, their inverted lists, and which of them are known to be connected.
+
+    With ``side`` only sets of different sides are tried against each other.
+    """
+
+    def __init__(self, sets: list[np.ndarray], known: list[int], num: int, den: int, side: list[int] | None = None):
+        size = np.array([len(s) for s in sets], np.int64)
+        self.given = np.argsort(size, kind="stable")  # from here on sets go by size
+        self.size = size[self.given]
+        self.sets, self.num, self.den = [sets[i] for i in self.given.tolist()], num, den
+        self.side = None if side is None else np.array(side, np.int8)[self.given]
+        self.label = np.unique(np.array(known, np.int64)[self.given], return_inverse=True)[1].ravel()
+        self.links: list[tuple[int, int]] = []
+        self.wide: list[tuple[int, int, dict[int, np.ndarray]]] | None = None
+
+    def join(self, q: int, found: np.ndarray) -> None:
+        """Set ``q`` links with the sets ``found``: one link for each component that is new to it."""
+        labels, first = np.unique(self.label[found], return_index=True)
+        new = labels != self.label[q]
+        for i in found[first[new]].tolist():
+            self.links.append((int(self.given[q]), int(self.given[i])))
+        if new.any():
+            gone = np.zeros(len(self.label), bool)
+            gone[labels] = True
+            self.label[gone[self.label]] = self.label[q]
+
+    def alike(self, common: np.ndarray, q: int, other: np.ndarray | slice = slice(None)) -> np.ndarray:
+        return self.den * common >= self.num * (self.size[q] + self.size[other] - common)
 
     def index(self) -> None:
+        """Lists of the sets that hold a token, of the tokens that more than one set holds."""
         tokens = np.concatenate(self.sets)
-        owner = np.repeat(np.arange(len(self.sets)), [len(s) for s in self.sets])
         order = np.argsort(tokens, kind="stable")
-        tokens, self.members = tokens[order], owner[order]
-        self.start = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+        tokens = tokens[order]
+        new = np.r_[True, tokens[1:] != tokens[:-1], True]
+        shared = ~(new[:-1] & new[1:])
+        tokens, order = tokens[shared], order[shared]
+        self.members = np.repeat(np.arange(len(self.sets), dtype=np.int32), self.size)[order]
+        self.start = np.flatnonzero(new[:-1][shared])
         self.token = tokens[self.start]
         self.length = np.diff(np.r_[self.start, len(tokens)])
 
+    def lists(self, q: int) -> np.ndarray:
+        """The lists that hold set ``q`` and another."""
+        if not len(self.token):
+            return np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.token, self.sets[q]), len(self.token) - 1)
+        return at[self.token[at] == self.sets[q]]
+
+    def merged(self, lists: np.ndarray) -> np.ndarray:
+        """In how many of the lists each set is."""
+        k = self.length[lists]
+        place = np.repeat(self.start[lists] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
+        return np.bincount(self.members[place], minlength=len(self.sets))
+
+    def near(self, q: int) -> np.ndarray:
+        """Sets of other components whose size and sketch leave a link with set ``q`` possible."""
+        if self.wide is None:
+            data, width = sketches(np.concatenate(self.sets), self.size)
+            cuts = np.flatnonzero(np.r_[True, width[1:] != width[:-1], True])
+            at = np.r_[0, np.cumsum(width)]
+            table = lambda a, b: data[at[a] : at[b]].view(np.uint64).reshape(b - a, -1)
+            self.wide = [(a, b, {int(width[a]) // 8: table(a, b)}) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        n = int(self.size[q])
+        low = int(np.searchsorted(self.size, -(-n * self.num // self.den)))
+        high = int(np.searchsorted(self.size, n * self.den // self.num, "right"))
+        own = next(table[max(table)][q - a : q - a + 1] for a, b, table in self.wide if a <= q < b)
+        out = []
+        for a, b, table in self.wide:
+            lo, hi = max(a, low), min(b, high)
+            if lo >= hi:
+                continue
+            words = min(own.shape[1], max(table))
+            if words not in table:
+                table[words] = fold(table[max(table)], words)
+            other = self.label[lo:hi] != self.label[q]
+            if self.side is not None:
+                other &= self.side[lo:hi] != self.side[q]
+            c = np.flatnonzero(other)
+            rows = table[words][lo - a : hi - a]
+            differ = apart(rows if 2 * len(c) > hi - lo else rows[c], own)
+            differ = differ[c] if 2 * len(c) > hi - lo else differ
+            out.append(lo + c[may_link(differ, n + self.size[lo + c], self.num, self.den)])
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
     def search(self, q: int) -> None:
         """DivideSkip: the sets that share at least T tokens with set ``q``, where T is the least overlap a link needs.
 
         A set that shares T tokens is in T of the lists. The longest L of them are put aside, so it is in
-        T - L of the short ones: those are merged with a heap, and only what occurs often enough
+        T - L of the short ones: those are merged, and only what occurs often enough and lies near
         is looked for in the long lists, by bisection.
         """
-        own = self.sets[q]
-        n = len(own)
-        need = -(-self.num * n // self.den)
-        at = np.searchsorted(self.token, own)
-        length = self.length[at]
-        longest = int(length.max())
-        if longest < 2:
+        c = self.near(q)
+        if not len(c):
             return
-        aside = min(need - 1, int(need / (0.0085 * math.log2(longest) + 1)))
-        order = np.argsort(-length, kind="stable")
-        lists = lambda places: [self.members[s : s + k].tolist() for s, k in zip(self.start[places].tolist(), self.length[places].tolist())]
-        short = at[order[aside:]]
-        short = lists(short[self.length[short] > 1])
-        long = None
-        for c, hits in groupby(merge(*short)):
-            common = sum(1 for _ in hits)
-            if common < need - aside or self.root(c) == self.root(q) or not self.possible(n, len(self.sets[c])):
-                continue
-            if long is None:
-                long = lists(at[order[:aside]])
-            least = -(-self.num * (n + len(self.sets[c])) // (self.num + self.den))
-            left = len(long)
-            for x in long:
-                if common + left < least:
-                    break
-                left -= 1
-                k = bisect_left(x, c)
-                common += k < len(x) and x[k] == c
-            if self.alike(common, n, len(self.sets[c])):
-                self.join(q, c)
-
-    def overlaps(self, q: int) -> np.ndarray:
-        """Shared tokens of set ``q`` with every set, by counting its lists."""
-        at = np.searchsorted(self.token, self.sets[q])
-        k = self.length[at]
-        place = np.repeat(self.start[at] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
-        return np.bincount(self.members[place], minlength=len(self.sets))
+        at = self.lists(q)
+        need = -(-self.num * int(self.size[q]) // self.den)
+        if len(at) < need:
+            return
+        aside = min(need - 1, int(need / (0.0085 * math.log2(int(self.length[at].max())) + 1)))
+        at = at[np.argsort(-self.length[at], kind="stable")]
+        common = self.merged(at[aside:])[c]
+        often = common >= need - aside
+        c, common = c[often], common[often]
+        least = -(-self.num * (self.size[q] + self.size[c]) // (self.num + self.den))
+        long = self.token[np.sort(at[:aside])]
+        for i, x in enumerate(c.tolist()):
+            if common[i] + aside >= least[i]:
+                own = self.sets[x]
+                common[i] += int((own[np.minimum(np.searchsorted(own, long), len(own) - 1)] == long).sum())
+        linked = c[self.alike(common, q, c)]
+        if len(linked):
+            self.join(q, linked)
 
     def connect(self) -> list[tuple[int, int]]:
         """Links that connect all sets of the group which are connected inside it.
@@ -252,29 +322,24 @@ class Group:
         """
         n = len(self.sets)
         self.index()
-        size = np.array([len(s) for s in self.sets])
-        common = np.bincount(self.members, np.repeat(self.length, self.length), n) / size
-        tried = 0
-        for q in np.argsort(-common, kind="stable").tolist():
-            if tried == PIVOTS:
+        weight = np.bincount(self.members, np.repeat(self.length, self.length), n) / self.size
+        tried: list[int] = []
+        for q in np.argsort(-weight, kind="stable").tolist():
+            if len(tried) == PIVOTS:
                 break
-            if tried and self.root(q) in near:
+            if tried and self.label[q] in self.label[tried]:
                 continue
-            tried += 1
-            both = self.overlaps(q)
-            linked = self.den * both >= self.num * (size[q] + size - both)
-            for i in np.flatnonzero(linked).tolist():
-                if i != q:
-                    self.join(q, i)
-            near = {self.root(q)} if tried == 1 else {self.root(x) for x in near} | {self.root(q)}
-        roots = [self.root(i) for i in range(n)]
-        counts: dict[int, int] = {}
-        for r in roots:
-            counts[r] = counts.get(r, 0) + 1
-        largest = max(counts, key=lambda r: (counts[r], -r))
-        for i in range(n):
-            if self.root(i) != self.root(largest):
-                self.search(i)
+            tried.append(q)
+            linked = self.alike(self.merged(self.lists(q)), q)
+            linked[q] = False
+            if self.side is not None:
+                linked &= self.side != self.side[q]
+            if linked.any():
+                self.join(q, np.flatnonzero(linked))
+        largest = int(np.flatnonzero(self.label == np.bincount(self.label).argmax())[0])
+        for q in range(n):
+            if self.label[q] != self.label[largest]:
+                self.search(q)
         return self.links
 
 
@@ -288,12 +353,11 @@ def _ids(batches, limit: int = SLICE):
 
 
 _POSTINGS = "shard int, block int, keys binary, nodes binary"
-_LIST = "list long, members array<long>"
 _NEED = pa.schema([("block", pa.int32()), ("rows", pa.int64())])
 
 
 def _search_groups(rows: DataFrame, reps: DataFrame, wanted: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) found in the groups of ``wanted`` (grp, node, known).
+    """Links (a, b) found in the groups of ``wanted`` (grp, node, known, side); with sides only between these.
 
     ``reps`` says which row stands for a node: (node, block, id). Each split gets the list of the
     sets it has to send in a file of its own, reads its texts again and sends those sets.
@@ -304,14 +368,14 @@ def _search_groups(rows: DataFrame, reps: DataFrame, wanted: DataFrame, k: int,
     def keep(batches):
         need: dict[int, list] = {}
         for b in batches:
-            columns = [b.column(c).to_numpy() for c in ("block", "id", "node", "grp", "known")]
+            columns = [b.column(c).to_numpy() for c in ("block", "id", "node", "grp", "known", "side")]
             for block, at in _by(columns[0].astype(np.int64), np.arange(b.num_rows)):
                 need.setdefault(block, []).append([c[at] for c in columns[1:]])
         out = []
         for block, parts in need.items():
-            i, node, grp, known = (np.concatenate([p[j] for p in parts]) for j in range(4))
+            i, node, grp, known, side = (np.concatenate([p[j] for p in parts]) for j in range(5))
             order = np.lexsort((grp, node))
-            blocks.save(folder, f"need-{block}", id=i[order], node=node[order], grp=grp[order], known=known[order])
+            blocks.save(folder, f"need-{block}", id=i[order], node=node[order], grp=grp[order], known=known[order], side=side[order])
             out.append((block, len(order)))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _NEED.types)], schema=_NEED)
@@ -332,7 +396,7 @@ def _search_groups(rows: DataFrame, reps: DataFrame, wanted: DataFrame, k: int,
             chosen = np.flatnonzero(np.isin(ids, wanted_ids))
             if not len(chosen):
                 continue
-            grp, node, known, data = [], [], [], []
+            grp, node, known, sides, data = [], [], [], [], []
             for s in shingle_sets(texts.take(pa.array(chosen)), k):
                 x = node_of(s)
                 if x in left:
@@ -340,12 +404,13 @@ def _search_groups(rows: DataFrame, reps: DataFrame, wanted: DataFrame, k: int,
                     lo, hi = np.searchsorted(side["node"], x), np.searchsorted(side["node"], x, "right")
                     grp += side["grp"][lo:hi].tolist()
                     known += side["known"][lo:hi].tolist()
+                    sides += side["side"][lo:hi].tolist()
                     node += [x] * int(hi - lo)
                     data += [s.tobytes()] * int(hi - lo)
             if grp:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(grp, pa.int64()), pa.array(node, pa.int64()), pa.array(known, pa.int64()), pa.array(data, pa.binary())],
-                    names=["grp", "node", "known", "tokens"],
+                    [pa.array(grp, pa.int64()), pa.array(node, pa.int64()), pa.array(known, pa.int64()), pa.array(sides, pa.int32()), pa.array(data, pa.binary())],
+                    names=["grp", "node", "known", "side", "tokens"],
                 )
         if left:
             raise RuntimeError("a split holds other rows than before; store the table first")
@@ -355,7 +420,7 @@ def _search_groups(rows: DataFrame, reps: DataFrame, wanted: DataFrame, k: int,
         def groups():
             held: list = []
             for b in batches:
-                for row in zip(*(b.column(c).to_pylist() for c in ("grp", "node", "known", "tokens"))):
+                for row in zip(*(b.column(c).to_pylist() for c in ("grp", "node", "known", "side", "tokens"))):
                     if held and held[0][0] != row[0]:
                         yield held
                         held = []
@@ -366,8 +431,9 @@ def _search_groups(rows: DataFrame, reps: DataFrame, wanted: DataFrame, k: int,
         a, b = [], []
         for g in groups():
             if len(g) > 1:
-                sets = [np.frombuffer(r[3], np.uint64) for r in g]
-                for i, j in Group(sets, [r[2] for r in g], num, den).connect():
+                sets = [np.frombuffer(r[4], np.uint64) for r in g]
+                side = [r[3] for r in g] if g[0][3] >= 0 else None
+                for i, j in Group(sets, [r[2] for r in g], num, den, side).connect():
                     a.append(g[i][1])
                     b.append(g[j][1])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -375,53 +441,42 @@ def _search_groups(rows: DataFrame, reps: DataFrame, wanted: DataFrame, k: int,
 
     if not asked:
         return spark.createDataFrame([], "a long, b long")
-    sent = rows.mapInArrow(send, "grp long, node long, known long, tokens binary")
-    return blocks.cut(sent.repartition("grp").sortWithinPartitions("grp", "node").mapInArrow(search, "a long, b long"))
-
-
-def _search_large(rows: DataFrame, reps: DataFrame, sizes: DataFrame, entries: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links of nodes whose part is too large for one group, from lists (list, node) and (pivot, node) pairs.
-
-    First a pivot and the nodes that met it, in chunks. Then, for lists that still hold several
-    components, the parts which those lists connect: whole if they are small, else every list in
-    groups of two chunks, one of them of nodes outside the largest component of the list.
-    """
-    chunks = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / GROUP).alias("chunks"))
-    chunk = F.pmod(F.xxhash64("node"), F.col("chunks"))
-    spread = pairs.join(chunks, "pivot").select(F.xxhash64("pivot", chunk).alias("grp"), "node")
-    centre = chunks.select(F.col("pivot").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("c"))
-    centre = centre.select(F.xxhash64(F.col("node").alias("pivot"), "c").alias("grp"), "node")
-    links = _search_groups(rows, reps, spread.union(centre).withColumn("known", F.col("node")), k, num, den)
-    roots = components(links)
-
-    entries = entries.select("list", "node").distinct().join(roots, "node", "left").select("list", "node", F.coalesce("root", "node").alias("root"))
-    entries = blocks.cut(entries)
-    parts = entries.groupBy("list", "root").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("list").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most")).where("roots > 1")
-    mixed = mixed.select(
-        "list",
-        F.col("most.root").alias("largest"),
-        F.ceil((F.col("n") - F.col("most.n")) / GROUP).alias("minor"),
-        F.ceil(F.col("most.n") / GROUP).alias("major"),
-    )
-    entries = blocks.cut(entries.join(mixed, "list"))
-    first = entries.groupBy("list").agg(F.min("node").alias("a"))
-    together = components(entries.join(first, "list").select("a", F.col("node").alias("b")).distinct())
-    size = together.join(sizes, "node").groupBy("root").agg(F.sum("n").alias("n"))
-    together = blocks.cut(together.join(size, "root").select("node", F.col("root").alias("grp"), (F.col("n") <= WHOLE).alias("small")))
-    known = entries.select("node", F.col("root").alias("known")).distinct()
-    whole = together.where("small").join(known, "node").select("grp", "node", "known")
-
-    entries = entries.join(together.where("not small").select("node"), "node")
-    h = F.xxhash64("node", "list")
-    is_major = F.col("root") == F.col("largest")
-    place = F.when(is_major, F.col("minor") + F.pmod(h, F.col("major"))).otherwise(F.pmod(h, F.col("minor")))
-    last = F.when(is_major, F.col("minor")).otherwise(F.col("minor") + F.col("major")) - 1
-    meets = entries.withColumn("at", place).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last))).where("other <> at")
-    paired = meets.select(
-        F.xxhash64("list", F.least("at", "other"), F.greatest("at", "other")).alias("grp"), "node", F.col("root").alias("known")
-    ).distinct()
-    return links.union(_search_groups(rows, reps, whole.union(paired), k, num, den))
+    sent = rows.mapInArrow(send, "grp long, node long, known long, side int, tokens binary")
+    return cut_lineage(sent.repartition("grp").sortWithinPartitions("grp", "node").mapInArrow(search, "a long, b long"))
+
+
+def _blocks(large: DataFrame) -> DataFrame:
+    """(grp, node, n, blk) of (grp, node, n): blocks of a part by size, of about half of ``WHOLE`` in weight."""
+    weight = F.col("n") + GROUP
+    sizes = large.groupBy("grp", "n").agg(F.sum(weight).alias("weight"))
+    before = F.sum("weight").over(Window.partitionBy("grp").orderBy("n")) - F.col("weight")
+    sizes = sizes.select("grp", "n", "weight", before.alias("before"))
+    # sets of one size lie spread over the weight of that size
+    spread = F.pmod(F.xxhash64("node"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    place = F.col("before") + spread * F.col("weight")
+    return large.join(sizes, ["grp", "n"]).select("grp", "node", "n", F.floor(place / (WHOLE / 2)).cast("long").alias("blk"))
+
+
+def _across(dealt: DataFrame, num: int, den: int) -> DataFrame:
+    """(grp, node, side) of each two blocks of a part that hold sets whose sizes allow a link."""
+    ends = dealt.groupBy("grp", "blk").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    other = ends.select("grp", F.col("blk").alias("blk2"), F.col("low").alias("low2"))
+    two = ends.join(other, "grp").where((F.col("blk") < F.col("blk2")) & (den * F.col("high") >= num * F.col("low2")))
+    two = two.select("grp", F.xxhash64("grp", "blk", "blk2").alias("to"), F.array("blk", "blk2").alias("both"))
+    two = two.select("grp", "to", F.posexplode("both").alias("side", "blk"))
+    return dealt.join(two, ["grp", "blk"]).select(F.col("to").alias("grp"), "node", "side")
+
+
+def _meeting(rows: pa.RecordBatch, num: int, den: int) -> np.ndarray:
+    """Which pairs of sets (n, sketch, n2, sketch2) may link."""
+    n, n2 = (rows.column(c).to_numpy().astype(np.int64) for c in ("n", "n2"))
+    (x, at), (y, at2) = (column_bytes(rows.column(c)) for c in ("sketch", "sketch2"))
+    width, width2 = np.diff(at), np.diff(at2)
+    keep = np.zeros(rows.num_rows, bool)
+    for w, where in _by(width << 16 | width2, np.arange(rows.num_rows)):
+        table = lambda data, start, k: data[start[where][:, None] + np.arange(k)].view(np.uint64)
+        keep[where] = may_link(apart(table(x, at, w >> 16), table(y, at2, w & 0xFFFF)), n[where] + n2[where], num, den)
+    return keep & (den * np.minimum(n, n2) >= num * np.maximum(n, n2))
 
 
 def _connected(docs: DataFrame, id: str, text: str, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -439,12 +494,13 @@ def _connected(docs: DataFrame, id: str, text: str, words: int, num: int, den: i
 
         block = TaskContext.get().partitionId()
         nodes, held, size = set(), [], 0
+        names_of = ["id", "n", "node", "block", "row_key", "sketch", "token", "seen"]
 
         def often():
             token, n = np.unique(np.concatenate(held), return_counts=True)
             token, n = token[n >= OFTEN], n[n >= OFTEN]
-            empty = [pa.nulls(len(token), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())]
-            return pa.RecordBatch.from_arrays([*empty, pa.array(token.view(np.int64)), pa.array(n)], names=["id", "n", "node", "block", "row_key", "token", "seen"])
+            empty = [pa.nulls(len(token), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())]
+            return pa.RecordBatch.from_arrays([*empty, pa.array(token.view(np.int64)), pa.array(n)], names=names_of)
 
         for part in (p for b in batches for p in slices(b, "text", SLICE)):
             ids, sets = part.column("id").to_numpy(), shingle_sets(part.column("text"), words)
@@ -457,6 +513,9 @@ def _connected(docs: DataFrame, id: str, text: str, words: int, num: int, den: i
             if size > CHUNK:
                 yield often()
                 nodes, held, size = set(), [], 0
+            full = [s for s in sets if len(s)]
+            data, width = sketches(np.concatenate(full), np.array([len(s) for s in full])) if full else (np.zeros(0, np.uint8), [])
+            drawn = iter(np.split(data, np.cumsum(width)[:-1])) if full else iter(())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([None if i == NULL_ID else i for i in ids.tolist()], pa.int64()),
@@ -464,17 +523,18 @@ def _connected(docs: DataFrame, id: str, text: str, words: int, num: int, den: i
                     pa.array(names, pa.int64()),
                     pa.array(np.full(len(sets), block, np.int32)),
                     part.column("row_key"),
+                    pa.array([next(drawn).tobytes() if len(s) else None for s in sets], pa.binary()),
                     pa.nulls(len(sets), pa.int64()),
                     pa.nulls(len(sets), pa.int64()),
                 ],
-                names=["id", "n", "node", "block", "row_key", "token", "seen"],
+                names=names_of,
             )
         if held:
             yield often()
         blocks.release()
 
-    read = cut_lineage(rows.mapInArrow(describe, "id long, n long, node long, block int, row_key long, token long, seen long"))
-    described = read.where("token IS NULL").drop("token", "seen")
+    read = cut_lineage(rows.mapInArrow(describe, "id long, n long, node long, block int, row_key long, sketch binary, token long, seen long"))
+    described = read.where("token IS NULL").drop("token", "seen", "sketch")
     seen = read.where("token IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("seen"))
     frequent = seen.orderBy(F.desc("seen"), "token").limit(COMMON).select("token").toPandas()["token"].to_numpy(np.int64)
     blocks.save(folder, "common", token=np.sort(frequent.view(np.uint64)))
@@ -500,7 +560,9 @@ def _connected(docs: DataFrame, id: str, text: str, words: int, num: int, den: i
                 continue
             owner, keys = levels.keys([s for _, s in fresh])
             nodes = np.array([x for x, _ in fresh], np.int64)[owner]
-            shard = (keys % np.uint64(count)).astype(np.int64)
+            # a shard is told by other bits than the 40 that are written, so keys are equal in 40 bits and those of the shard
+            shard = ((keys & np.uint64(0xFFFFFF)) % np.uint64(count)).astype(np.int64)
+            keys = keys >> np.uint64(24)
             order = np.argsort(owner, kind="stable")  # the entries of a node stay together, which packs better
             out = [(s, block, _pack40(keys[at]), nodes[at].astype("<i8").tobytes()) for s, at in _by(shard[order], order)]
             columns = [pa.array(c, t) for c, t in zip(zip(*out), [pa.int32(), pa.int32(), pa.binary(), pa.binary()])]
@@ -516,44 +578,73 @@ def _connected(docs: DataFrame, id: str, text: str, words: int, num: int, den: i
         if not keys:
             return
         key, node = np.concatenate(keys), np.concatenate(nodes)
+        del keys, nodes
         order = np.lexsort((node, key))
         key, node = key[order], node[order]
+        del order
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
         key, node = key[new], node[new]
         cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-        seen, names, lists, size = set(), [], [], 0
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            if b - a < 2:
-                continue
-            name = int.from_bytes(hashlib.blake2b(node[a:b].tobytes(), digest_size=8).digest(), "little", signed=True)
-            if name not in seen:
-                seen.add(name)
-                names.append(name)
-                lists.append(node[a:b])
-                size += b - a
-            if size > 1 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["list", "members"])
-                names, lists, size = [], [], 0
-        if names:
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["list", "members"])
-        del key, node, keys, nodes, order, new, names, lists
+        length = np.diff(cuts)
+        pairs = [np.zeros((0, 2), np.int64)]
+        for k in range(2, SHORT + 1):
+            members = node[cuts[:-1][length == k][:, None] + np.arange(k)]
+            # near copies meet under many keys: each list once
+            name = np.zeros(len(members), np.uint64)
+            for i in range(k):
+                name = mix(name + members[:, i].astype(np.uint64))
+            members = members[np.argsort(name, kind="stable")]
+            members = members[np.r_[True, (members[1:] != members[:-1]).any(1)][: len(members)]]
+            pairs += [members[:, [i, j]] for i in range(k) for j in range(i + 1, k)]
+        yield from told(np.concatenate(pairs), True)
+        long = np.flatnonzero(length > SHORT)
+        k = length[long]
+        rest = np.repeat(cuts[long] - np.cumsum(k) + k, k) + np.arange(int(k.sum()))
+        yield from told(np.stack([np.repeat(node[cuts[long]], k), node[rest]], 1), False)
+        del key, node, new, members, pairs, rest
         blocks.release()
 
+    def told(pairs, each):
+        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+        pairs = pairs[order]
+        new = pairs[:, 0] != pairs[:, 1]
+        new[1:] &= (pairs[1:] != pairs[:-1]).any(1)
+        pairs = pairs[new]
+        for i in range(0, len(pairs), 1 << 16):
+            part = pairs[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy()), pa.array(np.full(len(part), each))], names=["a", "b", "each"])
+
+    def near(batches):
+        for batch in batches:
+            keep = pa.array(_meeting(batch, num, den))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
+
     posted = blocks.by_shard(rows.mapInArrow(post, _POSTINGS), count)
-    met = blocks.cut(posted.mapInArrow(meet, _LIST))
-    entries = met.select("list", F.get("members", F.lit(0)).alias("pivot"), F.explode("members").alias("node"))
-
-    # nodes that met, directly or not: most such parts are small enough to be searched whole
-    pairs = blocks.cut(entries.where("node <> pivot").select("pivot", "node").distinct())
-    part = components(pairs, "pivot", "node")
-    size = part.join(sizes, "node").groupBy("root").agg(F.sum("n").alias("n"))
-    part = blocks.cut(part.join(size, "root").select("node", F.col("root").alias("grp"), (F.col("n") <= WHOLE).alias("small")))
-    wanted = part.where("small").select("grp", "node", F.col("node").alias("known"))
+    met = blocks.cut(posted.mapInArrow(meet, "a long, b long, each boolean"))
+    # pairs whose sketches leave a link possible; of a key with many sets all pairs with the first, since others may link
+    drawn = read.where("node IS NOT NULL").select("node", "n", "sketch")
+    looked = met.where("each").select("a", "b").distinct()
+    asked = looked.select(F.col("a").alias("node")).union(looked.select(F.col("b").alias("node"))).distinct()
+    drawn = blocks.cut(drawn.join(asked, "node").groupBy("node").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch")))
+    second = drawn.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"))
+    looked = looked.join(drawn.withColumnRenamed("node", "a"), "a").join(second, "b")
+    pairs = blocks.cut(looked.mapInArrow(near, "a long, b long").union(met.where("not each").select("a", "b").distinct()))
+
+    # nodes that may link, directly or not: most such parts are small enough to be searched whole
+    part = components(pairs).join(sizes, "node")
+    weight = part.groupBy("root").agg(F.sum(F.col("n") + GROUP).alias("weight"))
+    part = blocks.cut(part.join(weight, "root").select("node", "n", F.col("root").alias("grp"), (F.col("weight") <= WHOLE).alias("small")))
+    alone = lambda grp: [grp, "node", F.col("node").alias("known"), F.lit(-1).alias("side")]
+    wanted, large = part.where("small").select(*alone("grp")), not part.where("not small").isEmpty()
+    if large:  # in blocks first, each for itself
+        dealt = blocks.cut(_blocks(part.where("not small").select("grp", "node", "n")))
+        wanted = wanted.union(dealt.select(*alone(F.xxhash64("grp", "blk").alias("grp"))))
     links = _search_groups(rows, reps, wanted, words, num, den)
-    if not part.where("not small").isEmpty():
-        large = part.where("not small").select("node")
-        links = links.union(_search_large(rows, reps, sizes, entries.join(large, "node"), pairs.join(large, "node"), words, num, den))
+    if large:  # then each two blocks that sizes allow, with what is connected by now
+        roots = components(links).select("node", F.col("root").alias("known"))
+        wanted = _across(dealt, num, den).join(roots, "node", "left").select("grp", "node", F.coalesce("known", "node").alias("known"), "side")
+        links = links.union(_search_groups(rows, reps, wanted, words, num, den))
 
     roots = components(links)
     named = classes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
@@ -572,15 +663,14 @@ def similar_documents(
 
     1. Equal sets become one node, however many rows have them. The up to ``COMMON`` shingles found most often are common.
     2. Nodes that may link meet under a key of an equal part (see ``Levels``); this loses no link.
-    3. Nodes that met, directly or through others, are a part. A part of up to ``WHOLE`` shingles
-       is searched as one group (see ``Group``).
-    4. Larger parts are searched list by list: the first node of a list is its pivot, and the nodes
-       of a pivot are searched in chunks, which connects near copies with a number of rows that
-       follows the number of nodes, not of pairs. Lists that still hold several components are
-       then searched in full (see ``_search_large``).
+    3. Of up to ``SHORT`` nodes under a key each pair is held against a bound on their differences from their sketches
+       (see ``sketches``), which drops unlike sets and loses no link; of more each is paired with the first.
+    4. Nodes that are paired, directly or through others, are a part. A part of up to ``WHOLE`` in weight
+       is searched as one group (see ``Group``). A larger one is cut into blocks by size; each block is searched, then
+       each two blocks whose sizes allow a link, so a set is sent as often as its part has blocks, however many keys it has.
     5. Components are found by contraction; a row takes the smallest id of its component.
 
-    Sets travel for nodes that met others only; texts never do (see ``blocks``, which also says
+    Sets travel for nodes that may link with others only; texts never do (see ``blocks``, which also says
     what ``docs`` must be). Sets are told apart by 64 bits.
     """
     described, named = _connected(docs, id, text, words, num, den)

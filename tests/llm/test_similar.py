@@ -168,3 +168,87 @@ def test_levels_do_not_grow_with_calls():
         again = levels.keys(sets)
     assert len(levels.top) == bands
     assert all((a == b).all() for a, b in zip(first, again))
+
+
+def sent(monkeypatch):
+    """Counts the sets that are sent to be searched."""
+    counts, search = [], similar._search_groups
+
+    def counted(rows, reps, wanted, *a):
+        counts.append(wanted.count())
+        return search(rows, reps, wanted, *a)
+
+    monkeypatch.setattr(similar, "_search_groups", counted)
+    return counts
+
+
+def test_a_large_cluster_is_sent_a_few_times(docs, monkeypatch):
+    """Near copies too many for one group: a set goes to its block and once to each other block, however many keys it has."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for j in range(rng.choice([1, 2, 4, 8])):
+            w[rng.randrange(120)] = f"n{i}-{j}"
+        rows.append((i, " ".join(w)))
+    counts = sent(monkeypatch)
+    monkeypatch.setattr(similar, "GROUP", 16)
+    monkeypatch.setattr(similar, "WHOLE", 26_000)
+    got = similar.similar_documents(docs(rows, 4), words=4, num=85, den=100).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, 4, 85, 100)
+    assert 400 < sum(counts) <= 400 * 6
+
+
+def test_unlike_sets_that_meet_are_not_sent(docs, monkeypatch):
+    """Two texts that share a passage meet under its keys; their sketches tell that they can't link."""
+    rng = random.Random(5)
+    prose = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    rows = []
+    for i in range(150):
+        passage = prose(60)
+        rows += [(2 * i + j, " ".join(prose(70) + passage)) for j in (0, 1)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(10)]
+    counts = sent(monkeypatch)
+    got = similar.similar_documents(docs(rows, 2), words=4, num=80, den=100).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, 4, 80, 100)
+    assert sum(counts) == 20
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from([(85, 100), (50, 100), (20, 100)]))
+def test_sketches_differ_no_more_than_sets(seed, threshold):
+    rng = np.random.default_rng(seed)
+    num, den = threshold
+    a = np.unique(rng.integers(0, 2**63, int(rng.choice([1, 31, 33, 400, 6000])), dtype=np.uint64))
+    b = np.unique(np.concatenate([rng.permutation(a)[int(rng.integers(0, len(a))) :], rng.integers(0, 2**63, int(rng.integers(0, 2 * len(a))), dtype=np.uint64)]))
+    data, width = similar.sketches(np.concatenate([a, b]), np.array([len(a), len(b)]))
+    x, y = (d.view(np.uint64).reshape(1, -1) for d in np.split(data, [width[0]]))
+    differ, common = similar.apart(x, y), len(np.intersect1d(a, b))
+    assert differ[0] <= len(a) + len(b) - 2 * common
+    if den * common >= num * (len(a) + len(b) - common):
+        assert similar.may_link(differ, np.array([len(a) + len(b)]), num, den).all()
+
+
+def test_blocks_and_pairs_of_blocks_find_what_one_group_finds():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 90, dtype=np.uint64)
+    sets = [np.union1d(rng.permutation(base)[int(rng.integers(0, 15)) :], rng.integers(0, 2**63, int(rng.integers(1, 12)), dtype=np.uint64)) for _ in range(90)]
+
+    def components(links):
+        label = list(range(len(sets)))
+        for i, j in links:
+            a, b = label[i], label[j]
+            label = [min(a, b) if x in (a, b) else x for x in label]
+        return label
+
+    whole = components(similar.Group(sets, list(range(90)), 85, 100).connect())
+    parts = [list(range(i, 90, 3)) for i in range(3)]
+    links = [(p[i], p[j]) for p in parts for i, j in similar.Group([sets[x] for x in p], p, 85, 100).connect()]
+    known = components(links)
+    for a, b in ((0, 1), (0, 2), (1, 2)):
+        both = parts[a] + parts[b]
+        found = similar.Group([sets[x] for x in both], [known[x] for x in both], 85, 100, [0] * 30 + [1] * 30).connect()
+        assert all((i < 30) != (j < 30) for i, j in found)
+        links += [(both[i], both[j]) for i, j in found]
+    assert components(links) == whole and 1 < len(set(whole)) < 90
