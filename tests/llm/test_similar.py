@@ -252,3 +252,21 @@ def test_blocks_and_pairs_of_blocks_find_what_one_group_finds():
         assert all((i < 30) != (j < 30) for i, j in found)
         links += [(both[i], both[j]) for i, j in found]
     assert components(links) == whole and 1 < len(set(whole)) < 90
+
+
+def test_dissimilar_rows_of_a_large_cluster(docs, monkeypatch):
+    """The stage of the pipeline: one row a component, and sets sent a few times, for a cluster above one group."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for j in range(rng.choice([1, 2, 4, 8])):
+            w[rng.randrange(120)] = f"n{i}-{j}"
+        rows.append((i, " ".join(w)))
+    counts = sent(monkeypatch)
+    monkeypatch.setattr(similar, "GROUP", 16)
+    monkeypatch.setattr(similar, "WHOLE", 20_000)
+    kept = [r.doc_id for r in similar.keep_dissimilar(docs(rows, 4), words=5, num=80, den=100).collect()]
+    assert sorted(kept) == sorted({c for _, _, c in brute(rows, 5, 80, 100)})
+    assert 300 < sum(counts) <= 300 * 6
